@@ -25,7 +25,7 @@ SAMPLE = 3000
 PREFIXES = (3, 4, 5, 6)
 FEATURES = 6000
 #: A feature must be in so many toxic rows, and so many times as frequent there; the share of the loss that toxic rows have.
-MIN_ROWS, LEAD, TOXIC_SHARE = 8, 8, 0.3
+MIN_ROWS, LEAD, TOXIC_SHARE = 8, 8, 0.2
 REJECT_AT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
