@@ -35,6 +35,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts whose ``text`` column has about ``size`` bytes (one row at least), which bounds what a
+    Python worker holds."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(1, batch.column(text).nbytes)))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def scan_texts(docs: DataFrame, fn: Callable[[str], tuple], names: dict[str, str], null: str | None = "", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the ``keep`` columns, then what ``fn(text)`` returns under ``names`` (name: type).
 
@@ -45,7 +54,7 @@ def scan_texts(docs: DataFrame, fn: Callable[[str], tuple], names: dict[str, str
     kinds = [_ARROW[t] for t in names.values()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             rows = [fn(null if x is None else x) for x in batch.column(len(keep)).to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             made = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
@@ -59,7 +68,7 @@ def keep_rows(docs: DataFrame, verdicts: Callable[[list], list[bool]]) -> DataFr
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(verdicts(batch.column(at).to_pylist()), type=pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

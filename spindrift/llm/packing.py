@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.base import checkpointed, read
+from spindrift.llm.base import checkpointed, read, slices
 
 CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that are packed together; more would gain nothing, as windows are full long before.
 BUFFER = 8192
-#: Word pieces whose ids a task remembers.
-CACHE_WORDS = 600_000
+#: Tokens, and pieces, that a task remembers in each of two generations; what the older holds is kept if met again.
+CACHE_WORDS = 150_000
 
 # The vocabulary's own word pattern for characters below U+0250, in lower case; other texts go through the library.
 _LETTER = "a-zªµºß-öø-ɏ"
@@ -47,6 +47,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.tokens: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_tokens: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -71,11 +73,14 @@ class Encoder:
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.tokens) + len(new) > CACHE_WORDS:
-            self.tokens.clear()
+            self.old_tokens, self.tokens = self.tokens, {}
         if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
+            self.old_pieces, self.pieces = self.pieces, {}
         cut, odd = {}, {}
         for token in new:
+            if token in self.old_tokens:
+                self.tokens[token] = self.old_tokens[token]
+                continue
             text = token.decode("utf-8", "replace")
             if text.isalpha() and text.isascii():
                 cut[token] = (text.lower(),)
@@ -84,24 +89,37 @@ class Encoder:
             else:
                 cut[token] = _PIECE.findall(text.lower())
         pieces = self.pieces
-        unseen = list({p for x in cut.values() for p in x if p not in pieces})
+        unseen = {p for x in cut.values() for p in x if p not in pieces}
+        pieces.update((p, self.old_pieces[p]) for p in unseen & self.old_pieces.keys())
+        unseen = [p for p in unseen if p not in pieces]
         pieces.update(zip(unseen, self._each(unseen)))
         self.tokens.update((t, b"".join([pieces[p] for p in x])) for t, x in cut.items())
         self.tokens.update(zip(odd, self._library(list(odd.values()))))
 
+    def _joined(self, whole: list[bytes]) -> bytes:
+        """One text's ids, learnt a stretch at a time."""
+        out = []
+        for i in range(0, len(whole), 20_000):
+            stretch = whole[i : i + 20_000]
+            for _ in range(2):
+                self._learn({w for w in stretch if w not in self.tokens})
+            out += [self.tokens[w] for w in stretch]
+        return b"".join(out)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split, known = [t.encode("utf-8", "replace").split() for t in texts], self.tokens
         out, end = [], self.end
-        for first in range(0, len(split), 256):
-            part = split[first : first + 256]
-            for whole in part:
-                try:
-                    out.append(b"".join([known[w] for w in whole]) + end)
-                except KeyError:
-                    self._learn({w for x in part for w in x if w not in known} if len(known) < CACHE_WORDS else set(whole))
-                    if any(w not in known for w in whole):
-                        self._learn(set(whole))
-                    out.append(b"".join([known[w] for w in whole]) + end)
+        for first in range(0, len(texts), 128):
+            part = [t.encode("utf-8", "replace").split() for t in texts[first : first + 128]]
+            new = {w for whole in part for w in whole if w not in self.tokens}
+            if len(new) > CACHE_WORDS // 2:  # very long texts: one at a time, so that no generation is outgrown unseen
+                out += [self._joined(whole) + end for whole in part]
+                continue
+            before = self.tokens
+            self._learn(new)
+            known = self.tokens
+            if known is not before:  # a new generation began; what this part needs goes over, too
+                self._learn({w for whole in part for w in whole if w not in known})
+            out += [b"".join([known[w] for w in whole]) + end for whole in part]
         return out
 
 
@@ -204,7 +222,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
         encode, task = encoder(path, end_id), TaskContext.get().partitionId()
         rows = _packer(schema, capacity, lambda: task << 40)
         state, waiting, id_type = {"n": 0}, [], pa.int64()
-        for batch in batches:
+        for batch in slices(batches, 1):
             id_type = batch.column(0).type
             out = []
             texts = [x or "" for x in batch.column(1).to_pylist()]

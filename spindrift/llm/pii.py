@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.base import checkpointed, read, sha256_hex, text_key
+from spindrift.llm.base import checkpointed, read, slices, text_key
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 FOUND_KIND = "context"
@@ -116,7 +116,7 @@ def extract(docs: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row_key", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("mentions", T.ArrayType(_MENTION))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             rows = [mentions(x or "") for x in batch.column(2).to_pylist()]
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in r[0]] for r in rows]
             found = [[dict(zip(("string", "left", "right", "seed", "start", "end"), m)) for m in r[1]] for r in rows]
@@ -184,7 +184,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at, names = docs.columns.index("text"), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = [x if x is None else redact(x, [(s["kind"], s["start"], s["end"]) for s in e or []]) for x, e in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from spindrift.llm.automaton import Automaton, compile_rules
-from spindrift.llm.base import read, sha256_hex
+from spindrift.llm.base import read, sha256_hex, slices
 
 
 @dataclass(frozen=True)
@@ -102,22 +102,14 @@ def scan(docs: DataFrame, rules: tuple[Secret, ...] = RULES) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("secret", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = find_spans([x or "" for x in part.column(1).to_pylist()], rules)
-                rows = [[{"start": a, "end": b, "kind": c, "secret": s} for a, b, c, s in spans] for spans in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, type=kind)], names=["doc_id", "found"])
+        for part in slices(batches, 1):
+            found = find_spans([x or "" for x in part.column(1).to_pylist()], rules)
+            rows = [[{"start": a, "end": b, "kind": c, "secret": s} for a, b, c, s in spans] for spans in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, type=kind)], names=["doc_id", "found"])
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``size`` bytes each (one row at least)."""
-    rows = max(1, int(batch.num_rows * size / max(1, batch.column(1).nbytes)))
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     schema = T.StructType([docs.schema["doc_id"]] + T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans string").fields)

@@ -143,7 +143,7 @@ class Scorer:
         for w in set(_WORD.findall(text.lower())):
             hits = known.get(w)
             if hits is None:
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 hits = known[w] = tuple(f for f in _features_of(w) if f in weights)
             if hits:
