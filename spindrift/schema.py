@@ -14,7 +14,14 @@ QUERY_FORMS = ("question", "question+options", "answer")
 POOL_TYPES = ("within", "cross")
 MIN_WORDS, MIN_SECONDS = 20, 45.0
 
-QA = T._parse_datatype_string("qid string, vid_name string, q string, a0 string, a1 string, a2 string, a3 string, answer_idx int, ans_corr string")
-RESULT = T._parse_datatype_string("video string, qid string, pred int, gold int, correct boolean, raw string")
-FAILURE = T._parse_datatype_string("id string, artifact string, reason string, when string, error string, _corrupt_record string")
-CUE = T._parse_datatype_string("vid string, cue_no int, start double, end double, text string")
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+_S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
+QA = _struct(qid=_S, vid_name=_S, q=_S, a0=_S, a1=_S, a2=_S, a3=_S, answer_idx=_I, ans_corr=_S)
+RESULT = _struct(video=_S, qid=_S, pred=_I, gold=_I, correct=T.BooleanType(), raw=_S)
+FAILURE = _struct(id=_S, artifact=_S, reason=_S, when=_S, error=_S, _corrupt_record=_S)
+CUE = _struct(vid=_S, cue_no=_I, start=_D, end=_D, text=_S)
