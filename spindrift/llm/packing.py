@@ -24,7 +24,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces that are packed together; more would gain nothing, as windows are full long before.
 BUFFER = 8192
 #: Tokens, and pieces, that a task remembers in each of two generations; what the older holds is kept if met again.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 # The vocabulary's own word pattern for characters below U+0250, in lower case; other texts go through the library.
 _LETTER = "a-zªµºß-öø-ɏ"
