@@ -35,12 +35,13 @@ def representation(name: str, video: Column, text: Column) -> Column:
 
 def wilson(k: Column, n: Column, z: float = Z_95) -> tuple[Column, Column]:
     """The interval's ends within [0, 1]; null for no trials or for successes outside them."""
-    n = F.when((n > 0) & (k >= 0) & (k <= n), n.cast("double"))
+    valid = (n > 0) & (k >= 0) & (k <= n)
+    n = F.when(valid, n.cast("double"))
     p = k / n
     d = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.greatest(centre - half, F.lit(0.0)), F.least(centre + half, F.lit(1.0))
+    return F.when(valid, F.greatest(centre - half, F.lit(0.0))), F.when(valid, F.least(centre + half, F.lit(1.0)))
 
 
 def mcnemar_p(n10: Column, n01: Column) -> Column:
