@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     picked = known.filter("y = 1").orderBy(order).limit(sample).unionByName(known.filter("y = 0").orderBy(order).limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked.groupBy("doc_id").agg(F.max("y").alias("y"))), "doc_id")
     bags = scan_texts(rows, lambda t: (_bag(t),), {"bag": "binary"}, keep=("y",))
-    return fit([(bytes(r.bag), r.y) for r in bags.sort("y", "bag").collect()])
+    return fit(sorted(((bytes(r.bag), r.y) for r in bags.collect()), key=lambda r: (r[1], r[0])))
 
 
 class Scorer:
