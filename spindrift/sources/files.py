@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from spindrift.functions import expr as X
 from spindrift.schema import CUE, FAILURE, QA, RESULT
 
-DATASETS = ("siq2long", "siq2")
 
-
-def read_qa(spark: SparkSession, root: str, split: str, dataset: str = DATASETS[0]) -> DataFrame:
-    """JSON lines with an explicit schema: the label columns are there, null, in an unlabelled split."""
-    if dataset not in DATASETS:
+def read_qa(spark: SparkSession, root: str, split: str, dataset: str, datasets: tuple[str, ...]) -> DataFrame:
+    """JSON lines with an explicit schema: the label columns are there, null, in an unlabelled split. ``datasets`` are
+    the known ones."""
+    if dataset not in datasets:
         raise ValueError(f"unknown dataset {dataset!r}")
     return spark.read.schema(QA).json(f"{root}/{dataset}/qa/qa_{split}.json")
 
