@@ -22,6 +22,8 @@ from spindrift.llm.base import checkpointed, read, scan_texts, without
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Groups of a variant larger than this are cut once more, by variants of their other segment.
 HOT_GROUP = 100_000
+#: A key of more than one in so many rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int]:
@@ -145,19 +147,19 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: of each node of ``edges`` (u, v) the smallest node that it is connected to.
 
-    Alternates large-star and small-star steps until nothing moves. Minima come from partial aggregates and are joined
-    back, so a hub's neighbours are spread over tasks; each round is checkpointed.
+    Alternates large-star and small-star steps until nothing moves. Minima come from partial aggregates and reach a
+    hub's neighbours where those are; each round is checkpointed.
     """
     now = checkpointed(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        star = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        star = _looked_up(both.filter("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # now a < b; each b hands its smaller neighbours to the smallest of them
-        star = star.filter("a <> b").distinct()
-        first = star.groupBy("b").agg(F.min("a").alias("m"))
-        small = star.join(first, "b").select(F.col("m").alias("u"), F.col("a").alias("v")).filter("u <> v")
+        star = checkpointed(star.filter("a <> b").distinct())
+        first = star.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _looked_up(star, first, "b").select(F.col("m").alias("u"), F.col("a").alias("v")).filter("u <> v")
         after = checkpointed(small.unionByName(first.select(F.col("m").alias("u"), F.col("b").alias("v"))).distinct())
         again = _mark(after)
         now = after
@@ -169,6 +171,19 @@ def components(edges: DataFrame) -> DataFrame:
     return out.unionByName(roots)
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per ``key`` and in ``n`` at least the number of its rows.
+
+    Hot keys, fewer than HOT_SHARE, are broadcast, so their rows stay in the tasks that hold them; the others are dealt
+    by the key.
+    """
+    table = checkpointed(table)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col("n") * HOT_SHARE > total).drop("n"))
+    others = rows.join(hot, key, "left_anti").join(table.drop("n"), key)
+    return rows.join(hot, key).unionByName(others)
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
@@ -178,16 +193,17 @@ def groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int
     """doc_id, fp, component_id: a row for each row of ``docs``; component_id is the smallest doc_id reachable.
 
     Copies share a fingerprint and only distinct fingerprints are indexed, so thousands of copies cost no more than
-    one. A null doc_id never names a group. Empty input gives no rows.
+    one. Rows of a hot fingerprint stay where they are: fewer than HOT_SHARE of those exist, and they are broadcast. A
+    null doc_id never names a group. Empty input gives no rows.
     """
     rows = checkpointed(fingerprints(docs, shingle, seed))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = checkpointed(components(links(distinct.select("fp"), bits)))
-    members = linked.join(distinct.withColumnRenamed("fp", "node"), "node")
-    named = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    of_all = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_all, "fp").select("doc_id", "fp", "component_id")
+    members = linked.join(distinct.select(F.col("fp").alias("node"), "least"), "node")
+    named = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_linked = _looked_up(linked, named, "root").select(F.col("node").alias("fp"), "component_id")
+    of_all = distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return _looked_up(rows, of_all, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
