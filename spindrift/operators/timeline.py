@@ -78,10 +78,14 @@ def dedup_lines(cues: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return each.withColumn("__before", before).filter("NOT (line <=> __before)").drop("__before", "raw")
 
 
+def joined_lines() -> F.Column:
+    held = F.array_sort(F.collect_list(F.struct("cue_no", "line_no", "line")))
+    return F.array_join(F.transform(held, lambda x: x["line"]), " ")
+
+
 def texts(lines: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """by, text: lines joined by one blank, in order."""
-    held = F.array_sort(F.collect_list(F.struct("cue_no", "line_no", "line")))
-    return lines.groupBy(*by).agg(F.array_join(F.transform(held, lambda x: x["line"]), " ").alias("text"))
+    return lines.groupBy(*by).agg(joined_lines().alias("text"))
 
 
 def range_texts(cues: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
 from spindrift.operators import timeline as L
+from spindrift.plans.lexical import talk_chunks
 from spindrift.plans.registry import Registry, table
 
 query = Registry()
@@ -85,16 +86,26 @@ def manifest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reason_stats(L.reasons(video_table(spark, sf_dir)))
 
 
+_NORMALIZED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(line, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("cue_no"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query(r"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents), n AS (SELECT doc_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(line, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS line FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM n WHERE line <> '') SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM k WHERE line IS DISTINCT FROM b GROUP BY doc_id")
+@query(r"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents), n AS (SELECT doc_id, i, " + _NORMALIZED + r" AS line FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM n WHERE line <> '') SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM k WHERE line IS DISTINCT FROM b GROUP BY doc_id")
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = L.dedup_lines(_document_lines(spark, sf_dir), ("doc_id",))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
+@query(r"WITH c AS (SELECT conv_id AS vid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), l AS (SELECT vid, idx, idx // 2 AS chunk, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM c), n AS (SELECT vid, idx, chunk, i, " + _NORMALIZED + r" AS line FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY vid, chunk ORDER BY idx, i) AS b FROM n WHERE line <> '') SELECT vid, chunk, count(*) AS n_lines, string_agg(line, ' ' ORDER BY idx, i) AS text FROM k WHERE line IS DISTINCT FROM b GROUP BY vid, chunk")
+def dedup_lines_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns are a chunk; a line equal to the one kept before it goes, but each chunk starts afresh."""
+    cues = talk_chunks(spark, sf_dir).select("vid", F.floor(F.col("idx") / 2).alias("chunk"), F.col("idx").alias("cue_no"), F.coalesce("text", F.lit("")).alias("text"))
+    return L.dedup_lines(cues, ("vid", "chunk")).groupBy("vid", "chunk").agg(F.count(F.lit(1)).alias("n_lines"), L.joined_lines().alias("text"))
+
+
 @query("WITH w AS (SELECT conv_id AS vid, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations), e AS (SELECT vid, turn, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w) SELECT vid, turn, i AS word_no, word, round(turn * 60.0 + 60.0 / n * i, 4) AS start, round(CASE WHEN i = n - 1 THEN turn * 60.0 + 60.0 ELSE turn * 60.0 + 60.0 / n * (i + 1) END, 4) AS stop FROM e")
 def word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("vid"), F.col("turn").alias("cue_no"), (F.col("turn") * 60.0).alias("start"), (F.col("turn") * 60.0 + 60.0).alias("end"), "text")
