@@ -258,6 +258,14 @@ def test_gam_scores_held_out_rows(spark):
     assert quality_gam.classify(docs, quality_gam.train(docs, labels.limit(0))).count() == 402
 
 
+def test_gam_counts_the_letters_of_whole_texts():
+    rng = random.Random(11)
+    texts = ["a1" * 1000, "| 12 ab |\n" * 3000] + ["".join(rng.choice(["é1 ", "abc", "99", "\u00a0", "\n", "中"]) for _ in range(rng.randrange(1, 9000))) for _ in range(30)]
+    at = quality_gam.FEATURES.index("letter_share")
+    for t in filter(str.strip, texts):
+        assert quality_gam.features(t)[at] == sum(map(str.isalpha, t)) / len("".join(t.split()))
+
+
 def test_personal_data_matches_plain_patterns():
     rng = random.Random(10)
     parts = ["a", "b.c", "@", "x-y.com", ".", "4111 1111 1111 1111", "4111111111111111", "+1 (555) 555-0100", "10.0.0.1", "256.1.1.1", "1", "-", " ", "0", "é", "+", "(", "1.2.3.4.5"]
