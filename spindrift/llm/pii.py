@@ -3,7 +3,8 @@
 Base patterns find seed entities. The words around entities make lexical patterns; patterns and identifier-like strings
 form a bipartite graph, whose edges say which pattern was seen around which string. Spark scores the graph in rounds:
 a pattern is worth what it is seen around, a string what it is seen in. Patterns that are confident, from many
-different seeds in many documents, then mark identifiers that no base pattern knows.
+different seeds in many documents, then mark identifiers that no base pattern knows; these in turn speak for further
+patterns, until none is added.
 """
 
 from __future__ import annotations
@@ -132,24 +133,45 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MI
     patterns say; a pattern scores the mean weight of its strings, a string the score of its best pattern. Counts of
     seeds and texts are of distinct ones, so thousands of copies of one text vouch no more than one. Aggregates are
     partial before each shuffle. Ties need no order: all that pass are trusted.
+
+    Strings that a trusted pattern was seen around are discovered: they count as seeds do, at the score that
+    discovered them, and the patterns are tested anew until none is added. A pattern once trusted stays so.
     """
+    if rounds < 1:
+        raise ValueError("one round at least")
     flat = found.select("row_key", F.explode("mentions").alias("m")).select("row_key", "m.left", "m.right", "m.string", "m.seed").filter("left <> '' AND right <> ''")
     texts = flat.select("row_key", "left", "right").distinct().groupBy("left", "right").agg(F.count(F.lit(1)).alias("texts"))
     edges = flat.groupBy("left", "right", "string").agg(F.max("seed").alias("seed"))
-    support = edges.groupBy("left", "right").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.lit(1)).alias("strings"))
-    # only patterns that could be trusted, or that share strings with them, matter; the others are dropped early
-    able = support.join(texts, ["left", "right"]).filter((F.col("seeds") >= min_seeds) & (F.col("texts") >= min_texts))
-    graph = checkpointed(edges.join(able.select("left", "right"), ["left", "right"]))
-    if graph.isEmpty():
-        return graph.select("left", "right", F.lit(1.0).alias("score")).limit(0)
-    weighed = graph.withColumn("weight", F.col("seed").cast("double"))
-    for k in range(rounds):
-        scores = weighed.groupBy("left", "right").agg(F.avg("weight").alias("score"))
-        if k == rounds - 1:
-            return checkpointed(scores.filter(F.col("score") >= confidence))
-        strings = weighed.filter("NOT seed").select("left", "right", "string").join(scores, ["left", "right"]).groupBy("string").agg(F.max("score").alias("best"))
-        weighed = checkpointed(graph.join(strings, "string", "left").withColumn("weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best"))
-    raise ValueError("one round at least")
+    strings = edges.groupBy("left", "right").agg(F.count(F.lit(1)).alias("strings"))
+    # of a pattern's strings all may come to count; only one with too few strings or texts can never be trusted
+    able = strings.join(texts, ["left", "right"]).filter((F.col("strings") >= min_seeds) & (F.col("texts") >= min_texts))
+    graph = checkpointed(edges.join(able.select("left", "right"), ["left", "right"]).withColumn("known", F.when(F.col("seed"), 1.0)))
+    trusted = graph.select("left", "right", F.lit(1.0).alias("score")).limit(0)
+    while True:
+        added = checkpointed(_confident(graph, rounds, min_seeds, confidence).join(trusted.select("left", "right"), ["left", "right"], "left_anti"))
+        if added.isEmpty():
+            return trusted
+        trusted = checkpointed(trusted.unionByName(added))
+        unknown = graph.filter("known IS NULL")
+        earned = checkpointed(unknown.join(added, ["left", "right"]).groupBy("string").agg(F.max("score").alias("earned")))
+        if earned.isEmpty():
+            return trusted
+        told = unknown.drop("known").join(earned, "string", "left").withColumnRenamed("earned", "known")
+        graph = checkpointed(graph.filter("known IS NOT NULL").unionByName(told))
+
+
+def _confident(graph: DataFrame, rounds: int, min_seeds: int, confidence: float) -> DataFrame:
+    """left, right, score of the patterns of ``graph`` with ``min_seeds`` known strings that reach ``confidence``."""
+    supported = graph.groupBy("left", "right").agg(F.count("known").alias("seeds")).filter(F.col("seeds") >= min_seeds)
+    held = checkpointed(graph.join(supported.select("left", "right"), ["left", "right"]))
+    base = F.coalesce("known", F.lit(0.0))
+    weighed = held.withColumn("weight", base)
+    if not held.isEmpty():
+        for _ in range(rounds - 1):
+            scores = weighed.groupBy("left", "right").agg(F.avg("weight").alias("score"))
+            strings = weighed.filter("NOT seed").select("left", "right", "string").join(scores, ["left", "right"]).groupBy("string").agg(F.max("score").alias("best"))
+            weighed = checkpointed(held.join(strings, "string", "left").withColumn("weight", F.when(F.col("seed"), 1.0).otherwise(F.greatest(base, F.coalesce("best", F.lit(0.0))))).drop("best"))
+    return weighed.groupBy("left", "right").agg(F.avg("weight").alias("score")).filter(F.col("score") >= confidence)
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -290,6 +290,18 @@ def test_context_discovers_unseen_identifiers(spark):
     assert red[8] == "we contact [CONTEXT] today ok" and red[0] == "hello there contact [EMAIL] today please" and red[10] is None and red[9] == "see part-55443322 now"
 
 
+def test_discovered_identifiers_vouch_for_further_patterns(spark):
+    seeds = [f"hello there contact {n}@mail.com today please" for n in "abcdefgh"]
+    first = [f"we contact user-9988776{k} today ok" for k in range(5)] + [f"a badge user-9988776{k} opens it" for k in range(5)]
+    second = [f"a badge staff-5544332{k} opens it" for k in range(2)]
+    few = [f"see part user-9988776{k} now" for k in range(2)] + [f"see part bolt-1122334{k} now" for k in range(4)]
+    texts = seeds + first + second + few
+    rows = {r.doc_id: r for r in pii.find(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = [m.span() for m in re.finditer(r"(user|staff)-[0-9]+", t)] if t not in few else []
+        assert [(s.start, s.end) for s in rows[i].extra] == want, t
+
+
 def test_the_pipeline_runs_through(spark):
     import corpus_pipeline
 
