@@ -75,7 +75,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
 
 
-#: Named entities that are decoded (fixed values); numeric ones are decoded by number.
+#: The entities that are decoded, by fixed value; others, numeric ones too but for &#39;, stay as they are.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
 
 
