@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.base import checkpointed, read, scan_texts, without
+from spindrift.llm.base import checkpointed, read, scan_texts, text_key, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Groups of a variant larger than this are cut once more, by variants of their other segment.
@@ -47,9 +47,9 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[in
     return (int.from_bytes(value, "big", signed=True),)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (bigint) for each row of ``docs``; a null text has fingerprint 0, like one without words."""
-    return scan_texts(docs, lambda text: fingerprint(text, shingle, seed), {"fp": "bigint"})
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, fp (bigint) for each row of ``docs``; a null text has fingerprint 0, like one without words."""
+    return scan_texts(docs, lambda text: fingerprint(text, shingle, seed), {"fp": "bigint"}, keep=keep)
 
 
 def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -196,28 +196,43 @@ def groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int
     one. Rows of a hot fingerprint stay where they are: fewer than HOT_SHARE of those exist, and they are broadcast. A
     null doc_id never names a group. Empty input gives no rows.
     """
-    rows = checkpointed(fingerprints(docs, shingle, seed))
+    return _grouped(fingerprints(docs, shingle, seed), bits).select("doc_id", "fp", "component_id")
+
+
+def _grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with root, the group's smallest linked fingerprint, and component_id.
+
+    Two groups may share a component_id where one doc_id stands for different texts; root tells them apart.
+    """
+    rows = checkpointed(rows)
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = checkpointed(components(links(distinct.select("fp"), bits)))
     members = linked.join(distinct.select(F.col("fp").alias("node"), "least"), "node")
     named = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    of_linked = _looked_up(linked, named, "root").select(F.col("node").alias("fp"), "component_id")
-    of_all = distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return _looked_up(rows, of_all, "fp").select("doc_id", "fp", "component_id")
+    of_linked = _looked_up(linked, named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    of_all = distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return _looked_up(rows, of_all, "fp")
 
 
 def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id; all columns stay.
 
-    Rows repeated under one doc_id are one document and one of them stays; rows without a doc_id can't be told apart
-    by it and stay.
+    A document is a doc_id with a text: rows that repeat both are one, of which the first by a hash of its columns
+    stays; different texts under one doc_id each fare by their own group, and of those in one group the first by a
+    hash of the text stays. Rows without a doc_id can't be told apart by it and stay.
     """
-    found = checkpointed(groups(docs, bits, shingle, seed))
-    kept = without(docs, found.filter("doc_id <> component_id").select("doc_id").distinct(), ["doc_id"])
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    keyed = docs.withColumn("__row_key", text_key())
+    found = checkpointed(_grouped(fingerprints(keyed, shingle, seed, ("doc_id", "__row_key")), bits))
+    least = found.filter("doc_id = component_id")
+    many = checkpointed(least.groupBy("root").agg(F.min("__row_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    gone = found.filter("doc_id <> component_id").select("doc_id", "__row_key")
+    if many.isEmpty():
+        return without(keyed, gone.distinct(), ["doc_id", "__row_key"]).drop("__row_key")
+    gone = gone.unionByName(_looked_up(least, many, "root").filter("__row_key <> first").select("doc_id", "__row_key"))
+    kept = without(keyed, gone.distinct(), ["doc_id", "__row_key"])
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    one = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "__row_key").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return one.select("__row.*").unionByName(kept.filter("doc_id IS NULL").drop("__row_key"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,19 @@ def test_simhash_groups_and_deduplication(spark):
     assert simhash.groups(docs.limit(0)).count() == 0
 
 
+def test_deduplication_tells_texts_under_one_id_apart(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.randrange(500)}" for _ in range(400)) for _ in range(4))
+    near = a + " end"
+    assert (brute_fingerprint(a) ^ brute_fingerprint(near)).bit_count() <= 3
+    rows = [(1, a, "en"), (5, a, "en"), (5, b, "en"), (5, c, "de"), (5, c, "en"), (6, d, "en"), (6, d + " end", "en"), (None, a, "en"), (1, near, "en"), (7, b, "en")]
+    docs = spark.createDataFrame([(i, t, g, "x", "y") for i, t, g in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()]
+    assert len(kept) == len(set(kept)) == 5
+    assert {(5, b), (5, c), (None, a)} < set(kept)
+    assert sum(i == 1 and t in (a, near) for i, t in kept) == sum(i == 6 and t in (d, d + " end") for i, t in kept) == 1
+
+
 def test_toxicity_learns_words_and_keeps_clean_rows(spark):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in ("ba", "de", "fi", "go", "lu") for b in ("ran", "tes", "mil", "son")]
