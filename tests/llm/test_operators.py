@@ -9,23 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
-
-from spindrift.llm import automaton, decontamination, packing, pii, quality_gam, quality_rules, secret_scan, sharding, simhash, toxicity, url_filters
-
-SCHEMA = "doc_id bigint, text string, lang string, n_words string, h string"
-
-
-def docs_of(spark, texts, first=0):
-    return spark.createDataFrame([(first + i, t, "en", "x", "y") for i, t in enumerate(texts)], SCHEMA)
-
-
-def lower(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-
-
-ODD = [None, "", " \t\n ", "a", "É é \u00a0 ſ K", "x" * 5000, "tok " * 3000, "same text here", "same text here", "l1\nl1\nl2\n\nl1"]
+from llm_fixtures import ODD, SCHEMA, docs_of, lower
 
+from spindrift.llm import automaton, decontamination, pii, quality_gam, quality_rules, secret_scan, sharding, simhash, toxicity, url_filters
 
 def test_quality_measurements(spark):
     rng = random.Random(1)
@@ -86,36 +72,6 @@ def test_secrets_match_a_plain_search(spark):
     assert got[len(texts) - 1] == []
 
 
-def test_packing_is_a_round_trip(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    rng = random.Random(4)
-    texts = ODD + [" ".join(rng.choice(["It's", "naïve", "x²", "!!", "ab_c", "中文", "<|endoftext|>"]) + str(rng.randrange(9)) for _ in range(rng.randrange(0, 300))) for _ in range(100)]
-    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    rows = packing.pack(docs_of(spark, texts).repartition(3), capacity=64).collect()
-    by_doc, by_sequence = {}, {}
-    for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(r)
-        by_sequence.setdefault(r.sequence_id, []).append(r)
-    for i, t in enumerate(texts):
-        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
-        at = 0
-        for r in sorted(by_doc[i], key=lambda r: r.start):
-            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
-    slack = 0
-    for pieces in by_sequence.values():
-        at = 0
-        for r in sorted(pieces, key=lambda r: r.offset):
-            assert r.offset == at
-            at += r.length
-        assert at <= 64
-        slack += 64 - at
-    assert slack < 0.05 * 64 * len(by_sequence)
-
-
 def test_contamination_matches_a_plain_search(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(12)] + ["É", "é"]
