@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -154,6 +156,17 @@ class _Nfa:
     def skip(self, a: int, b: int) -> None:
         self.skips[a].add(b)
 
+    def turn(self, first: int) -> None:
+        """States from ``first`` on, which none of the others reaches, with all their arrows turned round."""
+        arrows = [(a, chars, b) for a in range(first, len(self.moves)) for chars, b in self.moves[a]]
+        skips = [(a, b) for a in range(first, len(self.moves)) for b in self.skips[a]]
+        for a in range(first, len(self.moves)):
+            self.moves[a], self.skips[a] = [], set()
+        for a, chars, b in arrows:
+            self.moves[b].append((chars, a))
+        for a, b in skips:
+            self.skips[b].add(a)
+
     def closure(self, states: set[int]) -> frozenset[int]:
         out, todo = set(states), list(states)
         while todo:
@@ -182,6 +195,30 @@ class Automaton:
     def classes(self) -> int:
         return len(self.moves) // self.states
 
+    def longest(self, data: bytes, start: int, bit: int = 0) -> tuple[int, int]:
+        """For an anchored automaton: where the longest match of rule ``bit`` from ``start`` ends (-1: none), and the bits
+        of the rules that accept there."""
+        moves, klass, accepts, classes = self.lists
+        state, end, bits = 0, -1, 0
+        for at in range(start, len(data)):
+            state = moves[state * classes + klass[data[at]]]
+            if state == self.dead:
+                break
+            if accepts[state] >> bit & 1:
+                end, bits = at + 1, accepts[state]
+        return end, bits
+
+    @cached_property
+    def lists(self) -> tuple[list[int], bytes, list[int], int]:
+        return self.moves.tolist(), self.klass, self.accepts.tolist(), self.classes
+
+    @cached_property
+    def dead(self) -> int:
+        """The state from which nothing is accepted any more; -1 if there is none."""
+        table = self.moves.reshape(self.states, self.classes)
+        stuck = np.flatnonzero((table == np.arange(self.states)[:, None]).all(axis=1) & (self.accepts == 0))
+        return int(stuck[0]) if len(stuck) else -1
+
     def accepted(self, data: bytes, reset: int = 10, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """The positions at which some rule has just matched, in order, and the rules' bits there.
 
@@ -227,22 +264,31 @@ class Automaton:
         return position[order], self.accepts[states[i, j][order] // self.classes]
 
 
-def compile_rules(patterns: list[str], limit: int = 20_000) -> Automaton:
-    """Thompson construction, subset construction over all rules at once, Moore minimisation."""
+def compile_rules(patterns: list[str], limit: int = 20_000, anchored: bool = False, backwards: bool = False) -> Automaton:
+    """Thompson construction, subset construction over all rules at once, Moore minimisation.
+
+    ``anchored``: a match begins where the bytes do, else anywhere. ``backwards``: the rules read from their ends, so
+    that over reversed bytes bit k says where a match of rule k begins.
+    """
     nfa = _Nfa()
     start, ends = nfa.state(), []
-    nfa.moves[start].append((frozenset(range(256)), start))
+    if not anchored:
+        nfa.moves[start].append((frozenset(range(256)), start))
     for p in patterns:
+        before = len(nfa.moves)
         parser = _Parser(nfa, p)
         a, b = parser.alternation()
         if parser.i != len(p):
             raise ValueError(f"can't read {p!r} at {parser.i}")
+        if backwards:
+            nfa.turn(before)
+            a, b = b, a
         nfa.skip(start, a)
         ends.append(b)
     first = nfa.closure({start})
-    index, todo, table, accepts = {first: 0}, [first], [], []
+    index, todo, table, accepts = {first: 0}, deque([first]), [], []
     while todo:
-        now = todo.pop(0)
+        now = todo.popleft()
         accepts.append(sum(1 << k for k, e in enumerate(ends) if e in now))
         targets: list[set[int]] = [set() for _ in range(256)]
         for s in now:

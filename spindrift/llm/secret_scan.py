@@ -1,8 +1,12 @@
-"""Secret scans: all rules in one byte pass of a combined deterministic automaton, then an exact check of each hit."""
+"""Secret scans: one minimal deterministic automaton of all rules marks, in one pass over the bytes, where secrets begin.
+
+The rules are compiled whole and read backwards, so a pass from the end says of each byte which rules have a match that
+begins there. Matches are taken from the left, as a search would; each one's end is the last byte at which the rule's
+own anchored automaton accepts. No regular expression engine takes part.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -18,72 +22,67 @@ from spindrift.llm.base import read, sha256_hex, slices
 
 @dataclass(frozen=True)
 class Secret:
-    """``scan`` is what the automaton looks for: a secret up to the first character of its free part (a run of fixed
-    size, for one that is nothing else), since longer would multiply the states of all rules. ``exact`` is the span
-    itself. Where ``size`` characters of group ``group`` are lacking the span is dropped, but its text stays used."""
+    """``pattern`` says what uses up text, ``enough`` (by default the same) which of that is long enough to be kept. The
+    longest match counts, which for these patterns is the greedy one."""
 
     kind: str
-    scan: str
-    exact: str
-    group: int = 0
-    size: int = 1
+    pattern: str
+    enough: str = ""
 
 
 _KEY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: The first three are the base kinds, in their order; the others are the method's own.
 RULES = (
-    Secret("assign", _KEY + r"[A-Za-z0-9+/_.=-]", _KEY + r"([A-Za-z0-9+/_.=-]+)", 1, 6),
-    Secret("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 0, 20),
-    Secret("hex", r"[0-9a-f]{24}", r"[0-9a-f]{24,}", 0, 24),  # runs are maximal, so short ones use up nothing
-    Secret("github", r"gh[oprsu]_[A-Za-z0-9]", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
-    Secret("slack", r"xox[abprs]-[A-Za-z0-9]", r"xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]*", 0, 15),
-    Secret("jwt", r"eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 36),
-    Secret("pem", r"-----BEGIN\x20", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", 0, 27),
+    Secret("assign", _KEY + r"[A-Za-z0-9+/_.=-]+", _KEY + r"[A-Za-z0-9+/_.=-]{6,}"),
+    Secret("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}"),
+    Secret("hex", r"[0-9a-f]{24,}"),  # runs are maximal, so short ones use up nothing that another could use
+    Secret("github", r"gh[oprsu]_[A-Za-z0-9]+", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Secret("slack", r"xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]*", r"xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]{9,}"),
+    Secret("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Secret("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
 
 @cache
 def machine(rules: tuple[Secret, ...] = RULES) -> Automaton:
-    return compile_rules([r.scan for r in rules])
+    """All rules at once, backwards: bit k where a match of rule k begins."""
+    return compile_rules([r.pattern for r in rules], backwards=True)
 
 
-def _exact(rules: tuple[Secret, ...]) -> list[re.Pattern[bytes]]:
-    return [re.compile(r.exact.encode()) for r in rules]
+@cache
+def ends(rule: Secret) -> Automaton:
+    """One rule from where it begins: bit 0 for its pattern, bit 1 where that is enough."""
+    return compile_rules([rule.pattern, rule.enough or rule.pattern], anchored=True)
 
 
 def find_spans(texts: list[str], rules: tuple[Secret, ...] = RULES) -> list[list[tuple[int, int, str, str]]]:
     """Of each text its spans: start, end (code points, end exclusive), kind and matched text, by start then rule.
 
-    All texts go through the automaton as one string of bytes, parted by line feeds, which no rule can cross. Where a
-    rule is hit beyond its last span, the exact check looks: leftmost on that line, from where the last span ended,
-    as a plain search from the left would find it.
+    All texts go through the automaton as one string of bytes, parted by line feeds, which no rule can cross.
     """
-    auto, exact = machine(rules), _exact(rules)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])
-    at, bits = auto.accepted(b"\n".join(raw) + b"\n")
+    data = b"\n".join(raw) + b"\n"
+    at, bits = machine(rules).accepted(data[::-1])
+    at, bits = len(data) - 1 - at[::-1], bits[::-1]
     doc = np.searchsorted(starts, at, side="right") - 1
     out: list[list[tuple[int, int, str, str]]] = [[] for _ in texts]
-    for k, r in enumerate(rules):
+    for k, rule in enumerate(rules):
         hit = (bits >> k) & 1 == 1
-        last, used, counted, chars = -1, 0, 0, 0
-        for d, position in zip(doc[hit].tolist(), (at[hit] - starts[doc[hit]]).tolist()):
-            if d != last:
-                last, used, counted, chars = d, 0, 0, 0
-            if position < used:
+        used, last, counted, chars = 0, -1, 0, 0
+        for d, begin in zip(doc[hit].tolist(), at[hit].tolist()):
+            if begin < used:
                 continue
-            text = raw[d]
-            m = exact[k].search(text, max(used, text.rfind(b"\n", used, position) + 1))
-            if m is None:  # nor is there one further on
-                used = len(text) + 1
+            used, accepted = ends(rule).longest(data, begin)
+            if not accepted >> 1 & 1:
                 continue
-            used = m.end()
-            if len(m.group(r.group)) >= r.size:
-                chars += len(text[counted : m.start()].decode("utf-8", "surrogatepass"))
-                counted = m.start()
-                found = m.group().decode("utf-8", "surrogatepass")
-                out[d].append((chars, chars + len(found), r.kind, found))
+            if d != last:
+                last, counted, chars = d, int(starts[d]), 0
+            chars += len(data[counted:begin].decode("utf-8", "surrogatepass"))
+            counted = begin
+            found = data[begin:used].decode("utf-8", "surrogatepass")
+            out[d].append((chars, chars + len(found), rule.kind, found))
     order = {r.kind: i for i, r in enumerate(rules)}
     return [sorted(spans, key=lambda s: (s[0], order[s[2]])) for spans in out]
 
@@ -95,7 +94,9 @@ def joined(spans: list[tuple[int, int, str, str]]) -> str:
 def scan(docs: DataFrame, rules: tuple[Secret, ...] = RULES) -> DataFrame:
     """doc_id and ``found``: an array of (start, end, kind, secret) for each row of ``docs``, empty for a null text.
 
-    One Arrow pass, no shuffle; batches are cut to bound memory. Repeated rows give repeated results.
+    One Arrow pass, no shuffle; batches are cut to bound memory. Repeated rows give repeated results, an empty table
+    none, a null doc_id stays null; spans of different kinds may overlap, and of equal starts the kind listed first
+    comes first. Only doc_id and text are read.
     """
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("secret", T.StringType())])
     schema = T.StructType([docs.schema["doc_id"], T.StructField("found", T.ArrayType(span))])
