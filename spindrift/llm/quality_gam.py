@@ -167,11 +167,14 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
-    """Fitted on ``sample`` labelled rows at most, none of them held out; their features come to the driver."""
+    """Fitted on ``sample`` labelled doc_ids at most, none of them held out; their features, one row of each doc_id (the
+    least, where it stands for several texts), come to the driver. Null labels and null doc_ids teach nothing; a doc_id
+    labelled both ways counts as 1; without labels all scores are 0.5, with one class they lean to it."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out())
     picked = known.orderBy(F.xxhash64("doc_id", F.lit("quality"))).limit(sample).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    table = scan_texts(rows, lambda t: (features(t),), {"x": "array<double>"}, keep=("y",)).collect()
+    table = scan_texts(rows, lambda t: (features(t),), {"x": "array<double>"}, keep=("doc_id", "y"))
+    table = table.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     table.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in table], float).reshape(len(table), len(FEATURES))
     return fit(x, np.array([r.y for r in table], float))
@@ -180,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
 def classify(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of ``docs``.
 
-    A null or empty text has features of 0 and a score like any other. The model's tables are a few KB, broadcast.
+    A null or empty text has features of 0 and a score like any other. Texts are read whole; repeated rows give
+    repeated results, equal texts equal scores, an empty table none; a null doc_id is not held out. The model's tables
+    are a few KB, broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema["doc_id"]] + T._parse_datatype_string("held_out boolean, score double, predicted int").fields)

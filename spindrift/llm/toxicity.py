@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.base import keep_rows, read, scan_texts
 
-#: Grades: 0 not toxic, then thirds of the toxic training rows by how many telling features they have.
+#: Grades: 0 not toxic, then thirds of the toxic training rows by severity; see ``severities``.
 GRADES = 4
 #: Labelled rows of each class that the model is fitted on, at most, chosen by a hash of doc_id. The only sample here.
 SAMPLE = 3000
@@ -79,6 +79,21 @@ def select_features(bags: list[np.ndarray], toxic: np.ndarray, most: int = FEATU
     return np.sort(values[best])
 
 
+def severities(bags: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """How severe a row is by the other rows' account: how many of its features are telling ones, these chosen on the
+    half of the rows that it isn't in. So no row's grade is made from features that were chosen by looking at it. Rows
+    are in two halves by their place."""
+    out = np.zeros(len(bags))
+    half = np.arange(len(bags)) % 2
+    for k in (0, 1):
+        others = np.flatnonzero(half != k)
+        columns = select_features([bags[i] for i in others], toxic[others])
+        own = np.flatnonzero(half == k)
+        rows, _ = _sparse([bags[i] for i in own], columns)
+        out[own] = np.bincount(rows, minlength=len(own))
+    return out
+
+
 def fit(raw: list[tuple[bytes, int]], grades: int = GRADES, steps: int = 400, l2: float = 2.0, rate: float = 0.1) -> Ordinal:
     """The model for bags with 0/1 labels; with no rows of either class, one that calls nothing toxic.
 
@@ -94,10 +109,9 @@ def fit(raw: list[tuple[bytes, int]], grades: int = GRADES, steps: int = 400, l2
     if not len(columns):
         return EMPTY
     r, c = _sparse(bags, columns)
-    telling = np.bincount(r, minlength=len(bags))
     grade = np.zeros(len(bags), int)
-    ranks = np.argsort(np.argsort(telling[toxic], kind="stable"), kind="stable")
-    grade[toxic] = 1 + ranks * (grades - 1) // toxic.sum()
+    severe = severities(bags, toxic)[toxic]
+    grade[toxic] = 1 + np.searchsorted(np.sort(severe), severe) * (grades - 1) // toxic.sum()  # equals share a grade
     weight = np.where(toxic, TOXIC_SHARE / toxic.sum(), (1 - TOXIC_SHARE) / (~toxic).sum())
     w = np.zeros(len(columns))
     base, gaps = 1.0, np.full(grades - 2, 0.0)  # thresholds: base, then base + cumulated exp(gaps)
@@ -122,12 +136,14 @@ def fit(raw: list[tuple[bytes, int]], grades: int = GRADES, steps: int = 400, l2
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Fitted on ``sample`` labelled rows of each class at most; their bags of features come to the driver."""
+    """Fitted on ``sample`` labelled doc_ids of each class at most; their bags of features, one of each doc_id (the first
+    by value, where it stands for several texts), come to the driver. Null labels and null doc_ids teach nothing; a
+    doc_id labelled both ways counts as toxic; without rows of both classes the model calls nothing toxic."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     picked = known.filter("y = 1").orderBy(order).limit(sample).unionByName(known.filter("y = 0").orderBy(order).limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked.groupBy("doc_id").agg(F.max("y").alias("y"))), "doc_id")
-    bags = scan_texts(rows, lambda t: (_bag(t),), {"bag": "binary"}, keep=("y",))
+    bags = scan_texts(rows, lambda t: (_bag(t),), {"bag": "binary"}, keep=("doc_id", "y")).groupBy("doc_id", "y").agg(F.min("bag").alias("bag"))
     return fit(sorted(((bytes(r.bag), r.y) for r in bags.collect()), key=lambda r: (r[1], r[0])))
 
 
@@ -154,7 +170,9 @@ class Scorer:
 def severity(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, expected_severity, grade (the most that is likelier than not), toxic: a row for each row of ``docs``.
 
-    A null or empty text has no features and is not toxic. The model is bounded by FEATURES and broadcast.
+    A null or empty text has no features and is not toxic. Texts are read whole; repeated rows give repeated results,
+    equal texts equal ones, an empty table none, a null doc_id stays null. The model is bounded by FEATURES and
+    broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
@@ -169,7 +187,7 @@ def severity(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, all columns as they are."""
+    """The rows of ``docs`` that are not toxic, all columns as they are; a null or empty text is none."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     state: dict = {}

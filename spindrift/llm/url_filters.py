@@ -89,7 +89,8 @@ def path_of(url: Column) -> Column:
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, default: str = DEFAULT, key: str = "page_id") -> DataFrame:
     """``key``, host, path, rule (null where none fits) and verdict, a row for each row of ``pages``.
 
-    A null url, or one without ``://``, has an empty host and path and so the default verdict. Repeated rows stay.
+    A null url, or one without ``://``, has an empty host and path and so the default verdict. Repeated rows stay; an
+    empty table gives none; a null key stays null. Of two entries for one host and path the later one counts.
     Only ``key`` and ``url`` are read. The trie is bounded by MAX_RULES and broadcast once per executor.
     """
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
