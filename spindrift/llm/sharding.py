@@ -19,6 +19,8 @@ from spindrift.llm.base import read
 SHARDS = 24
 #: Sub-ranges of a shard within which rows are numbered; no task holds more than one of them.
 BUCKETS = 1024
+#: Equal rows that one task writes out; more are dealt to others in blocks of so many.
+BLOCK = 10_000
 
 
 def score(key: Sequence[Column], shard: int, weight: float | None = None) -> Column:
@@ -45,8 +47,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] |
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: a row for each row of ``docs``.
 
     The law is ``key``. Slots count from 0 without gaps in each shard, by bucket, doc_id, size and crc. Equal rows are
-    counted before they are shuffled and dealt out again after, so a key that holds a third of all rows moves as one
-    row a task. A null text has size 8 and the crc of no bytes; rows with a null doc_id share one shard.
+    counted before they are shuffled and dealt out again after, in blocks, so a key that holds a third of all rows moves
+    as one row a task and is written by many. A null text has size 8 and the crc of no bytes; rows with a null doc_id
+    share one shard; equal rows take consecutive slots; an empty table gives no rows.
     """
     key = [F.col("doc_id")]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -62,12 +65,12 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] |
     # shards x BUCKETS rows at most, whatever the input
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).select("shard", "bucket", (F.sum("m").over(before) - F.col("m")).alias("base"))
-    joined = numbered.join(F.broadcast(starts), ["shard", "bucket"])
-    return joined.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("base") + F.col("first"), F.col("base") + F.col("first") + F.col("n") - 1)).alias("slot"),
-        "grown_shard",
-    )
+    joined = numbered.join(F.broadcast(starts), ["shard", "bucket"]).withColumn("first", F.col("base") + F.col("first"))
+    few = joined.filter(F.col("n") <= BLOCK)
+    blocks = joined.filter(F.col("n") > BLOCK).withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
+    blocks = blocks.repartition("doc_id", "block").withColumns({"first": F.expr(f"first + block * {BLOCK}"), "n": F.expr(f"least({BLOCK}, n - block * {BLOCK})")})
+    dealt = few.unionByName(blocks.drop("block")).withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
