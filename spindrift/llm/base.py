@@ -16,16 +16,23 @@ _ARROW = {
     "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
 }
 
+#: Rows of ids and hashes that are broadcast at most: some 100 MB in an executor.
+BROADCAST_ROWS = 1 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset (tests) is one made."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session (tests) gets a temporary one; a
+    cluster, whose machines share no local folders, is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -74,6 +81,15 @@ def keep_rows(docs: DataFrame, verdicts: Callable[[list], list[bool]]) -> DataFr
     return docs.mapInArrow(work, docs.schema)
 
 
+def repeated(rows: DataFrame, n: str, key: str, block: int = 10_000) -> DataFrame:
+    """Each row ``n`` times (at least once), without ``n``. Rows that come more than ``block`` times are dealt out in
+    blocks of so many, so that no task writes all copies of one."""
+    few = rows.filter(F.col(n) <= block).withColumn("__copy", F.explode(F.expr(f"sequence(1L, {n})")))
+    many = rows.filter(F.col(n) > block).withColumn("__block", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {block})"))).repartition(key, "__block")
+    many = many.withColumn("__copy", F.explode(F.expr(f"sequence(1L, least({block}L, {n} - __block * {block}))"))).drop("__block")
+    return few.unionByName(many).drop("__copy", n)
+
+
 def text_key() -> F.Column:
     """A text's part in a row key: rows that agree in doc_id and this one are copies of one row, and fare alike."""
     return F.xxhash64("text")
@@ -84,8 +100,14 @@ def sha256_hex(text: str) -> str:
 
 
 def without(docs: DataFrame, removed: DataFrame, on: list[str]) -> DataFrame:
-    """Anti-join that holds nulls equal; Spark broadcasts ``removed`` only if its measured size allows."""
-    removed = removed.select(*[F.col(c).alias(f"__removed_{i}") for i, c in enumerate(on)])
+    """``docs`` but for rows that agree with one of ``removed`` in all of ``on`` (nulls are equal).
+
+    ``removed`` is written and counted; up to BROADCAST_ROWS rows, which are ids and hashes only, are broadcast, so no
+    text is shuffled. Beyond that both sides are dealt out by ``on``.
+    """
+    removed = checkpointed(removed.select(*[F.col(c).alias(f"__removed_{i}") for i, c in enumerate(on)]).distinct())
+    if removed.count() <= BROADCAST_ROWS:
+        removed = F.broadcast(removed)
     match = None
     for i, c in enumerate(on):
         one = docs[c].eqNullSafe(removed[f"__removed_{i}"])

@@ -30,9 +30,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Identifier-like: digits among letters and the signs that identifiers are written with.
-_CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._@+/-]{5,63}")
-_LONG = 64
+#: Identifier-like: digits among letters and the signs that identifiers are written with, of any length.
+_CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._@+/-]{5,}")
+#: What stands for the word before at a text's beginning, and for the word after at its end; no word looks like them.
+START, END = "<start>", "<end>"
+#: Patterns that are sent to all tasks at most; more are joined.
+MOST_SENT = 200_000
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -75,13 +78,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _EDGE = " \t\r\n\v\f.,;:!?|()[]{}\"'*#$%&<>="
 
 
+def _word(text: str, at: int, back: bool) -> str:
+    """The word that ends before ``at``, or begins there, in lower case and bare of punctuation, however long it is."""
+    size = 64
+    while True:
+        low, high = (max(0, at - size), at) if back else (at, min(len(text), at + size))
+        parts = text[low:high].split()
+        whole = low == 0 if back else high == len(text)
+        if parts and not whole:  # the farthest one may go on
+            del parts[0 if back else -1]
+        for x in reversed(parts) if back else parts:
+            if word := x.strip(_EDGE).lower():
+                return word
+        if whole:
+            return START if back else END
+        size *= 4
+
+
 def _around(text: str, a: int, b: int) -> tuple[str, str]:
-    """The word before and the word after, in lower case and bare of punctuation; empty at the text's ends."""
-    before = text[max(0, a - _LONG) : a].split()
-    after = text[b : b + _LONG].split()
-    left = next((w for w in (x.strip(_EDGE).lower() for x in reversed(before)) if w), "")
-    right = next((w for w in (x.strip(_EDGE).lower() for x in after) if w), "")
-    return left, right
+    return _word(text, a, True), _word(text, b, False)
 
 
 def mentions(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, str, str, bool, int, int]]]:
@@ -139,7 +154,7 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MI
     """
     if rounds < 1:
         raise ValueError("one round at least")
-    flat = found.select("row_key", F.explode("mentions").alias("m")).select("row_key", "m.left", "m.right", "m.string", "m.seed").filter("left <> '' AND right <> ''")
+    flat = found.select("row_key", F.explode("mentions").alias("m")).select("row_key", "m.left", "m.right", "m.string", "m.seed")
     texts = flat.select("row_key", "left", "right").distinct().groupBy("left", "right").agg(F.count(F.lit(1)).alias("texts"))
     edges = flat.groupBy("left", "right", "string").agg(F.max("seed").alias("seed"))
     strings = edges.groupBy("left", "right").agg(F.count(F.lit(1)).alias("strings"))
@@ -175,55 +190,94 @@ def _confident(graph: DataFrame, rounds: int, min_seeds: int, confidence: float)
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, row_key, extra (array of spans): what trusted patterns mark beyond the base spans, by row."""
+    """doc_id, row_key, extra (array of spans): what trusted patterns mark beyond the base spans, by row, where it is any."""
     flat = found.select("doc_id", "row_key", F.explode("mentions").alias("m")).filter("NOT m.seed").select("doc_id", "row_key", "m.*")
     marked = flat.join(patterns.select("left", "right"), ["left", "right"])
     return marked.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct(F.lit(FOUND_KIND).alias("kind"), F.col("start"), F.col("end")))).alias("extra"))
 
 
+def _marked(found: list, known: frozenset) -> list[tuple[str, int, int]]:
+    """The spans of mentions (string, left, right, is a seed, start, end) that ``known`` patterns mark, in order."""
+    return sorted({(FOUND_KIND, a, b) for _, left, right, seed, a, b in found if not seed and (left, right) in known})
+
+
+def _sent(patterns: DataFrame) -> frozenset | None:
+    """The patterns, if no more than MOST_SENT."""
+    rows = patterns.select("left", "right").limit(MOST_SENT + 1).collect()
+    return frozenset((r.left, r.right) for r in rows) if len(rows) <= MOST_SENT else None
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, spans (base), extra (found by context): a row for each row of ``docs``.
 
-    A null or empty text has none. Rows that agree in doc_id and text share their spans.
+    A null or empty text has none; rows that agree in doc_id and text share their spans; a null doc_id stays null; an
+    empty table gives no rows. Up to MOST_SENT trusted patterns are looked up where the mentions are; more are joined.
     """
     found = checkpointed(extract(docs))
-    extra = discovered(found, trusted_patterns(found)).withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
-    rows = found.select("doc_id", "row_key", "spans").join(extra, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left")
-    return rows.select("doc_id", "row_key", "spans", F.coalesce("extra", F.array().cast(T.ArrayType(_SPAN))).alias("extra"))
+    patterns = checkpointed(trusted_patterns(found))
+    known = _sent(patterns)
+    none = F.array().cast(T.ArrayType(_SPAN))
+    if known is None:
+        extra = discovered(found, patterns).withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
+        rows = found.select("doc_id", "row_key", "spans").join(extra, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left")
+        return rows.select("doc_id", "row_key", "spans", F.coalesce("extra", none).alias("extra"))
+    if not known:
+        return found.select("doc_id", "row_key", "spans", none.alias("extra"))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[(m["string"], m["left"], m["right"], m["seed"], m["start"], m["end"]) for m in x] for x in batch.column(3).to_pylist()]
+            extra = [[dict(zip(("kind", "start", "end"), s)) for s in _marked(x, sent.value)] for x in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(extra, _A_SPAN)], names=["doc_id", "row_key", "spans", "extra"])
+
+    schema = T.StructType([*found.schema.fields[:3], T.StructField("extra", T.ArrayType(_SPAN))])
+    return found.mapInArrow(work, schema)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of personal data replaced by its kind in brackets; other columns, and texts without
-    such data, as they are. A span that overlaps an earlier one goes with it, under the earlier one's kind."""
+    """``docs`` with each span of personal data replaced by its kind in brackets; other columns, null and empty texts,
+    and texts without such data, as they are. A span that overlaps an earlier one goes with it, under the earlier one's
+    kind; of two that begin together the longer one counts. Repeated rows stay, and fare alike.
+
+    Trusted patterns are looked up as texts pass, so no text is shuffled; only beyond MOST_SENT of them are the spans
+    that they mark joined to the documents.
+    """
     found = checkpointed(extract(docs))
-    extra = discovered(found, trusted_patterns(found)).withColumnsRenamed({"doc_id": "__pii_id", "row_key": "__pii_key", "extra": "__pii_extra"})
-    extra = checkpointed(extra)
-    if not extra.isEmpty():
+    patterns = checkpointed(trusted_patterns(found))
+    known = _sent(patterns)
+    at, names = docs.columns.index("text"), docs.columns
+    if known is None:
+        extra = discovered(found, patterns).withColumnsRenamed({"doc_id": "__pii_id", "row_key": "__pii_key", "extra": "__pii_extra"})
         keyed = docs.withColumn("__pii_row", text_key())
-        joined = keyed.join(extra, keyed["doc_id"].eqNullSafe(extra["__pii_id"]) & (keyed["__pii_row"] == extra["__pii_key"]), "left").drop("__pii_row", "__pii_id", "__pii_key")
+        rows = keyed.join(extra, keyed["doc_id"].eqNullSafe(extra["__pii_id"]) & (keyed["__pii_row"] == extra["__pii_key"]), "left").drop("__pii_row", "__pii_id", "__pii_key")
     else:
-        joined = docs.withColumn("__pii_extra", F.lit(None).cast(T.ArrayType(_SPAN)))
-    at, names = docs.columns.index("text"), docs.columns
+        rows = docs
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def spans(text: str, given: list | None) -> list[tuple[str, int, int]]:
+        if not sent.value:
+            return [*base_spans(text), *((s["kind"], s["start"], s["end"]) for s in given or ())]
+        base, met = mentions(text)
+        return [*base, *_marked(met, sent.value)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
-            texts = [x if x is None else redact(x, [(s["kind"], s["start"], s["end"]) for s in e or []]) for x, e in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            given = batch.column(len(names)).to_pylist() if known is None else [None] * batch.num_rows
+            texts = [x if x is None else replaced(x, spans(x, e)) for x, e in zip(batch.column(at).to_pylist(), given)]
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(work, docs.schema)
+    return rows.mapInArrow(work, docs.schema)
 
 
-def redact(text: str, extra: list[tuple[str, int, int]]) -> str:
-    spans = sorted([*base_spans(text), *extra], key=lambda s: (s[1], -s[2]))
-    if not spans:
-        return text
+def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
     out, end = [], 0
-    for kind, a, b in spans:
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a >= end:
             out += [text[end:a], f"[{kind.upper()}]"]
         end = max(end, b)
-    return "".join([*out, text[end:]])
+    return "".join([*out, text[end:]]) if out else text
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
