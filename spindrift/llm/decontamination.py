@@ -1,23 +1,25 @@
 """Benchmark decontamination: a prefix-filtered set join, in DataFrame operations only.
 
 A benchmark window is a run of words. For a document to hold it, it must hold all its shingles, so by the prefix
-filter one suffices to find it: the rarest of the window's shingles over the corpus. Documents that hold such a prefix
-shingle are joined to its windows; the shingle's place in the window fixes where the window would begin (positional
-bound) and end (length bound); what is left is compared word by word.
+filter one suffices to find it: the rarest of the window's shingles over the corpus. Each place of a document that has
+such a prefix shingle is joined to its windows; the shingle's place in the window fixes where the window would begin
+(positional bound) and end (length bound); what is left is compared word by word.
+
+The texts are read twice, once to count and once to join. Both times the places of a text are made, hashed and looked
+up one by one in the stage that reads it; no text, and no shingle that isn't looked for, is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.llm.base import checkpointed, read, text_key
+from spindrift.llm.base import checkpointed, read, repeated, text_key
 
 #: Words in a window, words in a shingle.
 WINDOW, SHINGLE = 13, 3
-#: Shingles of this many at most are looked for by a hash set within the plan; beyond it, by a join.
-IN_PLAN = 50_000
+#: Hashes of shingles (16 bytes each), and bytes of windows, that are broadcast at most; beyond it rows are dealt by hash.
+HASHES, WINDOW_BYTES = 1 << 22, 64 << 20
 #: ASCII characters that are in no word; all others, but for A-Z, which become a-z, stand for themselves.
 _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BETWEEN
@@ -40,73 +42,89 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.filter(F.size("all") > 0).select("item_id", F.explode(F.array_distinct(cuts)).alias("words"))
 
 
-def _found(texts: DataFrame, sizes: list[int], wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """``texts`` with ``at``: an array of (position p from 0, hash h) of the shingles that are ``wanted`` (h, first).
-
-    Up to IN_PLAN of them, a position is hashed only if its word begins one; the hash is then looked up too. Beyond
-    that all shingles are returned, and the caller's join picks.
-    """
-    parts = []
-    rows = wanted.select("h", "first").distinct().collect() if n_wanted <= IN_PLAN else []
-    for size in sizes:
-        places = f"if(size(words) >= {size}, sequence(0, size(words) - {size}), cast(array() as array<int>))"
-        if rows:
-            firsts = ", ".join(f"'{x}'" for x in sorted({r.first for r in rows}))
-            places = f"filter({places}, i -> get(words, i) IN ({firsts}))"
-        made = f"transform({places}, i -> named_struct('p', i, 'h', {_hash('words', 'i', size)}))"
-        if rows:
-            made = f"filter({made}, y -> y.h IN ({', '.join(f'{r.h}L' if r.h >= 0 else f'({r.h}L)' for r in rows)}))"
-        parts.append(made)
-    empty = "cast(array() as array<struct<p:int,h:bigint>>)"
-    return texts.withColumn("at", F.expr(empty if n_wanted == 0 else f"concat({', '.join(parts)})"))
+def _places(texts: DataFrame, sizes: list[int], own: bool) -> DataFrame:
+    """``texts`` (words, n, ...) once for each shingle: its place p from 0, its hash h, in ``sizes`` words; with ``own``
+    once more with p = -1 and no hash, for the document itself."""
+    first, least = (-1, 1) if own else (0, min(sizes))
+    each = texts.withColumn("p", F.explode(F.expr(f"if(n >= {least}, sequence({first}, n - {least}), " + ("array(-1))" if own else "cast(array() as array<int>))"))))
+    if len(sizes) > 1:
+        each = each.withColumn("s", F.explode(F.expr(f"if(p < 0, array(0), array({', '.join(map(str, sizes))}))")))
+    else:
+        each = each.withColumn("s", F.lit(sizes[0]))
+    hashes = " ".join(f"WHEN p >= 0 AND s = {s} AND p + {s} <= n THEN {_hash('words', 'p', s)}" for s in sizes)
+    return each.withColumn("h", F.expr(f"CASE {hashes} END")).drop("s")
+
+
+def _windows(benchmark: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (w, words, len, s), and the items that hold them (w, item)."""
+    of_items = benchmark_windows(benchmark, window).select(F.col("item_id").cast("string").alias("item"), "words")
+    distinct = of_items.select("words").distinct().select(F.monotonically_increasing_id().alias("w"), "words", F.size("words").alias("len"), F.least(F.size("words"), F.lit(shingle)).alias("s"))
+    distinct = checkpointed(distinct)
+    return distinct, of_items.join(distinct.select("w", "words"), "words").select("w", "item").distinct()
+
+
+def _prefixes(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """windows with h and ``at``, their rarest shingle over ``texts`` and its place; of equals the first. Windows with a
+    shingle that no text holds are left out."""
+    of = " ".join(f"WHEN s = {s} THEN transform(sequence(0, len - {s}), i -> {_hash('words', 'i', s)})" for s in sizes)
+    shingles = windows.select("w", F.posexplode(F.expr(f"CASE {of} END")).alias("at", "h"))
+    wanted = checkpointed(shingles.select("h").distinct())
+    seen = _places(texts, sizes, own=False).select("h")
+    if wanted.count() <= HASHES:
+        seen = seen.join(F.broadcast(wanted), "h", "left_semi")
+        counts = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = seen.filter("h IS NOT NULL").groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(wanted, "h", "left_semi")
+    ranked = shingles.join(counts, "h", "left").groupBy("w").agg(F.min_by(F.struct("h", "at", "n"), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("x"))
+    rarest = ranked.filter("x.n IS NOT NULL").select("w", "x.h", "x.at")
+    return checkpointed(windows.select("w", "words", "len").join(rarest, "w"))
+
+
+def _hits(texts: DataFrame, prefix: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """doc_id, row_key, n and, of each window that a text holds, w and where it begins; and a row for each text with w
+    null."""
+    by = prefix.select("h", "at", "w", F.col("len").alias("w_len"), F.col("words").alias("w_words"))
+    rows = _places(texts, sizes, own=True)
+    same = "p - at >= 0 AND p - at + w_len <= n AND slice({words}, greatest(p - at{less}, 0) + 1, w_len) = w_words"
+    out = ["doc_id", "row_key", "n", "w", F.expr("CASE WHEN w IS NOT NULL THEN p - at END").alias("begin"), "w_len"]
+    size = prefix.agg(F.coalesce(F.sum(F.expr("aggregate(words, 64L, (x, y) -> x + octet_length(y) + 24)")), F.lit(0))).first()[0]
+    if size <= WINDOW_BYTES:
+        met = rows.join(F.broadcast(by), "h", "left")
+        return met.filter("p < 0 OR w IS NOT NULL AND " + same.format(words="words", less="")).select(*out)
+    hashes = checkpointed(prefix.select("h").distinct())
+    few = rows.filter("p >= 0").join(F.broadcast(hashes) if hashes.count() <= HASHES else hashes, "h", "left_semi")
+    # the words around the place go along, as far as a window can reach
+    near = few.select("doc_id", "row_key", "n", "p", "h", F.expr(f"greatest(p - {window}, 0)").alias("base"), F.expr(f"slice(words, greatest(p - {window}, 0) + 1, {2 * window})").alias("near"))
+    met = near.join(by, "h").filter(same.format(words="near", less=" - base")).select(*out)
+    alone = texts.select("doc_id", "row_key", "n", F.lit(None).cast("bigint").alias("w"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("w_len"))
+    return met.unionByName(alone)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of ``docs``.
 
     A null or empty text has no words and no hits; so has every document if the benchmark is empty. Rows that agree in
-    doc_id and text are judged once and given back as often as they came. A word counts once however many windows
-    cover it, an item once however often it occurs.
+    doc_id and text, null doc_ids too, are judged once and given back as often as they came. A word counts once however
+    many windows cover it, an item once however often it occurs, an item without an id not at all. No documents give
+    no rows. Of equally rare shingles the first one serves; the result doesn't depend on it.
     """
-    windows = benchmark_windows(benchmark, window).select(
-        F.col("item_id").cast("string").alias("item"), "words", F.array_join("words", " ").alias("joined"), F.least(F.size("words"), F.lit(shingle)).alias("s"),
-    )
+    texts = docs.select("doc_id", text_key().alias("row_key"), words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    windows, items = _windows(benchmark, window, shingle)
     sizes = sorted(r[0] for r in windows.select("s").distinct().collect()) or [shingle]
-    of = " ".join(f"WHEN s = {s} THEN transform(sequence(0, size(words) - {s}), i -> named_struct('first', get(words, i), 'h', {_hash('words', 'i', s)}))" for s in sizes)
-    shingles = windows.select("item", "joined", F.size("words").alias("len"), F.posexplode(F.expr(f"CASE {of} END")).alias("offset", "x")).select("item", "joined", "len", "offset", "x.first", "x.h")
-    n_wanted = shingles.select("h").distinct().count()
-
-    texts = docs.select("doc_id", text_key().alias("row_key"), words_of(F.col("text")).alias("words"))
-    seen = _found(texts, sizes, shingles, n_wanted).select(F.explode(F.expr("array_distinct(transform(at, x -> x.h))")).alias("h"))
-    frequency = seen.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    # the prefix: of each window its rarest shingle; windows with a shingle that no document holds need no look
-    rank = W.partitionBy("item", "joined").orderBy(F.coalesce("df", F.lit(0)), "offset")
-    ranked = shingles.join(frequency, "h", "left").withColumn("rank", F.row_number().over(rank))
-    prefix = ranked.filter("rank = 1 AND df IS NOT NULL").groupBy("h", "first").agg(F.collect_list(F.struct("item", "joined", "len", "offset")).alias("windows"))
-    prefix = checkpointed(prefix)
-    n_prefix = prefix.count()
-
-    found = _found(texts, sizes, prefix, n_prefix)
-    # a row for the document itself, and one for each prefix shingle that it holds, with the words around it
-    around = f"transform(at, x -> named_struct('h', x.h, 'p', x.p, 'first', greatest(0, x.p - {window}), 'near', slice(words, greatest(0, x.p - {window}) + 1, {2 * window + shingle})))"
-    own = "array(cast(null as struct<h:bigint,p:int,first:int,near:array<string>>))"
-    rows = found.select("doc_id", "row_key", F.size("words").cast("bigint").alias("n_words"), F.explode_outer(F.expr(f"concat({own}, {around})")).alias("c")).select("doc_id", "row_key", "n_words", "c.*")
-    matched = rows.join(prefix.drop("first"), "h", "left")
-    # offsets place each window; it must begin in the document, end in it, and hold the same words
-    begin = "p - w.offset"
-    verified = f"""transform(filter(coalesce(windows, array()), w -> {begin} >= 0 AND {begin} + w.len <= n_words
-        AND array_join(slice(near, {begin} - first + 1, w.len), ' ') = w.joined), w -> named_struct('item', w.item, 'begin', {begin}, 'len', w.len))"""
-    per_shingle = matched.select("doc_id", "row_key", "n_words", F.when(F.col("h").isNull(), 1).otherwise(0).alias("is_row"), F.expr(verified).alias("hits"))
-    per_shingle = per_shingle.filter((F.col("is_row") == 1) | (F.size("hits") > 0))
-    split = per_shingle.select("doc_id", "row_key", "n_words", "is_row", F.expr("transform(hits, x -> x.item)").alias("items"), F.expr("array_distinct(flatten(transform(hits, x -> sequence(x.begin, x.begin + x.len - 1))))").alias("covered"))
-    documents = split.groupBy("doc_id", "row_key", "n_words").agg(
-        F.sum("is_row").alias("n_rows"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("bigint").alias("n_hit"),
+    hits = _hits(texts, _prefixes(texts, windows, sizes), sizes, window)
+    documents = hits.groupBy("doc_id", "row_key", "n").agg(
+        F.count(F.when(F.col("w").isNull(), 1)).alias("n_rows"), F.collect_set(F.when(F.col("w").isNotNull(), F.struct("begin", (F.col("begin") + F.col("w_len")).alias("end")))).alias("spans"), F.collect_set("w").alias("ws"),
     )
-    out = documents.select(
-        "doc_id", "row_key", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_rows",
+    covered = """aggregate(array_sort(spans), named_struct('n', 0L, 'reach', 0), (a, x) -> named_struct(
+        'n', a.n + greatest(0, x.end - greatest(x.begin, a.reach)), 'reach', greatest(a.reach, x.end)), a -> a.n)"""
+    counted = documents.select("doc_id", "row_key", "n", "n_rows", F.expr(covered).alias("n_hit"), F.explode_outer("ws").alias("w"))
+    # a window whose items have no id keeps its hits
+    named = counted.join(items, "w", "left").groupBy("doc_id", "row_key", "n").agg(F.max("n_rows").alias("n_rows"), F.max("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    out = named.select(
+        "doc_id", "row_key", F.col("n").cast("bigint").alias("n_words"), "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n"))).alias("contaminated"), "n_rows",
     )
-    return out.withColumn("copy", F.explode(F.expr("sequence(1, n_rows)"))).drop("copy", "n_rows")
+    return repeated(out, "n_rows", "doc_id")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from llm_fixtures import ODD, SCHEMA, docs_of, lower
 
-from spindrift.llm import automaton, decontamination, pii, quality_gam, quality_rules, secret_scan, sharding, simhash, toxicity, url_filters
+from spindrift.llm import automaton, base, decontamination, pii, quality_gam, quality_rules, secret_scan, sharding, simhash, toxicity, url_filters
 
 def test_quality_measurements(spark):
     rng = random.Random(1)
@@ -60,16 +60,35 @@ def test_automaton_finds_where_rules_match():
         assert list(zip(at.tolist(), bits.tolist())) == want
 
 
-def test_secrets_match_a_plain_search(spark):
+def contract_secrets(text):
+    """The base spans, by the contract's own patterns."""
+    fold = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
+    key = "|".join(map(fold, ("password", "passwd", "secret", "token"))) + f"|{fold('api')}_?{fold('key')}"
+    patterns = (("assign", rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+    found = [(m.start(), k, m.end(), kind) for k, (kind, p, group, size) in enumerate(patterns) for m in re.finditer(p, text or "") if len(m.group(group)) >= size]
+    return [(a, b, kind) for a, _, b, kind in sorted(found)]
+
+
+def test_secrets_match_the_contracts_patterns(spark):
     rng = random.Random(3)
-    parts = ["token", "PassWord", "api_key", "secret", "=", ":", " ", '"', "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "./+", "ghp_", "eyJa", "ſ"]
-    texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 50))) for _ in range(500)] + ["eyJa " * 20000]
+    parts = ["token", "PassWord", "api_key", "apikey", "secret", "passwd", "=", ":", " ", '"', "'", "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "f", "é", "\n", "./+", "ghp_", "eyJa", "ſ", "token=token:"]
+    texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 50))) for _ in range(3000)] + ["eyJa " * 20000]
     got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.found] for r in secret_scan.scan(docs_of(spark, texts)).collect()}
-    order = {r.kind: k for k, r in enumerate(secret_scan.RULES)}
-    for i, t in enumerate(texts[:-1]):
-        want = [(m.start(), m.end(), r.kind) for r in secret_scan.RULES for m in re.finditer(r.exact, t or "") if len(m.group(r.group)) >= r.size]
-        assert got[i] == sorted(want, key=lambda s: (s[0], order[s[2]])), t
+    for i, t in enumerate(texts):
+        assert [s for s in got[i] if s[2] in secret_scan.BASE_KINDS] == contract_secrets(t), t
     assert got[len(texts) - 1] == []
+    assert secret_scan.scan(docs_of(spark, texts).limit(0)).collect() == []
+
+
+def test_the_methods_own_secrets():
+    run = "a1B2" * 12
+    cases = {
+        f"x ghp_{run} y": [("github", 2, 2 + 4 + 48)], "ghp_short": [], f"xoxb-{run[:10]}-9": [("slack", 0, 17)], "xoxb-a": [], "-----BEGIN RSA PRIVATE KEY-----": [("pem", 0, 31)],
+        "eyJabcdefgh.eyJabcdefgh.abcdefgh": [("jwt", 0, 32)], "eyJabc.eyJabc.abc": [], "é eyJabcdefgh.eyJabcdefgh.abcdefgh": [("jwt", 2, 34)],
+    }
+    for (text, want), found in zip(cases.items(), secret_scan.find_spans(list(cases))):
+        assert [(kind, a, b) for a, b, kind, _ in found] == want
+        assert all(text[a:b] == s for a, b, _, s in found)
 
 
 def test_contamination_matches_a_plain_search(spark):
@@ -102,14 +121,27 @@ def test_contamination_matches_a_plain_search(spark):
     assert decontamination.contamination(docs_of(spark, []), bench).count() == 0
 
 
-def test_the_join_path_beyond_the_plan_limit(spark, monkeypatch):
-    bench = spark.createDataFrame([(1, "one two three four five")], "item_id int, text string")
-    docs = docs_of(spark, ["zero one two three four five six", "one two three four"])
+def test_a_benchmark_beyond_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(9)]
+    items = [(i if i % 7 else None, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 50))) for _ in range(40)] + [f"{a} {b[1]} {a}" for a, b in zip(vocabulary * 7, items)] + [None, ""]
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, texts[:3]))
     plain = sorted(decontamination.contamination(docs, bench).collect())
-    monkeypatch.setattr(decontamination, "IN_PLAN", 0)
+    assert len(plain) == len(texts) + 3 and sum(r.contaminated for r in plain) > 60
+    monkeypatch.setattr(decontamination, "WINDOW_BYTES", 0)
+    assert sorted(decontamination.contamination(docs, bench).collect()) == plain
+    monkeypatch.setattr(decontamination, "HASHES", 0)
     assert sorted(decontamination.contamination(docs, bench).collect()) == plain
 
 
+def test_rows_that_come_often_are_dealt_in_blocks(spark):
+    rows = spark.createDataFrame([(1, 25), (2, 1), (None, 11), (3, 10)], "doc_id int, n long")
+    got = Counter(r.doc_id for r in base.repeated(rows, "n", "doc_id", block=10).collect())
+    assert got == {1: 25, 2: 1, None: 11, 3: 10}
+
+
 def test_sharding_moves_rows_only_into_the_new_shard(spark):
     docs = docs_of(spark, ["é", None, "abc"] * 400).unionByName(spark.createDataFrame([(7, "é", "en", "x", "y")] * 50 + [(None, "n", "en", "x", "y")], SCHEMA))
     rows = sharding.shard_rows(docs).collect()
@@ -250,13 +282,33 @@ def test_personal_data_matches_plain_patterns():
         assert pii.base_spans(t) == want, t
 
 
-def test_context_discovers_unseen_identifiers(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_context_discovers_unseen_identifiers(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "MOST_SENT", sent)
+    long = "9" * 40 + "-" + "8" * 70
     seeds = [f"hello there contact {n}@mail.com today please" for n in "abcdefgh"]
-    docs = docs_of(spark, [*seeds, "we contact user-99887766 today ok", "see part-55443322 now", None, ""])
+    texts = [*seeds, "we contact user-99887766 today ok", "see part-55443322 now", None, "", f"do contact {long} today", f"contact {'! ' * 200}user-1234567{' .' * 300} today"]
+    docs = docs_of(spark, texts)
     rows = {r.doc_id: r for r in pii.find(docs).collect()}
-    assert [tuple(s) for s in rows[8].extra] == [("context", 11, 24)] and rows[9].extra == [] and rows[10].spans == []
+    spans = {i: [texts[i][s.start : s.end] for s in r.extra] for i, r in rows.items() if r.extra}
+    assert spans == {8: ["user-99887766"], 12: [long], 13: ["user-1234567"]}
+    assert rows[10].spans == [] and len(rows) == len(texts)
     red = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
-    assert red[8] == "we contact [CONTEXT] today ok" and red[0] == "hello there contact [EMAIL] today please" and red[10] is None and red[9] == "see part-55443322 now"
+    assert red[8] == "we contact [CONTEXT] today ok" and red[0] == "hello there contact [EMAIL] today please" and red[10] is None and red[9] == "see part-55443322 now" and red[12] == "do contact [CONTEXT] today"
+    assert pii.redacted(docs).columns == docs.columns and pii.find(docs.limit(0)).collect() == pii.redacted(docs.limit(0)).collect() == []
+
+
+def test_neighbours_are_whole_words_however_far():
+    text = "Alpha, " + " . " * 500 + "X" * 1000 + " (id-123456) " + "!? " * 300 + "'Omega'" + "z" * 900 + " end"
+    a = text.index("id-1")
+    assert pii._around(text, a, a + 9) == ("x" * 1000, "omega'" + "z" * 900)
+    assert pii._around("id-123456", 0, 9) == (pii.START, pii.END)
+    assert pii._around(" .. id-123456 ??" + " " * 400, 4, 13) == (pii.START, pii.END)
+
+
+def test_identifiers_alone_in_their_texts(spark):
+    docs = docs_of(spark, [f"{n}@mail.com" for n in "abcdefg"] + ["user-99887766", "the user-99887766"])
+    assert {r.doc_id: len(r.extra) for r in pii.find(docs).collect()} == {**dict.fromkeys(range(7), 0), 7: 1, 8: 0}
 
 
 def test_discovered_identifiers_vouch_for_further_patterns(spark):
