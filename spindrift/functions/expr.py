@@ -1,9 +1,13 @@
-"""Column expressions; all built in, none leaves the JVM."""
+"""Column expressions. All are built in and stay in the JVM, but for the decoding of entities."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.schema import MIN_SECONDS, MIN_WORDS, Z_95
 
@@ -44,17 +48,32 @@ def wilson(k: Column, n: Column, z: float = Z_95) -> tuple[Column, Column]:
     return F.when(valid, F.greatest(centre - half, F.lit(0.0))), F.when(valid, F.least(centre + half, F.lit(1.0)))
 
 
-def mcnemar_p(n10: Column, n01: Column) -> Column:
-    """Two-sided exact p; log binomials are folded term by term, so large counts don't underflow. None discordant: 1."""
-    m, n = F.least(n10, n01).cast("int"), (n10 + n01).cast("int")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("l"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
+def log_factorial(n: Column) -> Column:
+    """ln(n!) by Stirling's series from n + 9 on, divided back; exact to some 1e-12."""
+    x = n.cast("double") + 9
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    for k in range(1, 9):
+        series = series - F.log(n + k)
+    return series
 
-    def step(acc: Column, k: Column) -> Column:
-        term = acc["l"] + F.log((n - k + 1) / k)
+
+def mcnemar_p(n10: Column, n01: Column) -> Column:
+    """Two-sided exact p; none discordant: 1.
+
+    Binomial terms are added from the largest of the tail downwards. They shrink faster the farther they are out, and
+    40 standard deviations hold all that a double can tell, so counts of any size take few terms and don't underflow.
+    """
+    m, n = F.least(n10, n01).cast("bigint"), (n10 + n01).cast("bigint")
+    top = log_factorial(n) - log_factorial(m) - log_factorial(n - m) - n * F.log(F.lit(2.0))
+    terms = F.least(m, F.ceil(20 * F.sqrt(n)) + 40)
+    start = F.struct(top.alias("l"), F.exp(top).alias("s"))
+
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["l"] + F.log((m - j + 1) / (n - m + j))
         return F.struct(term.alias("l"), (acc["s"] + F.exp(term)).alias("s"))
 
-    ks = F.when(m > 0, F.sequence(F.lit(1), F.greatest(m, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(ks, start, step, lambda a: a["s"])))
+    js = F.when(terms > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(terms, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(js, start, step, lambda a: a["s"])))
 
 
 def tokens(text: Column) -> Column:
@@ -71,19 +90,27 @@ def correct(pred: Column, gold: Column) -> Column:
     return F.when(gold.isNotNull(), F.coalesce(pred == gold, F.lit(False)))
 
 
+#: White space of any script, and the four separators that strip and split take for it, too.
+_BLANK = r"[\s\x1c-\x1f]"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, f"(?U)^{_BLANK}+", ""), f"(?U){_BLANK}+$", "")
+
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
-#: The entities that are decoded, by fixed value; others, numeric ones too but for &#39;, stay as they are.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+
+def unescaped(text: Column) -> Column:
+    """Entities of all kinds decoded. Only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def normalized_line(text: Column) -> Column:
-    """Common entities decoded (the ampersand last), white space of any kind collapsed to one blank, ends bare."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Entities decoded, white space of any kind collapsed to one blank, ends bare."""
+    return F.trim(F.regexp_replace(unescaped(text), f"(?U){_BLANK}+", " "))
 
 
 def lines(text: Column) -> Column:
@@ -104,11 +131,15 @@ def render_query(form: str, q: Column, options: list[Column], gold: Column) -> C
     raise ValueError(f"unknown query form {form!r}")
 
 
+#: The sentence that ends a prompt (fixed value).
+INSTRUCTION = "Answer with the number of the correct option, and nothing else."
+
+
 def render_prompt(q: Column, options: list[Column]) -> Column:
     parts = [q]
     for i, o in enumerate(options):
         parts += [F.lit(f"\n{i}. "), o]
-    return F.concat(*parts, F.lit("\nAnswer with the number of the correct option, and nothing else."))
+    return F.concat(*parts, F.lit(f"\n{INSTRUCTION}"))
 
 
 def content_parts(prompt: Column, transcript: Column, question_first: bool = False) -> Column:
@@ -135,6 +166,20 @@ def window_frame_indices(total: Column, fps: Column, wanted: Column, start: Colu
     return F.when((total > 0) & (fps > 0) & (hi >= lo), F.transform(inner, lambda i: i + lo))
 
 
+def windows_at_once(windows: Column) -> tuple[Column, Column]:
+    """Frame numbers of many windows (array of arrays) as one pass reads them, and how many each window has."""
+    return F.flatten(windows), F.transform(windows, F.size)
+
+
+def split_again(frames: Column, sizes: Column) -> Column:
+    """What one pass returned, by window; an error if it isn't as many as were asked for."""
+    starts = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    parts = F.zip_with(starts, sizes, lambda a, n: F.slice(frames, a + 1, n))
+    wrong = F.raise_error(F.concat(F.lit("frames decoded and asked for: "), F.size(frames).cast("string"), F.lit(", "), total.cast("string")))
+    return F.when(F.size(frames) == total, parts).otherwise(wrong.cast("array<array<int>>"))
+
+
 def frame_budget(duration: Column, fps: float, most: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(duration * fps).cast("int")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -38,10 +39,27 @@ def accuracy_by(results: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return got.select(*by, "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi")).orderBy(F.desc("accuracy"), *by)
 
 
-def running_accuracy(results: DataFrame, by: str, order: str) -> DataFrame:
-    """Accuracy so far, over labelled rows, within each ``by`` in ``order``."""
-    so_far = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return results.withColumn("running", F.round(F.avg(F.col("correct").cast("int")).over(so_far), 6))
+def unparsed(results: DataFrame, order: str, most: int = 5) -> DataFrame:
+    """The first completions, in ``order``, that no answer was read from."""
+    return results.filter("pred IS NULL").orderBy(order).limit(most)
+
+
+def running_accuracy(results: DataFrame, by: str, order: str, block: int = 10_000) -> DataFrame:
+    """Accuracy so far, over labelled rows, within each ``by`` in the order of the whole number ``order``.
+
+    Sums by block of ``order`` come first; then each block's rows are summed by themselves, so a group's size never
+    falls to one task.
+    """
+    right = F.coalesce(F.col("correct").cast("int"), F.lit(0))
+    rows = results.withColumns({"__block": F.floor(F.col(order) / block), "__right": right, "__known": F.col("correct").isNotNull().cast("int")})
+    sums = rows.groupBy(by, "__block").agg(F.sum("__right").alias("r"), F.sum("__known").alias("k"))
+    before = W.partitionBy(by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(F.col(by).alias("__by"), F.col("__block").alias("__b"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("__r"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("__k"))
+    held = rows.join(starts, F.col(by).eqNullSafe(F.col("__by")) & F.col("__block").eqNullSafe(F.col("__b")))
+    so_far = W.partitionBy(by, "__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    n = F.col("__k") + F.sum("__known").over(so_far)
+    out = held.withColumn("running", F.round((F.col("__r") + F.sum("__right").over(so_far)) / F.nullif(n, F.lit(0)), 6))
+    return out.select(*results.columns, "running")
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str = "qid") -> DataFrame:
@@ -49,13 +67,73 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "qid") -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def answer(rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]], batch: int = 8) -> DataFrame:
+def only(rows: DataFrame, videos: DataFrame, key: str = "vid") -> DataFrame:
+    """The rows about ``videos``: a split's, those that were encoded, or a subset to be scored."""
+    return rows.join(videos.select(key).distinct(), key, "left_semi")
+
+
+def fit_rows(rows: DataFrame, held_out: DataFrame, key: str = "vid") -> DataFrame:
+    """The rows to fit on, about no video that is ``held_out``; none left is an error."""
+    left = rows.join(held_out.select(key).distinct(), key, "left_anti")
+    if left.isEmpty():
+        raise ValueError("all rows are held out")
+    return left
+
+
+def first_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each ``key``: the first in ``order``."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(key, "__row.*").select(*rows.columns)
+
+
+def first_n(rows: DataFrame, n: int | None, order: str) -> DataFrame:
+    """The first ``n`` rows in ``order``; all of them without ``n``."""
+    return rows.orderBy(order).limit(n) if n else rows
+
+
+def rows_in_query_order(cached: DataFrame, qa: DataFrame, order: str) -> DataFrame:
+    """``cached`` (seq, qid) with the question's row, the first in ``order`` where its qid repeats. A cached qid that is in
+    no row is an error as soon as it is met."""
+    rows = first_rows(qa, "qid", order).drop(order)
+    found = rows.withColumn("__found", F.lit(True))
+    joined = cached.select("seq", "qid").join(found, "qid", "left")
+    known = F.when(F.col("__found"), F.col("qid")).otherwise(F.raise_error(F.concat(F.lit("cached qid without a question: "), F.col("qid").cast("string"))))
+    return joined.select("seq", known.alias("qid"), *[c for c in rows.columns if c != "qid"])
+
+
+def pick_lookup(picks: DataFrame, qa: DataFrame, files: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
+    """picks (qid, vid, idx) as rows to answer: the question's columns, ``chunk_id``, the video's path, the chunk's text,
+    start and end. chunks: vid, idx, text, s, e; files: vid, path_to_video."""
+    rows = first_rows(qa, "qid", order).drop(order)
+    met = picks.join(chunks.select("vid", "idx", "text", "s", "e"), ["vid", "idx"]).join(files.select("vid", "path_to_video"), "vid")
+    asked = met.join(rows.drop("vid"), "qid")
+    return asked.withColumn("chunk_id", F.concat_ws("#", "vid", "idx"))
+
+
+def with_media(qa: DataFrame, media: DataFrame, key: str = "vid") -> tuple[DataFrame, DataFrame]:
+    """Questions with their video's files, and the videos that have none, in order."""
+    return qa.join(media, key), qa.select(key).distinct().join(media.select(key), key, "left_anti").orderBy(key)
+
+
+def in_input_order(rows: DataFrame, asked: DataFrame, key: str = "vid") -> DataFrame:
+    """``rows`` in the order of ``asked`` (seq, key), however they came back."""
+    return asked.select("seq", key).join(rows, key).orderBy("seq")
+
+
+def answer(rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]], batch: int = 8, prepare: Callable[[str], object] | None = None) -> DataFrame:
     """Results of a model over rows (vid, qid, seq, prompt, gold): one call per batch of a video's rows in seq order.
 
-    Batches of a video are groups of their own, so a video with many questions is spread over tasks.
+    Batches of a video are groups of their own, so a video with many questions is spread over tasks. ``prepare`` decodes
+    a video; one that it raises an error for is passed over, and has no results.
     """
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
+        try:
+            if prepare:
+                prepare(str(key[0]))
+        except Exception as reason:  # a video that can't be read costs its own questions only
+            logging.getLogger(__name__).warning("passed over %s: %s", key[0], reason)
+            return pd.DataFrame({"video": [], "qid": [], "gold": [], "raw": []})
         raw = model(str(key[0]), pdf)
         if len(raw) != len(pdf):
             raise ValueError("one answer per row is needed")
@@ -87,6 +165,14 @@ def owners(members: DataFrame, priority: tuple[str, ...] = ("test", "val", "trai
     return members.groupBy("id").agg(kept.alias("k"), F.count(F.lit(1)).alias("n")).select("id", "k.split", "k.subset", "n")
 
 
+def dropped_members(members: DataFrame, priority: tuple[str, ...] = ("test", "val", "train")) -> DataFrame:
+    """id, split, subset, pos, kept_split, kept_subset of the places that lose an id to ``owners``, or repeat it there."""
+    kept = owners(members, priority).select("id", F.col("split").alias("kept_split"), F.col("subset").alias("kept_subset"))
+    first = members.groupBy("id", "split", "subset").agg(F.min("pos").alias("__first"))
+    rows = members.join(kept, "id").join(first, ["id", "split", "subset"])
+    return rows.filter("split <> kept_split OR subset <> kept_subset OR pos <> __first").drop("__first")
+
+
 def histogram(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by)
 

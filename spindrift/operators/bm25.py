@@ -1,8 +1,9 @@
-"""BM25 over a corpus of chunks: statistics over all, scores within pools."""
+"""BM25 over a corpus of chunks: statistics over all, scores within pools or over the whole corpus."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
@@ -10,26 +11,44 @@ from spindrift.functions import expr as X
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def term_stats(docs: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, term, tf), (key, dl) with empty texts, and (term, idf, avgdl); a negative idf becomes EPSILON times the mean
-    of all. The one-row totals are joined as such."""
-    rows = docs.select(*key, X.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    lengths = rows.select(*key, F.size("terms").alias("dl"))
-    tf = rows.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def term_stats(docs: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(key, dl, term, tf) and (term, idf, avgdl); a negative idf becomes EPSILON times the mean of all. Empty texts count
+    in the totals. The totals are tables of one row."""
+    rows = docs.select(*key, X.tokens(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+    tf = rows.select(*key, "dl", F.explode("terms").alias("term")).groupBy(*key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    return tf, lengths, idf
+    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    return tf, idf
 
 
-def bm25_scores(pools: DataFrame, queries: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("vid", "idx")) -> DataFrame:
-    """``pools`` (qid, key) with a score; queries are (qid, text). Repeated query words count again; pairs without a
-    common word score 0 and stay."""
-    tf, lengths, idf = term_stats(docs, key)
+def _weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    """qid, term, w, avgdl: repeated query words count again."""
     asked = queries.select("qid", F.explode(X.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = pools.select("qid", *key).join(asked, "qid").join(tf, [*key, "term"]).join(idf, "term").join(lengths, list(key))
-    sums = met.groupBy("qid", *key).agg(F.sum(part).alias("s"))
+    return asked.join(idf, "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("w"), "avgdl")
+
+
+def _part() -> F.Column:
+    return F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_scores(pools: DataFrame, queries: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("vid", "idx")) -> DataFrame:
+    """``pools`` (qid, key) with a score; queries are (qid, text). Pairs without a common word score 0 and stay."""
+    tf, idf = term_stats(docs, key)
+    met = pools.select("qid", *key).join(_weights(queries, idf), "qid").join(tf, [*key, "term"])
+    sums = met.groupBy("qid", *key).agg(F.sum(_part()).alias("s"))
     return pools.join(sums, ["qid", *key], "left").withColumn("score", F.round(F.coalesce("s", F.lit(0.0)), 6)).drop("s")
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, key: str, top: int = 10) -> DataFrame:
+    """qid, key, score, place: of each query the ``top`` texts of the whole corpus; of equal scores the lesser key first.
+
+    Texts meet a query by the words that they share, and sums are begun where the words are, so nothing but a query's
+    candidates is dealt out.
+    """
+    tf, idf = term_stats(docs, (key,))
+    sums = tf.join(_weights(queries, idf), "term").groupBy("qid", key).agg(F.round(F.sum(_part()), 6).alias("score"))
+    ranked = sums.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), key)))
+    return ranked.filter(F.col("place") <= top)

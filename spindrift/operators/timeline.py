@@ -47,28 +47,48 @@ def reasons(videos: DataFrame, least: int = MIN_CHUNKS, most: int = MAX_CHUNKS)
     return cut.withColumn("reason", reason)
 
 
-def reason_stats(rows: DataFrame, key: str = "vid") -> DataFrame:
-    """reason, n and its three smallest ids, comma-joined."""
-    ranked = rows.withColumn("__rn", F.row_number().over(W.partitionBy("reason").orderBy(key)))
-    few = F.array_join(F.array_sort(F.collect_list(F.when(F.col("__rn") <= 3, F.col(key)))), ",")
-    return ranked.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), few.alias("examples"))
+def reason_stats(rows: DataFrame, key: str = "vid", examples: int = 3) -> DataFrame:
+    """reason, n and its smallest ids, comma-joined. The examples are picked before they are gathered, so no task sorts
+    all rows of a reason."""
+    counts = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.select("reason", key).withColumn("__rn", F.row_number().over(W.partitionBy("reason").orderBy(key))).filter(F.col("__rn") <= examples)
+    few = first.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("examples"))
+    return counts.join(few, "reason", "left")
+
+
+def manifest(files: DataFrame, trims: DataFrame, durations: DataFrame, least: int = MIN_CHUNKS, most: int = MAX_CHUNKS) -> tuple[DataFrame, DataFrame]:
+    """The manifest (vid, duration, chunks, oracle_idx) of downloaded ``files`` (vid) that have a trim (vid, start) and a
+    probed duration (vid, duration; null or no row: the probe failed), and vid, reason of every file."""
+    known = files.select("vid").distinct().join(trims.select("vid", "start"), "vid", "left").join(durations.select("vid", "duration"), "vid", "left")
+    judged = reasons(known, least, most)
+    return judged.filter("reason = 'kept'").select("vid", "duration", "chunks", "oracle_idx"), judged.select("vid", "reason")
+
+
+def transcripts(files: DataFrame, cues: DataFrame) -> DataFrame:
+    """vid, text, missing: the whole text of each of ``files`` (vid), null where there are no cues at all."""
+    said = texts(dedup_lines(cues, ("vid",)), ("vid",))
+    read = cues.select("vid").distinct().withColumn("__read", F.lit(True))
+    joined = files.select("vid").distinct().join(said, "vid", "left").join(read, "vid", "left")
+    return joined.select("vid", F.when(F.col("__read"), F.coalesce("text", F.lit(""))).alias("text"), F.col("__read").isNull().alias("missing"))
 
 
 def assign_cues(cues: DataFrame, ranges: DataFrame) -> DataFrame:
     """cues (vid, cue_no, start, end, text) with ``chunk``: the range that a cursor which never moves back gives each.
 
-    ranges: vid, chunk, lo, hi, sorted and apart. A cue goes to the range after all those that ended before it starts,
-    or before an earlier cue started, if it reaches that range; ends are closed. Others are dropped. The count of
-    ranges passed comes from one sorted union of both tables by video, not from a join of all cues with all ranges.
+    ranges: vid, chunk, lo, hi, apart from each other, in any order and with any names. A cue goes to the range after
+    all those that ended before it starts, or before an earlier cue started, if it reaches that range; ends are closed.
+    Others are dropped. The count of ranges passed comes from one sorted union of both tables by video, not from a join
+    of all cues with all ranges.
     """
-    ends = ranges.select("vid", F.col("hi").alias("at"), F.lit(1).alias("is_end"), F.lit(None).cast("int").alias("cue_no"))
+    placed = ranges.select("vid", "chunk", "lo", "hi", (F.row_number().over(W.partitionBy("vid").orderBy("lo", "hi")) - 1).alias("__at"))
+    ends = placed.select("vid", F.col("hi").alias("at"), F.lit(1).alias("is_end"), F.lit(None).cast(cues.schema["cue_no"].dataType).alias("cue_no"))
     starts = cues.select("vid", F.col("start").alias("at"), F.lit(0).alias("is_end"), "cue_no")
     # at one moment the cue comes first: a range that ends as the cue starts is not passed
     passed = F.sum("is_end").over(W.partitionBy("vid").orderBy("at", "is_end").rowsBetween(W.unboundedPreceding, 0))
     f = ends.unionByName(starts).withColumn("f", passed).filter("is_end = 0").select("vid", "cue_no", "f")
-    cursor = f.withColumn("chunk", F.max("f").over(W.partitionBy("vid").orderBy("cue_no").rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("f")
-    placed = cues.join(cursor, ["vid", "cue_no"]).join(ranges.select("vid", "chunk", "lo"), ["vid", "chunk"])
-    return placed.filter(F.col("lo") <= F.col("end")).drop("lo")
+    cursor = f.withColumn("__at", F.max("f").over(W.partitionBy("vid").orderBy("cue_no").rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("f")
+    met = cues.join(cursor, ["vid", "cue_no"]).join(placed.select("vid", "__at", "chunk", "lo"), ["vid", "__at"])
+    return met.filter(F.col("lo") <= F.col("end")).drop("lo", "__at")
 
 
 def dedup_lines(cues: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -6,34 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
+from spindrift.functions.runs import answer_run_id
 from spindrift.operators import answers as Q
 from spindrift.operators import retrieval as R
+from spindrift.operators import timeline as L
+from spindrift.plans import sql as S
+from spindrift.plans.lexical import talk_chunks
 from spindrift.plans.registry import Registry, table
+from spindrift.sources.files import english_tracks, merged_tracks
 
 query = Registry()
-_WILSON = """SELECT {by}, n, k, round(p, 6) AS accuracy, round(greatest((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n), 0), 6) AS lo,
- round(least((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n), 1), 6) AS hi FROM (SELECT *, k / n::DOUBLE AS p, 1.959963984540054 AS z FROM g)"""
-
-
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, correct, toxic: labels as outcomes."""
     return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("correct", F.col("quality") == 1)
 
 
-@query("WITH g AS (SELECT lang, count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS k FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY lang) " + _WILSON.format(by="lang"))
+_LO, _HI = S.wilson()
+
+
+@query(f"""WITH g AS (
+  SELECT lang, count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS k
+  FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY lang)
+SELECT lang, n, k, round(k / n::DOUBLE, 6) AS accuracy, {_LO} AS lo, {_HI} AS hi FROM g""")
 def accuracy_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.accuracy_by(labelled(spark, sf_dir), ("lang",))
 
 
-@query("SELECT count(*) AS n, count(CASE WHEN quality = 1 AND NOT toxic = 1 THEN 1 END) AS n10, count(CASE WHEN toxic = 1 AND NOT quality = 1 THEN 1 END) AS n01, round(avg((quality = 1)::INT) - avg((toxic = 1)::INT), 6) AS delta FROM labels")
+@query(f"""WITH d AS (
+  SELECT count(*) AS n, count(CASE WHEN quality = 1 AND NOT toxic = 1 THEN 1 END) AS n10, count(CASE WHEN toxic = 1 AND NOT quality = 1 THEN 1 END) AS n01,
+    round(avg((quality = 1)::INT) - avg((toxic = 1)::INT), 6) AS delta
+  FROM labels)
+SELECT *, {S.mcnemar()} AS p FROM d""")
 def paired_quality_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
-    return R.mcnemar(rows.agg(*R.paired_counts())).drop("p")
+    return R.mcnemar(rows.agg(*R.paired_counts()))
 
 
-@query("SELECT doc_id, correct, round(avg(correct::INT) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM (SELECT doc_id, lang, quality = 1 AS correct FROM labels JOIN documents USING (doc_id))")
+@query("""SELECT doc_id, correct, round(avg(correct::INT) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS running
+FROM (SELECT doc_id, lang, quality = 1 AS correct FROM labels JOIN documents USING (doc_id))""")
 def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.running_accuracy(labelled(spark, sf_dir), "lang", "doc_id").select("doc_id", "correct", "running")
+    return Q.running_accuracy(labelled(spark, sf_dir), "lang", "doc_id", block=100).select("doc_id", "correct", "running")
 
 
 _ANSWERS = "a AS (SELECT page_id, try_cast(nullif(regexp_extract(url, '[0-3]'), '') AS INT) AS pred, CASE WHEN page_id % 5 > 0 THEN (page_id % 4)::INT END AS gold FROM pages)"
@@ -55,6 +67,11 @@ def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.summary(page_answers(spark, sf_dir))
 
 
+@query(f"WITH {_ANSWERS} SELECT page_id, gold FROM a WHERE pred IS NULL ORDER BY page_id LIMIT 5")
+def unparsed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.unparsed(page_answers(spark, sf_dir), "page_id").select("page_id", "gold")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, q, options: a turn's first word asks, its next four are the options."""
     words = F.split(F.coalesce("text", F.lit("")), " ")
@@ -95,8 +112,13 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH m AS (SELECT md5(text) AS id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, source AS subset, doc_id AS pos FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE split WHEN 'test' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, subset, pos) AS rn, count(*) OVER (PARTITION BY id) AS n FROM m) SELECT id, split, subset, n FROM r WHERE rn = 1")
 def split_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.owners(split_members(spark, sf_dir))
+
+
+def split_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, split, subset, pos: a document's text is an id that several splits may hold."""
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3).cast("int") + 1)
-    return Q.owners(table(spark, sf_dir, "documents").select(F.md5("text").alias("id"), split.alias("split"), F.col("source").alias("subset"), F.col("doc_id").alias("pos")))
+    return table(spark, sf_dir, "documents").select(F.md5("text").alias("id"), split.alias("split"), F.col("source").alias("subset"), F.col("doc_id").alias("pos"))
 
 
 #: Needles in order, with their reasons (for the event names of the test data).
@@ -120,7 +142,17 @@ def first_seen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_seen(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-@query(r"SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS n FROM pages")
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"))
+
+
+def _decoded_sql(text: str) -> str:
+    """The entities that the test pages hold; the ampersand last, which also stands without its semicolon."""
+    for name, char in _ENTITIES:
+        text = f"replace({text}, '{name}', '{char}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+@query(f"SELECT page_id, length(trim(regexp_replace({_decoded_sql('html')}, '\\s+', ' ', 'g'))) AS n FROM pages")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(X.normalized_line(F.col("html"))).alias("n"))
 
@@ -129,12 +161,116 @@ def _stand_in(video: str, rows) -> list[str]:
     return [f"Answer: {len(p) % 5}" for p in rows["prompt"]]
 
 
-@query(None)
+@query(f"""WITH {_ASKED},
+p AS (
+  SELECT conv_id::VARCHAR AS video, conv_id || '#' || turn AS qid, (turn % 4)::INT AS gold, 'Answer: ' || (length(q) + length(a0) + length(a1) + length(a2) + length(a3)
+    + 4 * 4 + 1 + length('{X.INSTRUCTION}')) % 5 AS raw
+  FROM o),
+s AS (SELECT *, try_cast(nullif(regexp_extract(raw, '[0-3]'), '') AS INT) AS pred FROM p)
+SELECT video, qid, pred, gold, {_CORRECT} AS correct, raw FROM s""")
 def answer_with_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model hook with a deterministic stand-in; no weights are at hand."""
     asked = _asked(spark, sf_dir)
-    rows = asked.select(F.col("conv_id").alias("vid"), F.concat_ws("#", "conv_id", "turn").alias("qid"), F.col("turn").alias("seq"), X.render_prompt(F.col("q"), [F.col(f"a{i}") for i in range(4)]).alias("prompt"), F.pmod("turn", F.lit(4)).cast("int").alias("gold"))
+    prompt = X.render_prompt(F.col("q"), [F.col(f"a{i}") for i in range(4)])
+    rows = asked.select(F.col("conv_id").alias("vid"), F.concat_ws("#", "conv_id", "turn").alias("qid"), F.col("turn").alias("seq"), prompt.alias("prompt"), F.pmod("turn", F.lit(4)).cast("int").alias("gold"))
     return Q.answer(rows, _stand_in)
 
 
+def _qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, vid, q, a0..a3, ans_corr, seq: turns as questions; a qid stands for every third turn of a conversation."""
+    asked = _asked(spark, sf_dir)
+    return asked.select(F.concat_ws("-", "conv_id", F.col("turn") % 3).alias("qid"), F.col("conv_id").alias("vid"), "q", *[f"a{i}" for i in range(4)], F.col("a0").alias("ans_corr"), F.col("turn").alias("seq"))
+
+
+_QA = f"""{_ASKED},
+qa AS (SELECT conv_id || '-' || turn % 3 AS qid, conv_id AS vid, q, a0, a1, a2, a3, a0 AS ans_corr, turn AS seq FROM o),
+q1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS rn FROM qa) WHERE rn = 1)"""
+
+
+@query(f"""WITH {_QA}
+SELECT (vid * 3 + 2)::BIGINT AS seq, qid, q || ' ' || a0 || ' ' || a1 || ' ' || a2 || ' ' || a3 AS query FROM q1 WHERE qid = vid || '-1'""")
+def queries_in_cache_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query texts behind a cache's qids, found again by key; of repeated qids the first row counts."""
+    qa = _qa(spark, sf_dir)
+    cached = qa.filter(F.col("qid").endswith("-1")).select((F.col("vid") * 3 + 2).alias("seq"), "qid").distinct()
+    rows = Q.rows_in_query_order(cached, qa, "seq")
+    return rows.select("seq", "qid", X.render_query("question+options", F.col("q"), [F.col(f"a{i}") for i in range(4)], F.col("ans_corr")).alias("query"))
+
+
+_TURNS = """tc AS (SELECT conv_id AS vid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, text FROM conversations)"""
+
+
+@query(f"""WITH {_QA},
+{_TURNS}
+SELECT q1.qid, tc.vid || '#' || tc.idx AS chunk_id, '/media/' || tc.vid || '.mp4' AS path_to_video, tc.text, tc.idx * 60.0 AS s, tc.idx * 60.0 + 60.0 AS e, q1.q
+FROM q1 JOIN tc ON tc.vid = q1.vid AND tc.idx = q1.vid % 2""")
+def pick_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk that each question is answered from, with all that a model needs."""
+    qa, chunks = _qa(spark, sf_dir), talk_chunks(spark, sf_dir)
+    picks = qa.select("qid", "vid", (F.col("vid") % 2).cast("int").alias("idx")).distinct()
+    files = chunks.select("vid").distinct().withColumn("path_to_video", F.concat(F.lit("/media/"), "vid", F.lit(".mp4")))
+    bounds = chunks.withColumns({"s": F.col("idx") * 60.0, "e": F.col("idx") * 60.0 + 60.0})
+    return Q.pick_lookup(picks, qa, files, bounds, "seq").select("qid", "chunk_id", "path_to_video", "text", "s", "e", "q")
+
+
+@query("""SELECT d.doc_id % 50 AS vid, count(*) AS n, bool_or(d.doc_id % 50 IN (SELECT item_id FROM benchmark)) AS has_media FROM documents d GROUP BY vid""")
+def question_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by video, told apart by whether the video's files are there."""
+    qa = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("vid"))
+    there, missing = Q.with_media(qa, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vid")))
+    known = there.groupBy("vid").agg(F.count(F.lit(1)).alias("n")).withColumn("has_media", F.lit(True))
+    return known.unionByName(Q.only(qa, missing).groupBy("vid").agg(F.count(F.lit(1)).alias("n")).withColumn("has_media", F.lit(False)))
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 40 AS vid, source FROM documents)
+SELECT 'split' AS kept, count(*) AS n, sum(doc_id)::BIGINT AS digest FROM r WHERE vid < 10
+UNION ALL SELECT 'encoded', count(*), sum(doc_id)::BIGINT FROM r WHERE vid % 3 = 0
+UNION ALL SELECT 'fit', count(*), sum(doc_id)::BIGINT FROM r WHERE vid % 5 <> 0
+UNION ALL SELECT 'first', count(*), sum(doc_id)::BIGINT FROM (SELECT * FROM r ORDER BY doc_id LIMIT 25)
+UNION ALL SELECT 'first of a source', count(*), sum(doc_id)::BIGINT FROM (SELECT min(doc_id) AS doc_id FROM r GROUP BY source)""")
+def narrowed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each narrowing leaves: a split's videos, the encoded ones, those to fit on, the first rows, the first of each
+    source."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("vid"), "source")
+    videos = rows.select("vid").distinct()
+    kept = {
+        "split": Q.only(rows, videos.filter("vid < 10")), "encoded": Q.only(rows, videos.filter("vid % 3 = 0")), "fit": Q.fit_rows(rows, videos.filter("vid % 5 = 0")),
+        "first": Q.first_n(rows, 25, "doc_id"), "first of a source": Q.first_rows(rows.select("source", "doc_id"), "source", "doc_id"),
+    }
+    out = None
+    for name, df in kept.items():
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("digest")).select(F.lit(name).alias("kept"), "n", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH m AS (SELECT md5(text) AS id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, source AS subset, doc_id AS pos FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE split WHEN 'test' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, subset, pos) AS rn,
+  min(pos) OVER (PARTITION BY id, split, subset) AS first FROM m WHERE id IS NOT NULL)
+SELECT m.pos, k.split AS kept_split, k.subset AS kept_subset FROM r m JOIN r k ON k.id = m.id AND k.rn = 1
+WHERE m.split <> k.split OR m.subset <> k.subset OR m.pos <> m.first""")
+def dropped_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.dropped_members(split_members(spark, sf_dir)).select("pos", "kept_split", "kept_subset")
+
+
+@query("""SELECT p_partkey, 'b' || p_size AS encoder, round(greatest(exp(-p_size / 10.0), 0.01), 6) AS temperature,
+  array_to_string(list_filter(['video', CASE WHEN p_size % 2 = 1 THEN 'said ' || p_size END, 'ask ' || p_size], lambda x: x IS NOT NULL), '|') AS parts,
+  p_size % 3 = 0 AS overlaps, 'EN,en-US' AS tracks,
+  'm_d_s_' || CASE WHEN p_size % 2 = 1 THEN 'tx' ELSE 'notx' END || CASE WHEN p_size % 3 = 0 THEN '_n' || p_size ELSE '' END AS run_id
+FROM part""")
+def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of a row that no other query has: names, temperatures, prompt parts, overlaps, tracks, run ids."""
+    size = F.col("p_size")
+    said = F.when(size % 2 == 1, F.concat(F.lit("said "), size))
+    parts = F.transform(X.content_parts(F.concat(F.lit("ask "), size), said), lambda p: F.when(p["kind"] == "video", p["kind"]).otherwise(p["text"]))
+    tracks = merged_tracks(F.create_map(F.lit("de"), F.lit("x"), F.lit("EN"), F.lit("y")), F.create_map(F.lit("en-US"), F.lit("z")))
+    runs = [F.lit(answer_run_id("m", "d", "s", transcript=odd)) for odd in (False, True)]
+    run_id = F.concat(F.when(size % 2 == 1, runs[1]).otherwise(runs[0]), F.when(size % 3 == 0, F.concat(F.lit("_n"), size)).otherwise(F.lit("")))
+    shift = F.when(size % 3 == 0, 0.5).otherwise(1.5)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.encoder_of(F.concat(F.lit("b"), size, F.lit("_val"))).alias("encoder"), F.round(X.temperature(-size / 10.0), 6).alias("temperature"), F.array_join(parts, "|").alias("parts"),
+        L.overlapping(F.lit(0.0), F.lit(1.0), shift, shift + 1).alias("overlaps"), F.array_join(english_tracks(tracks), ",").alias("tracks"), run_id.alias("run_id"),
+    )
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,16 +11,22 @@ from pyspark.sql import functions as F
 from spindrift.functions import encoders
 from spindrift.functions import expr as X
 from spindrift.operators import adapter as A
+from spindrift.operators import answers as Q
 from spindrift.operators import retrieval as R
+from spindrift.plans import sql as S
 from spindrift.plans.registry import Registry, table
-from spindrift.schema import REPRESENTATIONS
+from spindrift.schema import BANDS, QUERY_FORMS, REPRESENTATIONS
 
 query = Registry()
+SETUP = ("pool_type", "representation", "query_form")
+#: Chunks of other videos in a training pool; videos held out of training have a number that this divides.
+N_EASY, HELD_OUT = 16, 5
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vid, idx, qid, v, t: chunks with two towers; the second is the next chunk's vector, the last one's the first."""
-    rows = table(spark, sf_dir, "embeddings").select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 100)).alias("vid"), F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+    vid = F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 100)
+    rows = table(spark, sf_dir, "embeddings").select(vid.alias("vid"), F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
     own = W.partitionBy("vid").orderBy("qid")
     t = F.coalesce(F.lead("v").over(own), F.first("v").over(own))
     return rows.select("vid", (F.row_number().over(own) - 1).alias("idx"), "qid", "v", t.alias("t"))
@@ -29,167 +37,345 @@ def question_table(chunks: DataFrame) -> DataFrame:
 
 
 _CHUNKS = """e0 AS (SELECT label * 1000000 + vec_id // 100 AS vid, vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings),
-c AS (SELECT vid, row_number() OVER (PARTITION BY vid ORDER BY qid) - 1 AS idx, qid, v,
-  coalesce(lead(v) OVER (PARTITION BY vid ORDER BY qid), first(v) OVER (PARTITION BY vid ORDER BY qid)) AS t, count(*) OVER (PARTITION BY vid) AS own FROM e0)"""
-_WITHIN = _CHUNKS + """,
-p AS (SELECT q.qid, q.vid AS qvid, d.vid, d.idx, d.idx = q.idx AS is_oracle, q.t AS q, d.v, d.t FROM c q JOIN c d ON q.vid = d.vid)"""
-_RING = """ring AS (SELECT vid, idx, v, t, row_number() OVER (ORDER BY md5(concat_ws('|', '0', vid::VARCHAR, idx::VARCHAR)), vid, idx) - 1 AS pos FROM c),
-nn AS (SELECT count(*) AS n FROM ring),
-ask AS (SELECT c.*, ('0x' || substr(md5('0|' || qid::VARCHAR), 1, 12))::BIGINT % n AS first, n FROM c, nn),
-st AS (SELECT qid, vid AS qvid, own, (first + k) % n AS pos, k FROM (SELECT *, unnest(range(0, least(n, 2 * own - 1))) AS k FROM ask WHERE own > 1)),
-met AS (SELECT st.qid, st.qvid, r.vid, r.idx, r.v, r.t, own, row_number() OVER (PARTITION BY st.qid ORDER BY k) AS rn FROM st JOIN ring r USING (pos) WHERE r.vid <> st.qvid)"""
-_CROSS = _CHUNKS + ",\n" + _RING + """,
-x AS (SELECT q.qid, q.vid AS qvid, q.vid, q.idx, TRUE AS is_oracle, q.t AS q, q.v, q.t FROM c q
-  UNION ALL SELECT m.qid, m.qvid, m.vid, m.idx, FALSE, q.t, m.v, m.t FROM met m JOIN c q ON q.qid = m.qid WHERE rn <= m.own - 1)"""
-_SCORE = "round(list_dot_product(q, v), 6)"
+c AS (
+  SELECT vid, row_number() OVER (PARTITION BY vid ORDER BY qid) - 1 AS idx, qid, v,
+    coalesce(lead(v) OVER (PARTITION BY vid ORDER BY qid), first(v) OVER (PARTITION BY vid ORDER BY qid)) AS t, count(*) OVER (PARTITION BY vid) AS own
+  FROM e0),
+q0 AS (SELECT qid, vid, idx AS oi, own, v, t, t AS q FROM c)"""
 
 
-def _ranked(pool: str, source: str = "p", score: str = _SCORE, keys: str = "qid") -> str:
-    return f"""{pool}s AS (SELECT {keys}, is_oracle, {score} AS score FROM {source}),
-{pool}o AS (SELECT {keys}, is_oracle, score, max(CASE WHEN is_oracle THEN score END) OVER (PARTITION BY {keys}) AS os FROM {pool}s),
-{pool}r AS (SELECT {keys}, count(CASE WHEN score >= os THEN 1 END) - 1 AS rank, count(*) AS pool FROM {pool}o GROUP BY {keys})"""
+def _scores_sql(name: str, pools: str, score: str = "list_dot_product(q.q, d.v)") -> str:
+    return f"""{name} AS (
+  SELECT p.qid, p.is_oracle, round({score}, 6) AS score
+  FROM {pools} p JOIN c d ON d.vid = p.vid AND d.idx = p.idx JOIN q0 q ON q.qid = p.qid)"""
 
 
-_METRICS = "count(*) AS n, round(avg((rank = 0)::INT), 6) AS top1, round(avg((rank < 3)::INT), 6) AS top3, round(avg(1.0 / (rank + 1)), 6) AS mrr, round(avg(1.0 / pool), 6) AS random"
+_WITHIN = f"{_CHUNKS},\n{S.WITHIN_POOLS},\n{_scores_sql('ws', 'wp')},\n{S.ranks('wr', 'ws')}"
+_CROSS = f"{S.cross_pools()},\n{_scores_sql('xs', 'xp')},\n{S.ranks('xr', 'xs')}"
 
 
-def _pools(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = chunk_table(spark, sf_dir)
-    questions = question_table(chunks)
-    return chunks, questions, (R.within_pools if kind == "within" else R.cross_pools)(questions, chunks)
+    return chunks, question_table(chunks)
 
 
 def _ranks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    chunks, questions, pools = _pools(spark, sf_dir, kind)
-    return R.pessimistic_ranks(R.scored(pools, questions, chunks, vector="v"))
+    chunks, questions = _tables(spark, sf_dir)
+    if kind == "within":
+        return R.pessimistic_ranks(R.scored_within(questions, chunks, vector="v"))
+    return R.pessimistic_ranks(R.scored(R.pools_of(kind, questions, chunks), questions, chunks, vector="v"))
 
 
-@query(f"WITH {_WITHIN},\n{_ranked('w')}\nSELECT {_METRICS} FROM wr")
+@query(f"WITH {_WITHIN}\nSELECT {S.METRICS} FROM wr")
 def retrieval_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.metrics(_ranks(spark, sf_dir, "within"))
 
 
-@query(f"WITH {_CROSS},\n{_ranked('w', 'x')}\nSELECT {_METRICS} FROM wr")
+@query(f"WITH {_CHUNKS},\n{_CROSS}\nSELECT {S.METRICS} FROM xr")
 def retrieval_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.metrics(_ranks(spark, sf_dir, "cross"))
 
 
-_FUSED = "list_transform(list_zip({a}, {b}), lambda z: z[1] + z[2])"
+_SWEEP = f"""{_CHUNKS},
+{S.WITHIN_POOLS},
+{S.cross_pools()},
+cr AS (SELECT vid, idx, v AS video, t AS transcript, {S.unit("f")} AS fused FROM (SELECT *, {S.plus("v", "t")} AS f FROM c)),
+qf AS (SELECT qid, t AS question, {S.unit("f")} AS options, v AS answer FROM (SELECT *, {S.plus("v", "t")} AS f FROM c)),
+pp AS (SELECT 'within' AS pool_type, * FROM wp UNION ALL SELECT 'cross', qid, vid, idx, is_oracle FROM xp),
+sw AS (
+  SELECT pool_type, representation, query_form, p.qid, is_oracle, round(list_dot_product(
+      CASE query_form WHEN 'question' THEN question WHEN 'answer' THEN answer ELSE options END,
+      CASE representation WHEN 'video' THEN video WHEN 'transcript' THEN transcript ELSE fused END), 6) AS score
+  FROM pp p JOIN cr ON cr.vid = p.vid AND cr.idx = p.idx JOIN qf ON qf.qid = p.qid,
+    (VALUES ('video'), ('transcript'), ('fused')) AS a(representation), (VALUES ('question'), ('question+options'), ('answer')) AS b(query_form)),
+{S.ranks("sr", "sw", "pool_type, representation, query_form, qid")}"""
+_SETUPS = f"{_SWEEP},\nm AS (SELECT 'vectors' AS encoder, pool_type, representation, query_form, {S.METRICS} FROM sr GROUP BY ALL)"
+
+
+def sweep_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of every pool type, representation and query form. A pair of question and chunk is joined once; the sweep is
+    over the columns of the joined row."""
+    chunks, questions = _tables(spark, sf_dir)
+    v, t = F.col("v"), F.col("t")
+    reps = chunks.select("vid", "idx", *[X.representation(r, v, t).alias(f"c_{i}") for i, r in enumerate(REPRESENTATIONS)])
+    forms = chunks.select("qid", "vid", F.col("idx").alias("oracle_idx"), X.representation("transcript", v, t).alias("q_0"), X.fused(v, t).alias("q_1"), X.representation("video", v, t).alias("q_2"))
+    within = forms.join(reps, "vid").withColumns({"is_oracle": F.col("idx") == F.col("oracle_idx"), "pool_type": F.lit("within")})
+    cross = R.pools_of("cross", questions, chunks).join(reps, ["vid", "idx"]).join(forms.drop("vid", "oracle_idx"), "qid").withColumn("pool_type", F.lit("cross"))
+    each = [
+        F.struct(F.lit(r).alias("representation"), F.lit(f).alias("query_form"), F.round(X.dot(F.col(f"q_{j}"), F.col(f"c_{i}")), R.PLACES).alias("score"))
+        for i, r in enumerate(REPRESENTATIONS) for j, f in enumerate(QUERY_FORMS)
+    ]
+    scores = reduce_union([x.select("pool_type", "qid", "is_oracle", F.inline(F.array(*each))) for x in (within, cross)])
+    return R.pessimistic_ranks(scores, (*SETUP, "qid"))
+
+
+def reduce_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.metrics(sweep_ranks(spark, sf_dir), SETUP).select(F.lit("vectors").alias("encoder"), "*")
+
+
+@query(f"WITH {_SETUPS}\nSELECT * FROM m")
+def retrieval_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep_scores(spark, sf_dir)
 
 
-def _unit(v: str) -> str:
-    return f"list_transform({v}, lambda y: y / greatest(sqrt(list_dot_product({v}, {v})), 1e-12))"
+_PLACE = """CASE pool_type WHEN 'within' THEN 0 ELSE 1 END, CASE representation WHEN 'video' THEN 0 WHEN 'transcript' THEN 1 ELSE 2 END, length(query_form)"""
 
 
-_REPS = """rep AS (SELECT qid, is_oracle, q, 'video' AS representation, v AS cv FROM p UNION ALL SELECT qid, is_oracle, q, 'transcript', t FROM p
-  UNION ALL SELECT qid, is_oracle, q, 'fused', """ + _unit("f") + " FROM (SELECT *, " + _FUSED.format(a="v", b="t") + " AS f FROM p)),\n"
-_FORMS = """sw AS (SELECT r.qid, r.is_oracle, representation, form, list_dot_product(CASE form WHEN 'question' THEN q WHEN 'answer' THEN a ELSE qa END, cv) AS sc
-  FROM rep r JOIN (SELECT qid, v AS a, """ + _unit("f") + " AS qa FROM (SELECT qid, v, " + _FUSED.format(a="v", b="t") + """ AS f FROM c)) o ON o.qid = r.qid,
-  (VALUES ('question'), ('question+options'), ('answer')) AS fm(form))"""
+@query(f"WITH {_SETUPS}\nSELECT row_number() OVER (ORDER BY {_PLACE}) AS line, pool_type, representation, query_form, top1, random FROM m")
+def score_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score table in its order; a row per setup, so numbering them is nothing."""
+    listed = R.score_table(sweep_scores(spark, sf_dir)).select(F.monotonically_increasing_id().alias("at"), "*")
+    return listed.select(F.row_number().over(W.orderBy("at")).cast("bigint").alias("line"), "pool_type", "representation", "query_form", "top1", "random")
 
 
-@query(f"WITH {_WITHIN},\n{_REPS}{_FORMS},\n{_ranked('w', 'sw', 'round(sc, 6)', 'representation, form, qid')}\nSELECT representation, form AS query_form, {_METRICS} FROM wr GROUP BY representation, form")
-def retrieval_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All representations and query forms in one plan: the sweep is two more key columns."""
-    chunks = chunk_table(spark, sf_dir)
-    questions = question_table(chunks)
-    forms = chunks.select("qid", F.explode(F.array(
-        F.struct(F.lit("question").alias("query_form"), X.representation("transcript", F.col("v"), F.col("t")).alias("q")),
-        F.struct(F.lit("question+options").alias("query_form"), X.fused(F.col("v"), F.col("t")).alias("q")),
-        F.struct(F.lit("answer").alias("query_form"), X.representation("video", F.col("v"), F.col("t")).alias("q")),
-    )).alias("f")).select("qid", "f.*")
-    reps = chunks.select("vid", "idx", F.explode(F.array(*[F.struct(F.lit(r).alias("representation"), X.representation(r, F.col("v"), F.col("t")).alias("c")) for r in REPRESENTATIONS])).alias("r")).select("vid", "idx", "r.*")
-    scores = R.within_pools(questions, chunks).join(forms, "qid").join(reps, ["vid", "idx"]).withColumn("score", F.round(X.dot(F.col("q"), F.col("c")), R.PLACES))
-    keys = ("representation", "query_form")
-    return R.metrics(R.pessimistic_ranks(scores, (*keys, "qid")), keys)
-
-
-@query(f"WITH {_WITHIN},\n{_ranked('w')},\n{_CROSS.split(_CHUNKS + ',')[1].strip()},\n{_ranked('k', 'x')}, b AS (SELECT w.rank = 0 AS a, k.rank = 0 AS b FROM wr w JOIN kr k USING (qid)) SELECT count(*) AS n, count(CASE WHEN a AND NOT b THEN 1 END) AS n10, count(CASE WHEN b AND NOT a THEN 1 END) AS n01, round(avg(a::INT) - avg(b::INT), 6) AS delta FROM b")
-def within_vs_cross_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = [_ranks(spark, sf_dir, k).select("qid", (F.col("rank") == 0).alias("hit")) for k in ("within", "cross")]
-    return R.paired(*hits).drop("p")
+_LO, _HI = S.wilson()
+_BANDS = "b(ord, lo, hi, band) AS (VALUES " + ", ".join(f"({i}, {lo}, {hi}, '{lo}-{hi}')" for i, (lo, hi) in enumerate(BANDS)) + ")"
 
 
-@query(f"WITH {_WITHIN},\n{_ranked('w')},\n{_CROSS.split(_CHUNKS + ',')[1].strip()},\n{_ranked('k', 'x')}, m AS (SELECT 'within' AS kind, * FROM wr UNION ALL SELECT 'cross', * FROM kr), g AS (SELECT kind, avg((rank = 0)::INT) AS t, round(avg(1.0 / pool), 4) AS f FROM m GROUP BY kind) SELECT round(max(CASE WHEN kind = 'cross' THEN t END) - max(CASE WHEN kind = 'within' THEN t END), 6) AS delta, count(DISTINCT f) = 1 AS same_floor FROM g HAVING count(DISTINCT kind) = 2")
-def contrast_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _ranks(spark, sf_dir, "within").withColumn("kind", F.lit("within")).unionByName(_ranks(spark, sf_dir, "cross").withColumn("kind", F.lit("cross")))
-    per = both.groupBy("kind").agg(F.avg((F.col("rank") == 0).cast("int")).alias("t"), F.round(F.avg(1 / F.col("pool")), 4).alias("f"))
-    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("t")))
-    got = per.agg(F.round(of("cross") - of("within"), 6).alias("delta"), (F.count_distinct("f") == 1).alias("same_floor"), F.count_distinct("kind").alias("k"))
-    return got.filter("k = 2").drop("k")
+def _banded_sql(source: str, keys: str = "") -> str:
+    also, on = (f"{keys}, ", f"b.band = g.band AND {' AND '.join(f's.{k.strip()} = g.{k.strip()}' for k in keys.split(','))}") if keys else ("", "b.band = g.band")
+    setups = f"(SELECT DISTINCT {keys} FROM {source}) s, b" if keys else "b"
+    listed = ", ".join(f"s.{k.strip()}" for k in keys.split(",")) + ", " if keys else ""
+    return f"""g AS (SELECT {also}band, count(*) AS n, count(CASE WHEN rank = 0 THEN 1 END) AS k, avg(1.0 / pool) AS r FROM {source} JOIN b ON pool BETWEEN lo AND hi GROUP BY {also}band)
+SELECT {listed}b.band, coalesce(n, 0) AS n, round(k / n::DOUBLE, 6) AS top1, {_LO} AS lo, {_HI} AS hi, round(r, 6) AS random
+FROM {setups.replace(", b", " CROSS JOIN b")} LEFT JOIN g ON {on}"""
 
 
-@query(f"WITH {_WITHIN},\n{_ranked('w')}, b(ord, lo, hi, band) AS (VALUES (0,2,3,'2-3'),(1,4,5,'4-5'),(2,6,8,'6-8'),(3,9,12,'9-12'),(4,13,20,'13-20')), g AS (SELECT band, count(rank) AS n, count(CASE WHEN rank = 0 THEN 1 END) AS k, avg(1.0 / pool) AS r FROM b LEFT JOIN wr ON pool BETWEEN lo AND hi GROUP BY band), s AS (SELECT *, k / nullif(n, 0)::DOUBLE AS p, 1.959963984540054 AS z FROM g) SELECT band, n, round(p, 6) AS top1, round(greatest((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n), 0), 6) AS lo, round(least((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n), 1), 6) AS hi, round(r, 6) AS random FROM s".replace("(p + z*z/(2*n) - z", "CASE WHEN n > 0 THEN (p + z*z/(2*n) - z").replace("(1 + z*z/n), 0)", "(1 + z*z/n) END, CASE WHEN n > 0 THEN 0 END)").replace("(p + z*z/(2*n) + z", "CASE WHEN n > 0 THEN (p + z*z/(2*n) + z").replace("(1 + z*z/n), 1)", "(1 + z*z/n) END, CASE WHEN n > 0 THEN 1 END)"))
+@query(f"WITH {_WITHIN},\n{_BANDS},\n{_banded_sql('wr')}")
 def retrieval_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.banded(_ranks(spark, sf_dir, "within"))
 
 
-@query(f"WITH {_WITHIN},\n{_ranked('w')} SELECT qid, rank, pool FROM wr WHERE rank < 3")
+@query(f"WITH {_SWEEP},\n{_BANDS},\n{_banded_sql('sr', 'pool_type, representation, query_form')}")
+def bands_by_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.banded(sweep_ranks(spark, sf_dir), keys=SETUP)
+
+
+_COUNTS = """count(*) AS n, count(CASE WHEN a AND NOT b THEN 1 END) AS n10, count(CASE WHEN b AND NOT a THEN 1 END) AS n01,
+  round(avg(a::INT) - avg(b::INT), 6) AS delta"""
+
+
+@query(f"""WITH {_WITHIN},
+{_CROSS},
+d AS (SELECT {_COUNTS} FROM (SELECT w.rank = 0 AS a, x.rank = 0 AS b FROM wr w JOIN xr x USING (qid)))
+SELECT *, {S.mcnemar()} AS p FROM d""")
+def within_vs_cross_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = [_ranks(spark, sf_dir, k).select("qid", (F.col("rank") == 0).alias("hit")) for k in ("within", "cross")]
+    return R.paired(*hits)
+
+
+@query(f"""WITH {_SWEEP},
+h AS (SELECT pool_type, representation, query_form, qid, rank = 0 AS hit FROM sr),
+d AS (
+  SELECT representation, query_form, {_COUNTS}
+  FROM (SELECT x.representation, x.query_form, x.hit AS a, w.hit AS b FROM h x JOIN h w USING (representation, query_form, qid) WHERE x.pool_type = 'cross' AND w.pool_type = 'within')
+  GROUP BY ALL)
+SELECT *, {S.mcnemar()} AS p FROM d""")
+def condition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross minus within for each setup, over the same questions."""
+    hits = sweep_ranks(spark, sf_dir).select(*SETUP, "qid", (F.col("rank") == 0).alias("hit"))
+    cross, within = (hits.filter(F.col("pool_type") == k).drop("pool_type") for k in ("cross", "within"))
+    return R.paired(cross, within, by=("representation", "query_form"))
+
+
+@query(f"""WITH {_SETUPS}
+SELECT encoder, w.representation, w.query_form, w.top1 AS within, x.top1 AS cross, round(x.top1 - w.top1, 6) AS delta, round(w.random, 4) = round(x.random, 4) AS same_floor
+FROM m w JOIN m x USING (encoder, representation, query_form) WHERE w.pool_type = 'within' AND x.pool_type = 'cross'""")
+def contrast_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.contrast(sweep_scores(spark, sf_dir))
+
+
+@query(f"""WITH {_SETUPS}
+SELECT encoder, pool_type, representation, query_form, CASE WHEN pool_type = 'cross' AND query_form = 'answer' THEN 0.0 ELSE top1 END AS top1 FROM m""")
+def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of scores as one; of a setup in both the later table's stays."""
+    scores = sweep_scores(spark, sf_dir).select("encoder", *SETUP, "top1")
+    again = scores.filter("pool_type = 'cross' AND query_form = 'answer'").withColumn("top1", F.lit(0.0))
+    return R.later_wins([scores, again], ("encoder", *SETUP))
+
+
+@query(f"WITH {_WITHIN}\nSELECT qid, rank, pool FROM wr WHERE rank < 3")
 def topk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(spark, sf_dir, "within").filter("rank < 3").select("qid", "rank", "pool")
 
 
-@query(f"WITH {_CHUNKS} SELECT qid, vid, idx FROM c")
+@query(f"WITH {_CHUNKS}\nSELECT qid, vid, idx FROM c")
 def select_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, questions, pools = _pools(spark, sf_dir, "within")
-    return pools.filter("is_oracle").select("qid", "vid", "idx")
+    chunks, questions = _tables(spark, sf_dir)
+    return R.within_pools(questions, chunks).filter("is_oracle").select("qid", "vid", "idx")
 
 
-@query(f"WITH {_WITHIN}, s AS (SELECT qid, vid, idx, row_number() OVER (PARTITION BY qid ORDER BY {_SCORE} DESC, idx) AS rn FROM p) SELECT qid, vid, idx FROM s WHERE rn = 1")
+@query(f"""WITH {_CHUNKS},
+s AS (
+  SELECT q.qid, d.vid, d.idx, row_number() OVER (PARTITION BY q.qid ORDER BY round(list_dot_product(q.q, d.v), 6) DESC, d.idx) AS rn
+  FROM q0 q JOIN c d USING (vid))
+SELECT qid, vid, idx FROM s WHERE rn = 1""")
 def select_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, questions, pools = _pools(spark, sf_dir, "within")
-    return R.top1(R.scored(pools, questions, chunks, vector="v"))
+    chunks, questions = _tables(spark, sf_dir)
+    return R.top1(R.scored_within(questions, chunks, vector="v"))
 
 
-@query(f"WITH {_CHUNKS} SELECT qid, vid, ('0x' || substr(md5('0|' || qid::VARCHAR), 1, 12))::BIGINT % own AS idx FROM c")
+@query(f"WITH {_CHUNKS}\nSELECT qid, vid, {S.draw(0, 'qid', below='own')} AS idx FROM c")
 def select_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_table(spark, sf_dir)
-    return R.random_pick(question_table(chunks), chunks)
+    chunks, questions = _tables(spark, sf_dir)
+    return R.random_pick(questions, chunks)
+
 
+@query(f"""WITH {_CHUNKS},
+k AS (SELECT idx AS place, count(*) AS times FROM c GROUP BY idx),
+b AS (SELECT own, arg_max(place, times * 1000000 - place) AS idx FROM (SELECT DISTINCT own FROM c) JOIN k ON place < own GROUP BY own)
+SELECT qid, vid, b.idx FROM c JOIN b USING (own)""")
+def select_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, questions = _tables(spark, sf_dir)
+    return R.positional_picks(questions, chunks)
 
-@query(f"WITH {_CHUNKS}, pl AS (SELECT *, row_number() OVER (ORDER BY substr(md5(vid::VARCHAR), 1, 3), vid, qid) - 1 AS pos, count(*) OVER () AS n FROM c), s AS (SELECT *, min(pos) OVER (PARTITION BY vid) AS start FROM pl), a AS (SELECT qid, vid, (start + own + ('0x' || substr(md5('0|' || qid::VARCHAR), 1, 12))::BIGINT % (n - own)) % n AS aim FROM s) SELECT a.qid, a.vid, s.qid AS from_qid, s.vid AS from_vid FROM a JOIN s ON s.pos = a.aim")
+
+@query(f"""WITH {_CHUNKS},
+pl AS (SELECT *, row_number() OVER (ORDER BY substr(md5(vid::VARCHAR), 1, 3), vid, qid) - 1 AS pos, count(*) OVER () AS n FROM c),
+s AS (SELECT *, min(pos) OVER (PARTITION BY vid) AS start FROM pl),
+a AS (SELECT qid, vid, (start + own + {S.draw(0, 'qid', below='(n - own)')}) % n AS aim FROM s)
+SELECT a.qid, a.vid, s.qid AS from_qid, s.vid AS from_vid FROM a JOIN s ON s.pos = a.aim""")
 def shuffled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.shuffled(question_table(chunk_table(spark, sf_dir))).select("qid", "vid", "from_qid", "from_vid")
 
 
-@query(f"WITH {_CROSS} SELECT min(pool) AS least, max(pool) AS most, median(pool) AS middle FROM (SELECT qid, count(*) AS pool FROM x GROUP BY qid)")
+_TRAINING = f"""{_CHUNKS},
+{S.WITHIN_POOLS},
+{S.cross_pools("ep", str(N_EASY + 1), f"vid % {HELD_OUT} = 0", seed=3)},
+tp AS (
+  SELECT qid, vid, idx, CASE WHEN is_oracle THEN 'oracle' ELSE 'hard' END AS kind FROM wp
+  UNION ALL SELECT qid, vid, idx, 'easy' FROM ep WHERE NOT is_oracle)"""
+
+
+def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chunks, questions and the third epoch's training pools."""
+    chunks, questions = _tables(spark, sf_dir)
+    held_out = chunks.filter(F.col("vid") % HELD_OUT == 0)
+    return chunks, questions, R.training_pools(questions, chunks, N_EASY, seed=1, epoch=2, held_out=held_out)
+
+
+@query(f"""WITH {_TRAINING}
+SELECT qid, kind, count(*) AS n, sum(vid * 1000 + idx)::BIGINT AS digest, count(CASE WHEN kind = 'easy' AND vid % {HELD_OUT} = 0 THEN 1 END) AS n_held_out
+FROM tp GROUP BY qid, kind""")
 def train_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _pools(spark, sf_dir, "cross")[2].groupBy("qid").agg(F.count(F.lit(1)).alias("pool"))
-    return sizes.agg(F.min("pool").alias("least"), F.max("pool").alias("most"), F.median("pool").alias("middle"))
+    pools = training(spark, sf_dir)[2]
+    held_out = F.count(F.when((F.col("kind") == "easy") & (F.col("vid") % HELD_OUT == 0), 1))
+    return pools.groupBy("qid", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("vid") * 1000 + F.col("idx")).alias("digest"), held_out.alias("n_held_out"))
 
 
-@query(f"WITH {_WITHIN}, l AS (SELECT qid, is_oracle, {_SCORE} / 0.07 AS l FROM p), m AS (SELECT *, max(l) OVER (PARTITION BY qid) AS m FROM l), q AS (SELECT qid, ln(sum(exp(l - m))) + max(m) - max(CASE WHEN is_oracle THEN l END) AS loss FROM m GROUP BY qid) SELECT count(*) AS n, round(avg(loss), 5) AS loss FROM q")
-def infonce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import math
+@query(f"WITH {_TRAINING}\nSELECT min(n) AS least, max(n) AS most, median(n) AS middle FROM (SELECT count(*) AS n FROM tp GROUP BY qid)")
+def train_pool_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = training(spark, sf_dir)[2].groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.median("n").alias("middle"))
+
 
-    chunks, questions, pools = _pools(spark, sf_dir, "within")
-    losses = R.info_nce(R.scored(pools, questions, chunks, vector="v"), math.log(0.07))
-    return losses.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 5).alias("loss"))
+@query(f"""WITH {_CHUNKS}, r AS (SELECT qid, row_number() OVER (ORDER BY md5('6|' || qid || '|0'), qid) - 1 AS place FROM c)
+SELECT qid, place // 64 AS batch FROM r""")
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.batches(chunk_table(spark, sf_dir).select("qid"), "qid", 64, seed=4, epoch=2)
 
 
-@query(f"WITH {_CHUNKS}, f AS (SELECT qid, list_transform(list_zip(v, t), lambda z: 0.25 * z[1] + 0.75 * z[2]) AS f FROM c) SELECT qid, round(f[1] / sqrt(list_dot_product(f, f)), 6) AS first, round(f[64] / sqrt(list_dot_product(f, f)), 6) AS last FROM f")
+def _loss_sql(name: str, query_vector: str) -> str:
+    return f"""{name}l AS (
+  SELECT p.qid, kind, round(list_dot_product(q.{query_vector}, d.v), 6) / 0.07 AS l
+  FROM tp p JOIN c d ON d.vid = p.vid AND d.idx = p.idx JOIN q0 q ON q.qid = p.qid),
+{name} AS (
+  SELECT qid, ln(sum(exp(l - m))) + max(m) - max(CASE WHEN kind = 'oracle' THEN l END) AS loss
+  FROM (SELECT *, max(l) OVER (PARTITION BY qid) AS m FROM {name}l) GROUP BY qid)"""
+
+
+@query(f"""WITH {_TRAINING},
+{_loss_sql("ql", "q")},
+{_loss_sql("gold", "v")},
+r AS (SELECT qid, row_number() OVER (ORDER BY md5('6|' || qid || '|0'), qid) - 1 AS place FROM c),
+b AS (SELECT place // 64 AS batch, count(*) AS n, avg(ql.loss + 0.5 * gold.loss) AS loss FROM ql JOIN gold USING (qid) JOIN r USING (qid) GROUP BY batch)
+SELECT sum(n)::BIGINT AS n, round(sum(loss * n) / sum(n), 5) AS loss FROM b""")
+def infonce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of an epoch over training pools, the gold answer's search counting half; batches weigh by their size."""
+    chunks, questions, pools = training(spark, sf_dir)
+    asked = questions.join(chunks.select("qid", F.col("v").alias("gold")), "qid")
+    scores = R.scored(pools.withColumn("is_oracle", F.col("kind") == "oracle"), asked, chunks, vector="v")
+    answers = R.scored(pools, asked, chunks, query="gold", vector="v").select("qid", "vid", "idx", F.col("score").alias("answer"))
+    losses = R.pool_loss(scores.join(answers, ["qid", "vid", "idx"]), math.log(0.07), "answer", 0.5)
+    each = R.batches(losses, "qid", 64, seed=4, epoch=2).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"))
+    return each.agg(F.sum("n").alias("n"), F.round(R.mean_loss(each), 5).alias("loss"))
+
+
+@query(f"""WITH {_CHUNKS}, f AS (SELECT qid, list_transform(list_zip(v, t), lambda z: 0.25 * z[1] + 0.75 * z[2]) AS f FROM c)
+SELECT qid, round(f[1] / sqrt(list_dot_product(f, f)), 6) AS first, round(f[64] / sqrt(list_dot_product(f, f)), 6) AS last FROM f""")
 def adapter_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunk_table(spark, sf_dir).select("qid", A.adapted(F.col("v"), F.col("t"), 0.25, 0.75).alias("a"))
     return rows.select("qid", F.round(F.element_at("a", 1), 6).alias("first"), F.round(F.element_at("a", 64), 6).alias("last"))
 
 
-@query(None)
-def adapter_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The low-rank residual over Arrow batches; a fresh one is the identity on the fused vector."""
-    out = A.adapt(chunk_table(spark, sf_dir), A.Residual.fresh(128, 64, 8))
-    return out.select("qid", "vid", "idx", F.round(X.dot(F.col("adapted"), F.col("adapted")), 6).alias("norm2"))
+_COMPONENTS = f"""WITH {_CHUNKS}, f AS (SELECT qid, {S.plus("v", "t")} AS f, t AS q FROM c)
+SELECT qid, i, round(f[i] / sqrt(list_dot_product(f, f)), 6) AS chunk, round(q[i] / sqrt(list_dot_product(q, q)), 6) AS query
+FROM (SELECT *, unnest(range(1, 65)) AS i FROM f)"""
+
+
+def _adapted_components(spark: SparkSession, sf_dir: str, adapter: A.Adapter) -> DataFrame:
+    chunks, questions = _tables(spark, sf_dir)
+    done, asked = A.adapt_cache(chunks, questions, adapter)
+    rows = done.select("qid", "v").join(asked.select("qid", "query"), "qid")
+    each = rows.select("qid", F.posexplode(F.arrays_zip(F.col("v").alias("chunk"), F.col("query").alias("query"))).alias("at", "x"))
+    return each.select("qid", (F.col("at") + 1).cast("bigint").alias("i"), F.round("x.chunk", 6).alias("chunk"), F.round("x.query", 6).alias("query"))
 
 
-@query("WITH h(run, epoch, top1) AS (VALUES ('a',0,0.2),('a',1,0.3),('a',2,0.3),('a',3,0.29),('a',4,0.31),('b',0,0.5),('b',1,0.4),('b',2,0.5)), b AS (SELECT *, coalesce(top1 > max(top1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM h), c AS (SELECT *, max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS best_epoch FROM b) SELECT run, epoch, is_best, best_epoch, epoch - best_epoch >= 2 AS stopped FROM c")
+@query(_COMPONENTS)
+def adapted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache pushed through a new small adapter, by components: its residuals end in zeros, so it is the identity."""
+    return _adapted_components(spark, sf_dir, A.build("small", 64, rank=8))
+
+
+@query(_COMPONENTS)
+def adapted_cache_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adapted_components(spark, sf_dir, A.build("big", 64, hidden=32))
+
+
+@query(f"""WITH {_CHUNKS},
+{S.WITHIN_POOLS},
+a AS (SELECT vid, idx, {S.unit("f")} AS f FROM (SELECT *, {S.plus("v", "t")} AS f FROM c)),
+s AS (SELECT p.qid, p.is_oracle, round(list_dot_product({S.unit("q.q")}, a.f), 6) AS score FROM wp p JOIN a USING (vid, idx) JOIN q0 q ON q.qid = p.qid WHERE p.vid % {HELD_OUT} = 0),
+{S.ranks("r", "s")}
+SELECT {S.METRICS} FROM r""")
+def evaluate_adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An adapted cache scored on the held-out videos' questions, as a frozen one would be."""
+    chunks, questions = _tables(spark, sf_dir)
+    done, asked = A.adapt_cache(chunks, questions, A.build("small", 64, rank=4, freeze_chunks=True))
+    asked = Q.only(asked, chunks.filter(F.col("vid") % HELD_OUT == 0))
+    return R.metrics(R.pessimistic_ranks(R.scored_within(asked, done, vector="v")))
+
+
+_HISTORY = [("a", 0, 0.2), ("a", 1, 0.3), ("a", 2, 0.3), ("a", 3, 0.29), ("a", 4, 0.31), ("b", 0, 0.5), ("b", 1, 0.4), ("b", 2, 0.5)]
+_HISTORY_SQL = "h(run, epoch, top1) AS (VALUES " + ", ".join(map(str, _HISTORY)) + ")"
+
+
+@query(f"""WITH {_HISTORY_SQL},
+b AS (SELECT *, coalesce(top1 > max(top1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM h),
+c AS (SELECT *, max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS best_epoch FROM b)
+SELECT run, epoch, is_best, best_epoch, epoch - best_epoch >= 2 AS stopped FROM c""")
 def early_stop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 0, 0.2), ("a", 1, 0.3), ("a", 2, 0.3), ("a", 3, 0.29), ("a", 4, 0.31), ("b", 0, 0.5), ("b", 1, 0.4), ("b", 2, 0.5)]
-    return A.replay(spark.createDataFrame(rows, "run string, epoch int, top1 double"), 2).select("run", "epoch", "is_best", "best_epoch", "stopped")
+    rows = spark.createDataFrame(_HISTORY, "run string, epoch int, top1 double")
+    return A.replay(rows, 2).select("run", "epoch", "is_best", "best_epoch", "stopped")
+
+
+@query(f"WITH {_HISTORY_SQL} SELECT run, arg_max(epoch, top1 * 1000 - epoch)::INT AS epoch, max(top1)::DOUBLE AS top1 FROM h GROUP BY run")
+def best_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.best_epoch(spark.createDataFrame(_HISTORY, "run string, epoch int, top1 double"))
 
 
-@query(None)
-def query_embeddings_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH h AS (SELECT doc_id, {S.hashed("ws")} AS h FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents))
+SELECT doc_id, i, round(h[i] / greatest(sqrt(list_dot_product(h, h)), 1e-12), 6) AS x FROM (SELECT *, unnest(range(1, 33)) AS i FROM h)""")
+def query_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encoders.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "hash")
-    return rows.select("doc_id", F.round(X.dot(F.col("emb"), F.col("emb")), 6).alias("norm2"))
+    return rows.select("doc_id", F.posexplode("emb").alias("at", "x")).select("doc_id", (F.col("at") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

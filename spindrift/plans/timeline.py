@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.functions import encoders
 from spindrift.functions import expr as X
 from spindrift.operators import timeline as L
+from spindrift.plans import sql as S
 from spindrift.plans.lexical import talk_chunks
 from spindrift.plans.registry import Registry, table
 
@@ -131,4 +134,76 @@ def frame_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.frame_budget(F.col("p_size") * 3.7, 1.0, 128).alias("frames"))
 
 
+@query(f"""WITH {_CUES}, t AS (SELECT *, (start * 1000)::BIGINT AS ms FROM cu)
+SELECT vid, cue_no, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp, round(ms / 1000.0, 3) AS seconds FROM t""")
+def cue_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts as time stamps, and the stamps as seconds again."""
+    rows = cue_table(spark, sf_dir).select("vid", "cue_no", X.stamp_of(F.col("start")).alias("stamp"))
+    return rows.withColumn("seconds", F.round(X.seconds_of(F.col("stamp")), 3))
+
+
+@query(f"""WITH {_CUES},
+m AS (
+  SELECT vid, string_agg(text, ' ' ORDER BY cue_no) AS text
+  FROM (SELECT *, lag(text) OVER (PARTITION BY vid ORDER BY cue_no) AS b FROM cu) WHERE text IS DISTINCT FROM b GROUP BY vid),
+fl AS (SELECT DISTINCT doc_id % 200 AS vid FROM documents)
+SELECT vid, text, text IS NULL AS missing FROM fl LEFT JOIN m USING (vid)""")
+def transcript_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole transcripts of the videos asked for; those without a caption file are counted as missing."""
+    files = table(spark, sf_dir, "documents").select((F.col("doc_id") % 200).alias("vid"))
+    return L.transcripts(files, cue_table(spark, sf_dir))
+
+
+@query(f"""WITH {_VIDEOS}, {_SEGMENT}
+SELECT n.vid, n.duration, n_chunks, oracle_idx FROM n WHERE n_chunks BETWEEN 2 AND 20""")
+def built_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = video_table(spark, sf_dir)
+    kept, _ = L.manifest(videos, videos.select("vid", "start").filter("start IS NOT NULL"), videos.select("vid", "duration"))
+    return kept.select("vid", "duration", F.size("chunks").cast("bigint").alias("n_chunks"), F.col("oracle_idx").cast("bigint").alias("oracle_idx"))
+
+
+_BOTH = """c AS (SELECT conv_id AS vid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, coalesce(text, '') AS text FROM conversations)"""
+_SPLIT = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH {_BOTH},
+w AS (SELECT vid, idx, {_SPLIT} AS ws, [(idx * 60)::VARCHAR, (idx * 60 + 60)::VARCHAR] AS fs FROM c),
+h AS (SELECT vid, idx, {S.hashed("ws")} AS t, {S.hashed("fs")} AS v FROM w)
+SELECT vid, idx, i, round(v[i] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6) AS video, round(t[i] / greatest(sqrt(list_dot_product(t, t)), 1e-12), 6) AS transcript
+FROM (SELECT *, unnest(range(1, 33)) AS i FROM h) WHERE vid % 7 <> 0""")
+def chunk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both towers of a cache built with the stand-in encoder, by components; videos that can't be decoded are left out."""
+    chunks = talk_chunks(spark, sf_dir).select("vid", "idx", (F.col("idx") * 60.0).alias("s"), (F.col("idx") * 60.0 + 60.0).alias("e"), "text")
+
+    def decode(vid: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([None if v % 7 == 0 else [int(a), int(b)] for v, a, b in zip(vid, s, e)], dtype=object)
+
+    made, _ = encoders.encode_chunks(chunks, "hash", decode)
+    each = made.select("vid", "idx", F.posexplode(F.arrays_zip(F.col("v").alias("v"), F.col("t").alias("t"))).alias("at", "x"))
+    return each.select("vid", F.col("idx").cast("bigint").alias("idx"), (F.col("at") + 1).cast("bigint").alias("i"), F.round("x.v", 6).alias("video"), F.round("x.t", 6).alias("transcript"))
+
+
+@query(f"""WITH {_BOTH}, o AS (SELECT vid || '#' || idx AS qid, vid, string_split(text, ' ')[1] AS q, idx FROM c),
+f AS (SELECT qid, vid, 'question' AS query_form, q AS text FROM o UNION ALL SELECT qid, vid, 'question+options', q || ' a b c d' FROM o),
+h AS (SELECT qid, vid, query_form, {S.hashed("ws")} AS h FROM (SELECT *, {_SPLIT} AS ws FROM f))
+SELECT qid, vid, query_form, i, round(h[i] / greatest(sqrt(list_dot_product(h, h)), 1e-12), 6) AS x FROM (SELECT *, unnest(range(1, 33)) AS i FROM h)""")
+def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries encoded in every form; not all questions have a gold answer, so that form is left out as a whole."""
+    rows = talk_chunks(spark, sf_dir)
+    word = F.get(F.split(F.coalesce("text", F.lit("")), " "), F.lit(0))
+    asked = rows.select(F.concat_ws("#", "vid", "idx").alias("qid"), "vid", word.alias("q"), *[F.lit(x).alias(f"a{i}") for i, x in enumerate("abcd")], F.when(F.col("idx") > 0, "a").alias("ans_corr"))
+    made = encoders.encode_queries(asked, "hash")
+    return made.select("qid", "vid", "query_form", F.posexplode("query").alias("at", "x")).select("qid", "vid", "query_form", (F.col("at") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("SELECT p_partkey, 4 AS n_windows, 12 AS n_frames, '0,24,49|50,74,99|100,124,149|150,174,199' AS frames FROM part")
+def frames_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of four windows read in one pass and parted again."""
+    each = [X.window_frame_indices(F.lit(200), F.lit(25.0), F.lit(3), F.lit(2.0 * k), F.lit(2.0 * k + 2)) for k in range(4)]
+    flat, sizes = X.windows_at_once(F.array(*each))
+    rows = table(spark, sf_dir, "part").select("p_partkey", flat.alias("f"), sizes.alias("n"))
+    again = rows.select("p_partkey", F.size("n").alias("n_windows"), F.size("f").alias("n_frames"), X.split_again(F.col("f"), F.col("n")).alias("w"))
+    return again.select("p_partkey", "n_windows", "n_frames", F.array_join(F.transform("w", lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), ",")), "|").alias("frames"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

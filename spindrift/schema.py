@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Limits, bands and names of the data model.
 CHUNK_SECONDS, SLIVER_SECONDS = 60.0, 10.0
 MIN_CHUNKS, MAX_CHUNKS = 2, 20
 #: Pool-size bands, both ends included.
@@ -15,7 +16,6 @@ POOL_TYPES = ("within", "cross")
 MIN_WORDS, MIN_SECONDS = 20, 45.0
 
 
-
 def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 

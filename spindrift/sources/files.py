@@ -50,13 +50,18 @@ def list_media(spark: SparkSession, videos: str, transcripts: str) -> DataFrame:
 _STAMP = r"((?:\d+:)?\d+:\d+\.\d+)"
 
 
-def parse_vtt(files: DataFrame) -> DataFrame:
-    """files (vid, value: whole text) as cues: vid, cue_no, start, end, text without tags."""
-    blocks = files.select("vid", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\s*\n")).alias("cue_no", "block"))
+def raw_cues(files: DataFrame) -> DataFrame:
+    """files (vid, value: whole text) as cues: vid, cue_no, start, end, raw."""
+    blocks = files.select("vid", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[^\S\n]*\n")).alias("cue_no", "block"))
     head = rf"(?s){_STAMP}\s+-->\s+{_STAMP}[^\n]*\n?(.*)"
     cues = blocks.filter(F.col("block").contains("-->"))
     part = lambda i: F.regexp_extract("block", head, i)
-    return cues.select("vid", "cue_no", X.seconds_of(part(1)).alias("start"), X.seconds_of(part(2)).alias("end"), F.regexp_replace(part(3), "<[^>]+>", "").alias("text"))
+    return cues.select("vid", "cue_no", X.seconds_of(part(1)).alias("start"), X.seconds_of(part(2)).alias("end"), part(3).alias("raw"))
+
+
+def parse_vtt(files: DataFrame) -> DataFrame:
+    """files (vid, value: whole text) as cues: vid, cue_no, start, end, text without tags."""
+    return raw_cues(files).withColumn("text", F.regexp_replace("raw", "<[^>]+>", "")).drop("raw")
 
 
 def read_vtt(spark: SparkSession, path: str) -> DataFrame:
@@ -64,17 +69,43 @@ def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     return parse_vtt(spark.read.text(path, wholetext=True).select(name.alias("vid"), "value")).select(*CUE.names)
 
 
+def read_raw_vtt(spark: SparkSession, path: str) -> DataFrame:
+    """vid, cue_no, start, end, raw: cues with their tags, as ``karaoke_words`` takes them."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.vtt$", 1)
+    return raw_cues(spark.read.text(path, wholetext=True).select(name.alias("vid"), "value"))
+
+
 def karaoke_words(cues: DataFrame) -> DataFrame:
     """vid, cue_no, word_no, word, start, end of cues whose raw text times each word by a tag; the last word ends with
-    its cue. cues: vid, cue_no, start, end, raw."""
-    first = F.regexp_extract("raw", r"^([^<]*)", 1)
-    times = F.regexp_extract_all("raw", F.lit(rf"<{_STAMP}>"), F.lit(1))
-    words = F.regexp_extract_all("raw", F.lit(rf"<{_STAMP}>(?:<c[^>]*>)?([^<]*)"), F.lit(2))
-    all_words = F.concat(F.array(first), words)
-    starts = F.concat(F.array(F.col("start")), F.transform(times, X.seconds_of))
-    each = cues.select("vid", "cue_no", "end", starts.alias("s"), F.posexplode(all_words).alias("word_no", "word"))
-    stop = F.coalesce(F.get("s", F.col("word_no") + 1), F.col("end"))
-    return each.select("vid", "cue_no", "word_no", F.trim("word").alias("word"), F.get("s", F.col("word_no")).alias("start"), stop.alias("end")).filter("word <> ''")
+    its cue. cues: vid, cue_no, start, end, raw.
+
+    Of a cue's lines the one with tags is read, since the others repeat what was said before. A cue without tags says a
+    word only where its second line holds one, which then lasts as long as the cue.
+    """
+    lines = F.split("raw", "\n")
+    tagged = F.filter(lines, lambda x: x.rlike(rf"<{_STAMP}>"))
+    plain = F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
+    line = F.when(F.size(tagged) > 0, F.get(tagged, F.lit(0))).otherwise(plain)
+    bare = F.regexp_replace(line, rf"<(?!{_STAMP}>)[^>]*>", "")
+    parts = F.split(bare, r"<(?:\d+:)?\d+:\d+\.\d+>")
+    starts = F.concat(F.array(F.col("start")), F.transform(F.regexp_extract_all("__line", F.lit(rf"<{_STAMP}>"), F.lit(1)), X.seconds_of))
+    rows = cues.withColumn("__line", line).select("vid", "cue_no", "end", starts.alias("s"), parts.alias("parts"))
+    words = F.filter(F.transform("parts", lambda w, i: F.struct(F.trim(w).alias("word"), F.get(F.col("s"), i).alias("at"))), lambda x: x["word"] != "")
+    each = rows.select("vid", "cue_no", "end", words.alias("w")).select("vid", "cue_no", "end", "w", F.posexplode("w").alias("word_no", "x"))
+    stop = F.coalesce(F.get("w", F.col("word_no") + 1)["at"], F.col("end"))
+    return each.select("vid", "cue_no", "word_no", "x.word", F.col("x.at").alias("start"), stop.alias("end"))
+
+
+def timed_words(spark: SparkSession, path: str) -> DataFrame:
+    """vid, cue_no, word_no, word, start, end of caption files: by their tags; a file without any tag, as people upload
+    them, has each cue's words spread evenly."""
+    from spindrift.operators.timeline import spread_words
+
+    cues = read_raw_vtt(spark, path)
+    tagged = cues.groupBy("vid").agg(F.max(F.col("raw").rlike(rf"<{_STAMP}>")).alias("__tagged"))
+    known = cues.join(tagged, "vid")
+    bare = known.filter("NOT __tagged").withColumn("text", F.regexp_replace("raw", "<[^>]+>", ""))
+    return karaoke_words(known.filter("__tagged")).unionByName(spread_words(bare).select("vid", "cue_no", "word_no", "word", "start", "end"))
 
 
 def write_cache(rows: DataFrame, path: str, checkpoint: str, num_frames: int) -> None:
@@ -91,7 +122,9 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT).option("mode", "DROPMALFORMED").json(path)
+    """Results written before. Blank lines are passed over; a malformed one is an error, since a lost result would be
+    answered twice."""
+    return spark.read.schema(RESULT).option("mode", "FAILFAST").json(path)
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
@@ -105,15 +138,43 @@ def new_failures(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.select("id", "artifact"), ["id", "artifact"], "left_anti").dropDuplicates(["id", "artifact"]).withColumn("error", F.substring("error", 1, 500))
 
 
+def append_failures(rows: DataFrame, path: str, spark: SparkSession) -> None:
+    """Failures that the log at ``path`` doesn't hold yet, by id and artifact, go to its end."""
+    known = read_failures(spark, path) if _exists(spark, path) else rows.limit(0)
+    new_failures(rows, known).select("id", "artifact", "reason", "when", "error").write.mode("append").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """subset, split, pos, id of a split file."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "subsets map<string,map<string,array<string>>>").alias("j"))
     return rows.select(F.explode("j.subsets").alias("subset", "m")).select("subset", F.explode("m").alias("split", "ids")).select("subset", "split", F.posexplode("ids").alias("pos", "id"))
 
 
+def write_splits(members: DataFrame, path: str) -> None:
+    """members (subset, split, pos, id) by partition: only the splits and subsets that ``members`` has are written anew, the
+    others at ``path`` stay."""
+    members.select("subset", "split", "pos", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "subset").parquet(path)
+
+
+def read_written_splits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("subset", "split", "pos", "id")
+
+
+def merged_tracks(manual: Column, automatic: Column) -> Column:
+    """Both kinds of caption tracks in one map; the automatic one of a language replaces the manual one."""
+    manual, automatic = F.coalesce(manual, F.create_map().cast("map<string,string>")), F.coalesce(automatic, F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(manual, lambda k, _: ~F.map_contains_key(automatic, k))
+    return F.map_concat(kept, automatic)
+
+
 def english_tracks(tracks: Column) -> Column:
-    """Keys that start with ``en`` of a map of caption tracks, in order."""
-    return F.array_sort(F.filter(F.map_keys(tracks), lambda k: k.startswith("en")))
+    """Keys that start with ``en``, in either case, of a map of caption tracks, in order."""
+    return F.array_sort(F.filter(F.map_keys(tracks), lambda k: F.lower(k).startswith("en")))
 
 
 def status(no_trim: Column, blacklisted: Column, needed: Column, has_video: Column, has_transcript: Column, error: Column) -> Column:
