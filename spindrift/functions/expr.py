@@ -185,8 +185,8 @@ def frame_budget(duration: Column, fps: float, most: int) -> Column:
 
 
 def seconds_of(stamp: Column) -> Column:
-    """``HH:MM:SS.mmm`` or ``MM:SS.mmm`` as seconds."""
-    parts = F.transform(F.split(stamp, ":"), lambda x: x.cast("double"))
+    """``HH:MM:SS.mmm`` or ``MM:SS.mmm`` as seconds; null for what is neither."""
+    parts = F.transform(F.split(stamp, ":"), lambda x: x.try_cast("double"))
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s * 60 + x)
 
 

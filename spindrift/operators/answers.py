@@ -133,7 +133,7 @@ def answer(rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]], bat
                 prepare(str(key[0]))
         except Exception as reason:  # a video that can't be read costs its own questions only
             logging.getLogger(__name__).warning("passed over %s: %s", key[0], reason)
-            return pd.DataFrame({"video": [], "qid": [], "gold": [], "raw": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("video", "qid", "gold", "raw")})
         raw = model(str(key[0]), pdf)
         if len(raw) != len(pdf):
             raise ValueError("one answer per row is needed")

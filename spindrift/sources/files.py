@@ -52,7 +52,7 @@ _STAMP = r"((?:\d+:)?\d+:\d+\.\d+)"
 
 def raw_cues(files: DataFrame) -> DataFrame:
     """files (vid, value: whole text) as cues: vid, cue_no, start, end, raw."""
-    blocks = files.select("vid", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[^\S\n]*\n")).alias("cue_no", "block"))
+    blocks = files.select("vid", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\n+")).alias("cue_no", "block"))
     head = rf"(?s){_STAMP}\s+-->\s+{_STAMP}[^\n]*\n?(.*)"
     cues = blocks.filter(F.col("block").contains("-->"))
     part = lambda i: F.regexp_extract("block", head, i)
