@@ -321,14 +321,3 @@ def test_discovered_identifiers_vouch_for_further_patterns(spark):
     for i, t in enumerate(texts):
         want = [m.span() for m in re.finditer(r"(user|staff)-[0-9]+", t)] if t not in few else []
         assert [(s.start, s.end) for s in rows[i].extra] == want, t
-
-
-def test_the_pipeline_runs_through(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
-    assert 0 < rows.select("doc_id").distinct().count() < 200
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").schema.names == docs.schema.names
