@@ -321,3 +321,12 @@ def test_discovered_identifiers_vouch_for_further_patterns(spark):
     for i, t in enumerate(texts):
         want = [m.span() for m in re.finditer(r"(user|staff)-[0-9]+", t)] if t not in few else []
         assert [(s.start, s.end) for s in rows[i].extra] == want, t
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_rows_are_removed_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(base, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, "b"), (2, None), (2, None), (3, "c")], "doc_id long, text string")
+    gone = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, None), (9, "z")], "doc_id long, text string")
+    assert sorted(map(str, base.without(docs, gone, ["doc_id", "text"]).collect())) == sorted(map(str, docs.filter("(doc_id = 1 AND text = 'b') OR (doc_id IS NULL AND text = 'a') OR doc_id = 3").collect()))
+    assert base.without(docs, gone.limit(0), ["doc_id", "text"]).count() == 7
