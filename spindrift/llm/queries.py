@@ -20,4 +20,5 @@ ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_url_filters": url_filters.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
+    "op5_secret_scan": secret_scan.ORACLE,
 }

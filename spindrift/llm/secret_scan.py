@@ -127,3 +127,44 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(columns, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return scan(docs).mapInArrow(digest, schema)
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: The rules for SQL: kind, what uses up text, what is kept of that; the first three are base kinds.
+_SQL_KEY = _either_case("(password|passwd|secret|token|api_?key)") + r"""["'']?\x20*[:=]\x20*["'']?"""
+_SQL_RULES = (
+    ("assign", _SQL_KEY + "[A-Za-z0-9+/_.=-]+", _SQL_KEY + "[A-Za-z0-9+/_.=-]{6,}"),
+    ("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
+    ("hex", "[0-9a-f]+", "[0-9a-f]{24,}"),
+    ("github", "gh[oprsu]_[A-Za-z0-9]+", "gh[oprsu]_[A-Za-z0-9]{36,}"),
+    ("slack", "xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]*", "xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]{9,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", ".*"),
+)
+#: Each rule cuts the texts at its matches, so a match begins where the parts and matches before it end.
+ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (
+  {cuts}
+), each AS (
+  SELECT r, k, kind, enough, unnest(ms) AS m, unnest(parts[1:len(ms)]) AS part, unnest(range(1, len(ms) + 1)) AS i FROM cut
+), placed AS (
+  SELECT r, k, kind, m, enough, sum(length(part) + length(m)) OVER (PARTITION BY r, k ORDER BY i) - length(m) AS a FROM each
+), spans AS (
+  SELECT r, k, kind, a, kind || ':' || a::BIGINT || ':' || (a + length(m))::BIGINT AS span FROM placed WHERE regexp_full_match(m, enough)
+), joined AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY a, k) FILTER (k <= 2) AS base, string_agg(span, ',' ORDER BY a, k) AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (r)
+""".replace("{cuts}", "\n  UNION ALL ".join(
+    f"SELECT r, {k} AS k, '{kind}' AS kind, '{enough}' AS enough, regexp_extract_all(t, '{used}') AS ms, string_split_regex(t, '{used}') AS parts FROM docs"
+    for k, (kind, used, enough) in enumerate(_SQL_RULES)
+))
