@@ -21,4 +21,5 @@ ORACLES = {
     "op2_url_filters": url_filters.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
+    "op6_sharding": sharding.ORACLE,
 }
