@@ -22,4 +22,5 @@ ORACLES = {
     "op4_decontamination": decontamination.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
     "op6_sharding": sharding.ORACLE,
+    "op8_simhash": simhash.ORACLE,
 }

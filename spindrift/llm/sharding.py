@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.llm.base import read
+from spindrift.llm.xxh64_sql import FINISH, P1, P2, P4, WORD, byte_steps, four_steps, long_hashed, number, start, steps, times, turned
 
 SHARDS = 24
 #: Sub-ranges of a shard within which rows are numbered; no task holds more than one of them.
@@ -77,70 +78,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"))
 
 
-#: The primes and rotations of XXH64, the hash that ``xxhash64`` names (fixed values).
-_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
-_WORD = 1 << 64
-
-
-def _times(x: str, prime: int, plus: int = 0) -> str:
-    return f"(({x}) * {prime}::UHUGEINT + {plus}::UHUGEINT) % {_WORD}::UHUGEINT"
-
-
-def _turned(bits: int, x: str = "h") -> str:
-    return f"({x} * {1 << bits}::UHUGEINT) % {_WORD}::UHUGEINT + {x} // {1 << (64 - bits)}::UHUGEINT"
-
-
-def _steps(rows: str, *steps: str) -> str:
-    """``rows`` with its column h replaced by one step after another."""
-    for step in steps:
-        rows = f"(SELECT * REPLACE (({step})::UHUGEINT AS h) FROM {rows})"
-    return rows
-
-
-_FINISH = (
-    f"xor(h, h // {1 << 33}::UHUGEINT)", _times("h", _P2), f"xor(h, h // {1 << 29}::UHUGEINT)", _times("h", _P3), f"xor(h, h // {1 << 32}::UHUGEINT)",
-)
-
-
-def _long_hashed(rows: str, value: str, seed: str) -> str:
-    """``rows`` with h, the hash of a whole number under ``seed``, which stays where the number is null."""
-    unsigned = f"CASE WHEN {value} < 0 THEN ({value}::HUGEINT + {_WORD})::UHUGEINT ELSE {value}::UHUGEINT END"
-    mixed = _steps(
-        f"(SELECT *, {unsigned} AS h, ({seed})::UHUGEINT AS seed FROM {rows})",
-        _times("h", _P2), _turned(31), _times("h", _P1), f"xor(h, (seed + {_P5 + 8}::UHUGEINT) % {_WORD}::UHUGEINT)", _turned(27), _times("h", _P1, _P4), *_FINISH,
-    )
-    return f"(SELECT * EXCLUDE (h, seed), coalesce(h, seed) AS h FROM {mixed})"
-
-
-def _number(data: bytes) -> int:
-    return int.from_bytes(data, "little")
-
-
-def _byte_steps(byte: str) -> tuple[str, ...]:
-    return f"xor(h, {_times(byte, _P5)})", _turned(11), _times("h", _P1)
-
-
-def _start(size: int) -> str:
-    return f"(h + {_P5 + size}::UHUGEINT) % {_WORD}::UHUGEINT"
-
-
-def _four_steps(data: bytes) -> tuple[str, ...]:
-    return f"xor(h, {_number(data) * _P1 % _WORD}::UHUGEINT)", _turned(23), _times("h", _P2, _P3)
-
-
 #: Names of one digit have seven bytes, those of two have eight, which are hashed as one word.
-_SHORT = _steps(
+_SHORT = steps(
     "(SELECT keys.*, s FROM keys, range(0, 10) AS names(s))",
-    _start(7), *_four_steps(b"shar"), *_byte_steps(f"{ord('d')}::UHUGEINT"), *_byte_steps(f"{ord('-')}::UHUGEINT"), *_byte_steps("(48 + s)::UHUGEINT"), *_FINISH,
+    start(7), *four_steps(f"{number(b'shar')}::UHUGEINT"), *byte_steps(f"{ord('d')}::UHUGEINT"), *byte_steps(f"{ord('-')}::UHUGEINT"), *byte_steps("(48 + s)::UHUGEINT"), *FINISH,
 )
-_EIGHT = f"({_number(b'shard-00')}::UHUGEINT + (s // 10)::UHUGEINT * {1 << 48}::UHUGEINT + (s % 10)::UHUGEINT * {1 << 56}::UHUGEINT)"
-_LONG = _steps(
-    f"(SELECT * EXCLUDE (w), {_turned(31, 'w')} AS w FROM (SELECT keys.*, s, {_times(_EIGHT, _P2)} AS w FROM keys, range(10, {SHARDS + 1}) AS names(s)))",
-    f"xor({_start(8)}, {_times('w', _P1)})", _turned(27), _times("h", _P1, _P4), *_FINISH,
+_EIGHT = f"({number(b'shard-00')}::UHUGEINT + (s // 10)::UHUGEINT * {1 << 48}::UHUGEINT + (s % 10)::UHUGEINT * {1 << 56}::UHUGEINT)"
+_LONG = steps(
+    f"(SELECT * EXCLUDE (w), {turned(31, 'w')} AS w FROM (SELECT keys.*, s, {times(_EIGHT, P2)} AS w FROM keys, range(10, {SHARDS + 1}) AS names(s)))",
+    f"xor({start(8)}, {times('w', P1)})", turned(27), times("h", P1, P4), *FINISH,
 )
-_BUCKET = _steps(
-    _long_hashed("(SELECT * RENAME (h AS of_id) FROM keys)", "size", "of_id"),
-    _start(6), *_four_steps(b"buck"), *_byte_steps(f"{ord('e')}::UHUGEINT"), *_byte_steps(f"{ord('t')}::UHUGEINT"), *_FINISH,
+_BUCKET = steps(
+    long_hashed("(SELECT * RENAME (h AS of_id) FROM keys)", "size", "of_id"),
+    start(6), *four_steps(f"{number(b'buck')}::UHUGEINT"), *byte_steps(f"{ord('e')}::UHUGEINT"), *byte_steps(f"{ord('t')}::UHUGEINT"), *FINISH,
 )
 ORACLE = f"""
 WITH polynomial AS (
@@ -155,9 +105,9 @@ WITH polynomial AS (
     lambda c, x: xor(crcs[xor(c % 256, x) + 1], c // 256)
   ))::BIGINT AS text_crc32 FROM rows, polynomial
 ), keys AS (
-  SELECT * FROM {_long_hashed("sums", "doc_id", "42")}
+  SELECT * FROM {long_hashed("sums", "doc_id", "42")}
 ), scores AS (
-  SELECT r, s, CASE WHEN h >= {_WORD // 2}::UHUGEINT THEN h::HUGEINT - {_WORD} ELSE h::HUGEINT END AS score
+  SELECT r, s, CASE WHEN h >= {WORD // 2}::UHUGEINT THEN h::HUGEINT - {WORD} ELSE h::HUGEINT END AS score
   FROM (SELECT r, s, h FROM {_SHORT} UNION ALL SELECT r, s, h FROM {_LONG})
 ), places AS (
   SELECT r, arg_max(s, score) FILTER (s < {SHARDS})::INTEGER AS shard, arg_max(s, score)::INTEGER AS grown_shard FROM scores GROUP BY r

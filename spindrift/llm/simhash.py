@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.base import checkpointed, read, scan_texts, text_key, without
+from spindrift.llm.xxh64_sql import text_hashes
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Groups of a variant larger than this are cut once more, by variants of their other segment.
@@ -238,3 +239,30 @@ def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+ORACLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT r, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)
+), texts AS (
+  SELECT DISTINCT g FROM grams
+), {text_hashes("texts", SEED)}, counts AS (
+  SELECT r, count(*) AS n, {", ".join(f"sum((h::UBIGINT >> {b}) & 1) AS b{b}" for b in range(64))} FROM grams JOIN hashed USING (g) GROUP BY r
+), fingerprints AS (
+  SELECT r, doc_id, coalesce({" + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))}, 0)::UBIGINT AS fp FROM docs LEFT JOIN counts USING (r)
+), nodes AS (
+  SELECT fp, min(doc_id) AS least FROM fingerprints GROUP BY fp
+), links AS (
+  SELECT a.fp AS u, b.fp AS v FROM nodes AS a JOIN nodes AS b ON bit_count(xor(a.fp, b.fp)) <= {BITS}
+), reached AS (
+  SELECT fp AS u, fp AS v FROM nodes
+  UNION SELECT reached.u, links.v FROM reached JOIN links ON reached.v = links.u
+), components AS (
+  SELECT u AS fp, min(least) AS component_id FROM reached JOIN nodes ON nodes.fp = reached.v GROUP BY u
+)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM fingerprints JOIN components USING (fp)
+"""
