@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+erf = np.frompyfunc(math.erf, 1, 1)
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _erf(x / math.sqrt(2)).astype(float))
+    return 0.5 * x * (1 + erf(x / math.sqrt(2)).astype(float))
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import encoders
 from spindrift.functions import expr as X
 from spindrift.operators import adapter as A
+from spindrift.operators import training as TR
 from spindrift.operators import answers as Q
 from spindrift.operators import retrieval as R
 from spindrift.plans import sql as S
@@ -308,6 +309,25 @@ def infonce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.sum("n").alias("n"), F.round(R.mean_loss(each), 5).alias("loss"))
 
 
+@query(f"""WITH {_TRAINING},
+f AS (SELECT p.qid, kind = 'oracle' AS o, q.q, d.v, d.t, {S.plus("d.v", "d.t")} AS f FROM tp p JOIN c d ON d.vid = p.vid AND d.idx = p.idx JOIN q0 q ON q.qid = p.qid),
+n AS (SELECT *, sqrt(list_dot_product(q, q)) AS nq, sqrt(list_dot_product(f, f)) AS nf FROM f),
+u AS (SELECT *, list_dot_product(q, f) / (nq * nf) AS u, u / 0.07 AS l FROM n),
+s AS (SELECT *, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY qid) - CASE WHEN o THEN 1 ELSE 0 END AS s FROM (SELECT *, max(l) OVER (PARTITION BY qid) AS m FROM u))
+SELECT count(*) FILTER (o) AS n, round(-sum(ln(s + 1)) FILTER (o) / n, 5) AS loss,
+  round(sum(s / 0.07 * (list_dot_product(q, v) / (nq * nf) - u * list_dot_product(f, v) / (nf * nf))) / n, 5) AS alpha,
+  round(sum(s / 0.07 * (list_dot_product(q, t) / (nq * nf) - u * list_dot_product(f, t) / (nf * nf))) / n, 5) AS beta,
+  round(-sum(s * l) / n, 5) AS log_temperature
+FROM s""")
+def training_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean loss and slopes of a new adapter over the third epoch's pools: what the training loop's first step would see
+    if all questions were one batch."""
+    chunks, questions, pools = training(spark, sf_dir)
+    n, loss, g = TR.summed(TR.gathered(pools, questions, chunks), A.build("small", 64, rank=8))
+    row = (n, round(loss / n, 5), *(round(float(g[k]) / n, 5) for k in ("alpha", "beta", "log_temperature")))
+    return spark.createDataFrame([row], "n bigint, loss double, alpha double, beta double, log_temperature double")
+
+
 @query(f"""WITH {_CHUNKS}, f AS (SELECT qid, list_transform(list_zip(v, t), lambda z: 0.25 * z[1] + 0.75 * z[2]) AS f FROM c)
 SELECT qid, round(f[1] / sqrt(list_dot_product(f, f)), 6) AS first, round(f[64] / sqrt(list_dot_product(f, f)), 6) AS last FROM f""")
 def adapter_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
