@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.checkpoints import checkpoint_folder, checkpointed  # noqa: F401  the operators take them from here
+
 _ARROW = {
     "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(),
     "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
@@ -18,30 +19,14 @@ _ARROW = {
 
 #: Rows of ids and hashes that are broadcast at most: some 100 MB in an executor.
 BROADCAST_ROWS = 1 << 20
+#: A key of more than one in so many rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session (tests) gets a temporary one; a
-    cluster, whose machines share no local folders, is an error."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, with its lineage cut."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into parts whose ``text`` column has about ``size`` bytes (one row at least), which bounds what a
     Python worker holds."""
@@ -95,6 +80,19 @@ def text_key() -> F.Column:
     return F.xxhash64("text")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per ``key`` and in ``n`` at least the number of its rows.
+
+    Hot keys, fewer than HOT_SHARE, are broadcast, so their rows stay in the tasks that hold them; the others are dealt
+    by the key.
+    """
+    table = checkpointed(table)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col("n") * HOT_SHARE > total).drop("n"))
+    others = rows.join(hot, list(key), "left_anti").join(table.drop("n"), list(key))
+    return rows.join(hot, list(key)).unionByName(others)
+
+
 def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import decontamination, packing, pii, quality_gam, quality_rules, secret_scan, sharding, simhash, toxicity, url_filters
+from spindrift.llm import clustering, decontamination, divergence, mixing, packing, pii, quality_gam, quality_rules, secret_scan, sharding, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_gam": quality_gam.op9_quality_gam,
     "op10_pii": pii.op10_pii,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_clustering": clustering.op12_clustering,
+    "op13_mixing": mixing.op13_mixing,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_secret_scan": secret_scan.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op8_simhash": simhash.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_clustering": clustering.ORACLE,
 }

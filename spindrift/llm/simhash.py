@@ -17,14 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.base import checkpointed, read, scan_texts, text_key, without
+from spindrift.llm.base import checkpointed, looked_up, read, scan_texts, text_key, without
 from spindrift.llm.xxh64_sql import text_hashes
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Groups of a variant larger than this are cut once more, by variants of their other segment.
 HOT_GROUP = 100_000
-#: A key of more than one in so many rows is hot; there are fewer such keys than this.
-HOT_SHARE = 1000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int]:
@@ -135,7 +133,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     hot = checkpointed(hot)
     if not hot.isEmpty():
         # within such a group the other segment differs by 3 bits at most: of its halves one differs by at most one
-        hot_keys = hot.select(F.explode(F.expr(f"transform(sequence(0, 31), bit -> {_variant('value', 'bit', 'tag').replace('cast(tag AS bigint)', 'cast(tag AS bigint)')})")).alias("key")).distinct()
+        hot_keys = hot.select(F.explode(F.expr(f"transform(sequence(0, 31), bit -> {_variant('value', 'bit', 'tag')})")).alias("key")).distinct()
         large = keyed.join(hot_keys, "key", "left_semi").select("fp", "key", "other", F.explode(F.expr("sequence(0, 31)")).alias("b"))
         half = "if(b < 16, (shiftright(other, 16) & 65535L) & ~shiftleft(1L, b), (other & 65535L) & ~shiftleft(1L, b - 16))"
         finer = large.select(F.expr(f"xxhash64(key, b, {half})").alias("key"), "fp")
@@ -156,11 +154,11 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        star = _looked_up(both.filter("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        star = looked_up(both.filter("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # now a < b; each b hands its smaller neighbours to the smallest of them
         star = checkpointed(star.filter("a <> b").distinct())
         first = star.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _looked_up(star, first, "b").select(F.col("m").alias("u"), F.col("a").alias("v")).filter("u <> v")
+        small = looked_up(star, first, "b").select(F.col("m").alias("u"), F.col("a").alias("v")).filter("u <> v")
         after = checkpointed(small.unionByName(first.select(F.col("m").alias("u"), F.col("b").alias("v"))).distinct())
         again = _mark(after)
         now = after
@@ -172,19 +170,6 @@ def components(edges: DataFrame) -> DataFrame:
     return out.unionByName(roots)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined to ``table``, which has one row per ``key`` and in ``n`` at least the number of its rows.
-
-    Hot keys, fewer than HOT_SHARE, are broadcast, so their rows stay in the tasks that hold them; the others are dealt
-    by the key.
-    """
-    table = checkpointed(table)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(table.filter(F.col("n") * HOT_SHARE > total).drop("n"))
-    others = rows.join(hot, key, "left_anti").join(table.drop("n"), key)
-    return rows.join(hot, key).unionByName(others)
-
-
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
@@ -210,9 +195,9 @@ def _grouped(rows: DataFrame, bits: int) -> DataFrame:
     linked = checkpointed(components(links(distinct.select("fp"), bits)))
     members = linked.join(distinct.select(F.col("fp").alias("node"), "least"), "node")
     named = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    of_linked = _looked_up(linked, named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    of_linked = looked_up(linked, named, "root").select(F.col("node").alias("fp"), "root", "component_id")
     of_all = distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return _looked_up(rows, of_all, "fp")
+    return looked_up(rows, of_all, "fp")
 
 
 def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -229,7 +214,7 @@ def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed
     gone = found.filter("doc_id <> component_id").select("doc_id", "__row_key")
     if many.isEmpty():
         return without(keyed, gone.distinct(), ["doc_id", "__row_key"]).drop("__row_key")
-    gone = gone.unionByName(_looked_up(least, many, "root").filter("__row_key <> first").select("doc_id", "__row_key"))
+    gone = gone.unionByName(looked_up(least, many, "root").filter("__row_key <> first").select("doc_id", "__row_key"))
     kept = without(keyed, gone.distinct(), ["doc_id", "__row_key"])
     order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
     one = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "__row_key").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))

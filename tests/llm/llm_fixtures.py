@@ -17,3 +17,21 @@ def words(text):
     import re
 
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def vector_rows():
+    """(vec_id, vector): 64 components and others, nulls, non-finite ones, copies, ties and null ids."""
+    import random
+
+    rng = random.Random(8)
+    spread = [[rng.gauss(0, 0.4) for _ in range(64)] for _ in range(150)]
+    near = [[x + rng.gauss(0, 0.01) for x in spread[k % 5]] for k in range(120)]
+    odd = [None, [], [0.5] * 63, [0.5] * 65, [None] + [0.5] * 63, [float("nan")] + [0.0] * 63, [float("inf")] * 64, [-0.001] * 64, [0.0] * 64, [-0.0] * 64]
+    rows = list(enumerate(spread + near + odd)) + [(5000 + i, spread[7]) for i in range(90)]
+    return rows + [(None, spread[1]), (None, spread[2]), (3, spread[3]), (3, spread[4]), (9, [1e30] * 64)]
+
+
+def good_vector(v):
+    import math
+
+    return v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from llm_fixtures import ODD, lower, words
+from llm_fixtures import ODD, good_vector, lower, vector_rows, words
 from test_operators import brute_components, brute_fingerprint, contract_secrets
 from test_packing import PATH, check_rows, library_ids
 from tokenizers import Tokenizer
@@ -36,6 +36,7 @@ def folder(spark, tmp_path_factory):
     tables = {
         "documents": spark.createDataFrame(rows, DOCUMENTS), "benchmark": spark.createDataFrame(items, "item_id bigint, text string, h string"),
         "labels": spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, y string"), "pages": spark.createDataFrame(pages, "page_id bigint, url string, host string, verdict string"),
+        "embeddings": spark.createDataFrame([(*r, 1, "n", "c") for r in vector_rows()], "vec_id bigint, embedding array<float>, label int, n string, cluster string"),
     }
     at = tmp_path_factory.mktemp("tables")
     for name, df in tables.items():
@@ -50,6 +51,10 @@ def test_a_row_for_each_row_and_none_for_none(spark, folder, name):
     rows = QUERIES[name](spark, f"{at}/odd").collect()
     if name == "op2_url_filters":
         assert len(rows) == 13
+    elif name == "op11_divergence":
+        assert {(r.lang, r.source) for r in rows} == {("", ""), ("", "s"), ("en", ""), ("en", "s")}
+    elif name == "op12_clustering":
+        assert Counter(r.vec_id for r in rows) == Counter(i for i, v in vector_rows() if good_vector(v))
     elif name == "op3_packing":
         assert {r.doc_id for r in rows} == {i for i, _ in docs}
     else:
@@ -63,7 +68,7 @@ def test_queries_equal_their_sql_on_odd_rows(spark, folder, name):
 
     at, _ = folder
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/odd/{t}.parquet/*.parquet')")
     found = con.execute(ORACLES[name])
     columns = [c[0] for c in found.description]
