@@ -1,28 +1,36 @@
 """The training loop of adapters: contrastive loss over redrawn pools, AdamW, early stop on held-out videos.
 
-A step is one Spark job: tasks sum the gradients of a batch's questions, and only sums, as large as the model, come to
-the driver, which moves the parameters. Vectors of an epoch's pools are gathered once, a row for each question.
+An epoch is one Spark job, a barrier stage: each task holds its part of every batch and reads it once; after each batch
+the tasks hand one another their summed slopes and all move the same parameters. A part of a batch is dictionary-encoded:
+its distinct chunk vectors once, and each question's pool as positions into them, so a chunk passes the adapter once a
+part, however many pools it is in. The state after an epoch, moments included, can be kept and taken up again.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import replace
+from copy import deepcopy
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.operators import retrieval as R
 from spindrift.operators.adapter import Adapter, Deep, Residual, adapt_cache, erf, gelu
 from spindrift.operators.answers import fit_rows, only
+from spindrift.sources.publish import current, publish, published
 
 #: A temperature does not fall below this.
 COLDEST = 0.01
-#: Tasks that share a step; each returns sums as large as the model.
+#: Tasks that share an epoch.
 PARTS = 8
 
 Gradient = dict[str, np.ndarray]
@@ -74,34 +82,47 @@ def _normed(x: np.ndarray):
     return u, lambda g: (g - u * (g * u).sum(axis=1, keepdims=True)) / size
 
 
-def gradients(
-    adapter: Adapter, queries: np.ndarray, videos: np.ndarray, texts: np.ndarray, sizes: np.ndarray, weight: float = 1.0, dropout: float = 0.0,
+def pooled_gradients(
+    adapter: Adapter, queries: np.ndarray, videos: np.ndarray, texts: np.ndarray, pools: list[np.ndarray], weights: np.ndarray | float = 1.0, dropout: float = 0.0,
     rng: np.random.Generator | None = None,
 ) -> tuple[float, Gradient]:
-    """The summed loss of questions and its gradient by parameter name. A question's pool is ``sizes`` rows of ``videos``
-    and ``texts``, one pool after another, the oracle first."""
-    of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    """The summed loss of questions and its gradient by parameter name. A question's pool is an array of places in
+    ``videos`` and ``texts``, the oracle first. Each vector passes the adapter once; what its pools make of its slope is
+    added up by place before it goes back."""
+    sizes = np.array([len(p) for p in pools])
+    of, first, at = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes, np.concatenate(pools)
+    weights = np.broadcast_to(np.asarray(weights, float), len(sizes))
     added, back_q = _through(adapter.query, queries, dropout, rng)
     q, into_q = _normed(queries + added)
     added, back_c = _through(adapter.chunk, np.hstack([videos, texts]), dropout, rng)
     c, into_c = _normed(adapter.alpha * videos + adapter.beta * texts + added)
     warm = math.exp(adapter.log_temperature)
     t = max(warm, COLDEST)
-    logits = (c * q[of]).sum(axis=1) / t
+    logits = np.einsum("ij,ij->i", c[at], q[of]) / t
     most = np.maximum.reduceat(logits, first)
     e = np.exp(logits - most[of])
     total = np.add.reduceat(e, first)
-    loss = float((np.log(total) + most - logits[first]).sum()) * weight
+    loss = float(((np.log(total) + most - logits[first]) * weights).sum())
     slope = e / total[of]
     slope[first] -= 1
-    slope *= weight
-    to_q = into_q(np.add.reduceat(c * slope[:, None], first, axis=0) / t)
-    to_c = into_c(q[of] * slope[:, None] / t)
+    slope *= weights[of]
+    to_q = into_q(np.add.reduceat(c[at] * slope[:, None], first, axis=0) / t)
+    scattered = np.zeros_like(c)
+    np.add.at(scattered, at, q[of] * slope[:, None] / t)
+    to_c = into_c(scattered)
     out = {"alpha": (to_c * videos).sum(), "beta": (to_c * texts).sum(), "log_temperature": -(slope * logits).sum() if warm > COLDEST else 0.0}
     out |= {f"query.{n}": g for n, g in back_q(to_q).items()} | {f"chunk.{n}": g for n, g in back_c(to_c).items()}
     return loss, {n: np.asarray(g, float) for n, g in out.items() if n.split(".")[0] not in adapter.frozen}
 
 
+def gradients(
+    adapter: Adapter, queries: np.ndarray, videos: np.ndarray, texts: np.ndarray, sizes: np.ndarray, weight: float = 1.0, dropout: float = 0.0,
+    rng: np.random.Generator | None = None,
+) -> tuple[float, Gradient]:
+    """The same where no pools share vectors: a question's pool is ``sizes`` rows, one pool after another."""
+    return pooled_gradients(adapter, queries, videos, texts, np.split(np.arange(len(videos)), np.cumsum(sizes)[:-1]), weight, dropout, rng)
+
+
 def _values(adapter: Adapter) -> Gradient:
     return {n: np.array(v, float).reshape(shape) for n, shape, v in adapter.numbers() if n.split(".")[0] not in adapter.frozen}
 
@@ -138,50 +159,176 @@ class AdamW:
         return out
 
 
-def gathered(pools: DataFrame, questions: DataFrame, chunks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """qid, query, ``extra`` and ``pool``, an array of the pool's (v, t), the oracle first: a row for each question. A pool
-    has ``n_easy`` chunks and those of one video, so the arrays are bounded."""
-    rows = pools.join(chunks.select("vid", "idx", "v", "t"), ["vid", "idx"])
-    one = F.struct((F.col("kind") != "oracle").alias("other"), "vid", "idx", "v", "t")
-    sorted_rows = rows.select("qid", one.alias("x")).groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    pool = sorted_rows.select("qid", F.expr("transform(x, e -> struct(e.v AS v, e.t AS t))").alias("pool"))
-    return pool.join(questions.filter("query IS NOT NULL").select("qid", "query", *extra), "qid")
+@dataclass
+class Progress:
+    """A run after some epochs: what is needed to go on as if it had never stopped."""
+
+    adapter: Adapter
+    move: AdamW
+    epoch: int = 0
+    best: Adapter | None = None
+    best_top1: float = -1.0
+    best_epoch: int = -1
+    history: list[tuple] = field(default_factory=list)
+
+
+def _numbers(**tables: Gradient) -> list[tuple]:
+    return [(table, name, list(np.shape(x)), np.ravel(x).tolist()) for table, own in tables.items() for name, x in own.items()]
+
+
+def _all_values(adapter: Adapter) -> Gradient:
+    return {n: np.array(v, float).reshape(shape) for n, shape, v in adapter.numbers()}
+
+
+def write_progress(spark: SparkSession, progress: Progress, path: str) -> None:
+    """Parameters, the best ones, both moments and the history, published as one version."""
+    best = progress.best or progress.adapter
+    rows = _numbers(parameters=_all_values(progress.adapter), best=_all_values(best), first=progress.move.first, second=progress.move.second)
+    rows.append(("run", "state", [5], [float(x) for x in (progress.move.t, progress.epoch, progress.best_top1, progress.best_epoch, progress.best is not None)]))
+
+    def write(folder: str) -> None:
+        spark.createDataFrame(rows, "part string, name string, shape array<int>, values array<double>").coalesce(1).write.parquet(f"{folder}/state")
+        spark.createDataFrame(progress.history, HISTORY).coalesce(1).write.parquet(f"{folder}/history")
+
+    publish(spark, path, write)
+
+
+def read_progress(spark: SparkSession, path: str, adapter: Adapter, rate: float, decay: float) -> Progress | None:
+    """The run published at ``path``, if any; ``adapter`` gives the shape, which must be the run's own."""
+    if not published(spark, path):
+        return None
+    folder, parts = current(spark, path), {}
+    for r in spark.read.parquet(f"{folder}/state").collect():  # the numbers of one model, four times
+        parts.setdefault(r.part, {})[r.name] = np.array(r["values"], float).reshape(r.shape)
+    shapes = {n: x.shape for n, x in _all_values(adapter).items()}
+    if {n: x.shape for n, x in parts["parameters"].items()} != shapes:
+        raise ValueError(f"{path} holds a run of another adapter")
+    t, epoch, best_top1, best_epoch, any_best = parts["run"]["state"].tolist()
+    move = AdamW(rate, decay)
+    move.t, move.first, move.second = int(t), parts.get("first", {}), parts.get("second", {})
+    history = [tuple(r) for r in spark.read.parquet(f"{folder}/history").orderBy("epoch").collect()]
+    best = _moved(adapter, parts["best"]) if any_best else None
+    return Progress(_moved(adapter, parts["parameters"]), move, int(epoch), best, best_top1, int(best_epoch), history)
+
+
+def dictionary(pools: DataFrame, order: DataFrame, keys: tuple[str, ...] = ("batch",)) -> tuple[DataFrame, DataFrame]:
+    """A batch's distinct chunks and its pools as places among them.
+
+    ``pools``: qid, vid, idx, kind; ``order``: qid and ``keys``, which tell batches (or their parts) apart. The first
+    table (``keys``, place, vid, idx) numbers the distinct chunks of each by (vid, idx) from 0; the second (``keys``,
+    qid, positions) has each question's pool, the oracle first, the others by place. A batch holds so many questions,
+    and a pool the easy chunks and those of one video, so both are bounded by those sizes.
+    """
+    members = pools.select("qid", "vid", "idx", (F.col("kind") != "oracle").alias("other")).join(order.select("qid", *keys), "qid")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("vid", "idx")) - 1
+    distinct = members.select(*keys, "vid", "idx").distinct().withColumn("place", place)
+    placed = members.join(distinct, [*keys, "vid", "idx"])
+    positions = F.transform(F.sort_array(F.collect_list(F.struct("other", "place"))), lambda x: x["place"])
+    return distinct, placed.groupBy(*keys, "qid").agg(positions.alias("positions"))
+
+
+def encoded(pools: DataFrame, order: DataFrame, questions: DataFrame, chunks: DataFrame, extra: tuple[str, ...] = (), keys: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """``keys``, vectors (v, t by place), asked (qid, positions, query, ``extra``, by qid): a row for each part of a batch.
+
+    Only distinct chunks meet their vectors. Questions without a query are left out.
+    """
+    asked = questions.filter("query IS NOT NULL").select("qid", "query", *extra)
+    distinct, positions = dictionary(pools.join(asked.select("qid"), "qid", "left_semi"), order, keys)
+    vectors = distinct.join(chunks.select("vid", "idx", "v", "t"), ["vid", "idx"])
+    vectors = vectors.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "v", "t"))).alias("vectors"))
+    rows = positions.join(asked, "qid").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("qid", "positions", "query", *extra))).alias("asked"))
+    return vectors.join(rows, list(keys))
+
+
+def _stacked(values: list) -> np.ndarray:
+    return np.array(values, float)
+
+
+def _batch_gradient(adapter: Adapter, vectors: list[dict], asked: list[dict], answer_weight: float, dropout: float, seed: str) -> tuple[int, float, Gradient]:
+    """Of a part of a batch: how many questions, their loss and its gradient; the answers' search, where it has a weight,
+    is a question of its own over the same pool."""
+    at = {x["place"]: i for i, x in enumerate(vectors)}
+    v, t = (_stacked([x[k] for x in vectors]) for k in ("v", "t"))
+    pools = [np.array([at[p] for p in a["positions"]]) for a in asked]
+    queries, weights = [a["query"] for a in asked], [1.0] * len(asked)
+    for a, pool in zip(asked, list(pools)):
+        if answer_weight and a["answer"] is not None:
+            queries.append(a["answer"])
+            weights.append(answer_weight)
+            pools.append(pool)
+    rng = np.random.default_rng(zlib.crc32(seed.encode())) if dropout else None
+    loss, g = pooled_gradients(adapter, _stacked(queries), v, t, pools, np.array(weights), dropout, rng)
+    return len(asked), loss, g
 
 
 def summed(rows: DataFrame, adapter: Adapter, answer_weight: float = 0.0, dropout: float = 0.0, seed: int = 0) -> tuple[int, float, Gradient]:
-    """Of ``rows`` (see ``gathered``; with ``answer`` where its weight isn't 0): how many, their loss and its gradient."""
+    """Of ``rows`` (see ``encoded``): how many questions, their loss and its gradient."""
     sent = rows.sparkSession.sparkContext.broadcast(adapter)
     names = list(_values(adapter))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, loss, total = 0, 0.0, {}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.sort_values("qid").itertuples():
-                v, t = (np.stack([np.asarray(c[k], float) for c in row.pool]) for k in ("v", "t"))
-                asked = [(row.query, 1.0)]
-                if answer_weight and row.answer is not None:
-                    asked.append((row.answer, answer_weight))
-                for k, (q, weight) in enumerate(asked):
-                    rng = np.random.default_rng(zlib.crc32(f"{seed}|{row.qid}|{k}".encode())) if dropout else None
-                    one, g = gradients(sent.value, np.asarray(q, float)[None, :], v, t, np.array([len(v)]), weight, dropout, rng)
-                    loss += one
-                    for name in names:
-                        total[name] = total.get(name, 0.0) + g[name]
-                n += 1
-        if n:
-            yield pd.DataFrame({"n": [n], "loss": [loss], "g": [np.concatenate([np.ravel(total[m]) for m in names]).tobytes()]})
-
-    parts = rows.mapInPandas(work, "n bigint, loss double, g binary").collect()
+            for row in batch.to_pylist():
+                n, loss, g = _batch_gradient(sent.value, row["vectors"], row["asked"], answer_weight, dropout, f"{seed}|{row.get('batch')}|{row.get('part')}")
+                yield pa.RecordBatch.from_pydict({"n": [n], "loss": [loss], "g": [np.concatenate([np.ravel(g[m]) for m in names]).tobytes()]})
+
+    parts = rows.mapInArrow(work, "n bigint, loss double, g binary").collect()
     shapes = _values(adapter)
     flat = np.sum([np.frombuffer(r.g) for r in parts], axis=0) if parts else np.zeros(sum(x.size for x in shapes.values()))
+    return sum(r.n for r in parts), math.fsum(r.loss for r in parts), _unflat(flat, shapes)
+
+
+def _unflat(flat: np.ndarray, shapes: Gradient) -> Gradient:
     cuts = np.cumsum([x.size for x in shapes.values()])[:-1]
-    gradient = {n: part.reshape(x.shape) for (n, x), part in zip(shapes.items(), np.split(flat, cuts))}
-    return sum(r.n for r in parts), math.fsum(r.loss for r in parts), gradient
+    return {n: part.reshape(x.shape) for (n, x), part in zip(shapes.items(), np.split(flat, cuts))}
+
+
+def run_epoch(rows: DataFrame, parts: int, batches: int, progress: Progress, answer_weight: float = 0.0, dropout: float = 0.0, seed: int = 0) -> tuple[int, float]:
+    """One epoch as one job, which moves ``progress``; how many questions it met, and their loss.
+
+    ``rows`` (batch, part, vectors, asked), see ``encoded``. Task p of a barrier stage reads the rows of part p, batch by
+    batch, and holds one at a time. After each batch all tasks gather one another's sums and make the same step, so the
+    parameters never leave them; the first one returns where they are at the end. A lost task repeats the stage, which
+    begins with the epoch's first parameters.
+    """
+    adapter, move, shapes = progress.adapter, progress.move, _values(progress.adapter)
+    sent = rows.sparkSession.sparkContext.broadcast((adapter, move))
+
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        now, step = sent.value[0], deepcopy(sent.value[1])
+        waiting = (row for batch in arrived for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist())
+        row, n_all, loss_all = next(waiting, None), 0, 0.0
+        for k in range(batches):
+            n, loss, flat = 0, 0.0, np.zeros(sum(x.size for x in shapes.values()))
+            while row is not None and row["batch"] == k:
+                m, own, g = _batch_gradient(now, row["vectors"], row["asked"], answer_weight, dropout, f"{seed}|{k}|{row['part']}")
+                n, loss, flat = n + m, loss + own, flat + np.concatenate([np.ravel(g[name]) for name in shapes])
+                row = next(waiting, None)
+            told = [struct.unpack("<qd", base64.b64decode(x[:24])) + (x[24:],) for x in context.allGather(base64.b64encode(struct.pack("<qd", n, loss)).decode() + (base64.b64encode(flat.tobytes()).decode() if n else ""))]
+            met = sum(x[0] for x in told)
+            if met:
+                total = np.sum([np.frombuffer(base64.b64decode(x[2])) for x in told if x[0]], axis=0)
+                now = _moved(now, step(_values(now), {name: g / met for name, g in _unflat(total, shapes).items()}))
+            n_all, loss_all = n_all + met, loss_all + math.fsum(x[1] for x in told)
+        if context.partitionId() == 0:
+            flat = [np.concatenate([np.ravel(table[name]) for name in shapes]).tobytes() if table else b"" for table in (_values(now), step.first, step.second)]
+            yield pa.RecordBatch.from_pydict(dict(zip(("n", "loss", "t", "values", "first", "second"), ([x] for x in (n_all, loss_all, step.t, *flat)))))
+
+    dealt = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("batch", "part")
+    (out,) = dealt.mapInArrow(work, "n bigint, loss double, t bigint, values binary, first binary, second binary", barrier=True).collect()
+    read = lambda raw: _unflat(np.frombuffer(raw), shapes) if raw else {}
+    progress.adapter = _moved(adapter, read(out["values"]))
+    move.t, move.first, move.second = out.t, read(out.first), read(out.second)
+    return out.n, out.loss
+
+
+HISTORY = "run string, epoch int, loss double, top1 double"
 
 
 def train(
     adapter: Adapter, chunks: DataFrame, questions: DataFrame, dev_videos: DataFrame, epochs: int = 30, batch: int = 64, rate: float = 1e-4, decay: float = 0.01,
-    n_easy: int = 256, patience: int = 5, answer_weight: float = 0.0, dropout: float = 0.0, seed: int = 0, run: str = "run",
+    n_easy: int = 256, patience: int = 5, answer_weight: float = 0.0, dropout: float = 0.0, seed: int = 0, run: str = "run", path: str | None = None, parts: int = PARTS,
 ) -> tuple[Adapter, DataFrame]:
     """The adapter of the best epoch, and its history (run, epoch, loss, top1).
 
@@ -189,27 +336,32 @@ def train(
     weight. Questions of ``dev_videos`` are held out, and their videos give no easy negatives; an epoch is best if its
     top1 on them is strictly above all before it, and ``patience`` epochs without one end the run. Without questions to
     learn from, or to be held out, it is an error.
+
+    With ``path`` the state is published there after each epoch, and a run that finds one goes on after it, to the same
+    numbers. ``parts`` tasks run at once, no more than the cluster has cores; all of a step's sums pass the driver, which
+    limits the model to some millions of parameters.
     """
+    spark = chunks.sparkSession
     fit, dev = fit_rows(questions, dev_videos), only(questions, dev_videos).filter("query IS NOT NULL")
     if fit.filter("query IS NOT NULL").isEmpty() or dev.isEmpty():
         raise ValueError("questions to learn from and held-out ones are needed")
-    move, best, history = AdamW(rate, decay), (-1.0, -1, adapter), []
+    parts = min(parts, spark.sparkContext.defaultParallelism)
+    progress = (path and read_progress(spark, path, adapter, rate, decay)) or Progress(adapter, AdamW(rate, decay))
     extra = ("answer",) if answer_weight else ()
-    for epoch in range(epochs):
+    part = F.pmod(F.xxhash64("qid"), F.lit(parts)).alias("part")
+    while progress.epoch < epochs and (progress.best_epoch < 0 or progress.epoch - 1 - progress.best_epoch < patience):
+        epoch = progress.epoch
         pools = R.training_pools(fit, chunks, n_easy, seed, epoch, dev_videos)
-        order = R.batches(fit.select("qid"), "qid", batch, seed, epoch)
-        rows = gathered(pools, fit, chunks, extra).join(order, "qid").repartition(PARTS, "qid").persist()
-        n_all, loss_all = 0, 0.0
-        for k in [r.batch for r in rows.select("batch").distinct().orderBy("batch").collect()]:
-            n, loss, gradient = summed(rows.filter(F.col("batch") == k), adapter, answer_weight, dropout, seed * 1_000_003 + epoch)
-            adapter = _moved(adapter, move(_values(adapter), {m: g / n for m, g in gradient.items()}))
-            n_all, loss_all = n_all + n, loss_all + loss
-        rows.unpersist()
-        done, asked = adapt_cache(chunks, dev, adapter)
+        order = R.batches(fit.select("qid"), "qid", batch, seed, epoch).select("qid", "batch", part)
+        last = order.agg(F.max("batch")).first()[0]
+        rows = encoded(pools, order, fit, chunks, extra, ("batch", "part"))
+        n, loss = run_epoch(rows, parts, last + 1, progress, answer_weight, dropout, seed * 1_000_003 + epoch)
+        done, asked = adapt_cache(chunks, dev, progress.adapter)
         top1 = R.metrics(R.pessimistic_ranks(R.scored_within(asked, done, vector="v"))).first().top1
-        history.append((run, epoch, loss_all / n_all, top1))
-        if top1 > best[0]:
-            best = (top1, epoch, adapter)
-        elif epoch - best[1] >= patience:
-            break
-    return best[2], chunks.sparkSession.createDataFrame(history, "run string, epoch int, loss double, top1 double")
+        progress.history.append((run, epoch, loss / n, top1))
+        progress.epoch = epoch + 1
+        if top1 > progress.best_top1:
+            progress.best_top1, progress.best_epoch, progress.best = top1, epoch, progress.adapter
+        if path:
+            write_progress(spark, progress, path)
+    return progress.best or progress.adapter, spark.createDataFrame(progress.history, HISTORY)

@@ -323,11 +323,101 @@ def training_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean loss and slopes of a new adapter over the third epoch's pools: what the training loop's first step would see
     if all questions were one batch."""
     chunks, questions, pools = training(spark, sf_dir)
-    n, loss, g = TR.summed(TR.gathered(pools, questions, chunks), A.build("small", 64, rank=8))
+    order = R.batches(questions.select("qid"), "qid", 64, seed=4, epoch=2)
+    n, loss, g = TR.summed(TR.encoded(pools, order, questions, chunks), A.build("small", 64, rank=8))
     row = (n, round(loss / n, 5), *(round(float(g[k]) / n, 5) for k in ("alpha", "beta", "log_temperature")))
     return spark.createDataFrame([row], "n bigint, loss double, alpha double, beta double, log_temperature double")
 
 
+@query(f"""WITH {_TRAINING},
+r AS (SELECT qid, row_number() OVER (ORDER BY md5('6|' || qid || '|0'), qid) - 1 AS place FROM c),
+m AS (SELECT r.place // 64 AS batch, p.qid, p.vid, p.idx, kind <> 'oracle' AS other FROM tp p JOIN r USING (qid)),
+d AS (
+  SELECT batch, vid, idx, row_number() OVER (PARTITION BY batch ORDER BY vid, idx) - 1 AS place
+  FROM (SELECT DISTINCT batch, vid, idx FROM m)),
+s AS (
+  SELECT batch, place, row_number() OVER (PARTITION BY batch, qid ORDER BY other, place) AS k
+  FROM m JOIN d USING (batch, vid, idx))
+SELECT batch, max(place) + 1 AS distinct_chunks, count(*) AS positions, sum(place * k)::BIGINT AS digest FROM s GROUP BY batch""")
+def batch_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each batch of an epoch: its distinct chunks, and how many places among them its pools are made of."""
+    chunks, questions, pools = training(spark, sf_dir)
+    order = R.batches(questions.select("qid"), "qid", 64, seed=4, epoch=2)
+    each = TR.dictionary(pools, order)[1].select("batch", F.posexplode("positions").alias("k", "place"))
+    return each.groupBy("batch").agg(
+        (F.max("place") + 1).cast("bigint").alias("distinct_chunks"), F.count(F.lit(1)).alias("positions"), F.sum(F.col("place") * (F.col("k") + 1)).cast("bigint").alias("digest"),
+    )
+
+
+#: Epochs of the registered run, and batches of an epoch.
+RUN_EPOCHS, RUN_BATCHES = 3, 2
+_RATE, _DECAY = 0.05, 0.01
+
+
+def _step_sql(epoch: int, batch: int) -> str:
+    """A step over three numbers: slopes from the scalar products of a pool's members, then moments and move."""
+    k = epoch * RUN_BATCHES + batch
+    moved = []
+    for x in "abl":
+        moved += [f"0.9 * m{x} + 0.1 * g{x} AS m{x}", f"0.999 * v{x} + 0.001 * g{x} * g{x} AS v{x}"]
+        first, second = f"(0.9 * m{x} + 0.1 * g{x}) / (1 - pow(0.9, {k + 1}))", f"(0.999 * v{x} + 0.001 * g{x} * g{x}) / (1 - pow(0.999, {k + 1}))"
+        moved.append(f"{x} - {_RATE} * ({_DECAY} * {x} + ({first}) / (sqrt({second}) + 1e-8)) AS {x}")
+    return f"""f{k} AS (
+  SELECT d.*, p.*, sqrt(a * a * vv + 2 * a * b * vt + b * b * tt) AS nf, greatest(exp(l), 0.01) AS warm FROM dots{epoch} d, p{k} p WHERE batch = {batch}),
+u{k} AS (SELECT *, (a * qv + b * qt) / nf AS u, (a * qv + b * qt) / nf / warm AS logit FROM f{k}),
+s{k} AS (
+  SELECT *, exp(logit - most) / sum(exp(logit - most)) OVER (PARTITION BY qid) AS share
+  FROM (SELECT *, max(logit) OVER (PARTITION BY qid) AS most FROM u{k})),
+g{k} AS MATERIALIZED (
+  SELECT count(*) FILTER (o) AS n, -sum(ln(share)) FILTER (o) AS loss,
+    sum((share - o::INT) / warm * (qv / nf - u * (a * vv + b * vt) / (nf * nf))) / count(*) FILTER (o) AS ga,
+    sum((share - o::INT) / warm * (qt / nf - u * (a * vt + b * tt) / (nf * nf))) / count(*) FILTER (o) AS gb,
+    -sum((share - o::INT) * logit) / count(*) FILTER (o) AS gl FROM s{k}),
+p{k + 1} AS MATERIALIZED (SELECT {", ".join(moved)} FROM p{k}, g{k})"""
+
+
+def _epoch_sql(epoch: int) -> str:
+    """The epoch's pools and batches, its steps, and the held-out questions ranked by where they lead to."""
+    last = (epoch + 1) * RUN_BATCHES
+    steps = ",\n".join(_step_sql(epoch, b) for b in range(RUN_BATCHES))
+    losses = " UNION ALL ".join(f"SELECT n, loss FROM g{epoch * RUN_BATCHES + b}" for b in range(RUN_BATCHES))
+    return f"""{S.cross_pools(f"ep{epoch}", str(N_EASY + 1), f"vid % {HELD_OUT} = 0", seed=1 + epoch)},
+order{epoch} AS (
+  SELECT qid, (row_number() OVER (ORDER BY md5('{1 + epoch}|' || qid || '|0'), qid) - 1) // ceil(count(*) OVER () / {RUN_BATCHES}.0)::BIGINT AS batch
+  FROM q0 WHERE vid % {HELD_OUT} <> 0),
+dots{epoch} AS MATERIALIZED (
+  SELECT p.qid, o.batch, p.is_oracle AS o, list_dot_product(q.q, d.v) / nq AS qv, list_dot_product(q.q, d.t) / nq AS qt,
+    list_dot_product(d.v, d.v) AS vv, list_dot_product(d.v, d.t) AS vt, list_dot_product(d.t, d.t) AS tt
+  FROM (SELECT qid, vid, idx, is_oracle FROM wp UNION ALL SELECT qid, vid, idx, FALSE FROM ep{epoch} WHERE NOT is_oracle) p
+  JOIN order{epoch} o ON o.qid = p.qid JOIN c d ON d.vid = p.vid AND d.idx = p.idx JOIN (SELECT *, sqrt(list_dot_product(q, q)) AS nq FROM q0) q ON q.qid = p.qid),
+{steps},
+score{epoch} AS (
+  SELECT qid, is_oracle, round((a * qv + b * qt) / sqrt(a * a * vv + 2 * a * b * vt + b * b * tt), 6) AS score FROM held, p{last}),
+{S.ranks(f"rank{epoch}", f"score{epoch}")},
+epoch{epoch} AS (
+  SELECT 'run' AS run, {epoch} AS epoch, (SELECT round(sum(loss) / sum(n), 5) FROM ({losses})) AS loss, (SELECT round(avg((rank = 0)::INT), 6) FROM rank{epoch}) AS top1)"""
+
+
+@query(f"""WITH {_CHUNKS},
+{S.WITHIN_POOLS},
+held AS (
+  SELECT p.qid, p.is_oracle, list_dot_product(q.q, d.v) / nq AS qv, list_dot_product(q.q, d.t) / nq AS qt,
+    list_dot_product(d.v, d.v) AS vv, list_dot_product(d.v, d.t) AS vt, list_dot_product(d.t, d.t) AS tt
+  FROM wp p JOIN c d ON d.vid = p.vid AND d.idx = p.idx JOIN (SELECT *, sqrt(list_dot_product(q, q)) AS nq FROM q0) q ON q.qid = p.qid WHERE p.vid % {HELD_OUT} = 0),
+p0 AS (SELECT 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, ln(0.07) AS l, 0.0::DOUBLE AS ma, 0.0::DOUBLE AS mb, 0.0::DOUBLE AS ml, 0.0::DOUBLE AS va, 0.0::DOUBLE AS vb, 0.0::DOUBLE AS vl),
+{",".join(_epoch_sql(e) for e in range(RUN_EPOCHS))}
+{" UNION ALL ".join(f"SELECT * FROM epoch{e}" for e in range(RUN_EPOCHS))}""")
+def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of the training loop that learns the weights of both towers and the temperature, two batches an epoch: loss
+    and held-out top1 of each epoch."""
+    chunks, questions = _tables(spark, sf_dir)
+    dev = chunks.filter(F.col("vid") % HELD_OUT == 0).select("vid").distinct()
+    size = math.ceil(Q.fit_rows(questions, dev).count() / RUN_BATCHES)
+    new = A.build("small", 64, rank=0)
+    history = TR.train(new, chunks, questions, dev, RUN_EPOCHS, size, _RATE, _DECAY, N_EASY, RUN_EPOCHS, seed=1)[1]
+    return history.select("run", "epoch", F.round("loss", 5).alias("loss"), "top1")
+
+
 @query(f"""WITH {_CHUNKS}, f AS (SELECT qid, list_transform(list_zip(v, t), lambda z: 0.25 * z[1] + 0.75 * z[2]) AS f FROM c)
 SELECT qid, round(f[1] / sqrt(list_dot_product(f, f)), 6) AS first, round(f[64] / sqrt(list_dot_product(f, f)), 6) AS last FROM f""")
 def adapter_forward(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,106 @@ def test_a_step_moves_against_the_gradient_and_decays():
         assert math.isclose(float(x["a"]), before - 0.1 * (0.5 * before + m / (math.sqrt(s) + 1e-8)))
 
 
+def test_shared_vectors_have_the_slopes_of_repeated_ones():
+    rng = np.random.default_rng(9)
+    adapter = rough(A.big(4, hidden=3), 2)
+    v, t, q = rng.normal(size=(7, 4)), rng.normal(size=(7, 4)), rng.normal(size=(3, 4))
+    pools = [np.array([3, 0, 1]), np.array([6]), np.array([2, 3, 0, 5, 6])]
+    at = np.concatenate(pools)
+    weights = np.array([1.0, 0.5, 2.0])
+    loss, got = T.pooled_gradients(adapter, q, v, t, pools, weights)
+    parts = [T.gradients(adapter, q[i : i + 1], v[p], t[p], np.array([len(p)]), weights[i]) for i, p in enumerate(pools)]
+    assert math.isclose(loss, sum(x for x, _ in parts), rel_tol=1e-12) and len(at) == 9
+    for name, g in got.items():
+        assert np.abs(g - sum(own[name] for _, own in parts)).max() < 1e-9
+
+
+def learnable(spark):
+    """Chunks and questions that are their oracles, turned: a query side can learn that."""
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    rows, asked = [], []
+    for vid in range(12):
+        for idx in range(5):
+            x = rng.normal(size=6)
+            x /= np.linalg.norm(x)
+            rows.append((vid, idx, x.tolist(), x.tolist()))
+            asked.append((vid * 5 + idx, vid, idx, (x @ turn).tolist(), x.tolist() if idx % 2 else None))
+    chunks = spark.createDataFrame(rows, "vid int, idx int, v array<double>, t array<double>")
+    return chunks, spark.createDataFrame(asked, "qid int, vid int, oracle_idx int, query array<double>, answer array<double>")
+
+
+def plain_epoch(adapter, move, pools, order, asked, vectors, answer_weight):
+    """An epoch by a loop over batches and questions, each pool's vectors gathered for it alone."""
+    loss_all = 0.0
+    for b in sorted(set(order.values())):
+        own = sorted(q for q, k in order.items() if k == b)
+        total = {}
+        for q in own:
+            members = sorted(pools[q])
+            v, t = (np.array([vectors[m[1:]][k] for m in members]) for k in (0, 1))
+            for query, weight in ((asked[q].query, 1.0), (asked[q].answer, answer_weight)):
+                if query is not None and weight:
+                    loss, g = T.gradients(adapter, np.array([query]), v, t, np.array([len(v)]), weight)
+                    loss_all += loss
+                    total = {n: total.get(n, 0.0) + x for n, x in g.items()}
+        adapter = T._moved(adapter, move(T._values(adapter), {n: x / len(own) for n, x in total.items()}))
+    return adapter, loss_all / len(order)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_an_epoch_in_one_job_equals_a_plain_loop(spark, parts):
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import retrieval as R
+
+    chunks, questions = learnable(spark)
+    dev = chunks.filter("vid >= 10").select("vid").distinct()
+    start = rough(A.small(6, rank=3, seed=1), 4)
+    _, history = T.train(start, chunks, questions, dev, epochs=2, batch=16, rate=0.02, n_easy=4, patience=2, answer_weight=0.3, seed=3, parts=parts)
+    asked = {r.qid: r for r in questions.filter("vid < 10").collect()}
+    vectors = {(r.vid, r.idx): (r.v, r.t) for r in chunks.collect()}
+    fit, adapter, move = questions.filter("vid < 10"), start, T.AdamW(0.02, 0.01)
+    for epoch, seen in enumerate(history.orderBy("epoch").collect()):
+        pools = {}
+        for r in R.training_pools(fit, chunks, 4, 3, epoch, dev).collect():
+            pools.setdefault(r.qid, []).append((r.kind != "oracle", r.vid, r.idx))
+        order = {r.qid: r.batch for r in R.batches(fit.select("qid"), "qid", 16, 3, epoch).collect()}
+        adapter, loss = plain_epoch(adapter, move, pools, order, asked, vectors, 0.3)
+        assert math.isclose(seen.loss, loss, rel_tol=1e-9)
+    encoded = T.encoded(R.training_pools(fit, chunks, 4, 3, 0, dev), R.batches(fit.select("qid"), "qid", 16, 3, 0).withColumn("part", F.lit(0)), fit, chunks)
+    for row in encoded.collect():
+        members = [(x.place, (x.v, x.t)) for x in row.vectors]
+        assert [p for p, _ in members] == list(range(len(members))) and len({str(x) for _, x in members}) == len(members)
+        assert all(tuple(row.vectors[a.positions[0]][1:]) == vectors[asked[a.qid].vid, asked[a.qid].oracle_idx] for a in row.asked)
+
+
+def test_a_broken_run_goes_on_to_the_same_numbers(spark, tmp_path, monkeypatch):
+    chunks, questions = learnable(spark)
+    dev = chunks.filter("vid >= 9").select("vid").distinct()
+    args = dict(epochs=4, batch=20, rate=0.03, n_easy=3, patience=4, seed=2, parts=2)
+    whole, history = T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, **args)
+    real, calls = T.run_epoch, []
+
+    def lost(*a, **k):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("the driver is lost")
+        return real(*a, **k)
+
+    monkeypatch.setattr(T, "run_epoch", lost)
+    path = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)
+    made, again = T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)
+    assert len(calls) == 5  # two epochs, the broken one, two more
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.collect()))
+    assert all((x == y).all() for x, y in zip(T._values(made).values(), T._values(whole).values()))
+    assert sorted(map(tuple, T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)[1].collect())) == sorted(map(tuple, history.collect())) and len(calls) == 5
+    with pytest.raises(ValueError):
+        T.train(A.small(6, rank=3), chunks, questions, dev, path=path, **args)
+
+
 def test_a_run_learns_and_stops(spark):
     rng = np.random.default_rng(5)
     turn = np.linalg.qr(rng.normal(size=(6, 6)))[0]  # questions are their oracles, turned: a query side can learn that
