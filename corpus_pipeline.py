@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +74,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
     """The stages over ``documents``, each written to the checkpoint folder before the next one reads it.
 
-    A stage's output is removed once the next one's is complete. A run that is started again under the same ``run_id``
-    goes on after the last complete stage; without one each run is its own.
+    A stage's output is removed once the next one's is complete. A run that is started again under the same ``run_id``,
+    over the same ``sf_dir`` and with the same stages, goes on after the last complete one; over another it begins anew.
+    Without a ``run_id`` each run is its own.
     """
-    folder = f"{checkpoint_folder(spark)}/pipeline-{run_id or uuid.uuid4().hex}"
+    made_of = sha256("\n".join([sf_dir.rstrip("/"), *(name for name, _ in STAGES)]).encode()).hexdigest()[:16]
+    folder = f"{checkpoint_folder(spark)}/pipeline-{run_id or uuid.uuid4().hex}-{made_of}"
     outputs = [f"{folder}/{i}_{name}" for i, (name, _) in enumerate(STAGES)]
     done = max((i for i, output in enumerate(outputs) if _complete(spark, output)), default=-1)
     docs = spark.read.parquet(outputs[done]) if done >= 0 else read(spark, sf_dir, "documents")
