@@ -10,9 +10,12 @@ patterns, until none is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +37,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._@+/-]{5,}")
 #: What stands for the word before at a text's beginning, and for the word after at its end; no word looks like them.
 START, END = "<start>", "<end>"
-#: Patterns that are sent to all tasks at most; more are joined.
-MOST_SENT = 200_000
+#: Patterns, and their bytes, that are sent to all tasks at most; more are joined.
+MOST_SENT, MOST_BYTES = 200_000, 32 << 20
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,25 +81,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _EDGE = " \t\r\n\v\f.,;:!?|()[]{}\"'*#$%&<>="
 
 
-def _word(text: str, at: int, back: bool) -> str:
-    """The word that ends before ``at``, or begins there, in lower case and bare of punctuation, however long it is."""
-    size = 64
-    while True:
-        low, high = (max(0, at - size), at) if back else (at, min(len(text), at + size))
-        parts = text[low:high].split()
-        whole = low == 0 if back else high == len(text)
-        if parts and not whole:  # the farthest one may go on
-            del parts[0 if back else -1]
-        for x in reversed(parts) if back else parts:
-            if word := x.strip(_EDGE).lower():
-                return word
-        if whole:
-            return START if back else END
-        size *= 4
+_WORD = re.compile(rf"[^\s{re.escape(_EDGE)}]+")
+
 
+class _Words:
+    """A text cut once into words: at blanks and punctuation, and where a mention begins or ends. So a word is the
+    neighbour of one mention on either side (more only where mentions begin or end together), and the neighbours of all
+    of a text's mentions are no longer than the text, whatever it is made of."""
 
-def _around(text: str, a: int, b: int) -> tuple[str, str]:
-    return _word(text, a, True), _word(text, b, False)
+    def __init__(self, text: str, spans: list[tuple[int, int]]):
+        self.text = text
+        cuts = sorted({x for span in spans for x in span})
+        self.starts, self.ends = [], []
+        i = 0
+        for m in _WORD.finditer(text):
+            a, b = m.span()
+            while i < len(cuts) and cuts[i] <= a:
+                i += 1
+            while i < len(cuts) and cuts[i] < b:
+                self.starts.append(a)
+                self.ends.append(cuts[i])
+                a = cuts[i]
+                i += 1
+            self.starts.append(a)
+            self.ends.append(b)
+
+    def around(self, a: int, b: int) -> tuple[str, str]:
+        """The words before ``a`` and after ``b``, in lower case."""
+        i, j = bisect_left(self.starts, a) - 1, bisect_left(self.starts, b)
+        left = self.text[self.starts[i] : self.ends[i]].lower() if i >= 0 else START
+        return left, self.text[self.starts[j] : self.ends[j]].lower() if j < len(self.starts) else END
 
 
 def mentions(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, str, str, bool, int, int]]]:
@@ -104,39 +118,49 @@ def mentions(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, str
     each identifier-like string (four digits at least) that overlaps none."""
     spans = base_spans(text)
     taken = sorted((a, b) for _, a, b in spans)
-    out = [(text[a:b].lower(), *_around(text, a, b), True, a, b) for a, b in taken]
-    if len(out) or any(c in text for c in "0123456789"):
+    other = []
+    if any(c in text for c in "0123456789"):
         i = 0
         for m in _CANDIDATE.finditer(text):
-            if sum(c.isdigit() for c in m.group()) < 4:
-                continue
             a, b = m.span()
+            if sum(map(m.group().count, "0123456789")) < 4:
+                continue
             while b > a and text[b - 1] in ".-/@+":
                 b -= 1
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
             if b - a < 6 or any(x < b and y > a for x, y in taken[max(0, i - 1) : i + 2]):
                 continue
-            out.append((text[a:b].lower(), *_around(text, a, b), False, a, b))
-    return spans, out
+            other.append((a, b))
+    if not taken and not other:
+        return spans, []
+    words = _Words(text, taken + other)
+    return spans, [(text[a:b].lower(), *words.around(a, b), seed, a, b) for own, seed in ((taken, True), (other, False)) for a, b in own]
 
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _MENTION = T.StructType([T.StructField("string", T.StringType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_A_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_A_MENTION = pa.list_(pa.struct([("string", pa.string()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())]))
+_SPAN_FIELDS = (("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()))
+_MENTION_FIELDS = (("string", pa.string()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()))
+
+
+def _lists(rows: list[list[tuple]], fields: tuple) -> pa.ListArray:
+    """An array of lists of structs, made column by column."""
+    offsets = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    columns = list(zip(*(x for row in rows for x in row))) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], names=[n for n, _ in fields])
+    return pa.ListArray.from_arrays(offsets, structs)
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, spans (base), mentions: one Arrow pass over whole texts, a row for each row of ``docs``."""
+    """doc_id, row_key, spans (base), mentions: one Arrow pass over whole texts, a row for each row of ``docs``. Time and
+    bytes grow as the texts do."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row_key", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("mentions", T.ArrayType(_MENTION))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, 1 << 20):
             rows = [mentions(x or "") for x in batch.column(2).to_pylist()]
-            spans = [[dict(zip(("kind", "start", "end"), s)) for s in r[0]] for r in rows]
-            found = [[dict(zip(("string", "left", "right", "seed", "start", "end"), m)) for m in r[1]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _A_SPAN), pa.array(found, _A_MENTION)], names=["doc_id", "row_key", "spans", "mentions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([r[0] for r in rows], _SPAN_FIELDS), _lists([r[1] for r in rows], _MENTION_FIELDS)], names=["doc_id", "row_key", "spans", "mentions"])
 
     return docs.select("doc_id", text_key().alias("row_key"), "text").mapInArrow(work, schema)
 
@@ -150,7 +174,9 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MI
     partial before each shuffle. Ties need no order: all that pass are trusted.
 
     Strings that a trusted pattern was seen around are discovered: they count as seeds do, at the score that
-    discovered them, and the patterns are tested anew until none is added. A pattern once trusted stays so.
+    discovered them, and the patterns are tested anew until none is added. A pattern once trusted stays so. Each turn
+    adds one pattern at least, so there are no more turns than patterns that can be trusted, and commonly a few: as many
+    as the longest chain of patterns each of which is trusted for what the one before discovered.
     """
     if rounds < 1:
         raise ValueError("one round at least")
@@ -202,9 +228,11 @@ def _marked(found: list, known: frozenset) -> list[tuple[str, int, int]]:
 
 
 def _sent(patterns: DataFrame) -> frozenset | None:
-    """The patterns, if no more than MOST_SENT."""
-    rows = patterns.select("left", "right").limit(MOST_SENT + 1).collect()
-    return frozenset((r.left, r.right) for r in rows) if len(rows) <= MOST_SENT else None
+    """The patterns, if no more than MOST_SENT, of MOST_BYTES in all."""
+    size = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("left") + F.octet_length("right")).alias("size")).first()
+    if size.n > MOST_SENT or (size.size or 0) > MOST_BYTES:
+        return None
+    return frozenset((r.left, r.right) for r in patterns.select("left", "right").collect())
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -227,9 +255,12 @@ def find(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[(m["string"], m["left"], m["right"], m["seed"], m["start"], m["end"]) for m in x] for x in batch.column(3).to_pylist()]
-            extra = [[dict(zip(("kind", "start", "end"), s)) for s in _marked(x, sent.value)] for x in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(extra, _A_SPAN)], names=["doc_id", "row_key", "spans", "extra"])
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                flat = part.column(3).flatten()
+                met = list(zip(*(flat.field(n).to_pylist() for n, _ in _MENTION_FIELDS)))
+                ends = list(accumulate(pc.list_value_length(part.column(3)).to_pylist(), initial=0))
+                extra = [_marked(met[a:b], sent.value) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(extra, _SPAN_FIELDS)], names=["doc_id", "row_key", "spans", "extra"])
 
     schema = T.StructType([*found.schema.fields[:3], T.StructField("extra", T.ArrayType(_SPAN))])
     return found.mapInArrow(work, schema)

@@ -34,6 +34,11 @@ def test_quality_measurements(spark):
 
 
 def test_url_rules(spark):
+    longer = (("allow", "a.example.com", "/"), ("block", "example.com", "/en/private/"), ("block", "com", "/en/private/x"), ("allow", "b.com", "/en"), ("block", "com", "/b/en"))
+    trie = url_filters.Trie(longer)
+    assert trie.match("a.example.com", "/en/private/x").rule == "example.com/en/private/"
+    assert trie.match("a.example.com", "/en/priv").rule == "a.example.com/" and trie.match("c.com", "/en/private/xy").verdict == "block"
+    assert trie.match("b.com", "/b/en") and trie.match("example.com", "/fr/") is None
     cases = {
         "https://www.example.com/en/1": "www.example.com/en/", "http://x.example.com/en/": "example.com/en/", "http://EXAMPLE.com/en/?q": "example.com/en/", "http://x.com/a": "com/", "http://x.com": None,
         "http://a.net/es/1": "net/es/", "http://a.net/esx/": None, "http://net/fr/": "net/fr/", "no scheme": None, None: None, "http://notexample.com/en/1": "com/", "http://x.org/en/": None, "a://b://c.com/d": None,
@@ -224,6 +229,19 @@ def test_deduplication_tells_texts_under_one_id_apart(spark):
     assert sum(i == 1 and t in (a, near) for i, t in kept) == sum(i == 6 and t in (d, d + " end") for i, t in kept) == 1
 
 
+def test_a_repeated_row_sends_no_other_text_through_an_exchange(spark, tmp_path):
+    """The one aggregate over whole rows has those whose keys repeat, by a broadcast semi-join; others meet broadcasts only."""
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(40)]
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, texts[:1])).unionByName(spark.createDataFrame([(1, texts[1], "de", "x", "y")], SCHEMA))
+    docs.write.parquet(str(tmp_path / "docs"))
+    kept = simhash.deduplicated(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    others, repeats = kept._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [doc_id")
+    assert repeats.split("\n")[1].strip().startswith("+- Join LeftSemi") and repeats.count("strategy=broadcast") == 2
+    assert others.count("Join LeftAnti") == others.count("strategy=broadcast") == 2 and "Repartition" not in others + repeats
+
+
 def test_toxicity_learns_words_and_keeps_clean_rows(spark):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in ("ba", "de", "fi", "go", "lu") for b in ("ran", "tes", "mil", "son")]
@@ -298,12 +316,111 @@ def test_context_discovers_unseen_identifiers(spark, monkeypatch, sent):
     assert pii.redacted(docs).columns == docs.columns and pii.find(docs.limit(0)).collect() == pii.redacted(docs.limit(0)).collect() == []
 
 
-def test_neighbours_are_whole_words_however_far():
+def around(text, *spans):
+    cut = pii._Words(text, list(spans))
+    return [cut.around(a, b) for a, b in spans]
+
+
+def test_neighbours_are_words_however_far():
     text = "Alpha, " + " . " * 500 + "X" * 1000 + " (id-123456) " + "!? " * 300 + "'Omega'" + "z" * 900 + " end"
     a = text.index("id-1")
-    assert pii._around(text, a, a + 9) == ("x" * 1000, "omega'" + "z" * 900)
-    assert pii._around("id-123456", 0, 9) == (pii.START, pii.END)
-    assert pii._around(" .. id-123456 ??" + " " * 400, 4, 13) == (pii.START, pii.END)
+    assert around(text, (a, a + 9)) == [("x" * 1000, "omega")]
+    assert around("id-123456", (0, 9)) == [(pii.START, pii.END)]
+    assert around(" .. id-123456 ??" + " " * 400, (4, 13)) == [(pii.START, pii.END)]
+    assert around("key:a~b1111,c2222 D", (6, 11), (12, 17)) == [("a~", "c2222"), ("b1111", "d")]
+    assert around("k~xy~l", (2, 3), (3, 4), (2, 4)) == [("k~", "y"), ("x", "~l"), ("k~", "~l")]
+
+
+def test_neighbours_by_plain_loops():
+    """Every character is a letter of a word or not; words also part where mentions begin and end."""
+    rng = random.Random(14)
+    for _ in range(400):
+        text = "".join(rng.choice("abC~1 ,.\n\u2003É=") for _ in range(rng.randrange(1, 40)))
+        spans = [tuple(sorted(rng.sample(range(len(text) + 1), 2))) for _ in range(rng.randrange(1, 5))]
+        cuts = {x for s in spans for x in s}
+        pieces, own = [], ""
+        for i, c in enumerate(text + " "):
+            inside = i < len(text) and not c.isspace() and c not in pii._EDGE
+            if own and (not inside or i in cuts):
+                pieces.append((i - len(own), i, own.lower()))
+                own = ""
+            own += c if inside else ""
+        want = [([w for _, e, w in pieces if e <= a] or [pii.START], [w for s, _, w in pieces if s >= b] or [pii.END]) for a, b in spans]
+        assert around(text, *spans) == [(left[-1], right[0]) for left, right in want]
+
+
+@pytest.mark.parametrize("kind", ["numbers", "json", "one word"])
+def test_texts_without_blanks_cost_what_they_are_long(kind):
+    """A megabyte in less than three seconds, and mentions with their neighbours in some times its bytes."""
+    import time
+    import tracemalloc
+
+    text = {"numbers": ",".join(str(1_000_000 + i) for i in range(131_000)), "json": "{" + ",".join(f'"k{i}":{{"id":{10**7 + i},"v":"x-{i}"}}' for i in range(30_000)) + "}", "one word": "~".join(str(1_000_000 + i) for i in range(131_000))}[kind]
+    assert len(text) > 1_000_000
+    began = time.time()
+    spans, met = pii.mentions(text)
+    array = pii._lists([met], pii._MENTION_FIELDS)
+    assert time.time() - began < 3 and len(met) >= 30_000 and array.nbytes < 20 * len(text)
+    tracemalloc.start()
+    pii._lists([pii.mentions(text)[1]], pii._MENTION_FIELDS)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def plain_trusted(found, rounds, min_seeds, min_texts, confidence):
+    """Trusted patterns and their scores by loops over the whole graph. found: (text, string, left, right, is a seed)."""
+    edges, texts = {}, {}
+    for text, string, left, right, seed in found:
+        edges.setdefault((left, right), {}).setdefault(string, False)
+        edges[left, right][string] |= seed
+        texts.setdefault((left, right), set()).add(text)
+    graph = {p: s for p, s in edges.items() if len(s) >= min_seeds and len(texts[p]) >= min_texts}
+    known = {(p, s): 1.0 if seed else None for p, own in graph.items() for s, seed in own.items()}
+    trusted = {}
+    while True:
+        held = {p: own for p, own in graph.items() if sum(known[p, s] is not None for s in own) >= min_seeds}
+        weight = {(p, s): known[p, s] or 0.0 for p, own in held.items() for s in own}
+        for _ in range(rounds - 1):
+            score = {p: sum(weight[p, s] for s in own) / len(own) for p, own in held.items()}
+            best = {}
+            for p, own in held.items():
+                for s, seed in own.items():
+                    if not seed:
+                        best[s] = max(best.get(s, 0.0), score[p])
+            weight = {(p, s): 1.0 if held[p][s] else max(known[p, s] or 0.0, best.get(s, 0.0)) for p, s in weight}
+        score = {p: sum(weight[p, s] for s in own) / len(own) for p, own in held.items()}
+        added = {p: x for p, x in score.items() if x >= confidence and p not in trusted}
+        if not added:
+            return trusted
+        trusted |= added
+        earned = {}
+        for (p, s), k in known.items():
+            if k is None and p in added:
+                earned[s] = max(earned.get(s, 0.0), added[p])
+        for p, s in known:
+            if known[p, s] is None and s in earned:
+                known[p, s] = earned[s]
+
+
+def test_the_graph_equals_plain_loops_on_random_mentions(spark):
+    rng = random.Random(21)
+    sizes = []
+    for turn in range(3):
+        strings = {f"s{i}": rng.random() < 0.45 for i in range(40)}
+        found = []
+        for _ in range(260):
+            s = rng.choice(list(strings))
+            found.append((rng.randrange(30), s, f"l{min(rng.randrange(8), rng.randrange(8))}", f"r{rng.randrange(2)}", strings[s] and rng.random() < 0.95))
+        rows = {}
+        for text, *m, seed in found:
+            rows.setdefault(text, []).append((*m, seed, 0, 1))
+        frame = spark.createDataFrame(list(rows.items()), "row_key long, mentions array<struct<string: string, left: string, right: string, seed: boolean, start: long, end: long>>")
+        bar = (3, 3, rng.choice([0.45, 0.55, 0.65]))
+        got = {(r.left, r.right): r.score for r in pii.trusted_patterns(frame, 3, *bar).collect()}
+        want = plain_trusted(found, 3, *bar)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+        sizes.append(len(want))
+    assert max(sizes) > 3
 
 
 def test_identifiers_alone_in_their_texts(spark):
