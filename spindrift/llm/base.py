@@ -97,17 +97,22 @@ def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def without(docs: DataFrame, removed: DataFrame, on: list[str]) -> DataFrame:
-    """``docs`` but for rows that agree with one of ``removed`` in all of ``on`` (nulls are equal).
+def parted(docs: DataFrame, rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that agree with one of ``rows`` in all of ``on`` (nulls are equal), and those that don't.
 
-    ``removed`` is written and counted; up to BROADCAST_ROWS rows, which are ids and hashes only, are broadcast, so no
-    text is shuffled. Beyond that both sides are dealt out by ``on``.
+    ``rows`` is written and counted; up to BROADCAST_ROWS rows, which are ids and hashes only, are broadcast, so no text
+    is shuffled. Beyond that both sides are dealt out by ``on``.
     """
-    removed = checkpointed(removed.select(*[F.col(c).alias(f"__removed_{i}") for i, c in enumerate(on)]).distinct())
-    if removed.count() <= BROADCAST_ROWS:
-        removed = F.broadcast(removed)
+    rows = checkpointed(rows.select(*[F.col(c).alias(f"__met_{i}") for i, c in enumerate(on)]).distinct())
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
     match = None
     for i, c in enumerate(on):
-        one = docs[c].eqNullSafe(removed[f"__removed_{i}"])
+        one = docs[c].eqNullSafe(rows[f"__met_{i}"])
         match = one if match is None else match & one
-    return docs.join(removed, match, "left_anti")
+    return docs.join(rows, match, "left_semi"), docs.join(rows, match, "left_anti")
+
+
+def without(docs: DataFrame, removed: DataFrame, on: list[str]) -> DataFrame:
+    """``docs`` but for rows that agree with one of ``removed`` in all of ``on`` (nulls are equal)."""
+    return parted(docs, removed, on)[1]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.base import checkpointed, looked_up, read, scan_texts, text_key, without
+from spindrift.llm.base import checkpointed, looked_up, parted, read, scan_texts, text_key, without
 from spindrift.llm.xxh64_sql import text_hashes
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -205,7 +205,9 @@ def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed
 
     A document is a doc_id with a text: rows that repeat both are one, of which the first by a hash of its columns
     stays; different texts under one doc_id each fare by their own group, and of those in one group the first by a
-    hash of the text stays. Rows without a doc_id can't be told apart by it and stay.
+    hash of the text stays. Rows without a doc_id can't be told apart by it and stay. No documents give none.
+
+    Only ids and hashes are shuffled, and of the documents those rows alone that repeat both.
     """
     keyed = docs.withColumn("__row_key", text_key())
     found = checkpointed(_grouped(fingerprints(keyed, shingle, seed, ("doc_id", "__row_key")), bits))
@@ -213,12 +215,14 @@ def deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed
     many = checkpointed(least.groupBy("root").agg(F.min("__row_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     gone = found.filter("doc_id <> component_id").select("doc_id", "__row_key")
     if many.isEmpty():
-        return without(keyed, gone.distinct(), ["doc_id", "__row_key"]).drop("__row_key")
-    gone = gone.unionByName(looked_up(least, many, "root").filter("__row_key <> first").select("doc_id", "__row_key"))
-    kept = without(keyed, gone.distinct(), ["doc_id", "__row_key"])
+        return without(keyed, gone, ["doc_id", "__row_key"]).drop("__row_key")
+    of_many = checkpointed(looked_up(least, many, "root").groupBy("doc_id", "__row_key", "first").agg(F.count(F.lit(1)).alias("n")))
+    gone = gone.unionByName(of_many.filter("__row_key <> first").select("doc_id", "__row_key"))
+    kept = without(keyed, gone, ["doc_id", "__row_key"])
+    repeats, single = parted(kept, of_many.filter("__row_key = first AND n > 1"), ["doc_id", "__row_key"])
     order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
-    one = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "__row_key").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return one.select("__row.*").unionByName(kept.filter("doc_id IS NULL").drop("__row_key"))
+    one = repeats.groupBy("doc_id", "__row_key").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return single.drop("__row_key").unionByName(one.select("__row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
