@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -58,6 +59,15 @@ _BYTE_KIND = np.concatenate((_KIND[:128], np.full(128, _LETTER, np.uint8)))
 _BYTE_LOWER = np.concatenate((_LOWER[:128], np.arange(128, 256))).astype(np.uint8)
 _BYTE_ODD = np.concatenate((_ODD[:128], np.arange(128, 256) >= 0xCA))
 _STRANGE = re.compile("<\\||[" + "".join(map(chr, np.flatnonzero(_ODD[:_BEYOND]))) + chr(_BEYOND) + "-\U0010ffff]")
+#: What a vocabulary file must say for the arrays to stand for the library (fixed values); others are left to the library.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: How byte-level vocabularies write a byte: printable ones as themselves, the others from U+0100 on, in order.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _WRITTEN = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -118,10 +128,22 @@ def pieces_of(raw: bytes | pa.Buffer) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(text)), at
 
 
+def arrays_stand_for(path: str) -> bool:
+    """Whether ``pieces_of`` cuts texts as the vocabulary file says: its normaliser and its pre-tokeniser are those, its
+    model is plain BPE, and its special tokens begin with ``<|``, which the arrays look out for."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model = said["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "byte_fallback", "unk_token", "continuing_subword_prefix"))
+    special = all(t["content"].startswith("<|") and not any(t[x] for x in ("single_word", "lstrip", "rstrip", "normalized")) for t in said["added_tokens"])
+    return plain and special and (said["normalizer"], said["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+
+
 class Encoder:
-    """Ids of texts, the end id last; equal to the library's own.
+    """Ids of texts, the end id last; equal to the library's own, for any vocabulary file that the library reads.
 
-    A batch is cut into pieces by array operations and its distinct pieces are looked up; only pieces not met before go
+    Where ``arrays_stand_for`` the vocabulary, the library's cutting of texts is done by arrays; else it does all. A
+    batch is cut into pieces by array operations and its distinct pieces are looked up; only pieces not met before go
     to the library's model. Of more than CACHE pieces those are kept that were met in several batches.
     """
 
@@ -130,6 +152,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        self.by_arrays = arrays_stand_for(path)
         self.end_id = end_id
         self._forget([])
 
@@ -199,7 +222,10 @@ class Encoder:
         out, first = [], 0
         while first < len(texts):
             many = max(1, int(np.searchsorted(np.cumsum(size[first:]), STRETCH, side="right")))
-            if many == 1 and size[first] > STRETCH:
+            if not self.by_arrays:
+                made = self.library.encode_batch(texts.slice(first, many).to_pylist(), add_special_tokens=False)
+                out += [np.array([*x.ids, self.end_id], np.uint32) for x in made]
+            elif many == 1 and size[first] > STRETCH:
                 out.append(self._long(texts[first].as_py().encode()))
             else:
                 part = pa.ListArray.from_arrays(pa.array([0, many], pa.int32()), texts.slice(first, many))

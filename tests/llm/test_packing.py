@@ -66,6 +66,18 @@ def test_ids_are_the_librarys(monkeypatch):
     assert packing.Encoder(PATH)(pa.array([], pa.string())) == []
 
 
+def test_ids_of_another_vocabulary_are_the_librarys_too(spark):
+    rng = random.Random(5)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.arrays_stand_for(PATH) and not packing.arrays_stand_for(path)
+    library = Tokenizer.from_file(path)
+    texts = odd_texts(rng, 60) + ["Hello World, it's 2024 THE end", "", None, "a <|endoftext|> b"]
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert [x.tolist() for x in packing.Encoder(path)(pa.array(texts))] == want
+    rows = packing.pack(docs_of(spark, texts), 64, path).collect()
+    check_rows(rows, dict(enumerate(want)), 64)
+
+
 def test_a_window_is_as_full_as_brute_force_finds():
     rng = random.Random(2)
     for _ in range(300):
