@@ -52,7 +52,8 @@ class Trie:
             node.setdefault(2, {})[rest] = Entry(verdict, host + path)
 
     def match(self, host: str, path: str) -> Entry | None:
-        """The deepest host that has a rule for this path; among its rules the longest."""
+        """The longest rule, host and path together, of all hosts from the url's own up; of equally long ones that of the
+        deeper host."""
         hosts, node = [], self.root
         for label in reversed(host.split(".")):
             node = node.get(label)
@@ -61,19 +62,16 @@ class Trie:
             if 1 in node:
                 hosts.append(node[1])
         segments = path.split("/")
+        found, longest = None, -1
         for node in reversed(hosts):
-            found = None
             for i, segment in enumerate(segments):
-                best = -1
                 for rest, entry in node.get(2, {}).items():
-                    if len(rest) > best and segment.startswith(rest):
-                        found, best = entry, len(rest)
+                    if len(entry.rule) > longest and segment.startswith(rest):
+                        found, longest = entry, len(entry.rule)
                 if i == len(segments) - 1 or segment not in node:
                     break
                 node = node[segment]
-            if found:
-                return found
-        return None
+        return found
 
 
 def host_of(url: Column) -> Column:
