@@ -305,6 +305,10 @@ def test_a_pipeline_is_taken_up_where_it_broke_off(spark, folder, monkeypatch):
         corpus_pipeline.run(spark, f"{at}/odd", "again")
     assert corpus_pipeline.run(spark, f"{at}/odd", "again").count() == 10
     assert ran == ["a", "b", "c", "c", "d"]
+    assert corpus_pipeline.run(spark, f"{at}/odd/", "again").count() == 10 and len(ran) == 5
+    assert corpus_pipeline.run(spark, f"{at}/empty", "again").count() == 0 and ran[5:] == ["a", "b", "c", "d"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:2])
+    assert corpus_pipeline.run(spark, f"{at}/odd", "again").count() == 10 and ran[9:] == ["a", "b"]
 
 
 def test_words_are_parted_as_the_contract_says():
