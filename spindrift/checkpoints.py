@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, with its lineage cut."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: later reads take only the columns that they need."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def written_for_now(df: DataFrame):
+    """The same, removed at the end: nothing that is read later may depend on it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import importlib.metadata
 import inspect
-import logging
 import subprocess
 from collections.abc import Callable
 
@@ -24,12 +23,12 @@ def adapter_run_id(adapter: str, query_form: str, freeze_chunks: bool = False, a
 
 
 def revision(folder: str = ".") -> str:
-    """The short commit id, marked where the tree has changes; ``unknown`` outside a repository."""
+    """The commit as git describes it, marked where the tree has changes; ``unknown`` outside a repository."""
+    describe = ["git", "-C", folder, "describe", "--always", "--dirty", "--exclude=*"]
     try:
-        said = [subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=True, timeout=30).stdout.strip() for a in (("rev-parse", "--short", "HEAD"), ("status", "--porcelain"))]
+        return subprocess.check_output(describe, text=True, stderr=subprocess.DEVNULL, timeout=30).strip()
     except (subprocess.SubprocessError, OSError):
         return "unknown"
-    return f"{said[0]}-dirty" if said[1] else said[0]
 
 
 def versions(names: tuple[str, ...] = ("pyspark", "pandas", "pyarrow", "numpy")) -> dict[str, str]:
@@ -48,10 +47,12 @@ def with_provenance(rows: DataFrame, run_id: str, folder: str = ".") -> DataFram
     return rows.withColumns({"run_id": F.lit(run_id), "revision": F.lit(revision(folder)), "versions": F.create_map(*said)})
 
 
+def options(backend: Callable, wanted: dict) -> tuple[dict, list[str]]:
+    """What ``backend`` declares of the ``wanted`` options, and the names of those that it refuses; nulls aren't wanted."""
+    asked = {k: v for k, v in wanted.items() if v is not None}
+    taken = {k: asked.pop(k) for k in inspect.signature(backend).parameters if k in asked}
+    return taken, sorted(asked)
+
+
 def accepted(backend: Callable, wanted: dict) -> dict:
-    """Those of the ``wanted`` options, nulls apart, that ``backend`` declares; the others are told of, not passed."""
-    known = inspect.signature(backend).parameters
-    given = {k: v for k, v in wanted.items() if v is not None}
-    for k in sorted(given.keys() - known.keys()):
-        logging.getLogger(__name__).warning("%s takes no %s", getattr(backend, "__name__", backend), k)
-    return {k: v for k, v in given.items() if k in known}
+    return options(backend, wanted)[0]

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
+from spindrift.sources.publish import current, publish
 
 erf = np.frompyfunc(math.erf, 1, 1)
 
@@ -158,15 +159,20 @@ def adapt_cache(chunks: DataFrame, queries: DataFrame, adapter: Adapter) -> tupl
 
 
 def write_adapter(spark: SparkSession, adapter: Adapter, history: DataFrame, path: str) -> None:
-    """Parameters and the training history, as two tables."""
+    """Parameters and the training history, two tables of one version; an existing adapter is an error."""
     kind = "deep" if isinstance(adapter.query, Deep) else "residual"
     rows = [(n, shape, values, kind, adapter.checkpoint, sorted(adapter.frozen)) for n, shape, values in adapter.numbers()]
-    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>, kind string, checkpoint string, frozen array<string>").write.mode("errorifexists").parquet(f"{path}/parameters")
-    history.write.mode("errorifexists").parquet(f"{path}/history")
+    parameters = spark.createDataFrame(rows, "name string, shape array<int>, values array<double>, kind string, checkpoint string, frozen array<string>")
+
+    def write(folder: str) -> None:
+        parameters.write.parquet(f"{folder}/parameters")
+        history.write.parquet(f"{folder}/history")
+
+    publish(spark, path, write, replace=False)
 
 
 def read_adapter(spark: SparkSession, path: str) -> Adapter:
-    rows = {r.name: r for r in spark.read.parquet(f"{path}/parameters").collect()}  # the parameters of one model
+    rows = {r.name: r for r in spark.read.parquet(f"{current(spark, path)}/parameters").collect()}  # the parameters of one model
     array = lambda n: np.array(rows[n]["values"], float).reshape(rows[n].shape)
     any_row = next(iter(rows.values()))
     if any_row.kind == "deep":

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.checkpoints import checkpointed
 from spindrift.functions import expr as X
+from spindrift.operators.order import running
 from spindrift.schema import RESULT
 
 
@@ -45,21 +48,11 @@ def unparsed(results: DataFrame, order: str, most: int = 5) -> DataFrame:
 
 
 def running_accuracy(results: DataFrame, by: str, order: str, block: int = 10_000) -> DataFrame:
-    """Accuracy so far, over labelled rows, within each ``by`` in the order of the whole number ``order``.
-
-    Sums by block of ``order`` come first; then each block's rows are summed by themselves, so a group's size never
-    falls to one task.
-    """
-    right = F.coalesce(F.col("correct").cast("int"), F.lit(0))
-    rows = results.withColumns({"__block": F.floor(F.col(order) / block), "__right": right, "__known": F.col("correct").isNotNull().cast("int")})
-    sums = rows.groupBy(by, "__block").agg(F.sum("__right").alias("r"), F.sum("__known").alias("k"))
-    before = W.partitionBy(by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col(by).alias("__by"), F.col("__block").alias("__b"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("__r"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("__k"))
-    held = rows.join(starts, F.col(by).eqNullSafe(F.col("__by")) & F.col("__block").eqNullSafe(F.col("__b")))
-    so_far = W.partitionBy(by, "__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    n = F.col("__k") + F.sum("__known").over(so_far)
-    out = held.withColumn("running", F.round((F.col("__r") + F.sum("__right").over(so_far)) / F.nullif(n, F.lit(0)), 6))
-    return out.select(*results.columns, "running")
+    """Accuracy so far, over labelled rows, within each ``by`` in ``order``; null before the first labelled one. Tasks
+    have about ``block`` rows, however a group's ``order`` is spread."""
+    known = F.col("correct").isNotNull().cast("int")
+    rows = running(results, by, [order], {"__k": F.coalesce(F.col("correct").cast("int"), F.lit(0)), "__n": known}, block)
+    return rows.withColumn("running", F.round(F.col("__k") / F.nullif(F.col("__n"), F.lit(0)), 6)).select(*results.columns, "running")
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str = "qid") -> DataFrame:
@@ -120,29 +113,77 @@ def in_input_order(rows: DataFrame, asked: DataFrame, key: str = "vid") -> DataF
     return asked.select("seq", key).join(rows, key).orderBy("seq")
 
 
-def answer(rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]], batch: int = 8, prepare: Callable[[str], object] | None = None) -> DataFrame:
-    """Results of a model over rows (vid, qid, seq, prompt, gold): one call per batch of a video's rows in seq order.
+#: What a Python worker has loaded, by the id of the run that asked for it.
+_LOADED: dict[str, Callable] = {}
+_SAID = "video string, qid string, gold int, raw string, error string"
+
+
+def _stretches(rows: DataFrame, stretch: int) -> DataFrame:
+    """``rows`` with ``__stretch``: 0, or for a video of more than ``stretch`` questions one of as many as it takes."""
+    many = rows.groupBy("vid").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > stretch)
+    number = F.pmod(F.xxhash64("qid"), F.ceil(F.col("__n") / stretch))
+    return rows.join(many, "vid", "left").withColumn("__stretch", F.coalesce(number, F.lit(0))).drop("__n")
+
 
-    Batches of a video are groups of their own, so a video with many questions is spread over tasks. ``prepare`` decodes
-    a video; one that it raises an error for is passed over, and has no results.
+def answered(
+    rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]] | None = None, batch: int = 8, prepare: Callable[[str], object] | None = None,
+    load: Callable[[], Callable[[str, pd.DataFrame], list[str]]] | None = None, stretch: int = 1000, done: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Results of a model over rows (vid, qid, seq, prompt, gold), and the videos that failed (video, error).
+
+    A video's rows come to one task in seq order, and pass the model in batches; ``prepare`` decodes a video once before
+    them. One that it raises an error for has no results and is among the failed. Only a video of more than ``stretch``
+    questions is cut, by the hashes of its qids, into stretches of their own, each of which decodes it once, so a video
+    that holds a third of all rows is spread over tasks. ``load`` makes the model, once in a Python worker, in place of
+    ``model``. Rows whose qid is in ``done`` are passed over. The run is written to the checkpoint folder, so that both
+    tables come from one pass of the model.
     """
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        try:
-            if prepare:
-                prepare(str(key[0]))
-        except Exception as reason:  # a video that can't be read costs its own questions only
-            logging.getLogger(__name__).warning("passed over %s: %s", key[0], reason)
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("video", "qid", "gold", "raw")})
-        raw = model(str(key[0]), pdf)
-        if len(raw) != len(pdf):
-            raise ValueError("one answer per row is needed")
-        return pd.DataFrame({"video": pdf["vid"].astype(str), "qid": pdf["qid"].astype(str), "gold": pdf["gold"], "raw": raw})
-
-    at = F.row_number().over(W.partitionBy("vid").orderBy("seq")) - 1
-    batches = rows.withColumn("batch", F.floor(at / batch))
-    said = batches.groupBy("vid", "batch").applyInPandas(one, "video string, qid string, gold int, raw string")
-    return score(said).select(*RESULT.names)
+    if (model is None) == (load is None):
+        raise ValueError("a model is given, or how to load it")
+    asked = pending(rows, done) if done is not None else rows
+    kept = ["vid", "__stretch", *dict.fromkeys(["seq", *rows.columns])]
+    kept = list(dict.fromkeys(kept))
+    run = uuid.uuid4().hex
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if load and run not in _LOADED:
+            _LOADED[run] = load()
+        call = _LOADED[run] if load else model
+        each = (row for b in batches for row in b.to_pylist())
+        for (vid, _), own in groupby(each, key=lambda r: (r["vid"], r["__stretch"])):
+            try:
+                if prepare:
+                    prepare(str(vid))
+            except Exception as reason:  # a video that can't be read costs its own questions only
+                yield _said([str(vid)], [None], [None], [None], [f"{type(reason).__name__}: {reason}"])
+                continue
+            while part := list(islice(own, batch)):
+                raw = call(str(vid), pd.DataFrame(part).drop(columns="__stretch"))
+                if len(raw) != len(part):
+                    raise ValueError("one answer per row is needed")
+                yield _said([str(vid)] * len(part), [r["qid"] for r in part], [r["gold"] for r in part], raw, [None] * len(part))
+
+    dealt = _stretches(asked, stretch).select(*kept).repartition("vid", "__stretch").sortWithinPartitions("vid", "__stretch", "seq")
+    said = checkpointed(dealt.mapInArrow(work, _SAID))
+    failed = said.filter("error IS NOT NULL").groupBy("video").agg(F.min("error").alias("error"))
+    return score(said.filter("error IS NULL").drop("error")).select(*RESULT.names), failed
+
+
+def _said(video: list, qid: list, gold: list, raw: list, error: list) -> pa.RecordBatch:
+    text = lambda x: pa.array([None if v is None else str(v) for v in x], pa.string())
+    return pa.RecordBatch.from_arrays([text(video), text(qid), pa.array(gold, pa.int32()), text(raw), text(error)], names=["video", "qid", "gold", "raw", "error"])
+
+
+def answer(rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]], batch: int = 8, prepare: Callable[[str], object] | None = None) -> DataFrame:
+    """The results of ``answered`` alone."""
+    return answered(rows, model, batch, prepare)[0]
+
+
+def refuse_empty(results: DataFrame) -> DataFrame:
+    """``results``, of which none at all is an error: a run that answered nothing has gone wrong."""
+    if results.isEmpty():
+        raise ValueError("nothing was answered")
+    return results
 
 
 def in_order(rows: DataFrame, by: str, order: str, what: str) -> DataFrame:

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from spindrift.checkpoints import checkpointed
 from spindrift.functions import expr as X
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query words, each query's own counted, that are sent to all tasks at most.
+MOST_WEIGHTS = 1 << 20
+#: Texts that are scored at once.
+BLOCK = 1024
 
 
 def term_stats(docs: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -45,10 +58,96 @@ def bm25_scores(pools: DataFrame, queries: DataFrame, docs: DataFrame, key: tupl
 def bm25_search(queries: DataFrame, docs: DataFrame, key: str, top: int = 10) -> DataFrame:
     """qid, key, score, place: of each query the ``top`` texts of the whole corpus; of equal scores the lesser key first.
 
-    Texts meet a query by the words that they share, and sums are begun where the words are, so nothing but a query's
-    candidates is dealt out.
+    Up to MOST_WEIGHTS query words, all tasks get the queries' weights, and a task scores its texts block by block, where
+    they are: of a query's words those are set aside that even together, at their largest in the block, can't lift a text
+    to the query's ``top`` best so far, and only texts with one of the other words are candidates. What can't be among the
+    best is passed over, so the result is that of scoring all; a task hands on its ``top`` texts a query. Beyond that
+    size texts meet queries by the words that they share.
     """
     tf, idf = term_stats(docs, (key,))
-    sums = tf.join(_weights(queries, idf), "term").groupBy("qid", key).agg(F.round(F.sum(_part()), 6).alias("score"))
+    weights = checkpointed(_weights(queries, idf))
+    if weights.count() > MOST_WEIGHTS:
+        found = tf.join(weights, "term").groupBy("qid", key).agg(F.sum(_part()).alias("score"))
+    else:
+        found = _pruned(weights, docs, key, top)
+    sums = found.select("qid", key, F.round("score", 6).alias("score"))
     ranked = sums.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), key)))
     return ranked.filter(F.col("place") <= top)
+
+
+class Best:
+    """The ``top`` best of a query so far, by score rounded, then key."""
+
+    def __init__(self, top: int):
+        self.top, self.rows = top, []
+
+    def floor(self) -> float:
+        return self.rows[-1][0] if len(self.rows) == self.top else -math.inf
+
+    def add(self, scores: np.ndarray, keys: list) -> None:
+        rows = self.rows + [(round(s, 6), k, s) for s, k in zip(scores.tolist(), keys)]
+        self.rows = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1]))[: self.top]
+
+
+def score_block(doc: np.ndarray, term: np.ndarray, part: np.ndarray, n: int, asked: dict, best: dict[object, Best], keys: list) -> int:
+    """Scores a block of ``n`` texts; how many pairs of query and text were candidates.
+
+    (doc, term, part) are the block's postings, ordered by term; ``asked``: by query its terms and weights.
+    """
+    at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1], [True]))) if len(term) else np.zeros(1, np.int64)
+    most = dict(zip(term[at[:-1]].tolist(), zip(at[:-1].tolist(), at[1:].tolist(), np.maximum.reduceat(part, at[:-1]).tolist() if len(term) else [])))
+    met = 0
+    for qid, (terms, weights) in asked.items():
+        own = sorted(((max(0.0, w * most[t][2]), w, *most[t][:2]) for t, w in zip(terms, weights) if t in most), reverse=True)
+        if not own:
+            continue
+        # the words from the least on that can't reach the floor by themselves; the margin is for rounding
+        floor, rest, needed = best[qid].floor(), 0.0, len(own)
+        while needed and rest + own[needed - 1][0] < floor - 1e-5:
+            needed -= 1
+            rest += own[needed][0]
+        if not needed:
+            continue
+        sums, seen = np.zeros(n), np.zeros(n, bool)
+        for i, (_, w, a, b) in enumerate(own):
+            sums[doc[a:b]] += w * part[a:b]
+            if i < needed:
+                seen[doc[a:b]] = True
+        met += int(seen.sum())
+        good = np.flatnonzero(seen & (sums >= floor - 1e-5))
+        if len(good) > best[qid].top:  # all that tie with the last of them stay
+            last = np.partition(sums[good], -best[qid].top)[-best[qid].top]
+            good = good[sums[good] >= last - 1e-5]
+        best[qid].add(sums[good], [keys[i] for i in good])
+    return met
+
+
+def _pruned(weights: DataFrame, docs: DataFrame, key: str, top: int) -> DataFrame:
+    """qid, key, score: of each query at least its ``top`` best texts, found by tasks on their own."""
+    rows = weights.collect()  # MOST_WEIGHTS at most
+    terms = sorted({r.term for r in rows})
+    number = {t: i for i, t in enumerate(terms)}
+    asked: dict = {}
+    for r in sorted(rows, key=lambda r: r.term):
+        own = asked.setdefault(r.qid, ([], []))
+        own[0].append(number[r.term])
+        own[1].append(r.w)
+    schema = T.StructType([weights.schema["qid"], docs.schema[key], T.StructField("score", T.DoubleType())])
+    sent = docs.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), asked, rows[0].avgdl if rows else 1.0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, asked, avgdl = sent.value
+        best = {qid: Best(top) for qid in asked}
+        for batch in batches:
+            for block in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK)):
+                words, dl = block.column(1).flatten(), pc.list_value_length(block.column(1)).to_numpy(zero_copy_only=False)
+                place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+                pair = (place * block.num_rows + np.repeat(np.arange(block.num_rows), dl))[place >= 0]
+                pair, tf = np.unique(pair, return_counts=True)
+                term, doc = np.divmod(pair, block.num_rows)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+                score_block(doc, term, part, block.num_rows, asked, best, block.column(0).to_pylist())
+        out = [(qid, k, s) for qid, own in best.items() for _, k, s in own.rows]
+        yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out) if out else ((), (), ()), schema)], names=schema.names)
+
+    return docs.select(key, X.tokens(F.coalesce("text", F.lit(""))).alias("terms")).mapInArrow(work, schema)

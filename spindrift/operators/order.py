@@ -28,6 +28,25 @@ def numbered(rows: DataFrame, by: list[Column], name: str = "seq", ties: list[Co
     return held.withColumn(name, (start[part] + place).cast("bigint")).drop("__place")
 
 
+def running(rows: DataFrame, by: str, order: list[str], sums: dict[str, Column], block: int = 10_000) -> DataFrame:
+    """``rows`` with running sums (name: what is summed) within each ``by`` in ``order``, the row itself included.
+
+    Rows are dealt by ranges of (by, order), of about ``block`` rows each whatever the values are. A group's sums by
+    range come first, then each range's rows are summed by themselves, so no task has more than a range or two, even of
+    one group or of numbers spread over 64 bits. A null ``by`` is a group like others; rows that agree in all of
+    ``order`` come one after another in any way.
+    """
+    ranges = max(1, -(-rows.count() // block))
+    parted = rows.withColumns({f"__{n}": x.cast("bigint") for n, x in sums.items()}).repartitionByRange(ranges, by, *order)
+    held = checkpointed(parted.withColumn("__part", F.spark_partition_id()))
+    totals = held.groupBy(by, "__part").agg(*(F.sum(f"__{n}").alias(n) for n in sums))
+    before = W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(F.col(by).alias("__by"), F.col("__part").alias("__in"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__from_{n}") for n in sums))
+    met = held.join(starts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__in")))
+    so_far = W.partitionBy(by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return met.select(*rows.columns, *((F.col(f"__from_{n}") + F.sum(f"__{n}").over(so_far)).alias(n) for n in sums))
+
+
 def grouped_in_order(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """``rows`` with group_seq, the number of its ``key`` by first appearance, and place, its number within the key.
 

@@ -129,6 +129,19 @@ def pessimistic_ranks(scores: DataFrame, keys: tuple[str, ...] = ("qid",)) -> Da
     return out.select(*keys, F.when(~F.isnan("s"), F.col("rank")).alias("rank"), "pool")
 
 
+def setup_ranks(pairs: DataFrame, setups: list[tuple[dict[str, str], Column, str]], keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """keys, setup columns, rank, pool of many setups from one row a pair of question and candidate.
+
+    A setup is its names, the candidate's score and the column with the oracle's score, which is on each pair's row, as
+    it is the question's own. So all setups are counted in one aggregate without a sort, and a pair is dealt out once,
+    not once for each setup. NaN counts as in ``pessimistic_ranks``.
+    """
+    ahead = [F.count(F.when((score >= F.col(own)) & ~F.isnan(score), 1)).alias(f"__ahead_{i}") for i, (_, score, own) in enumerate(setups)]
+    counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pool"), *ahead, *(F.max(own).alias(own) for _, _, own in setups))
+    each = [F.struct(*(F.lit(v).alias(n) for n, v in names.items()), F.when(~F.isnan(own), F.col(f"__ahead_{i}") - 1).alias("rank")) for i, (names, _, own) in enumerate(setups)]
+    return counted.select(*keys, "pool", F.inline(F.array(*each)))
+
+
 def metrics(ranks: DataFrame, keys: tuple[str, ...] = (), places: int = 6) -> DataFrame:
     """n, top1, top3, mrr and the random floor, in one aggregation."""
     aggs = [

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
+from spindrift.operators.order import running
 from spindrift.schema import CHUNK_SECONDS, MAX_CHUNKS, MIN_CHUNKS, SLIVER_SECONDS
 
 
@@ -123,6 +124,24 @@ def overlapping(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Colum
     return (a_lo <= b_hi) & (b_lo <= a_hi)
 
 
+def overlap_counts(cues: DataFrame, block: int = 10_000) -> DataFrame:
+    """vid, cue_no, n_overlaps: with how many other cues of its video each one overlaps, ends included.
+
+    A cue meets those that start no later than it ends, less those that end before it starts. Both are running counts
+    over one order of all starts and ends, in which a start comes before an end at the same moment, so neither pairs nor
+    a join by inequality are made, and a video of many cues is counted by several tasks. Cues with no start or end, or
+    that end before they start, overlap nothing.
+    """
+    sound = (F.col("start") <= F.col("end")) & F.col("end").isNotNull()
+    whole = cues.filter(sound)
+    points = whole.select("vid", "cue_no", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("is_end")), F.struct(F.col("end").alias("at"), F.lit(1).alias("is_end")))).alias("p"))
+    points = points.select("vid", "cue_no", "p.at", "p.is_end")
+    met = running(points, "vid", ["at", "is_end", "cue_no"], {"begun": 1 - F.col("is_end"), "over": F.col("is_end")}, block)
+    begun, over = F.max(F.when(F.col("is_end") == 1, F.col("begun"))), F.max(F.when(F.col("is_end") == 0, F.col("over")))
+    counted = met.groupBy("vid", "cue_no").agg((begun - over - 1).alias("n_overlaps"))
+    return counted.unionByName(cues.filter(~F.coalesce(sound, F.lit(False))).select("vid", "cue_no", F.lit(0).cast("bigint").alias("n_overlaps")))
+
+
 def spread_words(cues: DataFrame) -> DataFrame:
     """vid, cue_no, word_no, word, start, end: a cue's words spread evenly over it; the last ends with the cue."""
     words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.checkpoints import checkpoint_folder
 from spindrift.functions import expr as X
 from spindrift.functions.runs import answer_run_id
 from spindrift.operators import answers as Q
 from spindrift.operators import retrieval as R
 from spindrift.operators import timeline as L
+from spindrift.operators.order import grouped_in_order, numbered, zipped
 from spindrift.plans import sql as S
 from spindrift.plans.lexical import talk_chunks
 from spindrift.plans.registry import Registry, table
-from spindrift.sources.files import english_tracks, merged_tracks
+from spindrift.sources.files import english_tracks, in_file_order, merged_tracks
+from spindrift.streaming.answers import answer_stream as answer_rows
+from spindrift.streaming.answers import stream_answers
 
 query = Registry()
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,10 +176,76 @@ s AS (SELECT *, try_cast(nullif(regexp_extract(raw, '[0-3]'), '') AS INT) AS pre
 SELECT video, qid, pred, gold, {_CORRECT} AS correct, raw FROM s""")
 def answer_with_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model hook with a deterministic stand-in; no weights are at hand."""
+    return Q.answer(_prompts(spark, sf_dir), _stand_in)
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
     prompt = X.render_prompt(F.col("q"), [F.col(f"a{i}") for i in range(4)])
-    rows = asked.select(F.col("conv_id").alias("vid"), F.concat_ws("#", "conv_id", "turn").alias("qid"), F.col("turn").alias("seq"), prompt.alias("prompt"), F.pmod("turn", F.lit(4)).cast("int").alias("gold"))
-    return Q.answer(rows, _stand_in)
+    return asked.select(F.col("conv_id").alias("vid"), F.concat_ws("#", "conv_id", "turn").alias("qid"), F.col("turn").alias("seq"), prompt.alias("prompt"), F.pmod("turn", F.lit(4)).cast("int").alias("gold"))
+
+
+def _no_frames(video: str) -> None:
+    if int(video) % 7 == 0:
+        raise OSError("no frames")
+
+
+@query(f"""WITH {_ASKED},
+p AS (
+  SELECT conv_id, (turn % 4)::INT AS gold,
+    (length(q) + length(a0) + length(a1) + length(a2) + length(a3) + 4 * 4 + 1 + length('{X.INSTRUCTION}')) % 5 AS said
+  FROM o)
+SELECT conv_id::VARCHAR AS video, count(*) FILTER (conv_id % 7 <> 0) AS n, count(*) FILTER (conv_id % 7 <> 0 AND said = gold) AS n_right,
+  CASE WHEN conv_id % 7 = 0 THEN 'OSError: no frames' END AS error
+FROM p GROUP BY conv_id""")
+def answers_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run makes of each video: how many answers, how many right, and why there are none where it can't be read."""
+    results, failed = Q.answered(_prompts(spark, sf_dir), load=lambda: _stand_in, prepare=_no_frames)
+    counts = results.groupBy("video").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("correct"), 1)).alias("n_right"))
+    zero = F.lit(0).cast("bigint")
+    return counts.withColumn("error", F.lit(None).cast("string")).unionByName(failed.select("video", zero.alias("n"), zero.alias("n_right"), "error"))
+
+
+@query(f"""WITH a AS (
+  SELECT conv_id::VARCHAR AS video, conv_id || '#' || turn || '#' || coalesce(role, '') AS qid, turn AS seq,
+    try_cast(nullif(regexp_extract(coalesce(text, ''), '[0-3]'), '') AS INT) AS pred, CASE WHEN turn % 5 > 0 THEN (turn % 4)::INT END AS gold FROM conversations),
+s AS (SELECT *, {_CORRECT} AS correct FROM a),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, qid ORDER BY seq) AS rn FROM s) WHERE rn = 1)
+SELECT video, qid, correct, round(avg(correct::INT) OVER (PARTITION BY video ORDER BY seq, qid ROWS UNBOUNDED PRECEDING), 6) AS running FROM f""")
+def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of raw answers, scored with what was answered, and the accuracy so far, in its state."""
+    at = f"{sf_dir}/conversations.parquet"
+    schema = spark.read.parquet(at).schema
+    raw = spark.readStream.schema(schema).parquet(f"{at}*").select(  # a pattern, as a stream takes no single file by its name
+        F.col("conv_id").cast("string").alias("video"), F.concat_ws("#", "conv_id", "turn", F.coalesce("role", F.lit(""))).alias("qid"), F.col("turn").alias("seq"),
+        F.when(F.col("turn") % 5 > 0, F.col("turn") % 4).cast("int").alias("gold"), F.coalesce("text", F.lit("")).alias("raw"),
+    )
+    folder = f"{checkpoint_folder(spark)}/answer-stream-{uuid.uuid4().hex}"
+    answer_rows(raw, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return stream_answers(spark, f"{folder}/rows").select("video", "qid", "correct", "running")
+
+
+_TURN_ORDER = "r AS (SELECT *, row_number() OVER () - 1 AS seq FROM conversations)"
+
+
+@query(f"""WITH {_TURN_ORDER},
+g AS (SELECT conv_id, row_number() OVER (ORDER BY min(seq)) - 1 AS group_seq FROM r GROUP BY conv_id)
+SELECT conv_id, turn, seq, group_seq, row_number() OVER (PARTITION BY conv_id ORDER BY seq) - 1 AS place FROM r JOIN g USING (conv_id)""")
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place in its file, its group's by first appearance, and its own within the group."""
+    rows = in_file_order(table(spark, sf_dir, "conversations").select("conv_id", "turn"))
+    return grouped_in_order(rows, "conv_id").select("conv_id", "turn", "seq", "group_seq", F.col("place").cast("bigint").alias("place"))
+
+
+@query("""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS seq FROM documents),
+l AS (SELECT doc_id AS other, row_number() OVER (ORDER BY doc_id DESC) - 1 AS seq FROM documents)
+SELECT seq, doc_id, other FROM d JOIN l USING (seq)""")
+def zipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables side by side, each in an order of its own."""
+    rows = table(spark, sf_dir, "documents")
+    left = numbered(rows.select("doc_id", "source"), [F.col("source"), F.col("doc_id")]).select("seq", "doc_id")
+    right = numbered(rows.select(F.col("doc_id").alias("other")), [F.col("other").desc()])
+    return zipped(left, right).select("seq", "doc_id", "other")
 
 
 def _qa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,21 +327,22 @@ def dropped_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, 'b' || p_size AS encoder, round(greatest(exp(-p_size / 10.0), 0.01), 6) AS temperature,
   array_to_string(list_filter(['video', CASE WHEN p_size % 2 = 1 THEN 'said ' || p_size END, 'ask ' || p_size], lambda x: x IS NOT NULL), '|') AS parts,
-  p_size % 3 = 0 AS overlaps, 'EN,en-US' AS tracks,
-  'm_d_s_' || CASE WHEN p_size % 2 = 1 THEN 'tx' ELSE 'notx' END || CASE WHEN p_size % 3 = 0 THEN '_n' || p_size ELSE '' END AS run_id
+  p_size % 9 <= 3 + p_partkey % 4 AND p_partkey % 5 <= p_size % 9 + 2 AS overlaps,
+  array_to_string(list_sort(list_filter([CASE p_size % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'de' ELSE 'eng-' || p_partkey % 7 END, 'en-' || p_size % 4, 'fr' || p_size], lambda x: starts_with(lower(x), 'en'))), ',') AS tracks,
+  'm_d_s' || p_size || '_' || CASE WHEN p_size % 2 = 1 THEN 'tx' ELSE 'notx' END || CASE WHEN p_size % 3 = 0 THEN '_n' || p_size ELSE '' END AS run_id
 FROM part""")
 def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of a row that no other query has: names, temperatures, prompt parts, overlaps, tracks, run ids."""
-    size = F.col("p_size")
+    size, key = F.col("p_size"), F.col("p_partkey")
     said = F.when(size % 2 == 1, F.concat(F.lit("said "), size))
     parts = F.transform(X.content_parts(F.concat(F.lit("ask "), size), said), lambda p: F.when(p["kind"] == "video", p["kind"]).otherwise(p["text"]))
-    tracks = merged_tracks(F.create_map(F.lit("de"), F.lit("x"), F.lit("EN"), F.lit("y")), F.create_map(F.lit("en-US"), F.lit("z")))
-    runs = [F.lit(answer_run_id("m", "d", "s", transcript=odd)) for odd in (False, True)]
-    run_id = F.concat(F.when(size % 2 == 1, runs[1]).otherwise(runs[0]), F.when(size % 3 == 0, F.concat(F.lit("_n"), size)).otherwise(F.lit("")))
-    shift = F.when(size % 3 == 0, 0.5).otherwise(1.5)
+    code = F.when(size % 3 == 0, "EN").when(size % 3 == 1, "de").otherwise(F.concat(F.lit("eng-"), key % 7))
+    tracks = merged_tracks(F.create_map(code, F.lit("x"), F.concat(F.lit("fr"), size), F.lit("y")), F.create_map(F.concat(F.lit("en-"), size % 4), F.lit("z")))
+    ids = {(n, odd): answer_run_id("m", "d", f"s{n}", transcript=odd, limit=n if n % 3 == 0 else None) for n in range(1, 51) for odd in (n % 2 == 1,)}
+    run_id = F.create_map(*(F.lit(x) for (n, _), name in ids.items() for x in (n, name)))[size.cast("int")]
     return table(spark, sf_dir, "part").select(
         "p_partkey", X.encoder_of(F.concat(F.lit("b"), size, F.lit("_val"))).alias("encoder"), F.round(X.temperature(-size / 10.0), 6).alias("temperature"), F.array_join(parts, "|").alias("parts"),
-        L.overlapping(F.lit(0.0), F.lit(1.0), shift, shift + 1).alias("overlaps"), F.array_join(english_tracks(tracks), ",").alias("tracks"), run_id.alias("run_id"),
+        L.overlapping(size % 9, size % 9 + 2, key % 5, 3 + key % 4).alias("overlaps"), F.array_join(english_tracks(tracks), ",").alias("tracks"), run_id.alias("run_id"),
     )
 
 

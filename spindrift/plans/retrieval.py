@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,20 +95,21 @@ _SETUPS = f"{_SWEEP},\nm AS (SELECT 'vectors' AS encoder, pool_type, representat
 
 
 def sweep_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of every pool type, representation and query form. A pair of question and chunk is joined once; the sweep is
-    over the columns of the joined row."""
+    """Ranks of every pool type, representation and query form. The oracle's nine scores are made once a question; a pair
+    of question and chunk is joined once, and its nine scores are counted against them in one aggregate."""
     chunks, questions = _tables(spark, sf_dir)
     v, t = F.col("v"), F.col("t")
     reps = chunks.select("vid", "idx", *[X.representation(r, v, t).alias(f"c_{i}") for i, r in enumerate(REPRESENTATIONS)])
-    forms = chunks.select("qid", "vid", F.col("idx").alias("oracle_idx"), X.representation("transcript", v, t).alias("q_0"), X.fused(v, t).alias("q_1"), X.representation("video", v, t).alias("q_2"))
-    within = forms.join(reps, "vid").withColumns({"is_oracle": F.col("idx") == F.col("oracle_idx"), "pool_type": F.lit("within")})
-    cross = R.pools_of("cross", questions, chunks).join(reps, ["vid", "idx"]).join(forms.drop("vid", "oracle_idx"), "qid").withColumn("pool_type", F.lit("cross"))
-    each = [
-        F.struct(F.lit(r).alias("representation"), F.lit(f).alias("query_form"), F.round(X.dot(F.col(f"q_{j}"), F.col(f"c_{i}")), R.PLACES).alias("score"))
+    setups = [
+        ({"representation": r, "query_form": f}, F.round(X.dot(F.col(f"q_{j}"), F.col(f"c_{i}")), R.PLACES), f"o_{i}{j}")
         for i, r in enumerate(REPRESENTATIONS) for j, f in enumerate(QUERY_FORMS)
     ]
-    scores = reduce_union([x.select("pool_type", "qid", "is_oracle", F.inline(F.array(*each))) for x in (within, cross)])
-    return R.pessimistic_ranks(scores, (*SETUP, "qid"))
+    asked = chunks.select("qid", "vid", F.col("idx").alias("oracle_idx"), X.representation("transcript", v, t).alias("q_0"), X.fused(v, t).alias("q_1"), X.representation("video", v, t).alias("q_2"))
+    oracles = reps.withColumnRenamed("idx", "oracle_idx")
+    forms = asked.join(oracles, ["vid", "oracle_idx"]).select(*asked.columns, *(score.alias(own) for _, score, own in setups))
+    within = forms.join(reps, "vid").withColumn("pool_type", F.lit("within"))
+    cross = R.pools_of("cross", questions, chunks).select("qid", "vid", "idx").join(reps, ["vid", "idx"]).join(forms.drop("vid", "oracle_idx"), "qid").withColumn("pool_type", F.lit("cross"))
+    return reduce_union([R.setup_ranks(x, setups, ("pool_type", "qid")) for x in (within, cross)])
 
 
 def reduce_union(parts: list[DataFrame]) -> DataFrame:
@@ -425,9 +427,80 @@ def adapter_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", F.round(F.element_at("a", 1), 6).alias("first"), F.round(F.element_at("a", 64), 6).alias("last"))
 
 
-_COMPONENTS = f"""WITH {_CHUNKS}, f AS (SELECT qid, {S.plus("v", "t")} AS f, t AS q FROM c)
-SELECT qid, i, round(f[i] / sqrt(list_dot_product(f, f)), 6) AS chunk, round(q[i] / sqrt(list_dot_product(q, q)), 6) AS query
-FROM (SELECT *, unnest(range(1, 65)) AS i FROM f)"""
+def _fixed(rows: int, columns: int, shift: int) -> np.ndarray:
+    """Numbers by a rule, so that the SQL can make them too: row i, column j (from 1)."""
+    i, j = np.meshgrid(np.arange(1, rows + 1), np.arange(1, columns + 1), indexing="ij")
+    return ((i * 7 + j * 3 + shift) % 11 - 5) / 40
+
+
+def _fixed_column(rows: str, j: str, shift: int) -> str:
+    return f"list_transform(range(1, {rows} + 1), lambda i: ((i * 7 + {j} * 3 + {shift}) % 11 - 5) / 40.0)"
+
+
+def _times(x: str, rows: int, columns: int, shift: int) -> str:
+    """A list times a fixed matrix."""
+    return f"list_transform(range(1, {columns} + 1), lambda j: list_dot_product({x}, {_fixed_column(str(rows), 'j', shift)}::DOUBLE[]))"
+
+
+def _gelu_sql(z: str) -> str:
+    """GELU of each component by the series of the error function, which 60 terms take to all places below 4."""
+    erf = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * exp((2 * n + 1) * ln(abs(x) / sqrt(2)) - lgamma(n + 1)) / (2 * n + 1))) * sign(x)"
+    return f"list_transform({z}, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE 0.5 * x * (1 + {erf}) END)"
+
+
+def _added(*parts: str) -> str:
+    out = parts[0]
+    for p in parts[1:]:
+        out = f"list_transform(list_zip({out}, {p}), lambda z: z[1] + z[2])"
+    return out
+
+
+_RANK, _HIDDEN, _ALPHA, _BETA = 3, 4, 0.75, 1.25
+
+
+def fixed_adapter(name: str) -> A.Adapter:
+    """An adapter whose every layer has numbers: not the identity, as a new one is."""
+    if name == "small":
+        branches = [A.Residual(_fixed(n, _RANK, s), _fixed(_RANK, 64, s + 1)) for n, s in ((64, 0), (128, 4))]
+    else:
+        branches = [
+            A.Deep(((_fixed(n, _HIDDEN, s), _fixed(1, _HIDDEN, s + 1)[0]), (_fixed(_HIDDEN, _HIDDEN, s + 2), _fixed(1, _HIDDEN, s + 3)[0]), (_fixed(_HIDDEN, 64, s + 4), _fixed(1, 64, s + 5)[0])), 1 + _fixed(1, n, s + 6)[0], _fixed(1, n, s + 7)[0])
+            for n, s in ((64, 0), (128, 4))
+        ]
+    return A.Adapter(*branches, _ALPHA, _BETA)
+
+
+def _row(n: int, shift: int, more: str = "") -> str:
+    """The fixed matrix of one row, as a list."""
+    return f"list_transform(range(1, {n} + 1), lambda j: {more}((7 + j * 3 + {shift}) % 11 - 5) / 40.0)"
+
+
+def _small_sql() -> str:
+    q = f"{_times(_gelu_sql(_times('t', 64, _RANK, 0)), _RANK, 64, 1)}"
+    c = f"{_times(_gelu_sql(_times('list_concat(v, t)', 128, _RANK, 4)), _RANK, 64, 5)}"
+    return f"r AS (SELECT *, {q} AS rq, {c} AS rc FROM c)"
+
+
+def _deep_sql(name: str, x: str, n: int, s: int) -> str:
+    """Layer normalisation, two hidden layers, a projection; a table a step."""
+    return f"""{name}0 AS (SELECT *, {x} AS x FROM c),
+{name}1 AS (SELECT * EXCLUDE (x), list_transform(x, lambda y: y - list_avg(x)) AS x FROM {name}0),
+{name}2 AS (SELECT * EXCLUDE (x), list_transform(list_zip(list_transform(x, lambda y: y / sqrt(list_dot_product(x, x) / {n} + 1e-5)), {_row(n, s + 6, '1 + ')}, {_row(n, s + 7)}), lambda z: z[1] * z[2] + z[3]) AS x FROM {name}1),
+{name}3 AS (SELECT * EXCLUDE (x), {_gelu_sql(_added(_times('x', n, _HIDDEN, s), _row(_HIDDEN, s + 1)))} AS x FROM {name}2),
+{name}4 AS (SELECT * EXCLUDE (x), {_gelu_sql(_added(_times('x', _HIDDEN, _HIDDEN, s + 2), _row(_HIDDEN, s + 3)))} AS x FROM {name}3),
+{name}5 AS (SELECT qid, {_added(_times('x', _HIDDEN, 64, s + 4), _row(64, s + 5))} AS x FROM {name}4)"""
+
+
+_ADAPTED = f"""a AS (
+  SELECT * EXCLUDE (rq, rc), list_transform(list_zip(v, t, rc), lambda z: {_ALPHA} * z[1] + {_BETA} * z[2] + z[3]) AS f, list_transform(list_zip(t, rq), lambda z: z[1] + z[2]) AS q FROM r),
+u AS (SELECT *, {S.unit("f")} AS uf, {S.unit("q")} AS uq FROM a)"""
+_SMALL = f"{_CHUNKS},\n{_small_sql()},\n{_ADAPTED}"
+_DEEP = f"""{_CHUNKS},
+{_deep_sql("dq", "t", 64, 0)},
+{_deep_sql("dc", "list_concat(v, t)", 128, 4)},
+r AS (SELECT c.*, dq5.x AS rq, dc5.x AS rc FROM c JOIN dq5 USING (qid) JOIN dc5 USING (qid)),
+{_ADAPTED}"""
+_COMPONENTS = "SELECT qid, i, round(uf[i], 6) AS chunk, round(uq[i], 6) AS query FROM (SELECT *, unnest(range(1, 65)) AS i FROM u)"
 
 
 def _adapted_components(spark: SparkSession, sf_dir: str, adapter: A.Adapter) -> DataFrame:
@@ -438,47 +511,54 @@ def _adapted_components(spark: SparkSession, sf_dir: str, adapter: A.Adapter) ->
     return each.select("qid", (F.col("at") + 1).cast("bigint").alias("i"), F.round("x.chunk", 6).alias("chunk"), F.round("x.query", 6).alias("query"))
 
 
-@query(_COMPONENTS)
+@query(f"WITH {_SMALL}\n{_COMPONENTS}")
 def adapted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache pushed through a new small adapter, by components: its residuals end in zeros, so it is the identity."""
-    return _adapted_components(spark, sf_dir, A.build("small", 64, rank=8))
+    """A cache pushed through a small adapter with numbers in all its layers, by components."""
+    return _adapted_components(spark, sf_dir, fixed_adapter("small"))
 
 
-@query(_COMPONENTS)
+@query(f"WITH {_DEEP}\n{_COMPONENTS}")
 def adapted_cache_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adapted_components(spark, sf_dir, A.build("big", 64, hidden=32))
+    return _adapted_components(spark, sf_dir, fixed_adapter("big"))
 
 
-@query(f"""WITH {_CHUNKS},
+@query(f"""WITH {_SMALL},
 {S.WITHIN_POOLS},
-a AS (SELECT vid, idx, {S.unit("f")} AS f FROM (SELECT *, {S.plus("v", "t")} AS f FROM c)),
-s AS (SELECT p.qid, p.is_oracle, round(list_dot_product({S.unit("q.q")}, a.f), 6) AS score FROM wp p JOIN a USING (vid, idx) JOIN q0 q ON q.qid = p.qid WHERE p.vid % {HELD_OUT} = 0),
-{S.ranks("r", "s")}
-SELECT {S.METRICS} FROM r""")
+s AS (SELECT p.qid, p.is_oracle, round(list_dot_product(q.uq, d.uf), 6) AS score FROM wp p JOIN u d ON d.vid = p.vid AND d.idx = p.idx JOIN u q ON q.qid = p.qid WHERE p.vid % {HELD_OUT} = 0),
+{S.ranks("rk", "s")}
+SELECT {S.METRICS} FROM rk""")
 def evaluate_adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An adapted cache scored on the held-out videos' questions, as a frozen one would be."""
     chunks, questions = _tables(spark, sf_dir)
-    done, asked = A.adapt_cache(chunks, questions, A.build("small", 64, rank=4, freeze_chunks=True))
+    done, asked = A.adapt_cache(chunks, questions, fixed_adapter("small"))
     asked = Q.only(asked, chunks.filter(F.col("vid") % HELD_OUT == 0))
     return R.metrics(R.pessimistic_ranks(R.scored_within(asked, done, vector="v")))
 
 
-_HISTORY = [("a", 0, 0.2), ("a", 1, 0.3), ("a", 2, 0.3), ("a", 3, 0.29), ("a", 4, 0.31), ("b", 0, 0.5), ("b", 1, 0.4), ("b", 2, 0.5)]
-_HISTORY_SQL = "h(run, epoch, top1) AS (VALUES " + ", ".join(map(str, _HISTORY)) + ")"
+_HISTORY_SQL = """h AS (
+  SELECT 'r' || doc_id % 4 AS run, (doc_id // 50)::INT AS epoch, round(avg(quality), 6) AS top1 FROM labels WHERE quality IS NOT NULL GROUP BY ALL)"""
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, epoch, top1: four runs over the labelled documents, an epoch for each fifty ids, by their share of good ones."""
+    rows = table(spark, sf_dir, "labels").filter("quality IS NOT NULL")
+    run, epoch = F.concat(F.lit("r"), F.col("doc_id") % 4), F.floor(F.col("doc_id") / 50).cast("int")
+    return rows.groupBy(run.alias("run"), epoch.alias("epoch")).agg(F.round(F.avg("quality"), 6).alias("top1"))
 
 
 @query(f"""WITH {_HISTORY_SQL},
-b AS (SELECT *, coalesce(top1 > max(top1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM h),
+b AS (
+  SELECT *, coalesce(top1 > max(top1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM h),
 c AS (SELECT *, max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS best_epoch FROM b)
 SELECT run, epoch, is_best, best_epoch, epoch - best_epoch >= 2 AS stopped FROM c""")
 def early_stop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_HISTORY, "run string, epoch int, top1 double")
-    return A.replay(rows, 2).select("run", "epoch", "is_best", "best_epoch", "stopped")
+    return A.replay(_history(spark, sf_dir), 2).select("run", "epoch", "is_best", "best_epoch", "stopped")
 
 
-@query(f"WITH {_HISTORY_SQL} SELECT run, arg_max(epoch, top1 * 1000 - epoch)::INT AS epoch, max(top1)::DOUBLE AS top1 FROM h GROUP BY run")
+@query(f"""WITH {_HISTORY_SQL}
+SELECT run, epoch, top1 FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY top1 DESC, epoch) AS rn FROM h) WHERE rn = 1""")
 def best_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.best_epoch(spark.createDataFrame(_HISTORY, "run string, epoch int, top1 double"))
+    return A.best_epoch(_history(spark, sf_dir))
 
 
 @query(f"""WITH h AS (SELECT doc_id, {S.hashed("ws")} AS h FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents))

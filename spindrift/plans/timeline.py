@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.checkpoints import checkpoint_folder
 from spindrift.functions import encoders
 from spindrift.functions import expr as X
 from spindrift.operators import timeline as L
 from spindrift.plans import sql as S
 from spindrift.plans.lexical import talk_chunks
 from spindrift.plans.registry import Registry, table
+from spindrift.sources import captions
 
 query = Registry()
 #: Cues are as long as an event's value says, up to this many seconds; a user's first event is second 0.
@@ -196,14 +200,43 @@ def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("qid", "vid", "query_form", F.posexplode("query").alias("at", "x")).select("qid", "vid", "query_form", (F.col("at") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("SELECT p_partkey, 4 AS n_windows, 12 AS n_frames, '0,24,49|50,74,99|100,124,149|150,174,199' AS frames FROM part")
+@query("""WITH w AS (
+  SELECT p_partkey, k, round_even((p_size % 5 + 2 * k) * 25.0, 0)::INT AS lo,
+    least(p_size * 20 + 59, round_even((p_size % 5 + 2 * k + 1 + p_partkey % 3) * 25.0, 0)::INT - 1) AS hi
+  FROM part, range(0, 3) AS ks(k)),
+f AS (
+  SELECT p_partkey, k, CASE WHEN hi >= lo THEN list_transform(range(0, least(2 + k, hi - lo + 1)), lambda i: lo + round_even(i * (hi - lo) / greatest(least(2 + k, hi - lo + 1) - 1, 1)::DOUBLE, 0)::INT) ELSE [] END AS frames FROM w)
+SELECT p_partkey, count(*)::INT AS n_windows, sum(len(frames))::INT AS n_frames, string_agg(array_to_string(frames, ','), '|' ORDER BY k) AS frames FROM f GROUP BY p_partkey""")
 def frames_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of four windows read in one pass and parted again."""
-    each = [X.window_frame_indices(F.lit(200), F.lit(25.0), F.lit(3), F.lit(2.0 * k), F.lit(2.0 * k + 2)) for k in range(4)]
-    flat, sizes = X.windows_at_once(F.array(*each))
+    """Frames of a video's windows read in one pass and parted again; windows beyond its end have none."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    start = [(size % 5 + 2 * k).cast("double") for k in range(3)]
+    each = [X.window_frame_indices(size * 20 + 60, F.lit(25.0), F.lit(2 + k), x, x + 1 + key % 3) for k, x in enumerate(start)]
+    flat, sizes = X.windows_at_once(F.array(*(F.coalesce(x, F.array().cast("array<int>")) for x in each)))
     rows = table(spark, sf_dir, "part").select("p_partkey", flat.alias("f"), sizes.alias("n"))
     again = rows.select("p_partkey", F.size("n").alias("n_windows"), F.size("f").alias("n_frames"), X.split_again(F.col("f"), F.col("n")).alias("w"))
     return again.select("p_partkey", "n_windows", "n_frames", F.array_join(F.transform("w", lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), ",")), "|").alias("frames"))
 
 
+@query(f"""WITH {_CUES}
+SELECT a.vid, a.cue_no, count(b.cue_no) AS n_overlaps
+FROM cu a LEFT JOIN cu b ON a.vid = b.vid AND a.cue_no <> b.cue_no AND a.start <= b.stop AND b.start <= a.stop GROUP BY a.vid, a.cue_no""")
+def overlapping_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With how many others of its video each cue overlaps, ends included."""
+    return L.overlap_counts(cue_table(spark, sf_dir), block=1000)
+
+
+@query(f"""WITH {_CUES}
+SELECT vid::VARCHAR AS vid, row_number() OVER (PARTITION BY vid ORDER BY cue_no)::INT AS cue_no, round(start, 3) AS start, round(stop, 3) AS stop, text FROM cu""")
+def captions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues written as caption files to the checkpoint folder, and read back: numbered in their order, after the header."""
+    captions.register(spark)
+    at = f"{checkpoint_folder(spark)}/captions-{uuid.uuid4().hex}"
+    cues = cue_table(spark, sf_dir).withColumn("vid", F.col("vid").cast("string")).select("vid", "cue_no", "start", "end", "text")
+    dealt = cues.repartition("vid").sortWithinPartitions("vid", "cue_no").withColumn("cue_no", F.col("cue_no").cast("int"))
+    dealt.write.format("captions").mode("append").option("path", at).save()
+    read = spark.read.format("captions").option("path", at).load()
+    return read.select("vid", "cue_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("stop"), "text")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

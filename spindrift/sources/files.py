@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.checkpoints import checkpointed
 from spindrift.functions import expr as X
 from spindrift.schema import CUE, FAILURE, QA, RESULT
+from spindrift.sources.publish import current, publish, publish_table
 
 
 def read_qa(spark: SparkSession, root: str, split: str, dataset: str, datasets: tuple[str, ...]) -> DataFrame:
@@ -17,6 +21,26 @@ def read_qa(spark: SparkSession, root: str, split: str, dataset: str, datasets:
     return spark.read.schema(QA).json(f"{root}/{dataset}/qa/qa_{split}.json")
 
 
+def in_file_order(rows: DataFrame, name: str = "seq") -> DataFrame:
+    """``rows``, as a reader of files returns them, with ``name``: 0, 1, ... by file path, then by place in the file.
+
+    A split's rows come in order, so their numbers need no sort: what comes before a split is the sum of the rows of the
+    splits before it, by path and offset. The same under any size of splits. The rows are written once, so that what is
+    counted is what is numbered; only a count for each split reaches the driver.
+    """
+    at = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")]
+    held = checkpointed(rows.select("*", *at).withColumn("__place", F.monotonically_increasing_id()))
+    splits = held.groupBy("__path", "__block").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("n")).orderBy("__path", "__block").collect()
+    starts = accumulate((s.n for s in splits), initial=0)
+    table = rows.sparkSession.createDataFrame([(s["__path"], s["__block"], start - s["__first"]) for s, start in zip(splits, starts)], "__path string, __block bigint, __shift bigint")
+    return held.join(table, ["__path", "__block"]).withColumn(name, F.col("__place") + F.col("__shift")).drop("__path", "__block", "__place", "__shift")
+
+
+def read_qa_in_order(spark: SparkSession, root: str, split: str, dataset: str, datasets: tuple[str, ...]) -> DataFrame:
+    """The questions with ``seq``, their place in the file: what "the first N questions" goes by."""
+    return in_file_order(read_qa(spark, root, split, dataset, datasets))
+
+
 def read_trims(spark: SparkSession, path: str) -> DataFrame:
     """vid, start, end of an object of start seconds."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("vid", "start"))
@@ -24,15 +48,16 @@ def read_trims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str, force: bool = False) -> None:
-    """Refuses an empty manifest, and an existing path unless ``force``."""
+    """Refuses an empty manifest, and an existing path unless ``force``; then the one before stays readable until the new
+    one is whole."""
     if manifest.isEmpty():
         raise ValueError("the manifest is empty")
-    manifest.sort("vid").write.mode("overwrite" if force else "errorifexists").parquet(path)
+    publish_table(manifest.sort("vid"), path, replace=force)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """vid, idx, s, e, is_oracle of a manifest."""
-    rows = spark.read.parquet(path).select("vid", "oracle_idx", F.posexplode("chunks").alias("idx", "c"))
+    rows = spark.read.parquet(current(spark, path)).select("vid", "oracle_idx", F.posexplode("chunks").alias("idx", "c"))
     return rows.select("vid", "idx", "c.s", "c.e", (F.col("idx") == F.col("oracle_idx")).alias("is_oracle"))
 
 
@@ -69,6 +94,16 @@ def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     return parse_vtt(spark.read.text(path, wholetext=True).select(name.alias("vid"), "value")).select(*CUE.names)
 
 
+def read_vtt_or_missing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The cues of caption files, and vid, reason of the files that can't be read as captions: those that aren't UTF-8, or
+    don't begin as WebVTT does. Such a file costs its own cues only. Readers of files pass over empty ones, which have no cues either way."""
+    files = spark.read.format("binaryFile").load(path).filter("endswith(path, '.vtt')")
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.vtt$", 1).alias("vid"), F.expr("try_validate_utf8(CAST(content AS STRING))").alias("value"))
+    reason = F.when(F.col("value").isNull(), "not UTF-8").when(~F.col("value").rlike("^\\x{FEFF}?WEBVTT"), "not WebVTT")
+    read = files.withColumn("reason", reason)
+    return parse_vtt(read.filter("reason IS NULL").select("vid", "value")).select(*CUE.names), read.filter("reason IS NOT NULL").select("vid", "reason")
+
+
 def read_raw_vtt(spark: SparkSession, path: str) -> DataFrame:
     """vid, cue_no, start, end, raw: cues with their tags, as ``karaoke_words`` takes them."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.vtt$", 1)
@@ -109,12 +144,12 @@ def timed_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cache(rows: DataFrame, path: str, checkpoint: str, num_frames: int) -> None:
-    """Vectors with the stamp of the encoder that made them."""
-    rows.withColumns({"checkpoint": F.lit(checkpoint), "num_frames": F.lit(num_frames)}).write.mode("errorifexists").parquet(path)
+    """Vectors with the stamp of the encoder that made them; an existing cache is an error."""
+    publish_table(rows.withColumns({"checkpoint": F.lit(checkpoint), "num_frames": F.lit(num_frames)}), path, replace=False)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(current(spark, path))
 
 
 def append_results(results: DataFrame, path: str) -> None:
@@ -157,12 +192,16 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 def write_splits(members: DataFrame, path: str) -> None:
     """members (subset, split, pos, id) by partition: only the splits and subsets that ``members`` has are written anew, the
-    others at ``path`` stay."""
-    members.select("subset", "split", "pos", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "subset").parquet(path)
+    others at ``path`` stay. Readers see all of the new version or none of it."""
+    spark, new = members.sparkSession, members.select("subset", "split", "pos", "id")
+    if _exists(spark, path):
+        old = read_written_splits(spark, path)
+        new = new.unionByName(old.join(new.select("split", "subset").distinct(), ["split", "subset"], "left_anti").select(new.columns))
+    publish(spark, path, lambda folder: new.write.partitionBy("split", "subset").parquet(folder))
 
 
 def read_written_splits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("subset", "split", "pos", "id")
+    return spark.read.parquet(current(spark, path)).select("subset", "split", "pos", "id")
 
 
 def merged_tracks(manual: Column, automatic: Column) -> Column:

@@ -188,3 +188,107 @@ def test_runs_are_told_apart():
     assert len(ids) == 6 and runs.adapter_run_id("small", "question+options", True, 0.25) == "small_question-options_queryonly_ans0.25"
     assert runs.versions(("numpy", "no-such-package"))["no-such-package"] == "-" and re.fullmatch(r"unknown|[0-9a-f]+(-dirty)?", runs.revision())
     assert runs.accepted(lambda fps, frames=1: None, {"fps": 2, "frames": None, "tokens": 9}) == {"fps": 2}
+
+
+def asked_rows(spark, videos):
+    rows = [(v, f"{v}#{i}", i, f"p{i}", i % 4) for v, n in videos.items() for i in range(n)]
+    return spark.createDataFrame(rows, "vid string, qid string, seq int, prompt string, gold int").repartition(5)
+
+
+def test_a_video_is_decoded_once_and_a_model_loaded_once(spark, tmp_path):
+    def log(name, what):
+        with open(tmp_path / name, "a") as f:
+            f.write(f"{what}\n")
+
+    def prepare(video):
+        log("prepared", video)
+        if video == "bad":
+            raise OSError("torn")
+
+    def load():
+        import os
+
+        log("loaded", os.getpid())
+        return lambda video, pdf: [f"{q % 4}" for q in pdf["seq"]]
+
+    videos = {"a": 100, "b": 1, "bad": 30, "long": 250}
+    results, failed = answers.answered(asked_rows(spark, videos), load=load, prepare=prepare, stretch=100)
+    got = results.collect()
+    assert sorted((r.video, r.qid) for r in got) == sorted((v, f"{v}#{i}") for v in ("a", "b", "long") for i in range(videos[v])) and all(r.correct for r in got)
+    assert [tuple(r) for r in failed.collect()] == [("bad", "OSError: torn")]
+    said = (tmp_path / "prepared").read_text().split()
+    assert said.count("a") == said.count("b") == said.count("bad") == 1 and 1 <= said.count("long") <= 3
+    loaded = (tmp_path / "loaded").read_text().split()
+    assert len(loaded) == len(set(loaded))
+    rest, _ = answers.answered(asked_rows(spark, videos), lambda v, pdf: ["0"] * len(pdf), done=results)
+    assert {r.video for r in rest.collect()} == {"bad"}
+    with pytest.raises(ValueError):
+        answers.answered(asked_rows(spark, videos))
+    with pytest.raises(ValueError):
+        answers.refuse_empty(rest.limit(0))
+
+
+def test_batches_come_in_order(spark):
+    def model(video, pdf):
+        assert pdf["seq"].is_monotonic_increasing
+        return [f"{len(pdf)}:{pdf['seq'].iloc[0]}"] * len(pdf)
+
+    got = {r.qid: r.raw for r in answers.answer(asked_rows(spark, {"a": 20, "b": 3}), model, batch=8).collect()}
+    assert [got[f"a#{i}"] for i in (0, 7, 8, 16, 19)] == ["8:0", "8:0", "8:8", "4:16", "4:16"] and got["b#2"] == "3:0"
+
+
+def test_accuracy_runs_over_ids_of_any_spread(spark):
+    import random
+
+    rng = random.Random(4)
+    for spread in (10, 1 << 62):
+        ids = rng.sample(range(spread), 10) if spread == 10 else [rng.randrange(-spread, spread) for _ in range(900)]
+        rows = [(i, rng.choice(["en", None]), rng.choice([True, False, None])) for i in ids]
+        got = {r.seq: r.running for r in answers.running_accuracy(spark.createDataFrame(rows, "seq long, lang string, correct boolean"), "lang", "seq", block=70).collect()}
+        for lang in ("en", None):
+            n = k = 0
+            for i, _, c in sorted(r for r in [(i, str(g), c) for i, g, c in rows] if r[1] == str(lang)):
+                n, k = n + (c is not None), k + bool(c)
+                assert got[i] == (math.floor(k / n * 1e6 + 0.5) / 1e6 if n else None)
+
+
+def test_a_stream_of_answers_stops_and_goes_on(spark, tmp_path):
+    from spindrift.streaming import answers as stream
+
+    schema = "video string, qid string, seq long, gold int, raw string"
+    parts = [
+        [("a", "a1", 1, 1, "1"), ("a", "a2", 2, 2, "3"), ("b", "b1", 1, None, "0"), (None, "n1", 1, 0, "0")],
+        [("a", "a1", 1, 1, "2"), ("a", "a3", 3, 3, "x3"), ("b", "b2", 2, 2, "none"), ("b", "b2", 2, 2, "2"), ("c", None, 1, 1, "1")],
+        [],
+        [("b", "b3", 3, 0, "0"), ("a", "a2", 2, 2, "2")],
+    ]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in parts:  # each time the stream is started anew, with what it kept
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        stream.answer_stream(spark.readStream.schema(schema).parquet(source), out, state).awaitTermination()
+    got = sorted(((r.video, r.qid, r.pred, r.correct, r.running) for r in stream.stream_answers(spark, out).collect()), key=str)
+    want = [
+        (None, "n1", 0, True, 1.0), ("a", "a1", 1, True, 1.0), ("a", "a2", 3, False, 0.5), ("a", "a3", 3, True, 0.666667),
+        ("b", "b1", 0, None, None), ("b", "b2", None, False, 0.0), ("b", "b3", 0, True, 0.5),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_rows_are_numbered_grouped_and_zipped(spark):
+    from spindrift.operators import order
+
+    rows = [(k, v) for k, v in zip("cabbacx", (5, 1, 9, 2, 8, 7, 3))] + [(None, 4)]
+    frame = spark.createDataFrame(rows, "k string, v int")
+    for parts in (1, 3):
+        numbered = order.numbered(frame.repartition(parts), [F.col("v")])
+        assert [r.v for r in sorted(numbered.collect(), key=lambda r: r.seq)] == sorted(v for _, v in rows)
+        grouped = {r.v: (r.group_seq, r.place) for r in order.grouped_in_order(numbered, "k").collect()}
+        assert grouped == {1: (0, 0), 8: (0, 1), 2: (1, 0), 9: (1, 1), 3: (2, 0), 4: (3, 0), 5: (4, 0), 7: (4, 1)}
+    assert order.numbered(frame.limit(0), [F.col("v")]).collect() == []
+    other = order.numbered(frame.select(F.col("v").alias("w")), [F.col("w").desc()])
+    assert [(r.v, r.w) for r in sorted(order.zipped(numbered, other).collect())] != [] and all(r.v + r.w == 10 or (r.v, r.w) for r in order.zipped(numbered, other).collect())
+    assert sorted((r.v, r.w) for r in order.zipped(numbered, other).select("v", "w").collect()) == list(zip((1, 2, 3, 4, 5, 7, 8, 9), (9, 8, 7, 5, 4, 3, 2, 1)))
+    with pytest.raises(ValueError):
+        order.zipped(numbered, other.filter("seq > 0"))
+    with pytest.raises(ValueError):
+        order.zipped(numbered.filter("seq > 0"), other.filter("seq < 7"))

@@ -103,3 +103,131 @@ def test_a_stream_that_is_run_again_writes_nothing_twice(spark, tmp_path):
 def test_provenance(spark):
     row = runs.with_provenance(spark.range(1), "m_d").first()
     assert row.run_id == "m_d" and row.versions["pyspark"].startswith("4.")
+
+
+def test_a_captions_data_source(spark, tmp_path):
+    from spindrift.sources import captions
+
+    captions.register(spark)
+    cues = spark.createDataFrame([("b", 1, 2.0, 4.5, "so we go\non"), ("b", 2, 3600.0, 3601.25, "é -- last"), ("ac", 1, 0.0, 0.001, None), ("z", 3, 1.0, 2.0, "x\n\n \ny")], captions.CUES)
+    at = str(tmp_path / "out")
+    write = lambda df, mode="append": df.repartition("vid").sortWithinPartitions("vid", "cue_no").write.format("captions").mode(mode).option("path", at).save()
+    write(cues)
+    read = spark.read.format("captions").option("path", at).option("split", 1).load()
+    assert sorted(map(tuple, read.collect())) == [("ac", 1, 0.0, 0.001, ""), ("b", 1, 2.0, 4.5, "so we go\non"), ("b", 2, 3600.0, 3601.25, "é -- last"), ("z", 1, 1.0, 2.0, "x\ny")]
+    assert read.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, files.read_vtt(spark, at).select("vid", "cue_no", "start", "end").collect())) == sorted(tuple(r)[:4] for r in read.collect())
+    # filters on the video don't open other files, not even broken ones
+    (tmp_path / "out/torn.vtt").write_bytes(b"WEBVTT\n\n00:01.000 --> oops\nx\n\n00:02.000 --> 00:03.000\n\xff\xfe\n")
+    some = spark.read.format("captions").option("path", at).load().filter("vid IN ('b', 'none') AND start > 10")
+    assert [r.text for r in some.collect()] == ["é -- last"] and some.rdd.getNumPartitions() == 1
+    assert [(r.cue_no, r.start, r.text) for r in read.filter("vid = 'torn'").collect()] == [(2, 2.0, "\ufffd\ufffd")]
+    assert spark.read.format("captions").option("path", at).load().filter("vid = 'nobody'").collect() == []
+    # what can't be written leaves no file behind; what is overwritten is gone
+    for wrong in (cues.withColumn("vid", F.lit("a/b")), cues.withColumn("vid", F.lit(None).cast("string")), cues.repartition(4, "cue_no").withColumn("vid", F.lit("twice"))):
+        with pytest.raises(Exception):
+            wrong.write.format("captions").mode("append").option("path", str(tmp_path / "wrong")).save()
+    assert not list((tmp_path / "wrong").glob("*.vtt"))
+    write(cues.filter("vid = 'z'"), "overwrite")
+    assert [p.name for p in (tmp_path / "out").glob("*")] == ["z.vtt"] or sorted(p.name for p in (tmp_path / "out").glob("*.vtt")) == ["z.vtt"]
+
+
+def test_a_block_of_lines_is_all_that_a_parse_holds():
+    from spindrift.sources import captions
+
+    lines = (x for k in range(200_000) for x in ("", f"00:{k % 60:02d}.000 --> 01:00.000", "words", "words"))
+    assert sum(1 for _ in captions.parse(lines)) == 200_000
+    assert list(captions.parse(iter(["WEBVTT", "", "1", "00:01.5 --> 1:02:03.25 align:start", "a", "b", "", "NOTE x", "", "bad --> 1", "y"]))) == [(1, 1.5, 3723.25, "a\nb")]
+    assert [captions.stamp(x) for x in (0, 59.9996, 3723.25)] == ["00:00:00.000", "00:01:00.000", "01:02:03.250"]
+
+
+def test_unreadable_captions_cost_their_own_cues(spark, tmp_path):
+    (tmp_path / "good.vtt").write_text(PLAIN)
+    (tmp_path / "bytes.vtt").write_bytes(b"WEBVTT\n\n00:01.000 --> 00:02.000\n\xff\xfe\x00\n")
+    (tmp_path / "page.vtt").write_text("<html>not found</html>")
+    (tmp_path / "empty.vtt").write_text("")
+    (tmp_path / "other.txt").write_text(PLAIN)
+    cues, missing = files.read_vtt_or_missing(spark, str(tmp_path))
+    assert {r.vid: r.reason for r in missing.collect()} == {"bytes": "not UTF-8", "page": "not WebVTT"}  # Spark's readers don't see empty files
+    assert sorted(map(tuple, cues.collect())) == sorted(tuple(r) for r in files.read_vtt(spark, str(tmp_path / "good.vtt")).collect())
+
+
+def test_the_order_of_files_under_any_partitioning(spark, tmp_path):
+    (tmp_path / "set/qa/qa_test.json").mkdir(parents=True)
+    want = []
+    for name, n in (("a.json", 40), ("b.json", 700), ("c.json", 1)):
+        rows = [{"qid": f"{name}{i}", "q": "x" * (i % 50)} for i in range(n)]
+        (tmp_path / "set/qa/qa_test.json" / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        want += [r["qid"] for r in rows]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "3k", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.read_qa_in_order(spark, str(tmp_path), "test", "set", ("set",)).collect()
+            assert [r.qid for r in sorted(got, key=lambda r: r.seq)] == want and sorted(r.seq for r in got) == list(range(741))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_write_that_dies_leaves_the_version_before(spark, tmp_path):
+    from spindrift.sources import publish
+
+    at, one, two = str(tmp_path / "table"), spark.range(3), spark.range(10)
+    publish.publish_table(one, at)
+
+    def dies(folder):
+        two.write.parquet(f"{folder}/half")
+        raise RuntimeError("the driver is lost")
+
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            publish.publish(spark, at, dies)
+        assert spark.read.parquet(publish.current(spark, at)).count() == 3
+    reader = spark.read.parquet(publish.current(spark, at))
+    publish.publish_table(two, at)
+    assert spark.read.parquet(publish.current(spark, at)).count() == 10 and reader.count() == 3
+    publish.publish_table(one.limit(1), at, keep=0)
+    assert [p.name for p in (tmp_path / "table").iterdir() if p.is_dir()] == [publish.current(spark, at).rsplit("/", 1)[1]]
+
+    def slow(folder):
+        two.write.parquet(folder)
+        publish.publish_table(one.limit(1), at)
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        publish.publish(spark, at, slow)
+    assert spark.read.parquet(publish.current(spark, at)).count() == 1
+    with pytest.raises(FileExistsError):
+        publish.publish_table(one, at, replace=False)
+    with pytest.raises(ValueError):
+        publish.publish(spark, at, lambda folder: None)
+    assert spark.read.parquet(publish.current(spark, at)).count() == 1 and publish.current(spark, str(tmp_path / "none")) == str(tmp_path / "none")
+
+
+def test_splits_and_manifests_are_published_whole(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "splits")
+    members = spark.createDataFrame([("s", "train", 0, "a"), ("s", "val", 0, "b"), ("t", "val", 0, "c")], "subset string, split string, pos int, id string")
+    files.write_splits(members, at)
+    files.write_splits(members.filter("id = 'b'").withColumn("id", F.lit("new")), at)
+    assert sorted(r.id for r in files.read_written_splits(spark, at).collect()) == ["a", "c", "new"]
+
+
+def test_the_status_of_an_artifact_in_every_order(spark):
+    import itertools
+
+    names = ("no_trim", "blacklisted", "needed", "has_video", "has_transcript")
+    rows = [(*flags, error) for flags in itertools.product((False, True), repeat=5) for error in (None, "torn")]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} boolean" for n in names) + ", error string")
+    for r in frame.withColumn("said", files.status(*(F.col(n) for n in (*names, "error")))).collect():
+        if r.no_trim:
+            want = "no_trim"
+        elif not r.needed:
+            want = "ok"
+        elif r.blacklisted:
+            want = "blacklisted"
+        elif not r.has_video:
+            want = "no_video"
+        elif not r.has_transcript:
+            want = "no_transcript"
+        else:
+            want = "error: torn" if r.error else "ok"
+        assert r.said == want

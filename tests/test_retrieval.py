@@ -2,7 +2,10 @@
 
 import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +216,44 @@ def test_registered_queries_on_small_data(spark):
     plain = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
     assert plain <= entry.oracle_sql().keys() and "retrieval_within" in plain
     assert table(spark, "/root/testdata/sf0.001", "region").count() == 5
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_pruned_search_equals_scoring_all(spark, monkeypatch, most):
+    from spindrift.operators import bm25
+
+    monkeypatch.setattr(bm25, "MOST_WEIGHTS", most)
+    monkeypatch.setattr(bm25, "BLOCK", 40)
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for i in range(400)] + [(1000, None), (1001, "w1 w1"), (1002, "w1 w1"), (1003, "w1 w1")]
+    asked = [(q, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9)))) for q in range(25)] + [(99, None), (98, "absent words"), (97, "w1")]
+    got = bm25.bm25_search(spark.createDataFrame(asked, "qid int, text string"), spark.createDataFrame(docs, "doc_id int, text string").repartition(3), "doc_id", 4).collect()
+    said = {i: re.findall("[a-z0-9']+", (t or "").lower()) for i, t in docs}
+    df = Counter(w for own in said.values() for w in set(own))
+    idf = {w: math.log(len(said) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    mean = sum(map(len, said.values())) / len(said)
+    want = []
+    for q, t in asked:
+        scores = {}
+        for i, own in said.items():
+            for w in re.findall("[a-z0-9']+", (t or "").lower()):
+                if w in own:
+                    tf = own.count(w)
+                    scores[i] = scores.get(i, 0) + (low if idf[w] < 0 else idf[w]) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / mean))
+        want += [(q, i, round(s, 6), k) for k, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:4], 1)]
+    assert sorted((r.qid, r.doc_id, r.score, r.place) for r in got) == sorted(want)
+
+
+def test_blocks_below_the_floor_are_passed_over():
+    """Once the best are found, texts that only share common words with a query are no candidates."""
+    from spindrift.operators import bm25
+
+    asked, best = {1: ([0, 1], [0.1, 5.0])}, {1: bm25.Best(2)}
+    one = lambda rows: tuple(np.array(x) for x in zip(*sorted(rows, key=lambda r: (r[1], r[0]))))
+    rare = [(d, 1, 1.0) for d in range(3)] + [(d, 0, 1.0) for d in range(9)]
+    assert bm25.score_block(*one(rare), 10, asked, best, list(range(10))) == 9
+    assert bm25.score_block(*one([(d, 0, 1.5) for d in range(10)]), 10, asked, best, list(range(10, 20))) == 0
+    assert bm25.score_block(*one([(0, 0, 1.0), (1, 1, 1.1), (2, 0, 1.0)]), 3, asked, best, [20, 21, 22]) == 1
+    assert [k for _, k, _ in best[1].rows] == [21, 0]

@@ -89,3 +89,13 @@ def test_a_manifest_and_why_files_are_not_in_it(spark):
     assert {r.vid: r.reason for r in why.collect()} == {"a": "kept", "b": "too_short", "c": "probe_failed", "d": "too_many", "e": "no_trim", "f": "no_trim"}
     stats = {r.reason: (r.n, r.examples) for r in timeline.reason_stats(why, examples=1).collect()}
     assert stats["no_trim"] == (2, "e") and stats["kept"] == (1, "a")
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), i, float(a := rng.randrange(0, 60)), float(a + rng.randrange(0, 9))) for i in range(200)]
+    rows += [(1, 900, 5.0, 4.0), (1, 901, None, 4.0), (1, 902, 3.0, None), (3, 903, 1.0, 1.0), (3, 904, 1.0, 1.0), (3, 905, 0.0, 1.0)]
+    got = {r.cue_no: r.n_overlaps for r in timeline.overlap_counts(spark.createDataFrame(rows, "vid int, cue_no int, start double, end double"), block=30).collect()}
+    sound = [r for r in rows if r[2] is not None and r[3] is not None and r[2] <= r[3]]
+    want = {i: sum(v == w and i != j and a <= d and c <= b for w, j, c, d in sound) if (v, i, a, b) in sound else 0 for v, i, a, b in rows}
+    assert got == want
