@@ -18,8 +18,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2norm(v: Column) -> Column:
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+    """The unit vector. Vector and norm are bound first, so each is made once and not for every component."""
+    bound = F.transform(F.array(v), lambda u: F.struct(u.alias("u"), F.greatest(F.sqrt(dot(u, u)), F.lit(1e-12)).alias("n")))
+    return F.get(F.transform(bound, lambda s: F.transform(s["u"], lambda x: x / s["n"])), F.lit(0))
 
 
 def fused(a: Column, b: Column, alpha: float = 1.0, beta: float = 1.0) -> Column:

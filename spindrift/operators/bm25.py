@@ -37,6 +37,22 @@ def term_stats(docs: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFr
     return tf, idf
 
 
+#: Stands for the texts themselves among the terms; no token looks like it.
+_TEXTS = "<texts>"
+
+
+def term_idf(docs: DataFrame) -> DataFrame:
+    """(term, idf, avgdl) as ``term_stats`` has them, from one pass that is summed up by term before it is dealt out."""
+    rows = docs.select(X.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    each = rows.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(_TEXTS)))).alias("term"))
+    counts = checkpointed(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == _TEXTS, F.col("dl"))).alias("words")))
+    whole = counts.filter(F.col("term") == _TEXTS).first()
+    n, avgdl = (whole.df, whole.words / whole.df) if whole else (0, 0.0)
+    raw = counts.filter(F.col("term") != _TEXTS).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"), F.lit(avgdl).alias("avgdl"))
+
+
 def _weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
     """qid, term, w, avgdl: repeated query words count again."""
     asked = queries.select("qid", F.explode(X.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -64,10 +80,9 @@ def bm25_search(queries: DataFrame, docs: DataFrame, key: str, top: int = 10) ->
     best is passed over, so the result is that of scoring all; a task hands on its ``top`` texts a query. Beyond that
     size texts meet queries by the words that they share.
     """
-    tf, idf = term_stats(docs, (key,))
-    weights = checkpointed(_weights(queries, idf))
+    weights = checkpointed(_weights(queries, term_idf(docs)))
     if weights.count() > MOST_WEIGHTS:
-        found = tf.join(weights, "term").groupBy("qid", key).agg(F.sum(_part()).alias("score"))
+        found = term_stats(docs, (key,))[0].join(weights, "term").groupBy("qid", key).agg(F.sum(_part()).alias("score"))
     else:
         found = _pruned(weights, docs, key, top)
     sums = found.select("qid", key, F.round("score", 6).alias("score"))

@@ -136,8 +136,9 @@ def setup_ranks(pairs: DataFrame, setups: list[tuple[dict[str, str], Column, str
     it is the question's own. So all setups are counted in one aggregate without a sort, and a pair is dealt out once,
     not once for each setup. NaN counts as in ``pessimistic_ranks``.
     """
-    ahead = [F.count(F.when((score >= F.col(own)) & ~F.isnan(score), 1)).alias(f"__ahead_{i}") for i, (_, score, own) in enumerate(setups)]
-    counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pool"), *ahead, *(F.max(own).alias(own) for _, _, own in setups))
+    once = pairs.select(*keys, *(own for _, _, own in setups), *(score.alias(f"__score_{i}") for i, (_, score, _) in enumerate(setups)))
+    ahead = [F.count(F.when((F.col(f"__score_{i}") >= F.col(own)) & ~F.isnan(f"__score_{i}"), 1)).alias(f"__ahead_{i}") for i, (_, _, own) in enumerate(setups)]
+    counted = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("pool"), *ahead, *(F.max(own).alias(own) for _, _, own in setups))
     each = [F.struct(*(F.lit(v).alias(n) for n, v in names.items()), F.when(~F.isnan(own), F.col(f"__ahead_{i}") - 1).alias("rank")) for i, (names, _, own) in enumerate(setups)]
     return counted.select(*keys, "pool", F.inline(F.array(*each)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.checkpoints import checkpoint_folder
 from spindrift.functions import expr as X
+from spindrift.functions.registry import MODELS
 from spindrift.functions.runs import answer_run_id
 from spindrift.operators import answers as Q
 from spindrift.operators import retrieval as R
@@ -163,10 +164,6 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(X.normalized_line(F.col("html"))).alias("n"))
 
 
-def _stand_in(video: str, rows) -> list[str]:
-    return [f"Answer: {len(p) % 5}" for p in rows["prompt"]]
-
-
 @query(f"""WITH {_ASKED},
 p AS (
   SELECT conv_id::VARCHAR AS video, conv_id || '#' || turn AS qid, (turn % 4)::INT AS gold, 'Answer: ' || (length(q) + length(a0) + length(a1) + length(a2) + length(a3)
@@ -176,7 +173,7 @@ s AS (SELECT *, try_cast(nullif(regexp_extract(raw, '[0-3]'), '') AS INT) AS pre
 SELECT video, qid, pred, gold, {_CORRECT} AS correct, raw FROM s""")
 def answer_with_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model hook with a deterministic stand-in; no weights are at hand."""
-    return Q.answer(_prompts(spark, sf_dir), _stand_in)
+    return Q.answered(_prompts(spark, sf_dir), load=MODELS["stand-in"])[0]
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +197,7 @@ SELECT conv_id::VARCHAR AS video, count(*) FILTER (conv_id % 7 <> 0) AS n, count
 FROM p GROUP BY conv_id""")
 def answers_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run makes of each video: how many answers, how many right, and why there are none where it can't be read."""
-    results, failed = Q.answered(_prompts(spark, sf_dir), load=lambda: _stand_in, prepare=_no_frames)
+    results, failed = Q.answered(_prompts(spark, sf_dir), load=MODELS["stand-in"], prepare=_no_frames)
     counts = results.groupBy("video").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("correct"), 1)).alias("n_right"))
     zero = F.lit(0).cast("bigint")
     return counts.withColumn("error", F.lit(None).cast("string")).unionByName(failed.select("video", zero.alias("n"), zero.alias("n_right"), "error"))

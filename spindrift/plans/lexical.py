@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import expr as X
+from spindrift.functions.registry import TEXT_BASELINES
 from spindrift.operators import retrieval as R
 from spindrift.operators.bm25 import bm25_scores, bm25_search
 from spindrift.plans import sql as S
@@ -111,7 +112,7 @@ def text_baseline_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = R.pools_of(kind, questions, chunks).withColumn("x", setups).filter(F.col("x.pool_type") == kind)
         own = own.select(F.struct("qid", "x.query_form", "x.pool_type").alias("qid"), "vid", "idx", "is_oracle")
         pools = own if pools is None else pools.unionByName(own)
-    ranks = R.pessimistic_ranks(bm25_scores(pools, queries, chunks)).select("qid.*", "rank", "pool")
+    ranks = R.pessimistic_ranks(TEXT_BASELINES["bm25"](pools, queries, chunks)).select("qid.*", "rank", "pool")
     return R.metrics(ranks, ("query_form", "pool_type")).select(F.lit("bm25").alias("baseline"), "*")
 
 

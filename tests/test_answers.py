@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,15 @@ def test_rows_are_numbered_grouped_and_zipped(spark):
         order.zipped(numbered, other.filter("seq > 0"))
     with pytest.raises(ValueError):
         order.zipped(numbered.filter("seq > 0"), other.filter("seq < 7"))
+
+
+def test_unknown_names_are_refused():
+    from spindrift.functions import registry
+
+    assert list(registry.TEXT_BASELINES) == ["bm25"] and registry.MODELS["stand-in"]()("v", pd.DataFrame({"prompt": ["abc", "abcdef"]})) == ["Answer: 3", "Answer: 1"]
+    for names, name in ((registry.TEXT_BASELINES, "dense"), (registry.MODELS, "large")):
+        with pytest.raises(ValueError, match=f"unknown .* '{name}'; there are"):
+            names[name]
+    with pytest.raises(ValueError):
+        registry.MODELS.register("stand-in")(None)
+    assert runs.options(lambda fps, frames=1: None, {"fps": 2, "frames": None, "tokens": 9, "a": 1}) == ({"fps": 2}, ["a", "tokens"])
