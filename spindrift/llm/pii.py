@@ -269,7 +269,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets; other columns, null and empty texts,
     and texts without such data, as they are. A span that overlaps an earlier one goes with it, under the earlier one's
-    kind; of two that begin together the longer one counts. Repeated rows stay, and fare alike.
+    kind; of two that begin together the longer one counts. Repeated rows stay, and fare alike; an empty table gives none.
 
     Trusted patterns are looked up as texts pass, so no text is shuffled; only beyond MOST_SENT of them are the spans
     that they mark joined to the documents.

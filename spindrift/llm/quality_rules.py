@@ -76,7 +76,8 @@ def mask_of(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measurements, and ``failed_bits``: every rule evaluated once.
 
-    A null or empty text has no words and fails ``few_words``. Repeated rows give repeated rows; ties do not arise.
+    A null or empty text has no words and fails ``few_words``. Repeated rows give repeated rows, an
+    empty table none; ties do not arise.
     """
     measured = scan_texts(docs, measure, _WORDS)
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in rules]
@@ -142,3 +143,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (failed_bits & 31) = 0 AS kept, failed_bits
 FROM b
 """
+
+
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does to all documents: a row a rule, zeros where there are no documents."""
+    return ablation(ledger(read(spark, sf_dir, "documents")), POLICY)
+
+
+ABLATION = f"""
+WITH bits AS (SELECT failed_bits & {mask_of(POLICIES[POLICY])} AS b FROM ({ORACLE})),
+rules(rule, bit) AS (VALUES {", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES if r.name in POLICIES[POLICY])})
+SELECT rule, count(CASE WHEN b & bit <> 0 THEN 1 END) AS n_failed, count(CASE WHEN b = bit THEN 1 END) AS n_failed_alone,
+  count(CASE WHEN b = 0 OR b = bit THEN 1 END) AS n_kept_without
+FROM rules LEFT JOIN bits ON TRUE GROUP BY rule
+"""

@@ -6,6 +6,7 @@ from spindrift.llm import clustering, decontamination, divergence, mixing, packi
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "quality_rules_ablation": quality_rules.quality_rules_ablation,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
@@ -21,6 +22,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "quality_rules_ablation": quality_rules.ABLATION,
     "op2_url_filters": url_filters.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
