@@ -20,7 +20,8 @@ from spindrift.llm.base import checkpoint_folder, read, text_key, without
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model calls toxic go. It is fitted on labelled rows of the stage's own input.
 
-    Null and empty texts stay, as do all rows where labels of both classes are lacking; repeated rows fare alike.
+    Null and empty texts stay, as do all rows where labels of both classes are lacking; repeated rows fare alike, and no
+    documents give none.
     """
     return toxicity.clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
@@ -29,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked fingerprints the document with the smallest doc_id stays.
 
     Null and empty texts are one group. Rows that repeat doc_id and text are one document; rows without a doc_id can't
-    be told apart by it and stay.
+    be told apart by it and stay. No documents give none.
     """
     return simhash.deduplicated(docs)
 
