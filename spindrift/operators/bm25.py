@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from spindrift.functions import expr as X
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query words, each query's own counted, that are sent to all tasks at most.
 MOST_WEIGHTS = 1 << 20
-#: Texts that are scored at once.
+#: Texts that are scored at once at most.
 BLOCK = 1024
 
 
@@ -76,8 +77,8 @@ def bm25_search(queries: DataFrame, docs: DataFrame, key: str, top: int = 10) ->
 
     Up to MOST_WEIGHTS query words, all tasks get the queries' weights, and a task scores its texts block by block, where
     they are: of a query's words those are set aside that even together, at their largest in the block, can't lift a text
-    to the query's ``top`` best so far, and only texts with one of the other words are candidates. What can't be among the
-    best is passed over, so the result is that of scoring all; a task hands on its ``top`` texts a query. Beyond that
+    to the query's ``top`` best so far; only texts with one of the other words are looked at, and only as long as what is
+    left of the words can lift them there. What can't be among the best is passed over, so the result is that of scoring all; a task hands on its ``top`` texts a query. Beyond that
     size texts meet queries by the words that they share.
     """
     weights = checkpointed(_weights(queries, term_idf(docs)))
@@ -105,9 +106,11 @@ class Best:
 
 
 def score_block(doc: np.ndarray, term: np.ndarray, part: np.ndarray, n: int, asked: dict, best: dict[object, Best], keys: list) -> int:
-    """Scores a block of ``n`` texts; how many pairs of query and text were candidates.
+    """Scores a block of ``n`` texts; how many pairs of query and text were candidates, which is to say scored to the end.
 
-    (doc, term, part) are the block's postings, ordered by term; ``asked``: by query its terms and weights.
+    (doc, term, part) are the block's postings, ordered by term, then text; ``asked``: by query its terms and weights. A
+    query's words go by the most that each can add in this block. Those that even together can't reach the floor find no
+    texts of their own; they are looked up for texts that the others found, and only as long as these can reach it.
     """
     at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1], [True]))) if len(term) else np.zeros(1, np.int64)
     most = dict(zip(term[at[:-1]].tolist(), zip(at[:-1].tolist(), at[1:].tolist(), np.maximum.reduceat(part, at[:-1]).tolist() if len(term) else [])))
@@ -116,27 +119,42 @@ def score_block(doc: np.ndarray, term: np.ndarray, part: np.ndarray, n: int, ask
         own = sorted(((max(0.0, w * most[t][2]), w, *most[t][:2]) for t, w in zip(terms, weights) if t in most), reverse=True)
         if not own:
             continue
-        # the words from the least on that can't reach the floor by themselves; the margin is for rounding
-        floor, rest, needed = best[qid].floor(), 0.0, len(own)
-        while needed and rest + own[needed - 1][0] < floor - 1e-5:
-            needed -= 1
-            rest += own[needed][0]
+        floor = best[qid].floor() - 1e-5  # the margin is for rounding
+        rest = [*accumulate((x[0] for x in reversed(own)), initial=0.0)][::-1]  # what the words from one on can add
+        needed = next((i for i, x in enumerate(rest) if x < floor), len(own))
         if not needed:
             continue
         sums, seen = np.zeros(n), np.zeros(n, bool)
-        for i, (_, w, a, b) in enumerate(own):
+        for _, w, a, b in own[:needed]:
             sums[doc[a:b]] += w * part[a:b]
-            if i < needed:
-                seen[doc[a:b]] = True
-        met += int(seen.sum())
-        good = np.flatnonzero(seen & (sums >= floor - 1e-5))
-        if len(good) > best[qid].top:  # all that tie with the last of them stay
-            last = np.partition(sums[good], -best[qid].top)[-best[qid].top]
-            good = good[sums[good] >= last - 1e-5]
-        best[qid].add(sums[good], [keys[i] for i in good])
+            seen[doc[a:b]] = True
+        left = np.flatnonzero(seen & (sums + rest[needed] >= floor))
+        for i in range(needed, len(own)):
+            _, w, a, b = own[i]
+            place = np.minimum(np.searchsorted(doc[a:b], left), b - a - 1)
+            hit = doc[a:b][place] == left
+            sums[left[hit]] += w * part[a:b][place[hit]]
+            left = left[sums[left] + rest[i + 1] >= floor]
+            if not len(left):
+                break
+        met += len(left)
+        if len(left) > best[qid].top:  # all that tie with the last of them stay
+            last = np.partition(sums[left], -best[qid].top)[-best[qid].top]
+            left = left[sums[left] >= last - 1e-5]
+        best[qid].add(sums[left], [keys[i] for i in left])
     return met
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in blocks that begin small, as all texts are candidates until the first floors are known."""
+    size = min(64, BLOCK)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            yield batch.slice(at, size)
+            at, size = at + size, min(2 * size, BLOCK)
+
+
 def _pruned(weights: DataFrame, docs: DataFrame, key: str, top: int) -> DataFrame:
     """qid, key, score: of each query at least its ``top`` best texts, found by tasks on their own."""
     rows = weights.collect()  # MOST_WEIGHTS at most
@@ -153,15 +171,14 @@ def _pruned(weights: DataFrame, docs: DataFrame, key: str, top: int) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, asked, avgdl = sent.value
         best = {qid: Best(top) for qid in asked}
-        for batch in batches:
-            for block in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK)):
-                words, dl = block.column(1).flatten(), pc.list_value_length(block.column(1)).to_numpy(zero_copy_only=False)
-                place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
-                pair = (place * block.num_rows + np.repeat(np.arange(block.num_rows), dl))[place >= 0]
-                pair, tf = np.unique(pair, return_counts=True)
-                term, doc = np.divmod(pair, block.num_rows)
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
-                score_block(doc, term, part, block.num_rows, asked, best, block.column(0).to_pylist())
+        for block in _blocks(batches):
+            words, dl = block.column(1).flatten(), pc.list_value_length(block.column(1)).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+            pair = (place * block.num_rows + np.repeat(np.arange(block.num_rows), dl))[place >= 0]
+            pair, tf = np.unique(pair, return_counts=True)
+            term, doc = np.divmod(pair, block.num_rows)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+            score_block(doc, term, part, block.num_rows, asked, best, block.column(0).to_pylist())
         out = [(qid, k, s) for qid, own in best.items() for _, k, s in own.rows]
         yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out) if out else ((), (), ()), schema)], names=schema.names)
 
