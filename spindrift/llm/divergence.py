@@ -11,17 +11,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.base import BROADCAST_ROWS, checkpointed, looked_up, read, slices
+from spindrift.checkpoints import checkpointed, written, written_for_now
+from spindrift.llm.base import BROADCAST_ROWS, looked_up, read, slices
 
 MIN_DOCS, TOP = 10, 10
 #: Probabilities are whole parts of this.
@@ -33,46 +34,48 @@ FEW_TIES = 4096
 #: Sources of a tile: a task sums the pairs of two such blocks in one array of 2 MB.
 TILE = 512
 #: (lang, source, term) that a task holds before it hands its counts on.
-HELD = 1 << 18
+HELD = 1 << 19
 #: Letters A-Z become lower case and other ASCII a blank; all else, the bytes of other characters, stays.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it) over whole texts; nulls are empty.
+    """lang, source, term, n over whole texts: how often a group's texts have the term; nulls are empty. Under a null
+    source n is the number of the language's documents with the term. The term '' stands for the documents themselves,
+    so a group without terms is there.
 
-    Each task adds up what it reads. The term '' stands for the documents themselves, so a group without terms is there.
+    Each task adds up what it reads, up to HELD numbers at a time.
     """
 
-    def rows(n: dict, there: dict) -> pa.RecordBatch:
-        names, sizes = list(there), [len(c) for c in there.values()]
-        columns = [pa.array(np.repeat(np.array([g[i] for g in names], object), sizes), pa.string()) for i in (0, 1)]
-        columns.append(pa.array([t for c in there.values() for t in c], pa.binary()).cast(pa.string()))
-        columns.append(pa.array([x for g, c in there.items() for x in map(n[g].__getitem__, c)], pa.int64()))
-        columns.append(pa.array([x for c in there.values() for x in c.values()], pa.int64()))
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+    def rows(counts: dict[tuple, Counter]) -> pa.RecordBatch:
+        names, sizes = list(counts), [len(c) for c in counts.values()]
+        of = pa.array(np.repeat(np.arange(len(names)), sizes))
+        columns = [pa.array([g[i] for g in names], pa.string()).take(of) for i in (0, 1)]
+        columns.append(pa.array(list(chain.from_iterable(counts.values())), pa.binary()).cast(pa.string()))
+        columns.append(pa.array(list(chain.from_iterable(c.values() for c in counts.values())), pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, there = {}, {}
+        counts: dict[tuple, Counter] = {}
         for batch in slices(batches, 2):
-            words, once = {}, {}
+            met: dict[tuple, list] = {}
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
-                words.setdefault((lang, source), []).extend(found)
-                own = once.setdefault((lang, source), [])
-                own += set(found)
-                own.append(b"")
-            for group, found in words.items():
-                n.setdefault(group, Counter()).update(found)
-                there.setdefault(group, Counter()).update(once[group])
-            if sum(map(len, there.values())) > HELD:
-                yield rows(n, there)
-                n, there = {}, {}
-        yield rows(n, there)
+                once = met.setdefault((lang, None), [])
+                once += set(found)
+                once.append(b"")
+                found.append(b"")
+                met.setdefault((lang, source), []).extend(found)
+            for group, terms in met.items():
+                counts.setdefault(group, Counter()).update(terms)
+            if sum(map(len, counts.values())) > HELD:
+                yield rows(counts)
+                counts = {}
+        yield rows(counts)
 
     read_as = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    parts = docs.select(*read_as).mapInArrow(work, "lang string, source string, term string, n bigint, docs bigint")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parts = docs.select(*read_as).mapInArrow(work, "lang string, source string, term string, n bigint")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def whole(a: Column, b: Column) -> Column:
@@ -106,29 +109,33 @@ def tables(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFr
     (lang, gid, idx, tiles, term, p, p0, value): each kept term that occurs in a group; value, where the group has more
     of it than its language, says how much.
     """
-    by_term = counted(docs).groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", F.col("n").alias("times"))).alias("cells"))
-    kept = checkpointed(by_term.filter((F.col("docs") >= min_docs) | (F.col("term") == "")))
-    term = F.col("term") != ""
-    langs = kept.groupBy("lang").agg(F.count(F.when(term, 1)).alias("terms"), F.sum(F.when(term, F.col("total")).otherwise(0)).alias("lang_total"))
-    cells = kept.select("lang", "term", "total", F.inline("cells"))
-    groups = cells.groupBy("lang", "source").agg(F.sum(F.when(term, F.col("times")).otherwise(0)).alias("group_total"), F.count(F.lit(1)).alias("n"))
-    own = W.partitionBy("lang")
-    groups = groups.join(langs, "lang").select(
-        "lang", "source", "n", "terms", F.monotonically_increasing_id().alias("gid"), (F.row_number().over(own.orderBy("source")) - 1).cast("bigint").alias("idx"),
-        whole(F.count(F.lit(1)).over(own) + (TILE - 1), F.lit(TILE)).alias("tiles"), (F.col("group_total") + 2 * F.col("terms")).alias("size"), (F.col("lang_total") + 2 * F.col("terms")).alias("lang_size"),
-    )
-    groups = checkpointed(groups.withColumn("p0", F.when(F.col("terms") > 0, probability(F.lit(0), F.col("size")))))
-    # the term '' of a group counts among its n rows, which only makes n larger by one
-    met = looked_up(cells.filter(term), groups.drop("terms"), "lang", "source")
-    met = met.withColumns({"p": probability(F.col("times"), F.col("size")), "q": probability(F.col("total"), F.col("lang_size"))})
-    value = F.when(F.col("p") > F.col("q"), apart(F.col("p"), F.col("q")))
-    return groups, checkpointed(met.select("lang", "gid", "idx", "tiles", "term", "p", "p0", value.alias("value")))
-
-
-def _placed(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """``rows`` with their group's row of ``state``: by broadcast up to BROADCAST_ROWS groups, beyond by looking up."""
-    state = checkpointed(state)
-    return rows.join(F.broadcast(state.drop("n")), "gid") if state.count() <= BROADCAST_ROWS else looked_up(rows, state, "gid")
+    with written_for_now(counted(docs)) as every:
+        kept = checkpointed(every.filter(F.col("source").isNull() & (F.col("term") != "") & (F.col("n") >= min_docs)).select("lang", "term"))
+        own = every.filter(F.col("source").isNotNull())
+        sent = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+        cells = own.join(sent, ["lang", "term"], "left_semi").withColumnRenamed("n", "times")
+        totals = checkpointed(cells.groupBy("lang", "term").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("n")))
+        langs = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_total"))
+        of_group = cells.groupBy("lang", "source").agg(F.sum("times").alias("group_total"), F.count(F.lit(1)).alias("n"))
+        there = own.filter("term = ''").select("lang", "source").join(of_group, ["lang", "source"], "left").join(langs, "lang", "left")
+        groups = there.fillna(0, ["group_total", "n", "terms", "lang_total"])
+        in_lang = W.partitionBy("lang")
+        groups = groups.select(
+            "lang", "source", "n", "terms", F.monotonically_increasing_id().alias("gid"), (F.row_number().over(in_lang.orderBy("source")) - 1).cast("bigint").alias("idx"),
+            whole(F.count(F.lit(1)).over(in_lang) + (TILE - 1), F.lit(TILE)).alias("tiles"), (F.col("group_total") + 2 * F.col("terms")).alias("size"), (F.col("lang_total") + 2 * F.col("terms")).alias("lang_size"),
+        )
+        groups = checkpointed(groups.withColumn("p0", F.when(F.col("terms") > 0, probability(F.lit(0), F.col("size")))))
+        # terms meet their totals, which say that they are kept, and their groups
+        met = _placed(_placed(own.withColumnRenamed("n", "times"), totals, "lang", "term"), groups.drop("terms"), "lang", "source")
+        met = met.withColumns({"p": probability(F.col("times"), F.col("size")), "q": probability(F.col("total"), F.col("lang_size"))})
+        value = F.when(F.col("p") > F.col("q"), apart(F.col("p"), F.col("q")))
+        return groups, written(met.select("lang", "gid", "idx", "tiles", "term", "p", "p0", value.alias("value")))
+
+
+def _placed(rows: DataFrame, state: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with their group's row of ``state``, which is written already: by broadcast up to BROADCAST_ROWS groups,
+    beyond by looking up."""
+    return rows.join(F.broadcast(state.drop("n")), list(key)) if state.count() <= BROADCAST_ROWS else looked_up(rows, state, *key)
 
 
 def top(rows: DataFrame, k: int = TOP, few_ties: int = FEW_TIES) -> DataFrame:
@@ -138,15 +145,15 @@ def top(rows: DataFrame, k: int = TOP, few_ties: int = FEW_TIES) -> DataFrame:
     far, is summed up from above until k is reached. A group's rows are never gathered or sorted.
     """
     sizes = checkpointed(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("n")))
-    state = sizes.filter(F.col("n") > k).withColumns({"bits": F.lit(0).cast("bigint"), "need": F.lit(k).cast("bigint")})
+    state = checkpointed(sizes.filter(F.col("n") > k).withColumns({"bits": F.lit(0).cast("bigint"), "need": F.lit(k).cast("bigint")}))
     down = W.partitionBy("gid").orderBy(F.col("digit").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     for shift in range(BITS - STEP, -1, -STEP):
-        near = _placed(rows, state).filter(F.shiftright("value", shift + STEP) == F.col("bits"))
+        near = _placed(rows, state, "gid").filter(F.shiftright("value", shift + STEP) == F.col("bits"))
         digit = F.shiftright("value", shift).bitwiseAND((1 << STEP) - 1).alias("digit")
         histogram = near.groupBy("gid", "bits", "need", digit).agg(F.count(F.lit(1)).alias("m")).withColumn("to", F.sum("m").over(down))
         reached = histogram.filter("to >= need").groupBy("gid").agg(F.max(F.struct("digit", (F.col("bits") * (1 << STEP) + F.col("digit")).alias("bits"), (F.col("need") - F.col("to") + F.col("m")).alias("need"))).alias("s"))
         state = checkpointed(reached.join(sizes, "gid").select("gid", "n", "s.bits", "s.need"))
-    placed = _placed(rows, state)
+    placed = _placed(rows, state, "gid")
     few = rows.join(sizes.filter(F.col("n") <= k).select("gid"), "gid", "left_semi")
     ties = checkpointed(placed.filter("value = bits").select("gid", "term", "value", "need"))
     found = few.select("gid", "term", "value").unionByName(placed.filter("value > bits").select("gid", "term", "value")).unionByName(_first_terms(ties, few_ties))
@@ -167,12 +174,12 @@ def _first_terms(ties: DataFrame, few: int) -> DataFrame:
         if many.isEmpty():
             break
         differ = "filter(sequence(1, least(octet_length(low), octet_length(high))), i -> substring(encode(low, 'utf-8'), i, 1) <> substring(encode(high, 'utf-8'), i, 1))"
-        many = many.select("gid", "n", F.expr(f"coalesce(array_min({differ}), least(octet_length(low), octet_length(high)) + 1)").alias("at"))
-        open_ = _placed(ties, many).withColumn("pair", F.expr("hex(substring(encode(term, 'utf-8'), at, 2))"))
+        many = checkpointed(many.select("gid", "n", F.expr(f"coalesce(array_min({differ}), least(octet_length(low), octet_length(high)) + 1)").alias("at")))
+        open_ = _placed(ties, many, "gid").withColumn("pair", F.expr("hex(substring(encode(term, 'utf-8'), at, 2))"))
         histogram = open_.groupBy("gid", "need", "pair").agg(F.count(F.lit(1)).alias("m")).withColumn("to", F.sum("m").over(up))
         reached = histogram.filter("to >= need").groupBy("gid").agg(F.min(F.struct("pair", (F.col("need") - F.col("to") + F.col("m")).alias("need"))).alias("s"))
-        met = _placed(open_.drop("need"), reached.join(many.select("gid", "n"), "gid").select("gid", "n", F.col("s.pair").alias("last"), "s.need"))
-        met = checkpointed(met)
+        last = checkpointed(reached.join(many.select("gid", "n"), "gid").select("gid", "n", F.col("s.pair").alias("last"), "s.need"))
+        met = checkpointed(_placed(open_.drop("need"), last, "gid"))
         taken.append(met.filter("pair < last").select(names))
         rest = ties.join(many.select("gid"), "gid", "left_anti")
         ties = checkpointed(rest.unionByName(met.filter("pair = last").select(*names, "need")))
@@ -182,6 +189,24 @@ def _first_terms(ties: DataFrame, few: int) -> DataFrame:
     return out
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, cut so that the rows of a term, which are as many as a language's sources at most, stay together."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        same = pc.equal(table["term"], table["term"][-1]).to_numpy()
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
+
+
 def _shared(cells: DataFrame) -> DataFrame:
     """lang, a, b, v: what the terms that both sources have add to the pair a < b, summed up in each task by tiles.
 
@@ -192,22 +217,47 @@ def _shared(cells: DataFrame) -> DataFrame:
     tiled = cells.select("lang", "term", "idx", "p", "p0", whole(F.col("idx"), F.lit(TILE)).alias("own"), other.alias("other"))
     tiled = tiled.select("lang", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "term", "idx", "p", "p0")
 
+    def handed_on(lang: str, a: int, b: int, tile: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(tile)
+        v = tile[i, j]
+        i, j = i + a * TILE, j + b * TILE
+        upper = i < j
+        return pa.RecordBatch.from_arrays([pa.array([lang] * int(upper.sum()), pa.string()), pa.array(i[upper]), pa.array(j[upper]), pa.array(v[upper])], names=["lang", "a", "b", "v"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
-        for (lang, a, b), rows in groupby(cells, itemgetter(0, 1, 2)):
-            tile = np.zeros((TILE, TILE), np.int64)
-            for _, run in groupby(rows, itemgetter(3)):
-                idx, p, p0 = np.array([row[4:] for row in run], np.int64).T
-                if len(idx) < 2:
+        key, tile = None, np.zeros((TILE, TILE), np.int64)
+        for cells in _whole_runs(batches):
+            changed, other_tile = np.zeros(cells.num_rows + 1, bool), np.zeros(cells.num_rows, bool)
+            changed[[0, -1]] = other_tile[0] = True
+            for name in ("lang", "a", "b", "term"):
+                code = cells[name].combine_chunks().dictionary_encode().indices.to_numpy()
+                if name == "term":
+                    changed[:-1] |= other_tile
+                    changed[1:-1] |= code[1:] != code[:-1]
+                else:
+                    other_tile[1:] |= code[1:] != code[:-1]
+            idx, p, p0 = (cells[name].to_numpy() for name in ("idx", "p", "p0"))
+            starts = np.flatnonzero(changed).tolist()
+            for x, y in zip(starts, starts[1:]):
+                if other_tile[x]:
+                    own = tuple(cells[name][x].as_py() for name in ("lang", "a", "b"))
+                    if key not in (None, own):
+                        yield handed_on(*key, tile)
+                        tile[:] = 0
+                    key = own
+                if y - x < 2:
                     continue
-                left, right = idx // TILE == a, idx // TILE == b
-                i, j, pi, pj, bi, bj = idx[left], idx[right], p[left, None], p[right], p0[left, None], p0[right]
-                tile[np.ix_(i % TILE, j % TILE)] += _apart(pi, pj) - _apart(pi, bj) - _apart(bi, pj) + _apart(bi, bj)
-            i, j = np.nonzero(tile)
-            v = tile[i, j]
-            i, j = i + a * TILE, j + b * TILE
-            upper = i < j
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * int(upper.sum()), pa.string()), pa.array(i[upper]), pa.array(j[upper]), pa.array(v[upper])], names=["lang", "a", "b", "v"])
+                _, a, b = key
+                if a == b:
+                    i = idx[x:y] - a * TILE
+                    pi, bi = p[x:y, None], p0[x:y, None]
+                    tile[i[:, None], i] += _apart(pi, pi.T) - _apart(pi, bi.T) - _apart(bi, pi.T) + _apart(bi, bi.T)
+                else:
+                    left = idx[x:y] // TILE == a
+                    i, j, pi, pj, bi, bj = idx[x:y][left], idx[x:y][~left], p[x:y][left, None], p[x:y][~left], p0[x:y][left, None], p0[x:y][~left]
+                    tile[np.ix_(i - a * TILE, j - b * TILE)] += _apart(pi, pj) - _apart(pi, bj) - _apart(bi, pj) + _apart(bi, bj)
+        if key is not None:
+            yield handed_on(*key, tile)
 
     dealt = tiled.repartition("lang", "a", "b", "term").sortWithinPartitions("lang", "a", "b", "term")
     return dealt.mapInArrow(work, "lang string, a bigint, b bigint, v bigint")
@@ -227,12 +277,11 @@ def pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
     often = cells.groupBy("lang", F.col("idx").alias("a"), "tiles", "p", "p0").agg(F.count(F.lit(1)).alias("m")).select("lang", "a", "p", "p0", "m", block)
     one = often.join(others, ["lang", "block"]).filter("a <> b")
     one = one.select("lang", "a", "b", (F.col("m") * (apart(F.col("p"), F.col("q0")) - apart(F.col("p0"), F.col("q0")))).alias("v"))
-    one = one.groupBy("lang", "a", "b").agg(F.sum("v").alias("v"))
-    both = _shared(cells)
-    turned = [x.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "v") for x in (one, both)]
-    every = base
-    for x in (one, both, *turned):
-        every = every.unionByName(x)
+    # what is added to a pair is added to it either way round
+    added = one.select("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "v").unionByName(_shared(cells))
+    added = added.groupBy("lang", "a", "b").agg(F.sum("v").alias("v"))
+    turned = added.select("lang", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "v")
+    every = base.unionByName(turned.select("lang", "x.a", "x.b", "v"))
     return every.groupBy("lang", "a", "b").agg(F.sum("v").alias("value"))
 
 
