@@ -42,6 +42,22 @@ def accuracy_by(results: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return got.select(*by, "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi")).orderBy(F.desc("accuracy"), *by)
 
 
+def condition_accuracy(results: DataFrame, by: tuple[str, ...] = ("model",), condition: str = "condition", ceiling: str = "oracle", floor: str = "random") -> DataFrame:
+    """by, condition, n, k, accuracy, lo, hi, floor, ceiling, place: the accuracy of each condition between its group's
+    blind picks and a perfect retriever's.
+
+    ``place`` is 0 at the floor and 1 at the ceiling; it is null where the group lacks either, or they agree. One
+    aggregate over the results; what is joined to it has a row a group.
+    """
+    each = accuracy_by(results, (*by, condition))
+    of = lambda name: F.max(F.when(F.col(condition) == name, F.col("k") / F.col("n")))
+    ends = each.groupBy(*by).agg(of(floor).alias("__floor"), of(ceiling).alias("__ceiling")).select(*(F.col(b).alias(f"__by_{b}") for b in by), "__floor", "__ceiling")
+    match = [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]
+    place = (F.col("k") / F.col("n") - F.col("__floor")) / F.nullif(F.col("__ceiling") - F.col("__floor"), F.lit(0.0))
+    met = each.join(ends, match)
+    return met.select(*each.columns, F.round("__floor", 6).alias("floor"), F.round("__ceiling", 6).alias("ceiling"), F.round(place, 6).alias("place"))
+
+
 def unparsed(results: DataFrame, order: str, most: int = 5) -> DataFrame:
     """The first completions, in ``order``, that no answer was read from."""
     return results.filter("pred IS NULL").orderBy(order).limit(most)
@@ -136,7 +152,7 @@ def answered(
     questions is cut, by the hashes of its qids, into stretches of their own, each of which decodes it once, so a video
     that holds a third of all rows is spread over tasks. ``load`` makes the model, once in a Python worker, in place of
     ``model``. Rows whose qid is in ``done`` are passed over. The run is written to the checkpoint folder, so that both
-    tables come from one pass of the model.
+    tables come from one pass of the model. Nothing to answer gives no results; that every video failed is an error.
     """
     if (model is None) == (load is None):
         raise ValueError("a model is given, or how to load it")
@@ -165,6 +181,8 @@ def answered(
 
     dealt = _stretches(asked, stretch).select(*kept).repartition("vid", "__stretch").sortWithinPartitions("vid", "__stretch", "seq")
     said = checkpointed(dealt.mapInArrow(work, _SAID))
+    if said.filter("error IS NULL").isEmpty() and not said.isEmpty():
+        raise RuntimeError(f"nothing was answered: {said.first().error}")
     failed = said.filter("error IS NOT NULL").groupBy("video").agg(F.min("error").alias("error"))
     return score(said.filter("error IS NULL").drop("error")).select(*RESULT.names), failed
 
@@ -179,13 +197,6 @@ def answer(rows: DataFrame, model: Callable[[str, pd.DataFrame], list[str]], bat
     return answered(rows, model, batch, prepare)[0]
 
 
-def refuse_empty(results: DataFrame) -> DataFrame:
-    """``results``, of which none at all is an error: a run that answered nothing has gone wrong."""
-    if results.isEmpty():
-        raise ValueError("nothing was answered")
-    return results
-
-
 def in_order(rows: DataFrame, by: str, order: str, what: str) -> DataFrame:
     """by, n, joined: the ``what`` of each group in order."""
     held = F.array_sort(F.collect_list(F.struct(order, what)))

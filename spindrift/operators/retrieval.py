@@ -17,6 +17,8 @@ from spindrift.schema import BANDS, POOL_TYPES, REPRESENTATIONS
 
 #: Places that scores are rounded to before they are ranked, since sums differ in their last bits between engines.
 PLACES = 6
+#: Places of oracles, so chunks of the longest video, that are sent to all tasks at most.
+MOST_PLACES = 100_000
 
 
 def within_pools(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -248,6 +250,8 @@ def positional_picks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     n = chunks.groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
     common = questions.groupBy(F.col("oracle_idx").alias("idx")).agg(F.count(F.lit(1)).alias("times"))  # a row for each place
     sizes = questions.select("vid").distinct().join(n, "vid").select("n").distinct()
+    if common.count() > MOST_PLACES:
+        raise ValueError(f"a video of more than {MOST_PLACES} chunks")
     best = sizes.join(F.broadcast(common), F.col("idx") < F.col("n")).groupBy("n").agg(F.max_by("idx", F.struct("times", -F.col("idx"))).alias("idx"))
     return questions.select("qid", "vid").join(n, "vid").join(F.broadcast(best), "n").select("qid", "vid", "idx")
 

@@ -69,7 +69,8 @@ def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_answers(spark, sf_dir).select("page_id", "pred", "gold", "correct")
 
 
-@query(f"WITH {_ANSWERS} SELECT count(*) AS n, round(avg(({_CORRECT})::INT), 6) AS accuracy, count(CASE WHEN pred IS NULL THEN 1 END) AS unparsed, round(count(CASE WHEN pred IS NULL THEN 1 END) / count(*)::DOUBLE, 6) AS unparsed_rate FROM a")
+@query(f"""WITH {_ANSWERS} SELECT count(*) AS n, round(avg(({_CORRECT})::INT), 6) AS accuracy, count(CASE WHEN pred IS NULL THEN 1 END) AS unparsed,
+  round(count(CASE WHEN pred IS NULL THEN 1 END) / count(*)::DOUBLE, 6) AS unparsed_rate FROM a""")
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.summary(page_answers(spark, sf_dir))
 
@@ -87,7 +88,9 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.get(words, F.lit(0)).alias("q"), *[o.alias(f"a{i}") for i, o in enumerate(options)])
 
 
-_ASKED = "a AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations), o AS (SELECT conv_id, turn, w[1] AS q, coalesce(w[2], '-') AS a0, coalesce(w[3], '-') AS a1, coalesce(w[4], '-') AS a2, coalesce(w[5], '-') AS a3 FROM a)"
+_ASKED = """a AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w
+  FROM conversations), o AS (SELECT conv_id, turn, w[1] AS q, coalesce(w[2], '-') AS a0, coalesce(w[3], '-') AS a1, coalesce(w[4], '-') AS a2,
+  coalesce(w[5], '-') AS a3 FROM a)"""
 
 
 @query(f"WITH {_ASKED} SELECT conv_id, turn, q || ' ' || a0 || ' ' || a1 || ' ' || a2 || ' ' || a3 AS query FROM o")
@@ -96,7 +99,9 @@ def render_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", X.render_query("question+options", F.col("q"), [F.col(f"a{i}") for i in range(4)], F.col("a0")).alias("query"))
 
 
-@query(f"WITH {_ASKED} SELECT conv_id, turn, q || chr(10) || '0. ' || a0 || chr(10) || '1. ' || a1 || chr(10) || '2. ' || a2 || chr(10) || '3. ' || a3 || chr(10) || 'Answer with the number of the correct option, and nothing else.' AS prompt FROM o")
+@query(f"""WITH {_ASKED} SELECT conv_id, turn,
+  q || chr(10) || '0. ' || a0 || chr(10) || '1. ' || a1 || chr(10) || '2. ' || a2 || chr(10) || '3. ' || a3 || chr(10) || 'Answer with the number of the correct option, and nothing else.' AS prompt
+  FROM o""")
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("conv_id", "turn", X.render_prompt(F.col("q"), [F.col(f"a{i}") for i in range(4)]).alias("prompt"))
 
@@ -112,12 +117,15 @@ def group_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.in_order(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
-@query("SELECT lang, count(*) AS total, count(h) AS covered, round(100.0 * count(h) / count(*), 4) AS percent, count(DISTINCT CASE WHEN h IS NOT NULL THEN doc_id END) AS n_distinct FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 1 AS h FROM labels) USING (doc_id) GROUP BY lang")
+@query("""SELECT lang, count(*) AS total, count(h) AS covered, round(100.0 * count(h) / count(*), 4) AS percent, count(DISTINCT CASE
+  WHEN h IS NOT NULL THEN doc_id END) AS n_distinct FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 1 AS h FROM labels) USING (doc_id) GROUP BY lang""")
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "lang", "doc_id")
 
 
-@query("WITH m AS (SELECT md5(text) AS id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, source AS subset, doc_id AS pos FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE split WHEN 'test' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, subset, pos) AS rn, count(*) OVER (PARTITION BY id) AS n FROM m) SELECT id, split, subset, n FROM r WHERE rn = 1")
+@query("""WITH m AS (SELECT md5(text) AS id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, source AS subset, doc_id AS pos
+  FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE split WHEN 'test' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, subset,
+  pos) AS rn, count(*) OVER (PARTITION BY id) AS n FROM m) SELECT id, split, subset, n FROM r WHERE rn = 1""")
 def split_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.owners(split_members(spark, sf_dir))
 
@@ -132,7 +140,9 @@ def split_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEEDLES = [("purch", "bought"), ("click", "pointed"), ("log", "session"), ("view", "looked")]
 
 
-@query("SELECT CASE WHEN contains(lower(event_type), 'purch') THEN 'bought' WHEN contains(lower(event_type), 'click') THEN 'pointed' WHEN contains(lower(event_type), 'log') THEN 'session' WHEN contains(lower(event_type), 'view') THEN 'looked' END AS reason, count(*) AS n FROM events GROUP BY ALL")
+@query("""SELECT CASE WHEN contains(lower(event_type), 'purch') THEN 'bought' WHEN contains(lower(event_type), 'click') THEN 'pointed'
+  WHEN contains(lower(event_type), 'log') THEN 'session' WHEN contains(lower(event_type), 'view') THEN 'looked' END AS reason, count(*) AS n FROM events
+  GROUP BY ALL""")
 def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.histogram(table(spark, sf_dir, "events").select(X.failure_reason(F.col("event_type"), NEEDLES).alias("reason")), "reason")
 
@@ -144,6 +154,26 @@ def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).groupBy("source").agg(F.round(english - other, 6).alias("headroom"))
 
 
+_CONDITIONS = ("random", "top1 (a)", "top1 (b)", "oracle")
+
+
+@query(f"""WITH r AS (
+  SELECT lang AS model, (ARRAY{list(_CONDITIONS)})[doc_id % 4 + 1] AS condition, quality = 1 AS correct
+  FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND NOT (lang = 'fr' AND doc_id % 4 = 0)),
+g AS (SELECT model, condition, count(*) AS n, count(CASE WHEN correct THEN 1 END) AS k FROM r GROUP BY ALL),
+e AS (
+  SELECT model, max(CASE WHEN condition = 'random' THEN k / n::DOUBLE END) AS f, max(CASE WHEN condition = 'oracle' THEN k / n::DOUBLE END) AS c
+  FROM g GROUP BY model)
+SELECT model, condition, n, k, round(k / n::DOUBLE, 6) AS accuracy, {_LO} AS lo, {_HI} AS hi, round(f, 6) AS floor, round(c, 6) AS ceiling,
+  round((k / n::DOUBLE - f) / nullif(c - f, 0), 6) AS place
+FROM g JOIN e USING (model)""")
+def condition_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by model and retrieval condition, between blind picks and a perfect retriever; one model lacks the former."""
+    condition = F.element_at(F.array(*map(F.lit, _CONDITIONS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = labelled(spark, sf_dir).withColumns({"model": F.col("lang"), "condition": condition})
+    return Q.condition_accuracy(rows.filter("NOT (lang = 'fr' AND condition = 'random')"))
+
+
 @query("SELECT source, min(doc_id) AS first FROM documents GROUP BY source")
 def first_seen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_seen(table(spark, sf_dir, "documents"), "source", "doc_id")

@@ -485,7 +485,8 @@ def _deep_sql(name: str, x: str, n: int, s: int) -> str:
     """Layer normalisation, two hidden layers, a projection; a table a step."""
     return f"""{name}0 AS (SELECT *, {x} AS x FROM c),
 {name}1 AS (SELECT * EXCLUDE (x), list_transform(x, lambda y: y - list_avg(x)) AS x FROM {name}0),
-{name}2 AS (SELECT * EXCLUDE (x), list_transform(list_zip(list_transform(x, lambda y: y / sqrt(list_dot_product(x, x) / {n} + 1e-5)), {_row(n, s + 6, '1 + ')}, {_row(n, s + 7)}), lambda z: z[1] * z[2] + z[3]) AS x FROM {name}1),
+{name}2 AS (SELECT * EXCLUDE (x), list_transform(list_zip(list_transform(x, lambda y: y / sqrt(list_dot_product(x, x) / {n} + 1e-5)),
+  {_row(n, s + 6, '1 + ')}, {_row(n, s + 7)}), lambda z: z[1] * z[2] + z[3]) AS x FROM {name}1),
 {name}3 AS (SELECT * EXCLUDE (x), {_gelu_sql(_added(_times('x', n, _HIDDEN, s), _row(_HIDDEN, s + 1)))} AS x FROM {name}2),
 {name}4 AS (SELECT * EXCLUDE (x), {_gelu_sql(_added(_times('x', _HIDDEN, _HIDDEN, s + 2), _row(_HIDDEN, s + 3)))} AS x FROM {name}3),
 {name}5 AS (SELECT qid, {_added(_times('x', _HIDDEN, 64, s + 4), _row(64, s + 5))} AS x FROM {name}4)"""

@@ -52,13 +52,16 @@ def bucket_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.assign_cues(cues, range_table(cues)).select("vid", "cue_no", "chunk")
 
 
-@query(f"WITH {_CUES}, d AS (SELECT *, lag(text) OVER (PARTITION BY vid, chunk ORDER BY cue_no) AS b FROM asg), k AS (SELECT vid, chunk, string_agg(text, ' ' ORDER BY cue_no) AS text FROM d WHERE text IS DISTINCT FROM b GROUP BY vid, chunk) SELECT rg.vid, rg.chunk, coalesce(k.text, '') AS text FROM rg LEFT JOIN k USING (vid, chunk)")
+@query(f"""WITH {_CUES}, d AS (SELECT *, lag(text) OVER (PARTITION BY vid, chunk ORDER BY cue_no) AS b
+  FROM asg), k AS (SELECT vid, chunk, string_agg(text, ' ' ORDER BY cue_no) AS text FROM d WHERE text IS DISTINCT FROM b GROUP BY vid, chunk)
+  SELECT rg.vid, rg.chunk, coalesce(k.text, '') AS text FROM rg LEFT JOIN k USING (vid, chunk)""")
 def silent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = cue_table(spark, sf_dir)
     return L.range_texts(cues, range_table(cues))
 
 
-@query(f"WITH {_CUES}, m AS (SELECT vid, arg_min(start, cue_no) AS t FROM cu GROUP BY vid) SELECT cu.vid, cue_no, round(start - t, 3) AS start, round(stop - t, 3) AS stop FROM cu JOIN m USING (vid) WHERE start >= t AND stop <= t + 60")
+@query(f"""WITH {_CUES}, m AS (SELECT vid, arg_min(start, cue_no) AS t FROM cu GROUP BY vid)
+  SELECT cu.vid, cue_no, round(start - t, 3) AS start, round(stop - t, 3) AS stop FROM cu JOIN m USING (vid) WHERE start >= t AND stop <= t + 60""")
 def trim_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = cue_table(spark, sf_dir)
     first = cues.groupBy("vid").agg(F.min_by("start", "cue_no").alias("t"))
@@ -68,7 +71,8 @@ def trim_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VIDEOS = """v AS (SELECT o_custkey AS vid, count(*) AS n, (min(o_orderkey) % 400)::DOUBLE AS st, (count(*) * 75)::DOUBLE AS extra FROM orders GROUP BY o_custkey),
 w AS (SELECT vid, CASE WHEN vid % 10 = 0 THEN NULL ELSE st END AS st, CASE WHEN vid % 7 = 0 THEN NULL ELSE st + 60 + extra % 1300 END AS duration FROM v)"""
-_SEGMENT = """h AS (SELECT vid, st, duration, st + 60 AS en, floor(st / 60)::BIGINT AS nh, greatest(floor((duration - st - 60) / 60), 0)::BIGINT AS nt FROM w WHERE st IS NOT NULL AND duration IS NOT NULL),
+_SEGMENT = """h AS (SELECT vid, st, duration, st + 60 AS en, floor(st / 60)::BIGINT AS nh, greatest(floor((duration - st - 60) / 60), 0)::BIGINT AS nt
+  FROM w WHERE st IS NOT NULL AND duration IS NOT NULL),
 g AS (SELECT *, st - 60 * nh AS h0, duration - en - 60 * nt AS rest FROM h),
 n AS (SELECT *, nh + (h0 > 10)::INT + 1 + nt + (rest > 10)::INT AS n_chunks, nh + (h0 > 10)::INT AS oracle_idx,
   CASE WHEN h0 > 10 OR (h0 > 0 AND nh > 0) THEN 0 ELSE h0 END AS first, CASE WHEN rest > 10 OR (rest > 0 AND nt > 0) THEN duration ELSE en + 60 * nt END AS last FROM g)"""
@@ -88,7 +92,10 @@ def segment_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("vid", F.size("chunks").cast("bigint").alias("n_chunks"), F.col("oracle_idx").cast("bigint").alias("oracle_idx"), F.col("chunks")[0]["s"].alias("first"), F.element_at("chunks", -1)["e"].alias("last"))
 
 
-@query(f"WITH {_VIDEOS}, {_SEGMENT}, r AS (SELECT w.vid, CASE WHEN w.st IS NULL THEN 'no_trim' WHEN w.duration IS NULL THEN 'probe_failed' WHEN n_chunks < 2 THEN 'too_short' WHEN n_chunks > 20 THEN 'too_many' ELSE 'kept' END AS reason FROM w LEFT JOIN n USING (vid)), k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY vid) AS rn FROM r) SELECT reason, count(*) AS n, string_agg(CASE WHEN rn <= 3 THEN vid::VARCHAR END, ',' ORDER BY vid) AS examples FROM k GROUP BY reason")
+@query(f"""WITH {_VIDEOS}, {_SEGMENT}, r AS (SELECT w.vid, CASE WHEN w.st IS NULL THEN 'no_trim' WHEN w.duration IS NULL THEN 'probe_failed'
+  WHEN n_chunks < 2 THEN 'too_short' WHEN n_chunks > 20 THEN 'too_many' ELSE 'kept' END AS reason FROM w LEFT
+  JOIN n USING (vid)), k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY vid) AS rn FROM r)
+  SELECT reason, count(*) AS n, string_agg(CASE WHEN rn <= 3 THEN vid::VARCHAR END, ',' ORDER BY vid) AS examples FROM k GROUP BY reason""")
 def manifest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reason_stats(L.reasons(video_table(spark, sf_dir)))
 
@@ -100,33 +107,48 @@ def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("cue_no"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query(r"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents), n AS (SELECT doc_id, i, " + _NORMALIZED + r" AS line FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM n WHERE line <> '') SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM k WHERE line IS DISTINCT FROM b GROUP BY doc_id")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''),
+  chr(10)), 1) AS i FROM documents), n AS (SELECT doc_id, i, """ + _NORMALIZED + r""" AS line
+  FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM n WHERE line <> '')
+  SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM k WHERE line IS DISTINCT FROM b GROUP BY doc_id""")
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = L.dedup_lines(_document_lines(spark, sf_dir), ("doc_id",))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query(r"WITH c AS (SELECT conv_id AS vid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), l AS (SELECT vid, idx, idx // 2 AS chunk, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM c), n AS (SELECT vid, idx, chunk, i, " + _NORMALIZED + r" AS line FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY vid, chunk ORDER BY idx, i) AS b FROM n WHERE line <> '') SELECT vid, chunk, count(*) AS n_lines, string_agg(line, ' ' ORDER BY idx, i) AS text FROM k WHERE line IS DISTINCT FROM b GROUP BY vid, chunk")
+@query(r"""WITH c AS (SELECT conv_id AS vid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, string_split(coalesce(text,
+  ''), chr(10)) AS ls FROM conversations), l AS (SELECT vid, idx, idx // 2 AS chunk, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+  FROM c), n AS (SELECT vid, idx, chunk, i, """ + _NORMALIZED + r""" AS line
+  FROM l), k AS (SELECT *, lag(line) OVER (PARTITION BY vid, chunk ORDER BY idx, i) AS b FROM n WHERE line <> '')
+  SELECT vid, chunk, count(*) AS n_lines, string_agg(line, ' ' ORDER BY idx, i) AS text FROM k WHERE line IS DISTINCT FROM b GROUP BY vid, chunk""")
 def dedup_lines_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two turns are a chunk; a line equal to the one kept before it goes, but each chunk starts afresh."""
     cues = talk_chunks(spark, sf_dir).select("vid", F.floor(F.col("idx") / 2).alias("chunk"), F.col("idx").alias("cue_no"), F.coalesce("text", F.lit("")).alias("text"))
     return L.dedup_lines(cues, ("vid", "chunk")).groupBy("vid", "chunk").agg(F.count(F.lit(1)).alias("n_lines"), L.joined_lines().alias("text"))
 
 
-@query("WITH w AS (SELECT conv_id AS vid, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations), e AS (SELECT vid, turn, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w) SELECT vid, turn, i AS word_no, word, round(turn * 60.0 + 60.0 / n * i, 4) AS start, round(CASE WHEN i = n - 1 THEN turn * 60.0 + 60.0 ELSE turn * 60.0 + 60.0 / n * (i + 1) END, 4) AS stop FROM e")
+@query("""WITH w AS (SELECT conv_id AS vid, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws
+  FROM conversations), e AS (SELECT vid, turn, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w)
+  SELECT vid, turn, i AS word_no, word, round(turn * 60.0 + 60.0 / n * i, 4) AS start, round(CASE WHEN i = n - 1 THEN turn * 60.0 + 60.0
+  ELSE turn * 60.0 + 60.0 / n * (i + 1) END, 4) AS stop FROM e""")
 def word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("vid"), F.col("turn").alias("cue_no"), (F.col("turn") * 60.0).alias("start"), (F.col("turn") * 60.0 + 60.0).alias("end"), "text")
     words = L.spread_words(turns)
     return words.select("vid", F.col("cue_no").alias("turn"), "word_no", "word", F.round("start", 4).alias("start"), F.round("end", 4).alias("stop"))
 
 
-@query("WITH f AS (SELECT p_partkey, p_size * 37 AS total, least(7, p_size * 37) AS n FROM part) SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: round_even(i * (total - 1) / greatest(n - 1, 1)::DOUBLE, 0)::INT), ',') AS frames FROM f")
+@query("""WITH f AS (SELECT p_partkey, p_size * 37 AS total, least(7, p_size * 37) AS n FROM part)
+  SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: round_even(i * (total - 1) / greatest(n - 1, 1)::DOUBLE, 0)::INT),
+  ',') AS frames FROM f""")
 def frame_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", X.frame_indices(F.col("p_size") * 37, F.lit(7)).alias("f"))
     return rows.select("p_partkey", F.array_join(F.transform("f", lambda i: i.cast("string")), ",").alias("frames"))
 
 
-@query("WITH w AS (SELECT p_partkey, p_size * 37 AS total, round_even(p_size * 0.5 * 25, 0)::INT AS lo, least(p_size * 37 - 1, round_even((p_size * 0.5 + 1) * 25, 0)::INT - 1) AS hi FROM part), f AS (SELECT *, least(8, hi - lo + 1) AS n FROM w WHERE hi >= lo) SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: lo + round_even(i * (hi - lo) / greatest(n - 1, 1)::DOUBLE, 0)::INT), ',') AS frames FROM f")
+@query("""WITH w AS (SELECT p_partkey, p_size * 37 AS total, round_even(p_size * 0.5 * 25, 0)::INT AS lo, least(p_size * 37 - 1,
+  round_even((p_size * 0.5 + 1) * 25, 0)::INT - 1) AS hi FROM part), f AS (SELECT *, least(8, hi - lo + 1) AS n FROM w WHERE hi >= lo)
+  SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: lo + round_even(i * (hi - lo) / greatest(n - 1, 1)::DOUBLE, 0)::INT),
+  ',') AS frames FROM f""")
 def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("p_size") * 0.5
     rows = table(spark, sf_dir, "part").select("p_partkey", X.window_frame_indices(F.col("p_size") * 37, F.lit(25.0), F.lit(8), at, at + 1).alias("f"))
@@ -205,7 +227,8 @@ def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     least(p_size * 20 + 59, round_even((p_size % 5 + 2 * k + 1 + p_partkey % 3) * 25.0, 0)::INT - 1) AS hi
   FROM part, range(0, 3) AS ks(k)),
 f AS (
-  SELECT p_partkey, k, CASE WHEN hi >= lo THEN list_transform(range(0, least(2 + k, hi - lo + 1)), lambda i: lo + round_even(i * (hi - lo) / greatest(least(2 + k, hi - lo + 1) - 1, 1)::DOUBLE, 0)::INT) ELSE [] END AS frames FROM w)
+  SELECT p_partkey, k, CASE WHEN hi >= lo THEN list_transform(range(0, least(2 + k, hi - lo + 1)),
+  lambda i: lo + round_even(i * (hi - lo) / greatest(least(2 + k, hi - lo + 1) - 1, 1)::DOUBLE, 0)::INT) ELSE [] END AS frames FROM w)
 SELECT p_partkey, count(*)::INT AS n_windows, sum(len(frames))::INT AS n_frames, string_agg(array_to_string(frames, ','), '|' ORDER BY k) AS frames FROM f GROUP BY p_partkey""")
 def frames_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a video's windows read in one pass and parted again; windows beyond its end have none."""

@@ -225,8 +225,9 @@ def test_a_video_is_decoded_once_and_a_model_loaded_once(spark, tmp_path):
     assert {r.video for r in rest.collect()} == {"bad"}
     with pytest.raises(ValueError):
         answers.answered(asked_rows(spark, videos))
-    with pytest.raises(ValueError):
-        answers.refuse_empty(rest.limit(0))
+    with pytest.raises(RuntimeError, match="nothing was answered: OSError: torn"):
+        answers.answered(asked_rows(spark, {"bad": 3}), load=load, prepare=prepare)
+    assert [df.collect() for df in answers.answered(asked_rows(spark, videos).limit(0), load=load, prepare=prepare)] == [[], []]
 
 
 def test_batches_come_in_order(spark):
