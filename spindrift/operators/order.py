@@ -19,13 +19,11 @@ def numbered(rows: DataFrame, by: list[Column], name: str = "seq", ties: list[Co
     numbered among themselves in any way; everything else is the same under any partitioning. No rows give no rows.
     """
     held = checkpointed(rows.orderBy(*by, *(ties or [])).withColumn("__place", F.monotonically_increasing_id()))
-    part, place = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
-    counts = sorted((r.part, r.n) for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
-    if not before:
-        return held.withColumnRenamed("__place", name)
-    start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    return held.withColumn(name, (start[part] + place).cast("bigint")).drop("__place")
+    part, place = F.shiftright("__place", 33).cast("int"), F.col("__place").bitwiseAND((1 << 33) - 1)
+    placed = held.withColumns({"__part": part, "__place": place})
+    counts = sorted((r["__part"], r.n) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = rows.sparkSession.createDataFrame(list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0))), "__part int, __start bigint")
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")
 
 
 def running(rows: DataFrame, by: str, order: list[str], sums: dict[str, Column], block: int = 10_000) -> DataFrame:
