@@ -28,7 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the checkpoint folder: later reads take only the columns that they need."""
+    """``df`` as a table in the checkpoint folder: later reads take only the columns that they need. It stays there, as
+    what is returned may be read at any time, until the folder is cleared."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

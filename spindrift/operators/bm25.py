@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,42 @@ def term_stats(docs: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFr
     return tf, idf
 
 
+_TOKEN = re.compile("[a-z0-9']+")
+#: Terms that a task counts before it hands its counts on.
+HELD = 1 << 19
 #: Stands for the texts themselves among the terms; no token looks like it.
 _TEXTS = "<texts>"
 
 
+def _tokens(text: str) -> list[str]:
+    """As ``expr.tokens``, for passes that read texts in Arrow batches."""
+    return _TOKEN.findall(text.lower())
+
+
+def _counts(df: Counter, words: int) -> pa.RecordBatch:
+    terms = list(df)
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([words if t == _TEXTS else 0 for t in terms], pa.int64())], names=["term", "df", "words"])
+
+
 def term_idf(docs: DataFrame) -> DataFrame:
-    """(term, idf, avgdl) as ``term_stats`` has them, from one pass that is summed up by term before it is dealt out."""
-    rows = docs.select(X.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    each = rows.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(_TEXTS)))).alias("term"))
-    counts = checkpointed(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == _TEXTS, F.col("dl"))).alias("words")))
+    """(term, idf, avgdl) as ``term_stats`` has them, from one pass in which tasks count their texts' terms before any
+    is dealt out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, words = Counter(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = _tokens(text)
+                words += len(own)
+                df.update(set(own))
+                df[_TEXTS] += 1
+            if len(df) > HELD:
+                yield _counts(df, words)
+                df, words = Counter(), 0
+        yield _counts(df, words)
+
+    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "term string, df bigint, words bigint")
+    counts = checkpointed(parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
     whole = counts.filter(F.col("term") == _TEXTS).first()
     n, avgdl = (whole.df, whole.words / whole.df) if whole else (0, 0.0)
     raw = counts.filter(F.col("term") != _TEXTS).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -172,7 +201,8 @@ def _pruned(weights: DataFrame, docs: DataFrame, key: str, top: int) -> DataFram
         known, asked, avgdl = sent.value
         best = {qid: Best(top) for qid in asked}
         for block in _blocks(batches):
-            words, dl = block.column(1).flatten(), pc.list_value_length(block.column(1)).to_numpy(zero_copy_only=False)
+            own = list(map(_tokens, block.column(1).to_pylist()))
+            words, dl = pa.array(list(chain.from_iterable(own)), pa.string()), np.array(list(map(len, own)))
             place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
             pair = (place * block.num_rows + np.repeat(np.arange(block.num_rows), dl))[place >= 0]
             pair, tf = np.unique(pair, return_counts=True)
@@ -182,4 +212,4 @@ def _pruned(weights: DataFrame, docs: DataFrame, key: str, top: int) -> DataFram
         out = [(qid, k, s) for qid, own in best.items() for _, k, s in own.rows]
         yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out) if out else ((), (), ()), schema)], names=schema.names)
 
-    return docs.select(key, X.tokens(F.coalesce("text", F.lit(""))).alias("terms")).mapInArrow(work, schema)
+    return docs.select(key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, schema)
