@@ -99,7 +99,7 @@ def plain_epoch(adapter, move, pools, order, asked, vectors, answer_weight):
     return adapter, loss_all / len(order)
 
 
-@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("parts", [3])
 def test_an_epoch_in_one_job_equals_a_plain_loop(spark, parts):
     from pyspark.sql import functions as F
 
@@ -129,7 +129,7 @@ def test_an_epoch_in_one_job_equals_a_plain_loop(spark, parts):
 def test_a_broken_run_goes_on_to_the_same_numbers(spark, tmp_path, monkeypatch):
     chunks, questions = learnable(spark)
     dev = chunks.filter("vid >= 9").select("vid").distinct()
-    args = dict(epochs=4, batch=20, rate=0.03, n_easy=3, patience=4, seed=2, parts=2)
+    args = dict(epochs=3, batch=20, rate=0.03, n_easy=3, patience=4, seed=2, parts=2)
     whole, history = T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, **args)
     real, calls = T.run_epoch, []
 
@@ -144,10 +144,10 @@ def test_a_broken_run_goes_on_to_the_same_numbers(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)
     made, again = T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)
-    assert len(calls) == 5  # two epochs, the broken one, two more
+    assert len(calls) == 4  # two epochs, the broken one, one more
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.collect()))
     assert all((x == y).all() for x, y in zip(T._values(made).values(), T._values(whole).values()))
-    assert sorted(map(tuple, T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)[1].collect())) == sorted(map(tuple, history.collect())) and len(calls) == 5
+    assert sorted(map(tuple, T.train(A.small(6, rank=2, seed=1), chunks, questions, dev, path=path, **args)[1].collect())) == sorted(map(tuple, history.collect())) and len(calls) == 4
     with pytest.raises(ValueError):
         T.train(A.small(6, rank=3), chunks, questions, dev, path=path, **args)
 
