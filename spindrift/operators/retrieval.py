@@ -86,11 +86,14 @@ def training_pools(questions: DataFrame, chunks: DataFrame, n_easy: int = 256, s
     return near.unionByName(far.select("qid", "vid", "idx", F.lit("easy").alias("kind")))
 
 
-def batches(rows: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+def batches(rows: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0, stretch: int | None = None) -> DataFrame:
     """``rows`` with ``batch``: all rows in a random order, redrawn for each epoch, cut into batches of ``size``; ``key``
-    tells rows apart."""
+    tells rows apart. With ``stretch`` a batch is cut on into stretches of so many rows, and ``stretch`` numbers them."""
     at = ring_positions(rows.select(F.col(key).alias("vid"), F.lit(0).alias("idx")), seed + epoch)
-    return rows.join(at.select(F.col("vid").alias(key), F.floor(F.col("position") / size).alias("batch")), key)
+    cut = [F.floor(F.col("position") / size).alias("batch")]
+    if stretch is not None:
+        cut.append(F.floor(F.pmod(F.col("position"), F.lit(size)) / stretch).alias("stretch"))
+    return rows.join(at.select(F.col("vid").alias(key), *cut), key)
 
 
 def ring_positions(chunks: DataFrame, seed: int, cells: int = 4096) -> DataFrame:

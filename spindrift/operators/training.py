@@ -1,9 +1,10 @@
 """The training loop of adapters: contrastive loss over redrawn pools, AdamW, early stop on held-out videos.
 
-An epoch is one Spark job, a barrier stage: each task holds its part of every batch and reads it once; after each batch
-the tasks hand one another their summed slopes and all move the same parameters. A part of a batch is dictionary-encoded:
-its distinct chunk vectors once, and each question's pool as positions into them, so a chunk passes the adapter once a
-part, however many pools it is in. The state after an epoch, moments included, can be kept and taken up again.
+An epoch is one Spark job, a barrier stage: each task reads its part of every batch once, in stretches of a bounded number
+of chunks, and holds one at a time, however large a batch is; after each batch the tasks hand one another their summed
+slopes and all move the same parameters. A stretch is dictionary-encoded: its distinct chunk vectors once, and each
+question's pool as positions into them, so a chunk passes the adapter once a stretch, however many pools it is in. The
+state after an epoch, moments included, can be kept and taken up again.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,6 +34,8 @@ from spindrift.sources.publish import current, publish, published
 COLDEST = 0.01
 #: Tasks that share an epoch.
 PARTS = 8
+#: Chunks of the pools that a task holds at once, or those of one question if they are more.
+HELD_CHUNKS = 2048
 
 Gradient = dict[str, np.ndarray]
 
@@ -220,45 +224,99 @@ def dictionary(pools: DataFrame, order: DataFrame, keys: tuple[str, ...] = ("bat
     and a pool the easy chunks and those of one video, so both are bounded by those sizes.
     """
     members = pools.select("qid", "vid", "idx", (F.col("kind") != "oracle").alias("other")).join(order.select("qid", *keys), "qid")
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("vid", "idx")) - 1
-    distinct = members.select(*keys, "vid", "idx").distinct().withColumn("place", place)
-    placed = members.join(distinct, [*keys, "vid", "idx"])
+    placed = members.withColumn("place", F.dense_rank().over(W.partitionBy(*keys).orderBy("vid", "idx")) - 1)  # dealt out once, by keys
+    distinct = placed.select(*keys, "vid", "idx", "place").distinct()
     positions = F.transform(F.sort_array(F.collect_list(F.struct("other", "place"))), lambda x: x["place"])
     return distinct, placed.groupBy(*keys, "qid").agg(positions.alias("positions"))
 
 
-def encoded(pools: DataFrame, order: DataFrame, questions: DataFrame, chunks: DataFrame, extra: tuple[str, ...] = (), keys: tuple[str, ...] = ("batch",)) -> DataFrame:
-    """``keys``, vectors (v, t by place), asked (qid, positions, query, ``extra``, by qid): a row for each part of a batch.
-
-    Only distinct chunks meet their vectors. Questions without a query are left out.
-    """
+def _placed(pools: DataFrame, order: DataFrame, questions: DataFrame, chunks: DataFrame, extra: tuple[str, ...], keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``keys``, place, v, t of distinct chunks and ``keys``, qid, positions, query, ``extra`` of questions with a query.
+    Only distinct chunks meet their vectors."""
     asked = questions.filter("query IS NOT NULL").select("qid", "query", *extra)
     distinct, positions = dictionary(pools.join(asked.select("qid"), "qid", "left_semi"), order, keys)
-    vectors = distinct.join(chunks.select("vid", "idx", "v", "t"), ["vid", "idx"])
+    vectors = distinct.join(chunks.select("vid", "idx", "v", "t"), ["vid", "idx"]).select(*keys, "place", "v", "t")
+    return vectors, positions.join(asked, "qid").select(*keys, "qid", "positions", "query", *extra)
+
+
+def encoded(pools: DataFrame, order: DataFrame, questions: DataFrame, chunks: DataFrame, extra: tuple[str, ...] = (), keys: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """``keys``, vectors (v, t by place), asked (qid, positions, query, ``extra``, by qid): a row for each of ``keys``, which
+    must be small. Questions without a query are left out."""
+    vectors, rows = _placed(pools, order, questions, chunks, extra, keys)
     vectors = vectors.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "v", "t"))).alias("vectors"))
-    rows = positions.join(asked, "qid").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("qid", "positions", "query", *extra))).alias("asked"))
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("qid", "positions", "query", *extra))).alias("asked"))
     return vectors.join(rows, list(keys))
 
 
-def _stacked(values: list) -> np.ndarray:
-    return np.array(values, float)
+STRETCH = ("part", "batch", "stretch")
+
+
+def stretched(pools: DataFrame, order: DataFrame, questions: DataFrame, chunks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The same, not gathered: part, batch, stretch and either place, v, t of a chunk or qid, positions, query, ``extra`` of a
+    question. So no row grows with a batch, and vectors are dealt out once."""
+    vectors, rows = _placed(pools, order, questions, chunks, extra, STRETCH)
+    return vectors.unionByName(rows, allowMissingColumns=True)
 
 
-def _batch_gradient(adapter: Adapter, vectors: list[dict], asked: list[dict], answer_weight: float, dropout: float, seed: str) -> tuple[int, float, Gradient]:
-    """Of a part of a batch: how many questions, their loss and its gradient; the answers' search, where it has a weight,
-    is a question of its own over the same pool."""
-    at = {x["place"]: i for i, x in enumerate(vectors)}
-    v, t = (_stacked([x[k] for x in vectors]) for k in ("v", "t"))
-    pools = [np.array([at[p] for p in a["positions"]]) for a in asked]
-    queries, weights = [a["query"] for a in asked], [1.0] * len(asked)
-    for a, pool in zip(asked, list(pools)):
-        if answer_weight and a["answer"] is not None:
-            queries.append(a["answer"])
+def _gradient_of(
+    adapter: Adapter, v: np.ndarray, t: np.ndarray, pools: list[np.ndarray], queries: list, answers: list | None, answer_weight: float, dropout: float, seed: str,
+) -> tuple[int, float, Gradient]:
+    """Of some questions: how many, their loss and its gradient; the answers' search, where it has a weight, is a question
+    of its own over the same pool."""
+    n, weights, pools, queries = len(queries), [1.0] * len(queries), list(pools), list(queries)
+    for answer, pool in zip(answers if answers and answer_weight else (), list(pools)):
+        if answer is not None:
+            queries.append(answer)
             weights.append(answer_weight)
             pools.append(pool)
     rng = np.random.default_rng(zlib.crc32(seed.encode())) if dropout else None
-    loss, g = pooled_gradients(adapter, _stacked(queries), v, t, pools, np.array(weights), dropout, rng)
-    return len(asked), loss, g
+    loss, g = pooled_gradients(adapter, np.array(queries, float), v, t, pools, np.array(weights), dropout, rng)
+    return n, loss, g
+
+
+def _row_gradient(adapter: Adapter, row: dict, answer_weight: float, dropout: float, seed: str) -> tuple[int, float, Gradient]:
+    """Of a row of ``encoded``."""
+    at = {x["place"]: i for i, x in enumerate(row["vectors"])}
+    v, t = (np.array([x[k] for x in row["vectors"]], float) for k in ("v", "t"))
+    pools = [np.array([at[p] for p in a["positions"]]) for a in row["asked"]]
+    answers = [a["answer"] for a in row["asked"]] if answer_weight else None
+    return _gradient_of(adapter, v, t, pools, [a["query"] for a in row["asked"]], answers, answer_weight, dropout, seed)
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of one length; others, or null ones, are an error."""
+    if lists.null_count or pc.count_distinct(pc.list_value_length(lists)).as_py() != 1:
+        raise ValueError("vectors are null or differ in length")
+    return pc.list_flatten(lists).to_numpy().astype(float).reshape(len(lists), -1)
+
+
+def _stretch_gradient(adapter: Adapter, rows: pa.Table, answer_weight: float, dropout: float, seed: str) -> tuple[int, float, Gradient]:
+    """Of a stretch's rows (see ``stretched``), chunks by place and then questions by qid."""
+    n = len(rows) - rows["place"].null_count
+    chunks, asked = rows.slice(0, n), rows.slice(n)
+    place, pools = chunks["place"].to_numpy(), [np.array(p) for p in asked["positions"].to_pylist()]
+    if not np.array_equal(place, np.arange(n)):
+        raise ValueError("a chunk is there twice or lacks its vectors")
+    answers = asked["answer"].to_pylist() if answer_weight else None
+    return _gradient_of(adapter, _matrix(chunks["v"]), _matrix(chunks["t"]), pools, asked["query"].to_pylist(), answers, answer_weight, dropout, seed)
+
+
+def _stretches(arrived: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """batch, stretch and its rows; rows arrive in that order."""
+    key, held = None, []
+    for rows in arrived:
+        batch, stretch = rows.column("batch").to_numpy(), rows.column("stretch").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(batch) != 0) | (np.diff(stretch) != 0)) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if held and key != (batch[lo], stretch[lo]):
+                yield *key, pa.Table.from_batches(held)
+                held = []
+            key = (batch[lo], stretch[lo])
+            held.append(rows.slice(lo, hi - lo))
+    if held:
+        yield *key, pa.Table.from_batches(held)
 
 
 def summed(rows: DataFrame, adapter: Adapter, answer_weight: float = 0.0, dropout: float = 0.0, seed: int = 0) -> tuple[int, float, Gradient]:
@@ -269,7 +327,7 @@ def summed(rows: DataFrame, adapter: Adapter, answer_weight: float = 0.0, dropou
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n, loss, g = _batch_gradient(sent.value, row["vectors"], row["asked"], answer_weight, dropout, f"{seed}|{row.get('batch')}|{row.get('part')}")
+                n, loss, g = _row_gradient(sent.value, row, answer_weight, dropout, f"{seed}|{row.get('batch')}|{row.get('part')}")
                 yield pa.RecordBatch.from_pydict({"n": [n], "loss": [loss], "g": [np.concatenate([np.ravel(g[m]) for m in names]).tobytes()]})
 
     parts = rows.mapInArrow(work, "n bigint, loss double, g binary").collect()
@@ -286,8 +344,8 @@ def _unflat(flat: np.ndarray, shapes: Gradient) -> Gradient:
 def run_epoch(rows: DataFrame, parts: int, batches: int, progress: Progress, answer_weight: float = 0.0, dropout: float = 0.0, seed: int = 0) -> tuple[int, float]:
     """One epoch as one job, which moves ``progress``; how many questions it met, and their loss.
 
-    ``rows`` (batch, part, vectors, asked), see ``encoded``. Task p of a barrier stage reads the rows of part p, batch by
-    batch, and holds one at a time. After each batch all tasks gather one another's sums and make the same step, so the
+    ``rows``: see ``stretched``. Task p of a barrier stage reads the rows of part p, batch by batch, and holds a stretch, and
+    the Arrow batches that it lies in, at a time. After each batch all tasks gather one another's sums and make the same step, so the
     parameters never leave them; the first one returns where they are at the end. A lost task repeats the stage, which
     begins with the epoch's first parameters.
     """
@@ -297,14 +355,14 @@ def run_epoch(rows: DataFrame, parts: int, batches: int, progress: Progress, ans
     def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
         now, step = sent.value[0], deepcopy(sent.value[1])
-        waiting = (row for batch in arrived for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist())
-        row, n_all, loss_all = next(waiting, None), 0, 0.0
+        waiting = _stretches(arrived)
+        own, n_all, loss_all = next(waiting, None), 0, 0.0
         for k in range(batches):
             n, loss, flat = 0, 0.0, np.zeros(sum(x.size for x in shapes.values()))
-            while row is not None and row["batch"] == k:
-                m, own, g = _batch_gradient(now, row["vectors"], row["asked"], answer_weight, dropout, f"{seed}|{k}|{row['part']}")
-                n, loss, flat = n + m, loss + own, flat + np.concatenate([np.ravel(g[name]) for name in shapes])
-                row = next(waiting, None)
+            while own is not None and own[0] == k:
+                m, lost, g = _stretch_gradient(now, own[2], answer_weight, dropout, f"{seed}|{k}|{own[1]}")
+                n, loss, flat = n + m, loss + lost, flat + np.concatenate([np.ravel(g[name]) for name in shapes])
+                own = next(waiting, None)
             told = [struct.unpack("<qd", base64.b64decode(x[:24])) + (x[24:],) for x in context.allGather(base64.b64encode(struct.pack("<qd", n, loss)).decode() + (base64.b64encode(flat.tobytes()).decode() if n else ""))]
             met = sum(x[0] for x in told)
             if met:
@@ -315,7 +373,7 @@ def run_epoch(rows: DataFrame, parts: int, batches: int, progress: Progress, ans
             flat = [np.concatenate([np.ravel(table[name]) for name in shapes]).tobytes() if table else b"" for table in (_values(now), step.first, step.second)]
             yield pa.RecordBatch.from_pydict(dict(zip(("n", "loss", "t", "values", "first", "second"), ([x] for x in (n_all, loss_all, step.t, *flat)))))
 
-    dealt = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("batch", "part")
+    dealt = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("batch", "stretch", F.col("place").asc_nulls_last(), "qid")
     (out,) = dealt.mapInArrow(work, "n bigint, loss double, t bigint, values binary, first binary, second binary", barrier=True).collect()
     read = lambda raw: _unflat(np.frombuffer(raw), shapes) if raw else {}
     progress.adapter = _moved(adapter, read(out["values"]))
@@ -346,17 +404,19 @@ def train(
     if fit.filter("query IS NOT NULL").isEmpty() or dev.isEmpty():
         raise ValueError("questions to learn from and held-out ones are needed")
     parts = min(parts, spark.sparkContext.defaultParallelism)
+    longest = chunks.groupBy("vid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    within, batches = max(1, min(math.ceil(batch / parts), HELD_CHUNKS // (longest + n_easy))), math.ceil(fit.count() / batch)
     progress = (path and read_progress(spark, path, adapter, rate, decay)) or Progress(adapter, AdamW(rate, decay))
     extra = ("answer",) if answer_weight else ()
-    part = F.pmod(F.xxhash64("qid"), F.lit(parts)).alias("part")
+    part = F.pmod(F.col("stretch"), F.lit(parts)).alias("part")
+    held_out = only(chunks, dev_videos)
     while progress.epoch < epochs and (progress.best_epoch < 0 or progress.epoch - 1 - progress.best_epoch < patience):
         epoch = progress.epoch
         pools = R.training_pools(fit, chunks, n_easy, seed, epoch, dev_videos)
-        order = R.batches(fit.select("qid"), "qid", batch, seed, epoch).select("qid", "batch", part)
-        last = order.agg(F.max("batch")).first()[0]
-        rows = encoded(pools, order, fit, chunks, extra, ("batch", "part"))
-        n, loss = run_epoch(rows, parts, last + 1, progress, answer_weight, dropout, seed * 1_000_003 + epoch)
-        done, asked = adapt_cache(chunks, dev, progress.adapter)
+        order = R.batches(fit.select("qid"), "qid", batch, seed, epoch, within).select("qid", "batch", "stretch", part)
+        rows = stretched(pools, order, fit, chunks, extra)
+        n, loss = run_epoch(rows, parts, batches, progress, answer_weight, dropout, seed * 1_000_003 + epoch)
+        done, asked = adapt_cache(held_out, dev, progress.adapter)
         top1 = R.metrics(R.pessimistic_ranks(R.scored_within(asked, done, vector="v"))).first().top1
         progress.history.append((run, epoch, loss / n, top1))
         progress.epoch = epoch + 1

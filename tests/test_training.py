@@ -126,6 +126,45 @@ def test_an_epoch_in_one_job_equals_a_plain_loop(spark, parts):
         assert all(tuple(row.vectors[a.positions[0]][1:]) == vectors[asked[a.qid].vid, asked[a.qid].oracle_idx] for a in row.asked)
 
 
+def test_a_task_holds_a_stretch_of_a_batch_however_large_it_is(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    chunks, questions = learnable(spark)
+    dev = chunks.filter("vid >= 10").select("vid").distinct()
+    start, real, seen = rough(A.small(6, rank=3, seed=1), 4), T.run_epoch, []
+
+    def watched(rows, *a, **k):
+        each = rows.groupBy("part", "batch", "stretch").agg(F.count("place").alias("chunks"), F.count("qid").alias("asked"), F.max(F.size("positions")).alias("pool"))
+        seen.append(each.collect())
+        assert not {"vectors", "asked"} & set(rows.columns)  # nothing is gathered into a row but a question's own pool
+        return real(rows, *a, **k)
+
+    monkeypatch.setattr(T, "run_epoch", watched)
+    args = dict(epochs=2, batch=50, rate=0.02, n_easy=4, patience=2, answer_weight=0.3, seed=3, parts=2)  # all questions are one batch
+    whole = T.train(start, chunks, questions, dev, **args)[0]
+    assert max(r.asked for r in seen[-1]) == 25
+    monkeypatch.setattr(T, "HELD_CHUNKS", 30)
+    cut = T.train(start, chunks, questions, dev, **args)[0]
+    assert len(seen) == 4 and all(sum(r.asked for r in each) == 50 for each in seen)
+    assert all(r.chunks <= 30 and r.asked <= 3 and r.pool == 9 for each in seen[2:] for r in each)
+    assert {r.part for r in seen[2]} == {0, 1} and len(seen[2]) == 17
+    assert all(np.allclose(x, y, rtol=1e-9, atol=1e-12) for x, y in zip(T._values(cut).values(), T._values(whole).values()))
+
+
+def test_rows_are_told_apart_by_stretch_wherever_arrow_cuts_them():
+    import pyarrow as pa
+
+    keys = [(0, 0)] * 3 + [(0, 2)] * 4 + [(1, 0)] * 2 + [(3, 2)]
+    rows = pa.RecordBatch.from_pydict({"batch": [b for b, _ in keys], "stretch": [s for _, s in keys], "place": list(range(len(keys)))})
+    for size in (1, 2, 4, 20):
+        found = [(b, s, t["place"].to_pylist()) for b, s, t in T._stretches(rows.slice(i, size) for i in range(0, len(keys), size))]
+        assert found == [(0, 0, [0, 1, 2]), (0, 2, [3, 4, 5, 6]), (1, 0, [7, 8]), (3, 2, [9])]
+    assert T._matrix(pa.chunked_array([[[1.0, 2.0]], [[3.0, 4.0]]]).slice(1)).tolist() == [[3.0, 4.0]]
+    for bad in ([[1.0], None], [[1.0], [2.0, 3.0]]):
+        with pytest.raises(ValueError):
+            T._matrix(pa.chunked_array([bad]))
+
+
 def test_a_broken_run_goes_on_to_the_same_numbers(spark, tmp_path, monkeypatch):
     chunks, questions = learnable(spark)
     dev = chunks.filter("vid >= 9").select("vid").distinct()
